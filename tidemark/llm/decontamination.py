@@ -66,15 +66,9 @@ class WaveletMatrix:
             x = np.concatenate([x[bit == 0], x[bit == 1]])
         self.first = np.zeros(largest + 2, dtype=np.int64)
         np.cumsum(np.bincount(symbols, minlength=largest + 1), out=self.first[1:])
-        self.lead = np.searchsorted(x, np.arange(largest + 1)) if (np.diff(x) >= 0).all() else self._leads(largest)
-
-    def _leads(self, largest: int) -> np.ndarray:
-        """Where the block of each symbol begins after the last plane."""
-        c, at = np.arange(largest + 1), np.zeros(largest + 1, dtype=np.int64)
-        for level, ranks in enumerate(self.zeros):
-            bit = (c >> (self.bits - 1 - level)) & 1
-            at = np.where(bit == 0, ranks[at], ranks[-1] + at - ranks[at])
-        return at
+        # Where the block of each symbol begins below the last plane.
+        self.lead = np.zeros(largest + 1, dtype=np.int64)
+        self.lead = self.rank(np.arange(largest + 1), np.zeros(largest + 1, dtype=np.int64))
 
     def rank(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often symbol c stands before position at."""
@@ -98,10 +92,11 @@ class FMIndex:
     def __init__(self, text: np.ndarray, largest: int):
         order = suffix_array(text)
         self.n = len(text)
-        # Every string's first row has a 0 before it; zeros are ordered as the strings are.
-        self.wavelet = WaveletMatrix(text[order - 1].astype(np.int64), largest)
+        before = text[order - 1].astype(np.int64)
+        self.wavelet = WaveletMatrix(before, largest)
         self.first = self.wavelet.first
-        sampled = order % SAMPLE == 0
+        # The zeros are not in the order that stepping back over them would need, so each string's first suffix is sampled too.
+        sampled = (order % SAMPLE == 0) | (before == 0)
         self.sampled, self.sample_rank, self.samples = sampled, np.cumsum(sampled) - 1, order[sampled]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
