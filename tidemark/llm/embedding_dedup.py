@@ -22,7 +22,8 @@ from tidemark.llm.components import components
 from tidemark.llm.storage import materialize
 
 SAMPLE_ROWS = 20_000
-QUERIES = 1_000
+QUERIES = 2_000
+SAFETY = 3.0
 PER_CELL = 128
 MOST_CODEWORDS = 1024
 BLOCK = 2048
@@ -108,15 +109,15 @@ def _margin_rows(index: Index, queries: np.ndarray, threshold: float):
                 x = unit(matrix(batch.column(0).slice(at, 2048)))
                 s = queries @ x.T
                 a, b = np.nonzero((s >= threshold) & (s < 1 - 1e-12))
-                yield pa.RecordBatch.from_arrays([pa.array(pair_margin(index, queries[a], x[b]))], ["m"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(pair_margin(index, queries[a], x[b]))], ["q", "m"])
 
     return run
 
 
 def fit_index(reps: DataFrame, rows: int, threshold: float, recall: float = TARGET_RECALL) -> Index:
     """Codebooks from about SAMPLE_ROWS vectors, as large as ``rows`` vectors at PER_CELL a cell ask for. The margin is the ``recall``
-    quantile of what the true neighbours of QUERIES sampled vectors need, found by brute force over all rows; with fewer than 100
-    such pairs it is that of made neighbours."""
+    quantile of what QUERIES sampled vectors need for their farthest true neighbour, found by brute force over all rows, times SAFETY;
+    with fewer than 50 vectors that have neighbours it is that of made neighbours."""
     share = max(1, int(min(1.0, SAMPLE_ROWS / rows) * (1 << 20)))
     picked = reps.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < share).orderBy("id")
     x = matrix(picked.select("x").toArrow()["x"])
@@ -127,9 +128,9 @@ def fit_index(reps: DataFrame, rows: int, threshold: float, recall: float = TARG
     h = x.shape[1] // 2
     index = Index(kmeans(x[:, :h], k), kmeans(x[:, h:], k, seed=4), 0.0)
     queries = x[np.random.default_rng(9).permutation(len(x))[:QUERIES]]
-    margins = reps.select("x").mapInArrow(_margin_rows(index, queries, threshold), "m double")
+    margins = reps.select("x").mapInArrow(_margin_rows(index, queries, threshold), "q long, m double").groupBy("q").agg(F.max("m").alias("m"))
     got = margins.agg(F.count("m").alias("n"), F.percentile_approx("m", recall, 10_000).alias("m")).first()
-    index.margin = 1.5 * (got.m if got.n >= 100 else made_margin(index, queries, threshold, recall)) + 1e-9
+    index.margin = SAFETY * got.m + 1e-9 if got.n >= 50 else made_margin(index, queries, threshold, recall)
     return index
 
 
