@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.embedding_dedup import near_duplicates
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.language_id import fit_language, identify_language
 from tidemark.llm.license_scan import scan_licenses
+from tidemark.llm.mixing import mix_to_targets
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substring_dedup import substring_dedup
@@ -25,6 +27,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Token shares asked for: each language's documents of good quality, and those of low quality in any language.
+TARGETS = {"en": 0.48, "de": 0.20, "fr": 0.17, "es": 0.10, "low": 0.05}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, domain of the labelled documents: low where quality is 0, else the language."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -99,6 +116,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_source_mixing": op2_source_mixing,
     "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_toxicity": op5_toxicity,

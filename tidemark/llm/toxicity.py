@@ -261,3 +261,14 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = src.mapInArrow(_score_rows(model), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
