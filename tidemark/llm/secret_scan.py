@@ -110,11 +110,27 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each span (sorted; they may overlap) replaced by the mask."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("to"))
+
+    def step(a: Column, x: Column) -> Column:
+        gap = F.concat(F.substring(text, a["to"] + 1, x["s"] - a["to"]), F.lit(mask))
+        return F.struct(F.when(x["s"] >= a["to"], F.concat(a["out"], gap)).otherwise(a["out"]).alias("out"), F.greatest(a["to"], x["e"]).alias("to"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda a: F.concat(a["out"], F.substring(text, a["to"] + 1, F.length(text))))
+
+
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the base secrets in the text replaced by ``mask``: what follows the sign of an assignment, access keys, long hex strings."""
-    text = F.col(text_col)
-    assign = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{6,}"""
-    text = F.regexp_replace(text, assign, f"$1{mask.replace('$', '')}")
-    text = F.regexp_replace(text, r"AKIA[A-Z0-9]{16,}", mask)
-    text = F.regexp_replace(text, r"(?<![0-9a-f])[0-9a-f]{24,}", mask)
-    return docs.withColumn(text_col, text)
+    """``docs`` with all found spans in the text, linked ones too, replaced by ``mask``. Null texts stay null.
+
+    Only texts with weak tokens take part in the interval join; all others are masked where they are.
+    """
+    names = docs.columns
+    found = find_spans(docs, text_col)
+    plain = found.where("size(__weak) = 0").withColumn("__spans", F.col("__base"))
+    doubtful = materialize(found.where("size(__weak) > 0").withColumn("__key", F.xxhash64(text_col)), "doubtful")
+    joined = doubtful.join(link(doubtful, "__key"), "__key", "left")
+    joined = joined.withColumn("__spans", F.concat("__base", F.coalesce("__linked", F.array().cast("array<struct<s:int,kind:int,e:int>>"))))
+    both = plain.select(*names, "__spans").unionByName(joined.select(*names, "__spans"))
+    return both.withColumn(text_col, F.when(F.size("__spans") > 0, _masked(F.col(text_col), F.col("__spans"), mask)).otherwise(F.col(text_col))).select(*names)
