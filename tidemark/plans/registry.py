@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.plans import evidence as _evidence
 from tidemark.plans import flagship as _flagship
 from tidemark.plans import series as _series
 
-_MODULES = [_flagship, _series]
+_MODULES = [_flagship, _series, _evidence]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 flagship = _flagship.flagship

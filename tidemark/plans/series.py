@@ -188,7 +188,7 @@ def _(spark, d):
   SELECT l.code, l.i, l.trade_date, (0.95 * f.p + 0.05 * (1 - f.p)) * hi / ((0.95 * f.p + 0.05 * (1 - f.p)) * hi + (1 - (0.95 * f.p + 0.05 * (1 - f.p))) * lo) FROM f JOIN l ON l.code = f.code AND l.i = f.i + 1)
  SELECT code, trade_date, round(p, 6) AS stress FROM f""")
 def _(spark, d):
-    return S.two_state_filter(rets(spark, d).withColumn("ret", F.least("ret", F.lit(1.0))).where("ret is not null")).select(*KEY, *r6("stress"))
+    return S.two_state_filter(rets(spark, d).where("ret is not null").withColumn("ret", F.least("ret", F.lit(1.0)))).select(*KEY, *r6("stress"))
 
 
 SIGNAL = "sig AS (SELECT DISTINCT max(trade_date) AS signal_date FROM bars GROUP BY date_trunc('month', trade_date))"
