@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, NEWS, REVISIONS, bars, members, news, r6, revisions, table
 from tidemark.plans.series import signals
 from tidemark.sources import lake as L
+from tidemark.sources.lake import scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,12 +26,6 @@ def q(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder below the shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-")
-    return tempfile.mktemp(prefix=f"{root.rstrip('/')}/{name}-", dir="")
-
-
 VER = f"{REVISIONS}, t AS (SELECT code, effective_date, source, available_at, ingest_no, value FROM revisions WHERE source = 'lines'), lake AS (SELECT * FROM revisions WHERE ingest_no % 3 <> 0)"
 
 

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one (spark.checkpoint.dir), or a local one where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to a new folder and read back: cuts lineage, and no part is computed twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SNAPSHOT = ["effective_date", "available_at", "ingested_at", "source", "row_hash"]
 
 
