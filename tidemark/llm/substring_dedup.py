@@ -95,8 +95,7 @@ def blocks(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, .
     name, start, size, lo, hi = parse(h, first)
     m = len(name)
     # Symbols i0..i1-1 depend on words of the window only; both bounds grow with the symbol.
-    below = np.cumsum(np.bincount(np.maximum(lo, 0), minlength=n + 2)) + 0
-    i0 = np.where(s > 0, below[s - 1], 0)
+    i0 = np.cumsum(np.bincount(lo + 1, minlength=n + 2))[s]
     i1 = np.cumsum(np.bincount(np.minimum(hi, n + 1), minlength=n + 2))[s + window]
     key = ((U64(63) - np.minimum(size, 63).astype(U64)) << U64(58)) | (name >> U64(6))
     level = [np.arange(m)]
