@@ -207,7 +207,7 @@ def _(spark, d):
     return L.scd_append(hist, today, "code", ["status"], "no").select("code", "status")
 
 
-@q("ingest_csv_membership", "SELECT p_brand AS idx, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, CASE WHEN p_size % 2 = 0 THEN 'add' ELSE 'remove' END AS event_type, p_size % 10 = 9 AS bad FROM part")
+@q("src_csv_membership", "SELECT p_brand AS idx, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, CASE WHEN p_size % 2 = 0 THEN 'add' ELSE 'remove' END AS event_type, p_size % 10 = 9 AS bad FROM part")
 def _(spark, d):
     root = scratch(spark, "csv")
     p = table(spark, d, "part")
