@@ -8,12 +8,13 @@ less than scanning the lists, whose mean length is measured.
 Lists (of elements or subsets) are made of rows (key, document), so they are never gathered; what is done with them:
 
 1. Equal sets form classes; a class is its smallest document.
-2. Each class is paired with the smallest class of the list it shares most with (a star, not all pairs), and these pairs are
-   verified with all others below. Their stars, taken on trust, are provisional clusters.
-3. Lists whose members are all of one cluster need no further pair. Lists of up to HOT clusters give the pairs across clusters.
-   Longer lists (a passage met everywhere) are skipped: a set loses no link to them while fewer of its lists are skipped than any
-   two linked sets share. Sets for which this does not hold meet each other in a classical prefix join by rarity on whole sets.
-4. Pairs are verified on whole texts. Pairs within a provisional cluster that verification has split are verified in a last round.
+2. Each class is paired with the smallest class of the list it shares most with, if it shares most of its lists with it (a star,
+   not all pairs). These pairs are verified, and the linked ones give first components.
+3. Lists whose members are all of one component need no further pair. Lists of up to HOT components give the pairs across them
+   that share enough lists. Longer lists (a passage met everywhere) are skipped: a set loses no link to them while fewer of its
+   lists are skipped than any two linked sets share. Sets for which this does not hold meet each other in a classical prefix join
+   by rarity on whole sets.
+4. These pairs are verified too. Verification is on whole texts.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from tidemark.llm.bytetext import NOT_SPACE, U64, Rolling, Slice, mix, signed, s
 from tidemark.llm.components import components
 from tidemark.llm.storage import materialize
 
-#: A list of more provisional clusters than this is skipped.
+#: A list of more components than this is skipped.
 HOT = 64
+#: A star joins only what shares this part of its lists; other links are found across components.
+STAR = 0.6
 
 
 def prefix(n, percent: int):
@@ -42,12 +45,6 @@ def slack(n, percent: int):
     return (prefix(n, percent) + 2) // 3 + 3
 
 
-def shared(n, percent: int):
-    """Elements of their listed prefixes that a set of size n shares with any linked set at least (the smaller slack of both, and one)."""
-    smallest = (percent * n + 99) // 100
-    return slack(smallest, percent) + 1
-
-
 def shingle_sets(part: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and where each text's begin."""
     n, first = part.counts(), part.first
@@ -167,12 +164,22 @@ def cost_boundary(lists: DataFrame, percent: int, exact_below: int, most: int =
     return boundary
 
 
-def _skipped_too_many(keys: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """Classes with as many skipped lists as linked sets surely share (``shared``), or more."""
-    lost = keys.join(hot, "key").groupBy("rep", "n", F.expr("key & 1 = 0").alias("subset")).agg(F.count(F.lit(1)).alias("lost"))
-    lost = lost.withColumn("low", F.expr(f"({percent}L * n + 99) div 100"))
-    lost = lost.withColumn("sure", F.expr(f"(low - ({percent}L * low + 99) div 100 + 3) div 3 + 4"))
-    return lost.where("lost >= if(subset, sure * (sure - 1) div 2, sure)").select("rep").distinct()
+def _sure(n: str, percent: int) -> F.Column:
+    """How many listed elements linked sets share at least, the smaller of which has ``n`` elements: one more than its slack, but no more
+    than they have in common. For subset keys, the 2-subsets of these."""
+    c = f"least(({n} - ({percent}L * {n} + 99) div 100 + 3) div 3 + 4, ({percent}L * {n} + 99) div 100)"
+    return F.expr(f"if(subset, {c} * ({c} - 1) div 2, {c})")
+
+
+def _skipped(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """How many lists of each class are skipped, by kind of key."""
+    return keys.join(hot, "key").groupBy("rep", "n", F.expr("key & 1 = 0").alias("subset")).agg(F.count(F.lit(1)).alias("lost"))
+
+
+def _skipped_too_many(skipped: DataFrame, percent: int) -> DataFrame:
+    """Classes with as many skipped lists as linked sets surely share, or more."""
+    low = skipped.withColumn("low", F.expr(f"({percent}L * n + 99) div 100"))
+    return low.where(F.col("lost") >= _sure("low", percent)).select("rep").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -200,28 +207,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Stars.
     hub = shared_keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
     star = shared_keys.join(hub, "key").where("rep <> hub").where(similar_size("n", "hub_n", percent))
-    star = star.groupBy("rep", "n", "hub").count().where("count * 16 >= n").groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("x"))
+    star = star.groupBy("rep", "n", "hub", F.expr("key & 1 = 0").alias("subset")).agg(F.count(F.lit(1)).alias("met"))
+    listed_of = f"least(n, n - ({percent}L * n + 99) div 100 + 1 + (n - ({percent}L * n + 99) div 100 + 3) div 3 + 3)"
+    most = F.expr(f"if(subset, {listed_of} * ({listed_of} - 1) / 2 * {STAR * STAR}D, {listed_of} * {STAR}D)")
+    star = star.where(F.col("met") >= most).groupBy("rep").agg(F.max(F.struct("met", (-F.col("hub")).alias("h"))).alias("x"))
     star = materialize(star.select(F.col("rep").alias("a"), (-F.col("x.h")).alias("b")), "star")
-    cluster = components(star, "a", "b")
-    placed = shared_keys.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").withColumn("cluster", F.coalesce("component", "rep")).drop("component")
+    links = materialize(verify(star, src, k, percent), "links")
+    part = components(links, "a", "b").withColumnRenamed("node", "rep")
+    placed = shared_keys.join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
     placed = materialize(placed, "placed")
-    spread = placed.select("key", "cluster").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("clusters")).where("clusters > 1")
+    spread = placed.select("key", "part").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
     spread = materialize(spread, "spread")
-    live, hot = spread.where(F.col("clusters") <= HOT).select("key"), spread.where(F.col("clusters") > HOT).select("key")
-    across = _pairs(placed.join(live, "key"), "cluster", percent)
-    pairs = materialize(star.unionByName(across).distinct(), "pairs")
-    links = materialize(verify(pairs, src, k, percent), "links")
-    # Clusters that verification has split.
-    part = components(links, "a", "b").withColumnRenamed("node", "rep")
-    again = placed.join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    torn = again.select("cluster", "part").distinct().groupBy("cluster").count().where("count > 1").select("cluster")
-    again = materialize(again.join(torn, "cluster").join(hot, "key", "left_anti"), "torn")
-    mixed = again.select("key", "cluster", "part").distinct().groupBy("key", "cluster").count().where("count > 1").select("key", "cluster")
-    inside = _pairs(again.join(mixed, ["key", "cluster"]), "part", percent, "cluster")
-    rest = materialize(inside.join(pairs, ["a", "b"], "left_anti"), "rest")
+    live, hot = spread.where(F.col("parts") <= HOT).select("key"), spread.where(F.col("parts") > HOT).select("key")
+    skipped = materialize(_skipped(placed, hot), "skipped")
+    across = _pairs(placed.join(live, "key"), "part", percent, skipped)
     # Sets with too many skipped lists.
-    lost = materialize(_skipped_too_many(placed, hot, percent), "lost")
-    more = verify(rest.unionByName(rare_pairs(lost, src, k, percent)).distinct(), src, k, percent)
+    lost = materialize(_skipped_too_many(skipped, percent), "lost")
+    pairs = materialize(across.unionByName(rare_pairs(lost, src, k, percent)).distinct(), "pairs")
+    more = verify(pairs, src, k, percent)
     edges = links.unionByName(more).unionByName(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     found = components(edges, "a", "b")
     copies = member.groupBy("id").agg(F.max("n_copies").alias("n_copies"))
@@ -229,12 +232,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"))
 
 
-def _pairs(rows: DataFrame, group: str, percent: int, same: str | None = None) -> DataFrame:
-    """Pairs a < b of similar size that share a list but not their ``group`` (and share ``same``, if given)."""
-    on = ["key", *([same] if same else [])]
+def _pairs(rows: DataFrame, group: str, percent: int, skipped: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b of similar size that share lists but not their ``group``.
+
+    With ``skipped``, a pair must share as many lists as two linked sets do at least, less those that may be among the skipped.
+    """
+    on = ["key"]
     a = rows.select(*on, F.col("rep").alias("a"), F.col("n").alias("na"), F.col(group).alias("ga"))
     b = rows.select(*on, F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(group).alias("gb"))
-    return a.join(b, on).where("a < b and ga <> gb").where(similar_size("na", "nb", percent)).select("a", "b").distinct()
+    met = a.join(b, on).where("a < b and ga <> gb").where(similar_size("na", "nb", percent))
+    if skipped is None:
+        return met.select("a", "b").distinct()
+    met = met.groupBy("a", "b", F.least("na", "nb").alias("n"), F.expr("key & 1 = 0").alias("subset")).agg(F.count(F.lit(1)).alias("met"))
+    for side in ("a", "b"):
+        met = met.join(skipped.select(F.col("rep").alias(side), "subset", F.col("lost").alias(f"lost_{side}")), [side, "subset"], "left")
+    hidden = F.least(F.coalesce("lost_a", F.lit(0)), F.coalesce("lost_b", F.lit(0)))
+    return met.where(F.col("met") >= _sure("n", percent) - hidden).select("a", "b").distinct()
 
 
 def _whole_rows(k: int):
