@@ -188,9 +188,21 @@ def _(spark, d):
     return E.fdr_bh(b, "p", "code").select("code", *r6("p", "q"))
 
 
-@q("ev_sharpe_tests")
+def ppf(p: str) -> str:
+    t = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    x = f"({t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / (1 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t}))"
+    return f"(CASE WHEN {p} < 0.5 THEN -{x} ELSE {x} END)"
+
+
+HURDLE = f"(0.4227843351 * {ppf('(1 - 1 / 10.0)')} + 0.5772156649 * {ppf('(1 - 1 / (10 * 2.718281828459045))')})"
+
+
+@q("ev_sharpe_tests", f"""WITH {CLIP}, m AS (SELECT code, count(*) AS n, avg(ret) AS m, var_pop(ret) AS v, avg(ret) / stddev_samp(ret) AS sr FROM c GROUP BY 1),
+ h AS (SELECT c.code, any_value(n) AS n, any_value(sr) AS sr, avg(pow(ret - m, 3)) / pow(any_value(v), 1.5) AS skew, avg(pow(ret - m, 4)) / pow(any_value(v), 2) - 3 AS kurt FROM c JOIN m USING (code) GROUP BY c.code),
+ g AS (SELECT *, greatest(1 - skew * sr + (kurt + 2) / 4 * sr * sr, 1e-12) AS var FROM h), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(var) AS z1, (sr - sqrt(var / (n - 1)) * {HURDLE}) * sqrt(n - 1) / sqrt(var) AS z2 FROM g)
+ SELECT code, n, round(sr, 6) AS sr, round({cdf('z1')}, 6) AS psr, round({cdf('z2')}, 6) AS dsr, round(CASE WHEN sr > 0 THEN 1 + var * pow({ppf('0.95')} / sr, 2) END, 4) AS min_track FROM z""")
 def _(spark, d):
-    return E.sharpe_tests(clipped(spark, d), "code").select("code", "n", *r6("sr", "psr", "dsr", "min_track"))
+    return E.sharpe_tests(clipped(spark, d), "code").select("code", "n", *r6("sr", "psr", "dsr"), F.round("min_track", 4).alias("min_track"))
 
 
 @q("fn_norm_cdf_ppf")
