@@ -237,10 +237,9 @@ def _pairs(rows: DataFrame, group: str, percent: int, skipped: DataFrame | None
 
     With ``skipped``, a pair must share as many lists as two linked sets do at least, less those that may be among the skipped.
     """
-    on = ["key"]
-    a = rows.select(*on, F.col("rep").alias("a"), F.col("n").alias("na"), F.col(group).alias("ga"))
-    b = rows.select(*on, F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(group).alias("gb"))
-    met = a.join(b, on).where("a < b and ga <> gb").where(similar_size("na", "nb", percent))
+    a = rows.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col(group).alias("ga"))
+    b = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(group).alias("gb"))
+    met = a.join(b, "key").where("a < b and ga <> gb").where(similar_size("na", "nb", percent))
     if skipped is None:
         return met.select("a", "b").distinct()
     met = met.groupBy("a", "b", F.least("na", "nb").alias("n"), F.expr("key & 1 = 0").alias("subset")).agg(F.count(F.lit(1)).alias("met"))
@@ -262,10 +261,13 @@ def _whole_rows(k: int):
 
 
 def rare_pairs(ids: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Candidate pairs among the given documents: those sharing one of their |x| - ceil(t |x|) + 1 rarest elements."""
+    """Candidate pairs among the given documents: those sharing one of their |x| - ceil(t |x|) + 1 rarest elements, at places from
+    which enough elements follow in both (the first common element of a linked pair stands at such places)."""
     rows = texts.join(ids.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_whole_rows(k), "key long, rep long, n int").distinct()
     rows = materialize(rows, "whole")
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     ranked = rows.join(often, "key").withColumn("rank", F.row_number().over(W.partitionBy("rep", "n").orderBy("m", "key")))
-    kept = ranked.where(F.col("m") > 1).where(F.col("rank") <= F.expr(f"n - ({percent}L * n + 99) div 100 + 1")).withColumn("own", F.col("rep"))
-    return _pairs(kept.select("key", "rep", "n", "own"), "own", percent)
+    kept = ranked.where(F.col("m") > 1).where(F.col("rank") <= F.expr(f"n - ({percent}L * n + 99) div 100 + 1"))
+    a, b = (kept.select("key", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("rank").alias(f"r{x}")) for x in "ab")
+    enough = F.expr(f"{100 + percent}L * (1 + least(na - ra, nb - rb)) >= {percent}L * (na + nb)")
+    return a.join(b, "key").where("a < b").where(similar_size("na", "nb", percent) & enough).select("a", "b").distinct()
