@@ -11,7 +11,7 @@ from tidemark.llm.embedding_dedup import near_duplicates
 from tidemark.llm.language_id import fit_language, identify_language
 from tidemark.llm.mixing import mix_to_targets, solve
 from tidemark.llm.quality import fit_quality, score_quality
-from tidemark.llm.toxicity import Automaton, fit_toxicity, score_toxicity
+from tidemark.llm.toxicity import Automaton, choose_terms, fit_toxicity, score_toxicity
 
 DATA = "/root/testdata/sf0.1"
 
@@ -84,6 +84,28 @@ def test_automaton_equals_edit_distance():
         assert k == want, w
 
 
+def test_chosen_terms_allow_edits():
+    """Terms and automaton together: misspellings of words that a stem begins are found, clean words with their first letters are not."""
+    from tidemark.llm.bytetext import ALNUM, Slice
+
+    toxic = {b"pathetic": 60, b"worthless": 50, b"stupid": 50, b"graxer": 20, b"graxify": 15, b"graxible": 12}
+    counts = {w: (n, 0) for w, n in toxic.items()}
+    for w, n in toxic.items():
+        for k in range(4, 8):
+            stem = w[:k] + b"*"
+            counts[stem] = (counts.get(stem, (0, 0))[0] + n + n // 4, 0)
+    terms = choose_terms(counts, 8, 0.97)
+    assert set(toxic) <= set(terms) and {t for t in terms if t.endswith(b"*")} == {b"grax*"}
+    want = {"pathetic": 1, "pethetic": 2, "patetic": 2, "wrthless": 2, "worthlesss": 2, "ptupid": 2, "stupit": 2, "graxwort": 3, "pathway": 0, "patents": 0, "worthy": 0, "stupor": 0}
+    raw = np.frombuffer(" ".join(want).encode(), dtype=np.uint8)
+    kind = Automaton(terms).run(Slice(raw, np.array([0, len(raw)]), 0, ALNUM, True))
+    assert dict(zip(want, kind.tolist(), strict=True)) == want
+    many = [b"abcdef" + bytes([97 + i // 26, 97 + i % 26]) * 2 for i in range(150)]
+    last = many[-1].replace(b"abc", b"axc")
+    raw = np.frombuffer(last, dtype=np.uint8)
+    assert Automaton(many).run(Slice(raw, np.array([0, len(raw)]), 0, ALNUM, True)).tolist() == [2]
+
+
 def test_near_duplicates_recall_and_components(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(700, 16))

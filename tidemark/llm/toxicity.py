@@ -20,8 +20,8 @@ from tidemark.llm.folds import held_out, sigmoid, training_rows
 
 FUZZY_LENGTH = 6
 STEM_LENGTHS = range(4, 8)
+STEM_WORDS = 3
 MOST_TERMS = 400
-MOST_FUZZY = 100
 WINDOW_BYTES = 80
 #: Quotation marks in UTF-8 (the last byte of typographic ones is enough beside the first) and words of address.
 QUOTES = b'"'
@@ -36,16 +36,16 @@ def terms_of(text: bytes | str) -> set[bytes]:
 
 
 def choose_terms(counts: dict[bytes, tuple[int, int]], support: int, precision: float) -> list[bytes]:
-    """Terms met in at least ``support`` toxic texts and seldom elsewhere; a term that a kept shorter stem covers is left out."""
+    """Terms met in at least ``support`` toxic texts and seldom elsewhere: words, also those that a stem begins, as only words allow an
+    edit, and stems of at least ``STEM_WORDS`` of these words. A stem that a kept shorter one covers is left out."""
     good = {t for t, (toxic, clean) in counts.items() if toxic >= support and toxic >= precision * (toxic + clean)}
-    kept = []
-    for t in sorted(good, key=lambda t: (len(t.rstrip(b"*")), not t.endswith(b"*"), t)):
-        word = t.rstrip(b"*")
-        # A stem must gather more than the one word that equals it.
-        if t.endswith(b"*") and word in good and counts[t][0] < 1.2 * counts[word][0]:
-            continue
-        if not any(word[:n] + b"*" in kept for n in STEM_LENGTHS):
-            kept.append(t)
+    kept = [t for t in good if not t.endswith(b"*")]
+    begins = Counter(w[:n] + b"*" for w in kept for n in STEM_LENGTHS if len(w) >= n)
+    stems: set[bytes] = set()
+    for t in sorted((t for t in good if t.endswith(b"*") and begins[t] >= STEM_WORDS), key=len):
+        if not any(t[:n] + b"*" in stems for n in STEM_LENGTHS if n < len(t) - 1):
+            stems.add(t)
+    kept += stems
     return sorted(kept, key=lambda t: (-counts[t][0], t))[:MOST_TERMS]
 
 
@@ -56,7 +56,7 @@ class Automaton:
         children: list[dict[int, int]] = [{}]
         word_at: dict[int, bool] = {}
         stem_at: set[int] = set()
-        fuzzy = set([t for t in terms if not t.endswith(b"*") and len(t) >= FUZZY_LENGTH][:MOST_FUZZY])
+        fuzzy = set([t for t in terms if not t.endswith(b"*") and len(t) >= FUZZY_LENGTH])
         leads: list[bool] = [bool(fuzzy)]  # whether a word that allows an edit lies below
         for t in terms:
             node = 0
