@@ -65,3 +65,19 @@ def test_import_without_the_training_data_operators(tmp_path):
             os.symlink(p, tmp_path / "tidemark" / p.name)
     code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q and e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_event_exposure_takes_all_events_by_five_paths(spark, duck):
+    from tidemark.plans.registry import QUERIES
+
+    got = QUERIES["join_event_exposure_paths"](spark, DATA).toPandas()
+    assert set(got.path) == {"holding", "direct", "market", "benchmark", "industry"} and not got.duplicated(["event", "fund"]).any()
+    held = "select distinct event_id from events join (select distinct l_partkey from lineitem) on l_partkey = event_id % 2000"
+    direct = "select event_id from events join supplier on s_suppkey = event_id % 2000"
+    region = "select event_id from events join nation on n_regionkey = event_id % 5 join supplier on s_nationkey = n_nationkey where event_type = 'signup'"
+    nation = "select event_id from events join supplier on s_nationkey = event_id % 25 where event_type = 'error'"
+    want = {r[0] for sql in (held, direct, region, nation) for r in duck.execute(sql).fetchall()}
+    assert want <= set(got.event) and len({e % 10 for e in got.event}) == 10
+    row = duck.execute("select event_id, s_suppkey, round(0.78 * (0.5 + (event_id % 5) / 10.0), 6) from events join nation on n_regionkey = event_id % 5 join supplier on s_nationkey = n_nationkey where event_type = 'signup'").fetchall()
+    strength = dict(zip(zip(got.event, got.fund), got.strength))
+    assert row and all(strength[e, f] >= x - 1e-6 for e, f, x in row)

@@ -145,3 +145,33 @@ def _(spark, d):
     hold = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("fund")).agg((F.sum("l_quantity") / 1000).alias("exposure"))
     direct = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_suppkey").alias("fund"), F.lit(1.0).alias("exposure"))
     return T.event_exposure(t, [("holding", hold, True), ("direct", direct, False)]).select("event", "fund", "path", *r6("strength"))
+
+
+def named(kind: str, col):
+    """A target of one kind as text, so that keys of different tables stay apart."""
+    return F.concat(F.lit(f"{kind}:"), F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
+
+
+@q("join_event_exposure_paths")
+def _(spark, d):
+    """All events by all five paths, with the reference's relevance of each. An event names a part, a supplier and, by its type, a region,
+    a nation or a brand; a supplier's share of a brand is its exposure to that industry. No SQL: a region's event reaches a fifth of the funds."""
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"))
+    brands = lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_suppkey").agg(F.sum("quantity").alias("quantity"))
+    held = brands.groupBy("l_suppkey").agg(F.sum("quantity").alias("total"))
+    fund = lambda df, target, key, exposure: df.select(target.alias("target"), F.col(key).alias("fund"), exposure.alias("exposure"))
+    paths = [
+        ("holding", fund(lines, named("part", "l_partkey"), "l_suppkey", F.col("quantity") / 1000), True),
+        ("direct", fund(s, named("fund", "s_suppkey"), "s_suppkey", F.lit(1.0)), False),
+        ("market", fund(s.join(n, s.s_nationkey == n.n_nationkey), named("region", "n_regionkey"), "s_suppkey", F.lit(1.0)), False),
+        ("benchmark", fund(s, named("nation", "s_nationkey"), "s_suppkey", F.lit(1.0)), False),
+        ("industry", fund(brands.join(held, "l_suppkey"), named("brand", "p_brand"), "l_suppkey", F.col("quantity") / F.col("total")), False),
+    ]
+    e, kind = table(spark, d, "events"), F.col("event_type")
+    part = table(spark, d, "part").select((F.col("p_partkey") % 2000).alias("k"), "p_brand").groupBy("k").agg(F.min("p_brand").alias("brand"))
+    e = e.withColumn("k", F.col("event_id") % 2000).join(part, "k", "left")
+    at = lambda relevance, target: F.struct(target.alias("target"), (F.lit(relevance) * (0.5 + (F.col("event_id") % 5) / 10)).alias("relevance"))
+    wide = F.when(kind == "signup", at(0.78, named("region", F.col("event_id") % 5))).when(kind == "error", at(0.88, named("nation", F.col("event_id") % 25))).when(kind == "purchase", at(0.76, named("brand", "brand")))
+    t = e.select(F.col("event_id").alias("event"), F.explode(F.array(at(0.9, named("part", "k")), at(1.0, named("fund", "k")), wide)).alias("x")).select("event", "x.target", "x.relevance").where("target is not null")
+    return T.event_exposure(t, paths).select("event", "fund", "path", *r6("strength"))
