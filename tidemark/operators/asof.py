@@ -32,15 +32,37 @@ def kth_before(probes: DataFrame, rows: DataFrame, key: str, at: str, date: str,
     return got.withColumn("__i", F.col("__i") - (k - 1)).join(numbered, [key, "__i"], "left").drop("__i")
 
 
-def interval_join(left: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """``left`` with the interval of its key that holds ``at`` (end inclusive, null open); the latest start wins. No interval: nulls.
+#: Days from the epoch are moved up by this many, and open ends stand at twice that: all days are block numbers below 2**21.
+EPOCH = 1 << 20
+
+
+def segments(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """key, day, row: from each day on at which an interval of the key begins or has ended, the interval with the latest start that holds the day (null:
+    none). Intervals may overlap and nest.
 
-    By an as-of join on the start and a check of the end, so nested intervals need the latest start to be the right one.
+    An interval is cut into dyadic blocks of days, about two per level; of a block's intervals only the latest start matters. A day lies in
+    one block per level, so each day meets at most 21 rows however many intervals hold it.
     """
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) + EPOCH
+    row = F.struct(start, *[c for c in intervals.columns if c not in (key, start)]).alias("row")
+    x = intervals.where(F.col(start).isNotNull()).select(key, row, number(start).alias("lo"), F.coalesce(number(end) + 1, F.lit(2 * EPOCH)).alias("hi")).where("hi > lo")
+    # The blocks of level l inside [lo, hi) are those from ceil(lo / 2^l) on; the first one with an odd number and the last one with an even number have no parent inside.
+    level = x.select(key, "row", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("level")).withColumn("a", F.expr("shiftright(lo + shiftleft(1, level) - 1, level)")).withColumn("b", F.expr("shiftright(hi, level)")).where("a < b")
+    block = F.explode(F.array_compact(F.array_distinct(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)))))
+    best = level.select(key, "level", block.alias("block"), "row").groupBy(key, "level", "block").agg(F.max("row").alias("row"))
+    days = x.select(key, F.explode(F.array("lo", "hi")).alias("day")).where(F.col("day") < 2 * EPOCH).distinct()
+    asked = days.select(key, "day", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("level")).withColumn("block", F.expr("shiftright(day, level)"))
+    found = asked.join(best, [key, "level", "block"]).groupBy(key, "day").agg(F.max("row").alias("row"))
+    return days.join(found, [key, "day"], "left").select(key, F.date_add(F.lit("1970-01-01").cast("date"), F.col("day") - EPOCH).alias("day"), "row")
+
+
+def interval_join(left: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """``left`` with the interval of its key that holds the day ``at`` (end inclusive, null open); of several the latest start wins (ties: the last by its other
+    columns). No interval: nulls. By an as-of join to the days at which the winning interval changes."""
     rest = [c for c in intervals.columns if c not in (key, start)]
-    got = asof_join(left, intervals, key, at, start, rest)
-    inside = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(at) <= F.col(end)))
-    return got.select(*left.columns, *[F.when(inside, F.col(c)).alias(c) for c in [start, *rest]])
+    pieces = segments(intervals, key, start, end).withColumnsRenamed({"day": "__day", "row": "__winner"})
+    got = asof_join(left, pieces, key, at, "__day", ["__winner"])
+    return got.select(*left.columns, *[F.col("__winner")[c].alias(c) for c in [start, *rest]])
 
 
 def rule_join(left: DataFrame, rules: DataFrame, on: list[str], at: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:

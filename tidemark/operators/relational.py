@@ -181,3 +181,16 @@ def first_source(df: DataFrame, keys: list[str], prio: str) -> DataFrame:
     """For each key the rows of the first source that has any."""
     best = df.groupBy(*keys).agg(F.min(prio).alias("__p"))
     return df.join(best, keys).where(F.col(prio) == F.col("__p")).drop("__p")
+
+
+def cost_analysis(orders: DataFrame, by: list[str]) -> DataFrame:
+    """Implementation shortfall of orders in its parts, in total and by each of ``by``: delay (decision to arrival), market move (arrival to the market's mean price),
+    spread and impact (to the fill), opportunity (what was not filled, at the last price), fees, and their sum. Without a fill price there is no impact."""
+    sign, filled = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0), F.greatest(F.col("shares") - F.col("unfilled"), F.lit(0.0))
+    parts = {
+        "delay": sign * (F.col("arrival") - F.col("decision")) * filled, "market": sign * (F.col("vwap") - F.col("arrival")) * filled, "impact": F.coalesce(sign * (F.col("fill") - F.col("vwap")) * filled, F.lit(0.0)),
+        "opportunity": sign * (F.col("last") - F.col("decision")) * F.col("unfilled"), "fees": F.col("fee"),
+    }
+    x = orders.select(*by, *(c.alias(n) for n, c in parts.items()))
+    sums = [F.sum(n).alias(n) for n in parts]
+    return x.groupingSets([[], *([b] for b in by)], *by).agg(*sums, F.sum(sum((F.col(n) for n in parts), F.lit(0.0))).alias("shortfall"))

@@ -103,13 +103,17 @@ def _(spark, d):
     return A.asof_join(probes(spark, d), snaps(spark, d), "code", "at", "trade_date", ["a", "b"], per_field=True).select("code", "at", "a", F.round("b", 2).alias("b"))
 
 
-IV = "iv AS (SELECT o_custkey AS code, CAST(o_orderdate AS DATE) AS start_date, max(CAST(o_orderdate AS DATE)) + 60 AS end_date FROM orders GROUP BY 1, 2)"
+IV = "iv AS (SELECT o_custkey AS code, CAST(o_orderdate AS DATE) AS start_date, max(CASE WHEN o_orderkey % 11 = 0 THEN DATE '9999-12-31' ELSE CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 5 = 0 THEN 700 ELSE 60 END END) AS last_date FROM orders GROUP BY 1, 2)"
 
 
-@q("join_interval", f"WITH {IV}, ev AS (SELECT o_custkey AS code, DATE '1998-06-15' AS at FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, DATE '2000-03-01' FROM customer) SELECT e.code, e.at, CASE WHEN e.at <= i.end_date THEN i.start_date END AS start_date, CASE WHEN e.at <= i.end_date THEN i.end_date END AS end_date FROM ev e ASOF LEFT JOIN iv i ON e.code = i.code AND e.at >= i.start_date")
+@q("join_interval", f"""WITH {IV}, ev AS (SELECT o_custkey AS code, DATE '1998-06-15' AS at FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, DATE '2000-03-01' FROM customer),
+ r AS (SELECT e.code, e.at, arg_max(i, i.start_date) AS i FROM ev e JOIN iv i ON e.code = i.code AND e.at BETWEEN i.start_date AND i.last_date GROUP BY 1, 2)
+ SELECT e.code, e.at, i.start_date, nullif(i.last_date, DATE '9999-12-31') AS end_date FROM ev e LEFT JOIN r ON e.code = r.code AND e.at = r.at""")
 def _(spark, d):
+    """Periods of two months, of two years (they hold shorter ones), and open ones."""
     o = table(spark, d, "orders")
-    iv = o.select(F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("start_date")).distinct().withColumn("end_date", F.date_add("start_date", 60))
+    last = F.when(F.col("o_orderkey") % 11 == 0, F.lit("9999-12-31").cast("date")).otherwise(F.date_add(F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 5 == 0, 700).otherwise(60)))
+    iv = o.groupBy(F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("start_date")).agg(F.max(last).alias("last")).select("code", "start_date", F.nullif("last", F.lit("9999-12-31").cast("date")).alias("end_date"))
     ev = iv.select("code").distinct().withColumn("at", F.lit("1998-06-15").cast("date")).unionByName(table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.lit("2000-03-01").cast("date").alias("at")))
     return A.interval_join(ev, iv, "code", "at", "start_date", "end_date")
 
@@ -334,10 +338,23 @@ def _(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("job")).agg(F.max_by("event_type", "event_id").alias("last_status"), F.count(F.lit(1)).alias("runs"), F.when(err == 0, "success").when(err < F.count(F.lit(1)), "partial").otherwise("failed").alias("outcome"))
 
 
-@q("agg_tca", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * l_tax), 4) AS fees, round(sum(l_extendedprice * l_discount), 4) AS slippage FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))")
+FILLS = """fills AS (SELECT l_suppkey % 50 AS code, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS size_bucket, l_linestatus AS session, l_returnflag AS algorithm, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sign, floor(l_quantity * 0.1) AS unfilled, l_quantity AS shares,
+  p_retailprice AS decision, p_retailprice * (1 + l_discount / 10) AS arrival, p_retailprice * (1 + l_discount / 8) AS vwap, p_retailprice * (1 + l_tax / 5) AS last, CASE WHEN l_linenumber <> 5 THEN p_retailprice * (1 + l_tax / 4) END AS fill, l_extendedprice * l_tax * 0.01 AS fee FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@q("agg_tca", f"""WITH {FILLS}, c AS (SELECT code, size_bucket, session, algorithm, sign * (arrival - decision) * (shares - unfilled) AS delay, sign * (vwap - arrival) * (shares - unfilled) AS market, coalesce(sign * (fill - vwap) * (shares - unfilled), 0) AS impact, sign * (last - decision) * unfilled AS opportunity, fee AS fees FROM fills)
+ SELECT code, size_bucket, session, algorithm, round(sum(delay), 4) AS delay, round(sum(market), 4) AS market, round(sum(impact), 4) AS impact, round(sum(opportunity), 4) AS opportunity, round(sum(fees), 4) AS fees, round(sum(delay + market + impact + opportunity + fees), 4) AS shortfall FROM c GROUP BY GROUPING SETS ((), (code), (size_bucket), (session), (algorithm))""")
 def _(spark, d):
-    x = table(spark, d, "lineitem")
-    return x.groupingSets([[], ["l_returnflag"], ["l_linestatus"]], "l_returnflag", "l_linestatus").agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_tax")), 4).alias("fees"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 4).alias("slippage"))
+    """Orders from lines: prices around the part's retail price, a tenth of the shares unfilled, no fill price where the line number is 5."""
+    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    p, q = F.col("p_retailprice"), F.col("l_quantity")
+    x = j.select(
+        (F.col("l_suppkey") % 50).alias("code"), F.when(q < 10, "small").when(q < 30, "medium").otherwise("large").alias("size_bucket"), F.col("l_linestatus").alias("session"), F.col("l_returnflag").alias("algorithm"),
+        F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.floor(q * 0.1).alias("unfilled"), q.alias("shares"), p.alias("decision"), (p * (1 + F.col("l_discount") / 10)).alias("arrival"), (p * (1 + F.col("l_discount") / 8)).alias("vwap"),
+        (p * (1 + F.col("l_tax") / 5)).alias("last"), F.when(F.col("l_linenumber") != 5, p * (1 + F.col("l_tax") / 4)).alias("fill"), (F.col("l_extendedprice") * F.col("l_tax") * 0.01).alias("fee"),
+    )
+    by = ["code", "size_bucket", "session", "algorithm"]
+    return R.cost_analysis(x, by).select(*by, *[F.round(c, 4).alias(c) for c in ("delay", "market", "impact", "opportunity", "fees", "shortfall")])
 
 
 @q("agg_exec_calibration", "WITH x AS (SELECT l_returnflag AS g, l_discount - 0.001 AS y, sqrt(l_quantity / 50) AS a, l_tax AS b FROM lineitem), s AS (SELECT g, sum(a*a) AS s11, sum(a*b) AS s12, sum(b*b) AS s22, sum(a*y) AS s1, sum(b*y) AS s2 FROM x GROUP BY 1), f AS (SELECT g, greatest(0, (s1*s22 - s2*s12) / (s11*s22 - s12*s12)) AS a0, greatest(0, (s2*s11 - s1*s12) / (s11*s22 - s12*s12)) AS b0 FROM s) SELECT x.g AS l_returnflag, round(any_value(a0), 6) AS a, round(any_value(b0), 6) AS b, round(avg(y - a0*a - b0*b), 6) AS bias, round(avg(abs(y - a0*a - b0*b)), 6) AS mae FROM x JOIN f ON x.g = f.g GROUP BY x.g")
