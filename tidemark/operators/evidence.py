@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import rank_avg
+from tidemark.sources.lake import written
+
+
+#: Cody's rational approximations of the error function (numerator, denominator), for |x| up to 0.46875, up to 4, and beyond.
+ERF_SMALL = ((1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3), (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3))
+ERFC_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+ERFC_LARGE = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+#: Acklam's rational approximation of the normal quantile (relative error below 1.15e-9), for the middle and the tails.
+PPF_MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+PPF_TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+PPF_LOW = 0.02425
+
+
+def _ratio(pair: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Column:
+    """Two polynomials by Horner's rule, highest power first."""
+    top, bottom = (reduce(lambda out, t: out * x + F.lit(t), terms[1:], F.lit(terms[0])) for terms in pair)
+    return top / bottom
 
 
 def normal_cdf(z: Column) -> Column:
-    """Normal distribution function by the Abramowitz-Stegun 26.2.17 polynomial (error below 1e-7)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    #: The coefficients of the published polynomial.
-    b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    poly = t * (b[0] + t * (b[1] + t * (b[2] + t * (b[3] + t * b[4]))))
-    tail = F.exp(-x * x / 2) / 2.5066282746310002 * poly
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
+    """Normal distribution function by the error function (error below 1e-15)."""
+
+    def upper(x: Column) -> Column:
+        y = x * x
+        large = F.exp(-y) / x * (F.lit(0.56418958354775628695) - _ratio(ERFC_LARGE, 1 / y) / y)
+        return F.when(x <= 0.46875, 1 - x * _ratio(ERF_SMALL, y)).when(x <= 4, F.exp(-y) * _ratio(ERFC_MIDDLE, x)).otherwise(large) / 2
+
+    half = F.transform(F.array(F.abs(z.cast("double")) / 2**0.5), upper)[0]
+    return F.when(z > 0, 1 - half).otherwise(half)
 
 
 def normal_ppf(p: Column) -> Column:
-    """Inverse normal distribution function by the Abramowitz-Stegun 26.2.23 rational form (error below 4.5e-4)."""
-    q = F.least(p, 1 - p)
-    t = F.sqrt(-2 * F.log(q))
-    x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(p < 0.5, -x).otherwise(x)
+    """Inverse normal distribution function (relative error below 1.15e-9); at 0 and 1 it is -8 and 8."""
+
+    def value(p: Column) -> Column:
+        r, low, high = (p - 0.5) * (p - 0.5), F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
+        inside = F.when(p < PPF_LOW, _ratio(PPF_TAIL, low)).when(p <= 1 - PPF_LOW, (p - 0.5) * _ratio(PPF_MIDDLE, r)).otherwise(-_ratio(PPF_TAIL, high))
+        return F.when(p <= 0, -8.0).when(p >= 1, 8.0).otherwise(inside)
+
+    return F.transform(F.array(p.cast("double")), value)[0]
 
 
 def leave_one_out(rets: DataFrame, by: list[str], least: int = 5) -> DataFrame:
@@ -204,10 +239,21 @@ def bootstrap_ci(means: DataFrame, samples: int) -> DataFrame:
 
 
 def fdr_bh(df: DataFrame, p: str, key: str) -> DataFrame:
-    """Benjamini-Hochberg q values: running minimum of p n / rank from the largest p."""
-    n, rank = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), F.row_number().over(Window.orderBy(p, key))
-    x = df.withColumn("rank", rank).withColumn("raw", F.col(p) * n / F.col("rank"))
-    return x.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)))).drop("raw")
+    """Benjamini-Hochberg q values: running minimum of p n / rank from the largest p.
+
+    Ranges of p are dealt to partitions and written; ranks and minima within a range are carried on by one row per range, so no task
+    sees all rows.
+    """
+    x = written(df.repartitionByRange(p, key).withColumn("range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("range")
+    sizes = x.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.withColumn("before", F.sum("size").over(Window.orderBy("range")) - F.col("size"))
+    total = x.agg(F.count(F.lit(1)).alias("n"))
+    ranked = x.join(sizes, "range").crossJoin(total).withColumn("rank", (F.row_number().over(own.orderBy(p, key)) + F.col("before")).cast("int")).withColumn("raw", F.col(p) * F.col("n") / F.col("rank"))
+    least = ranked.groupBy("range").agg(F.min("raw").alias("least"))
+    later = least.select("range", F.min("least").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    q = F.min("raw").over(own.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.join(later, "range").withColumn("q", F.least(F.lit(1.0), q, "later")).select(*df.columns, "rank", "q")
 
 
 def sharpe_tests(df: DataFrame, by: str, ret: str = "ret", trials: int = 10, confidence: float = 0.95) -> DataFrame:
@@ -222,11 +268,22 @@ def sharpe_tests(df: DataFrame, by: str, ret: str = "ret", trials: int = 10, con
 
 
 def pbo(perf: DataFrame, splits: DataFrame) -> DataFrame:
-    """Per split: the best in-sample trial (ties: the larger name) and its relative rank out of sample. ``splits`` has split, period, inside."""
+    """Per split: the best in-sample trial (ties: the larger name), its relative rank out of sample, min((below + (equal + 1) / 2) / n, 1), the logit of
+    the rank, whether it is overfit (below one half), and what it loses out of sample. ``splits`` has split, period, inside; it is a constant
+    of the number of periods."""
     m = perf.join(F.broadcast(splits), "period").groupBy("split", "trial").agg(F.avg(F.when(F.col("inside"), F.col("performance"))).alias("ins"), F.avg(F.when(~F.col("inside"), F.col("performance"))).alias("oos"))
-    best = m.groupBy("split").agg(F.max_by(F.struct("trial", "oos"), F.struct("ins", "trial")).alias("b"))
-    j = m.join(best, "split").groupBy("split", F.col("b.trial").alias("trial"), F.col("b.oos").alias("oos_best")).agg(F.sum((F.col("oos") < F.col("b.oos")).cast("int")).alias("below"), F.sum((F.col("oos") == F.col("b.oos")).cast("int")).alias("equal"), F.count(F.lit(1)).alias("n"))
-    return j.select("split", "trial", ((F.col("below") + 0.5 * (F.col("equal") + 1)) / (F.col("n") + 1)).alias("rel_rank"))
+    best = m.groupBy("split").agg(F.max_by(F.struct("trial", "ins", "oos"), F.struct("ins", "trial")).alias("b"))
+    j = m.join(best, "split").groupBy("split", "b").agg(F.sum((F.col("oos") < F.col("b.oos")).cast("int")).alias("below"), F.sum((F.col("oos") == F.col("b.oos")).cast("int")).alias("equal"), F.count(F.lit(1)).alias("n"))
+    j = j.withColumn("rel_rank", F.least(F.lit(1.0), (F.col("below") + 0.5 * (F.col("equal") + 1)) / F.col("n")))
+    inside = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), "rel_rank"))
+    return j.select("split", F.col("b.trial").alias("trial"), "rel_rank", F.log(inside / (1 - inside)).alias("logit"), (F.col("rel_rank") < 0.5).alias("overfit"), (F.col("b.oos") - F.col("b.ins")).alias("degradation"))
+
+
+def pbo_summary(per_split: DataFrame) -> DataFrame:
+    """Probability of backtest overfitting, mean out-of-sample degradation and the upper median logit over the splits of ``pbo``."""
+    n = F.count(F.lit(1))
+    logits = F.array_sort(F.collect_list("logit"))
+    return per_split.agg(n.alias("splits"), F.avg(F.col("overfit").cast("double")).alias("pbo"), F.avg("degradation").alias("mean_degradation"), F.element_at(logits, (F.floor(n / 2) + 1).cast("int")).alias("median_logit"))
 
 
 def correlations(df: DataFrame, name: str, at: str, value: str, least: int = 3) -> DataFrame:
@@ -337,3 +394,23 @@ def factor_returns(df: DataFrame, at: str, ret: str, exposures: list[str], weigh
         return pd.DataFrame({at: [pdf[at].iloc[0]] * x.shape[1], "factor": ["intercept", *exposures], "factor_return": b, "specific_var": [spec] * x.shape[1]})
 
     return df.select(at, ret, *exposures, weight).groupBy(at).applyInPandas(solve, f"{at} date, factor string, factor_return double, specific_var double")
+
+
+def account_bridge(trades: DataFrame, cash: DataFrame, account: str, industry: str, style: str, warn: float = 0.001) -> DataFrame:
+    """Total return of each account split into market, industry, style, selection, cash drag, fees and slippage; what is left over is the residual, with a
+    warning above ``warn``. ``trades`` has gross, ret, fees and slippage (amounts) beside the keys, ``cash`` the account's idle cash.
+
+    The total is the gain after fees and slippage over invested money and cash. Means by industry and style are one row per member of a dimension.
+    """
+    mean = lambda df, by, name: df.groupBy(*by).agg((F.sum(F.col("gross") * F.col("ret")) / F.sum("gross")).alias(name))
+    x = trades.join(mean(trades, [industry], "i"), industry).join(mean(trades, [style], "s"), style).crossJoin(mean(trades, [], "m"))
+    part = lambda c: F.sum(F.col("gross") * c) / F.sum("gross")
+    a = x.groupBy(account).agg(
+        F.first("m").alias("market"), part(F.col("i") - F.col("m")).alias("industry"), part(F.col("s") - F.col("m")).alias("style"), part(F.col("ret") - F.col("i") - F.col("s") + F.col("m")).alias("selection"),
+        F.sum("gross").alias("gross"), F.sum(F.col("gross") * F.col("ret")).alias("gain"), F.sum("fees").alias("paid"), F.sum("slippage").alias("slipped"),
+    )
+    y = a.join(cash, account).withColumn("all", F.col("gross") + F.col("cash"))
+    invested = F.col("gross") / F.col("all")
+    y = y.withColumns({"total": (F.col("gain") - F.col("paid") - F.col("slipped")) / F.col("all"), "cash_drag": (invested - 1) * (F.col("market") + F.col("industry") + F.col("style") + F.col("selection")), "fees": -F.col("paid") / F.col("gross") * invested, "slippage": -F.col("slipped") / F.col("gross") * invested})
+    residual = F.col("total") - sum((F.col(c) for c in ("selection", "industry", "style", "market", "cash_drag", "fees", "slippage")), F.lit(0.0))
+    return y.withColumn("residual", residual).withColumn("warning", F.abs("residual") > warn).select(account, "total", "selection", "industry", "style", "market", "cash_drag", "fees", "slippage", "residual", "warning")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -155,10 +157,17 @@ def _(spark, d):
 GAMMA = f"{IC}, s AS (SELECT row_number() OVER (ORDER BY month) AS i, ic AS v FROM ic WHERE ic IS NOT NULL), m AS (SELECT avg(v) AS m, count(*) AS n FROM s), g AS (SELECT k AS lag, sum((a.v - m) * (b.v - m)) / any_value(n) AS gamma, any_value(n) AS n, any_value(m) AS m FROM range(0, 13) r(k), s a, s b, m WHERE b.i = a.i - k GROUP BY k)"
 
 
+def _ratio(pair, x: str) -> str:
+    """SQL of two polynomials by Horner's rule."""
+    top, bottom = (reduce(lambda out, t: f"({out} * {x} + {t:.17e})", terms[1:], f"{terms[0]:.17e}") for terms in pair)
+    return f"({top} / {bottom})"
+
+
 def cdf(z: str) -> str:
-    t = f"(1 / (1 + 0.2316419 * abs({z})))"
-    tail = f"(exp(-({z}) * ({z}) / 2) / 2.5066282746310002 * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
-    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+    x = f"(abs({z}) / sqrt(2e0))"
+    large = f"(exp(-{x} * {x}) / {x} * (0.56418958354775628695e0 - {_ratio(E.ERFC_LARGE, f'(1e0 / ({x} * {x}))')} / ({x} * {x})))"
+    upper = f"(CASE WHEN {x} <= 0.46875 THEN 1 - {x} * {_ratio(E.ERF_SMALL, f'({x} * {x})')} WHEN {x} <= 4 THEN exp(-{x} * {x}) * {_ratio(E.ERFC_MIDDLE, x)} ELSE {large} END / 2)"
+    return f"(CASE WHEN {z} > 0 THEN 1 - {upper} ELSE {upper} END)"
 
 
 @q("ev_newey_west", f"WITH {GAMMA}, x AS (SELECT max(n) AS n, max(m) AS mean, sum(gamma * CASE WHEN lag = 0 THEN 1.0 WHEN lag <= greatest(1, floor(pow(n, 0.25))) THEN 2 * (1 - lag / (greatest(1, floor(pow(n, 0.25))) + 1)) ELSE 0 END) AS lrv FROM g), y AS (SELECT *, mean / sqrt(lrv / n) AS t FROM x) SELECT n, round(mean, 6) AS mean, round(lrv, 6) AS lrv, round(t, 5) AS t, round(2 * (1 - {cdf('abs(t)')}), 5) AS p FROM y")
@@ -189,9 +198,8 @@ def _(spark, d):
 
 
 def ppf(p: str) -> str:
-    t = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
-    x = f"({t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / (1 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t}))"
-    return f"(CASE WHEN {p} < 0.5 THEN -{x} ELSE {x} END)"
+    tail = lambda v: _ratio(E.PPF_TAIL, f"sqrt(-2 * ln({v}))")
+    return f"(CASE WHEN {p} < {E.PPF_LOW} THEN {tail(p)} WHEN {p} <= {1 - E.PPF_LOW} THEN ({p} - 0.5) * {_ratio(E.PPF_MIDDLE, f'(({p} - 0.5e0) * ({p} - 0.5e0))')} ELSE -{tail(f'1 - {p}')} END)"
 
 
 HURDLE = f"(0.4227843351 * {ppf('(1 - 1 / 10.0)')} + 0.5772156649 * {ppf('(1 - 1 / (10 * 2.718281828459045))')})"
@@ -205,10 +213,12 @@ def _(spark, d):
     return E.sharpe_tests(clipped(spark, d), "code").select("code", "n", *r6("sr", "psr", "dsr"), F.round("min_track", 4).alias("min_track"))
 
 
-@q("fn_norm_cdf_ppf")
+@q("fn_norm_cdf_ppf", f"""WITH {BARS}, s AS (SELECT code, trade_date, count(volume) OVER d AS n, avg(volume) OVER d AS m, stddev_pop(volume) OVER d AS sd, volume FROM bars WINDOW d AS (PARTITION BY trade_date)),
+ z AS (SELECT code, trade_date, CASE WHEN n < 2 OR sd = 0 THEN 0e0 ELSE (volume - m) / sd END AS z FROM s), c AS (SELECT *, {cdf('z')} AS cdf FROM z)
+ SELECT code, trade_date, round(z, 6) AS z, round(cdf, 6) AS cdf, round({ppf('greatest(1e-9, least(1 - 1e-9, cdf))')}, 6) AS back FROM c""")
 def _(spark, d):
-    z = S.zscore(bars(spark, d), ["trade_date"], "volume")
-    return z.select("code", "trade_date", *r6("z"), F.round(E.normal_cdf(F.col("z")), 6).alias("cdf"), F.round(E.normal_ppf(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), E.normal_cdf(F.col("z"))))), 4).alias("back"))
+    z = S.zscore(bars(spark, d), ["trade_date"], "volume").withColumn("cdf", E.normal_cdf(F.col("z")))
+    return z.select("code", "trade_date", *r6("z", "cdf"), F.round(E.normal_ppf(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), "cdf"))), 6).alias("back"))
 
 
 PERF = "perf AS (SELECT p_brand AS trial, CAST(extract(year FROM l_shipdate) % 6 AS INTEGER) AS period, avg(l_discount) AS performance FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
@@ -234,11 +244,25 @@ def _split_sql(periods: int) -> str:
     return f"splits(split, period, inside) AS (VALUES {', '.join(rows)})"
 
 
-@q("ev_pbo", f"""WITH {PERF}, {_split_sql(6)}, m AS (SELECT split, trial, round(avg(performance) FILTER (WHERE inside), 12) AS ins, round(avg(performance) FILTER (WHERE NOT inside), 12) AS oos FROM perf JOIN splits USING (period) GROUP BY 1, 2),
- b AS (SELECT split, trial, oos AS bo FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ins DESC, trial DESC) AS k FROM m) WHERE k = 1)
- SELECT m.split, b.trial, round((sum((oos < bo)::INT) + 0.5 * (sum((oos = bo)::INT) + 1)) / (count(*) + 1), 6) AS rel_rank FROM m JOIN b ON m.split = b.split GROUP BY 1, 2""")
+PBO = f"""{PERF}, {_split_sql(6)}, m AS (SELECT split, trial, avg(performance) FILTER (WHERE inside) AS ins, avg(performance) FILTER (WHERE NOT inside) AS oos FROM perf JOIN splits USING (period) GROUP BY 1, 2),
+ b AS (SELECT split, trial, ins AS bi, oos AS bo FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY round(ins, 12) DESC, trial DESC) AS k FROM m) WHERE k = 1),
+ r AS (SELECT m.split, b.trial, any_value(bo - bi) AS degradation, least(1.0, (sum((round(oos, 12) < round(bo, 12))::INT) + 0.5 * (sum((round(oos, 12) = round(bo, 12))::INT) + 1)) / count(*)) AS rel_rank FROM m JOIN b ON m.split = b.split GROUP BY 1, 2),
+ l AS (SELECT *, greatest(1e-9, least(1 - 1e-9, rel_rank)) AS c FROM r), pbo AS (SELECT split, trial, rel_rank, ln(c / (1 - c)) AS logit, rel_rank < 0.5 AS overfit, degradation FROM l)"""
+
+
+def pbo(spark, d):
+    p = perf(spark, d).withColumn("performance", F.round("performance", 12))
+    return E.pbo(p, half_splits(spark, 6))
+
+
+@q("ev_pbo", f"WITH {PBO} SELECT split, trial, round(rel_rank, 6) AS rel_rank, round(logit, 6) AS logit, overfit, round(degradation, 6) AS degradation FROM pbo")
+def _(spark, d):
+    return pbo(spark, d).select("split", "trial", *r6("rel_rank", "logit"), "overfit", *r6("degradation"))
+
+
+@q("ev_pbo_summary", f"WITH {PBO} SELECT count(*) AS splits, round(avg(CAST(overfit AS INT)), 6) AS pbo, round(avg(degradation), 6) AS mean_degradation, round(list_sort(list(logit))[count(*) // 2 + 1], 6) AS median_logit FROM pbo")
 def _(spark, d):
-    return E.pbo(perf(spark, d), half_splits(spark, 6)).select("split", "trial", *r6("rel_rank"))
+    return E.pbo_summary(pbo(spark, d)).select("splits", *r6("pbo", "mean_degradation", "median_logit"))
 
 
 @q("ev_effective_trials", f"WITH {PERF}, c AS (SELECT a.trial AS a, b.trial AS b, corr(a.performance, b.performance) AS c FROM perf a JOIN perf b USING (period) WHERE a.trial <= b.trial GROUP BY 1, 2) SELECT sum((a = b)::INT) AS n, round(sum((a = b)::INT) * sum((a = b)::INT) / sum(CASE WHEN a = b THEN 1.0 ELSE 2 * c * c END), 6) AS effective FROM c")
@@ -359,9 +383,21 @@ def _(spark, d):
     return x.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("real") / F.col("pred")), 6).alias("ratio"), F.round(F.avg(F.col("real") - F.col("pred")), 6).alias("bias"))
 
 
-@q("ev_account_bridge", "WITH x AS (SELECT o_custkey AS code, sum(l_extendedprice) AS gross, sum(l_extendedprice * l_discount) AS selection, sum(l_extendedprice * l_tax) AS fees FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT code, round(selection / gross, 6) AS selection, round(fees / gross, 6) AS fees, round(0.05 - selection / gross + fees / gross, 6) AS residual, abs(0.05 - selection / gross + fees / gross) > 0.001 AS warning FROM x")
+BRIDGE = """x AS (SELECT o_custkey AS account, p_brand AS industry, n_regionkey AS market, p_size > 25 AS large, l_extendedprice AS gross, l_extendedprice / l_quantity / p_retailprice - 1 AS ret, l_extendedprice * l_tax AS fees, l_extendedprice * l_discount AS slippage,
+  l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+ t AS (SELECT sum(gross * ret) / sum(gross) AS m FROM x), i AS (SELECT industry, sum(gross * ret) / sum(gross) AS i FROM x GROUP BY 1), s AS (SELECT large, sum(gross * ret) / sum(gross) AS s FROM x GROUP BY 1),
+ a AS (SELECT account, any_value(m) AS market, sum(gross * (i - m)) / sum(gross) AS industry, sum(gross * (s - m)) / sum(gross) AS style, sum(gross * (ret - i - s + m)) / sum(gross) AS selection, sum(fees) / sum(gross) AS fees, sum(slippage) / sum(gross) AS slippage,
+  sum(gross) AS gross, sum(gross * ret) AS gain FROM x JOIN i USING (industry) JOIN s USING (large), t GROUP BY 1),
+ b AS (SELECT c_custkey AS account, greatest(c_acctbal, 0) AS cash FROM customer), y AS (SELECT a.*, cash / (gross + cash) AS cash_share, (gain - gross * fees - gross * slippage) / (gross + cash) AS total FROM a JOIN b USING (account))"""
+
+
+@q("ev_account_bridge", f"""WITH {BRIDGE}, z AS (SELECT account, total, selection, industry, style, market, -cash_share * (market + industry + style + selection) AS cash_drag, -fees * (1 - cash_share) AS fees, -slippage * (1 - cash_share) AS slippage FROM y)
+ SELECT account, round(total, 6) AS total, round(selection, 6) AS selection, round(industry, 6) AS industry, round(style, 6) AS style, round(market, 6) AS market, round(cash_drag, 6) + 0.0 AS cash_drag, round(fees, 6) AS fees, round(slippage, 6) AS slippage,
+  round(total - selection - industry - style - market - cash_drag - fees - slippage, 6) + 0.0 AS residual, abs(total - selection - industry - style - market - cash_drag - fees - slippage) > 0.001 AS warning FROM z""")
 def _(spark, d):
-    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    x = j.groupBy(F.col("o_custkey").alias("code")).agg(F.sum("l_extendedprice").alias("gross"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("s"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("f"))
-    res = 0.05 - F.col("s") / F.col("gross") + F.col("f") / F.col("gross")
-    return x.select("code", F.round(F.col("s") / F.col("gross"), 6).alias("selection"), F.round(F.col("f") / F.col("gross"), 6).alias("fees"), F.round(res, 6).alias("residual"), (F.abs(res) > 0.001).alias("warning"))
+    t = lambda name: table(spark, d, name)
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    x = j.select(F.col("o_custkey").alias("account"), F.col("p_brand").alias("industry"), (F.col("p_size") > 25).alias("large"), F.col("l_extendedprice").alias("gross"), (F.col("l_extendedprice") / F.col("l_quantity") / F.col("p_retailprice") - 1).alias("ret"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fees"), (F.col("l_extendedprice") * F.col("l_discount")).alias("slippage"))
+    cash = t("customer").select(F.col("c_custkey").alias("account"), F.greatest("c_acctbal", F.lit(0.0)).alias("cash"))
+    b = E.account_bridge(x, cash, "account", "industry", "large")
+    return b.select("account", *[(F.round(c, 6) + 0.0).alias(c) for c in ("total", "selection", "industry", "style", "market", "cash_drag", "fees", "slippage", "residual")], "warning")
