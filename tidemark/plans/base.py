@@ -60,10 +60,10 @@ REVISIONS = """revisions AS (
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items from documents: the first line as title, a time from the id."""
     d = table(spark, sf_dir, "documents")
-    title = F.substring(F.split("text", "\n")[0], 1, 120)
+    title = F.split("text", "\n")[0]
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 720 as int))")
-    return d.select(F.col("doc_id").alias("news_id"), "source", title.alias("title"), F.substring("text", 1, 400).alias("summary"), at.alias("published_at"), "lang")
+    return d.select(F.col("doc_id").alias("news_id"), "source", title.alias("title"), F.col("text").alias("summary"), at.alias("published_at"), "lang")
 
 
-NEWS = """news AS (SELECT doc_id AS news_id, source, substring(split_part(text, chr(10), 1), 1, 120) AS title, substring(text, 1, 400) AS summary,
+NEWS = """news AS (SELECT doc_id AS news_id, source, split_part(text, chr(10), 1) AS title, text AS summary,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS published_at, lang FROM documents)"""

@@ -43,13 +43,13 @@ def _(spark, d):
 
 @q("st_tumbling_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def _(spark, d):
-    x = J.run_to_table(J.tumbling(events(spark, d), "ts", "event_type", "value", "1 hour"), shared(spark))
+    x = J.run_to_table(J.tumbling(events(spark, d), "ts", "event_type", "value", "1 hour"), shared(spark), "update", ["start", "event_type"])
     return x.select("start", "event_type", "n", *r6("mean"))
 
 
 @q("st_sliding_score", "SELECT s.start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, LATERAL (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start FROM range(0, 7) r(k)) s GROUP BY 1, 2")
 def _(spark, d):
-    x = J.run_to_table(J.sliding(events(spark, d), "ts", "event_type", "value", "7 days", "1 day"), shared(spark))
+    x = J.run_to_table(J.sliding(events(spark, d), "ts", "event_type", "value", "7 days", "1 day"), shared(spark), "update", ["start", "event_type"])
     return x.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -68,7 +68,7 @@ def _(spark, d):
 
 @q("st_feed_freshness", "SELECT event_type, max(ts) AS last_at, date_diff('second', max(ts), TIMESTAMP '2024-01-31 12:00:00') > 43200 AS overdue FROM events GROUP BY 1")
 def _(spark, d):
-    x = J.run_to_table(events(spark, d).groupBy("event_type").agg(F.max("ts").alias("last_at")), shared(spark))
+    x = J.run_to_table(events(spark, d).groupBy("event_type").agg(F.max("ts").alias("last_at")), shared(spark), "update", ["event_type"])
     lag = F.unix_timestamp(F.lit("2024-01-31 12:00:00")) - F.unix_timestamp("last_at")
     return x.select("event_type", F.col("last_at").cast("timestamp_ntz").alias("last_at"), (lag > 43200).alias("overdue"))
 
@@ -78,15 +78,31 @@ def _(spark, d):
     return J.last_state(table(spark, d, "events"), "user_id", ["event_id"], "event_type", ["purchase"])
 
 
-@q("st_chain_verify", "SELECT user_id, min(event_id) AS first_break FROM events WHERE event_id % 97 = 0 GROUP BY 1")
+@q("st_chain_verify", """SELECT day, min(b) AS first_break FROM (SELECT CAST(ts AS DATE) AS day, CASE WHEN event_id % 89 = 0 THEN event_id WHEN lag(event_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) % 97 = 0 AND lag(event_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) % 89 <> 0 THEN event_id END AS b FROM events)
+ WHERE b IS NOT NULL GROUP BY 1""")
 def _(spark, d):
-    c = J.chain(table(spark, d, "events").select("user_id", "event_id", "props"), "user_id", "event_id", "props")
-    return J.first_break(c.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit(" "))).otherwise(F.col("props"))), "user_id", "event_id", "props")
+    """One chain a day. Some payloads are changed (a break at the row); others are changed and hashed again (a break at the row after)."""
+    c = J.chain(table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_id", "props"), "day", "event_id", "props")
+    changed, again = F.col("event_id") % 89 == 0, (F.col("event_id") % 97 == 0) & (F.col("event_id") % 89 != 0)
+    c = c.withColumn("props", F.when(changed | again, F.concat("props", F.lit(" "))).otherwise(F.col("props")))
+    return J.first_break(c.withColumn("entry_hash", F.when(again, J.entry_hash("props")).otherwise(F.col("entry_hash"))), "day", "event_id", "props")
 
 
-@q("st_cash_conservation", "SELECT user_id, round(sum(value), 4) AS total, TRUE AS ok FROM events GROUP BY 1")
+CASH = "cash AS (SELECT o_custkey AS account, l_returnflag AS bucket, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice * (1 - l_discount)) AS delta, sum(CASE WHEN l_linenumber = 7 AND o_custkey % 5 = 0 THEN 0 ELSE l_extendedprice * (1 - l_discount) END) AS booked FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
+
+
+@q("st_cash_conservation", f"""WITH {CASH}, b AS (SELECT account, bucket, day, sum(booked) OVER (PARTITION BY account, bucket ORDER BY day) AS balance FROM cash), e AS (SELECT account, bucket, min(day) AS since, arg_min(balance, day) AS opening, arg_max(balance, day) AS closing FROM b GROUP BY 1, 2),
+ t AS (SELECT account, bucket, sum(delta) AS total FROM cash JOIN e USING (account, bucket) WHERE day > since GROUP BY 1, 2)
+ SELECT account, bucket, round(opening, 2) AS opening, round(closing, 2) AS closing, round(coalesce(total, 0), 2) AS total, abs(closing - opening - coalesce(total, 0)) <= 1e-4 AS ok FROM e LEFT JOIN t USING (account, bucket)""")
 def _(spark, d):
-    return J.conservation(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value").select("user_id", F.round("total", 4).alias("total"), "ok")
+    """Cash of each account by return flag; the stored balances of some accounts lack a line."""
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    lost = (F.col("l_linenumber") == 7) & (F.col("o_custkey") % 5 == 0)
+    days = j.groupBy(F.col("o_custkey").alias("account"), F.col("l_returnflag").alias("bucket"), F.to_date("l_shipdate").alias("day")).agg(F.sum(amount).alias("delta"), F.sum(F.when(lost, 0.0).otherwise(amount)).alias("booked"))
+    balance = F.sum("booked").over(Window.partitionBy("account", "bucket").orderBy("day"))
+    got = J.conservation(days, days.select("account", "bucket", "day", balance.alias("balance")), ["account", "bucket"], "day")
+    return got.select("account", "bucket", *[F.round(c, 2).alias(c) for c in ("opening", "closing", "total")], "ok")
 
 
 @q("st_reconcile", f"WITH {POSITIONS}, r AS (SELECT account, fund, shares + CASE WHEN fund % 10 = 0 THEN 1 ELSE 0 END AS shares FROM positions WHERE fund % 7 <> 0) SELECT coalesce(p.account, r.account) AS account, coalesce(p.fund, r.fund) AS fund, CASE WHEN p.shares IS NULL THEN 'missing_local' WHEN r.shares IS NULL THEN 'missing_remote' ELSE 'difference' END AS kind FROM (SELECT * FROM positions WHERE fund % 11 <> 0) p FULL JOIN r ON p.account = r.account AND p.fund = r.fund WHERE p.shares IS NULL OR r.shares IS NULL OR abs(p.shares - r.shares) > 0.5")
@@ -96,20 +112,39 @@ def _(spark, d):
     return J.reconcile(p.where("fund % 11 <> 0"), remote, ["account", "fund"], "shares", 0.5)
 
 
+TRADE = """trade AS (SELECT o_custkey AS account, l_suppkey % 3 AS code, l_orderkey || '-' || l_linenumber AS event_id, CAST(l_shipdate AS DATE) AS day,
+  CASE WHEN l_linenumber = 6 THEN CASE WHEN l_orderkey % 4 = 0 THEN 'split' WHEN l_orderkey % 4 = 1 THEN 'rights' WHEN l_orderkey % 4 = 2 THEN 'tax' ELSE 'dividend' END WHEN l_linenumber = 7 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'swap_in' ELSE 'swap_out' END WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
+  CASE WHEN l_linenumber = 6 THEN CASE WHEN l_orderkey % 4 = 0 THEN 2.0 ELSE 0.1 END ELSE l_quantity END AS quantity, l_extendedprice / l_quantity * CASE WHEN l_linenumber = 6 THEN 0.01 ELSE 1 END AS price, l_tax * 10 AS fee FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
 def trades(spark, d):
+    """Each line as an event of its account and one of three instruments: trades, and of some line numbers splits, rights, tax, dividends and swaps."""
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    kind = F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy")
-    return j.select(F.col("o_custkey").alias("account"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.to_date("l_shipdate").alias("day"), kind.alias("type"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_tax") * 10).alias("fee"))
+    line, order = F.col("l_linenumber"), F.col("l_orderkey") % 4
+    other = F.when(order == 0, "split").when(order == 1, "rights").when(order == 2, "tax").otherwise("dividend")
+    kind = F.when(line == 6, other).when(line == 7, F.when(F.col("l_orderkey") % 2 == 0, "swap_in").otherwise("swap_out")).when(F.col("l_returnflag") == "R", "sell").otherwise("buy")
+    quantity = F.when(line == 6, F.when(order == 0, 2.0).otherwise(0.1)).otherwise(F.col("l_quantity"))
+    price = F.col("l_extendedprice") / F.col("l_quantity") * F.when(line == 6, 0.01).otherwise(1.0)
+    return j.select(F.col("o_custkey").alias("account"), (F.col("l_suppkey") % 3).alias("code"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.to_date("l_shipdate").alias("day"), kind.alias("type"), quantity.alias("quantity"), price.alias("price"), (F.col("l_tax") * 10).alias("fee"))
 
 
-@q("st_ledger_replay")
+@q("st_ledger_replay", f"""WITH RECURSIVE {TRADE}, n AS (SELECT *, row_number() OVER (PARTITION BY account, code ORDER BY day, event_id) AS i FROM (SELECT * FROM trade QUALIFY row_number() OVER (PARTITION BY account, code, event_id ORDER BY day, type, quantity, price, fee) = 1)),
+ f AS (SELECT account, code, 0::BIGINT AS i, 0e0 AS held, 1e4::DOUBLE AS cash, 0e0 AS fees FROM n GROUP BY 1, 2
+  UNION ALL SELECT n.account, n.code, n.i, CASE type WHEN 'buy' THEN held + quantity WHEN 'swap_in' THEN held + quantity WHEN 'sell' THEN greatest(held - quantity, 0) WHEN 'swap_out' THEN greatest(held - quantity, 0) WHEN 'split' THEN held * quantity WHEN 'rights' THEN held * (1 + quantity) ELSE held END,
+   cash + CASE type WHEN 'buy' THEN -quantity * price - fee WHEN 'sell' THEN least(held, quantity) * price - fee WHEN 'dividend' THEN held * price WHEN 'tax' THEN -held * price WHEN 'rights' THEN -held * quantity * price ELSE 0 END, fees + CASE WHEN type IN ('buy', 'sell') THEN fee ELSE 0 END
+  FROM f JOIN n ON n.account = f.account AND n.code = f.code AND n.i = f.i + 1)
+ SELECT account, code, round(arg_max(cash, i), 4) AS cash, round(arg_max(held, i), 4) AS held, round(arg_max(fees, i), 4) AS fees, max(i) AS events FROM f GROUP BY 1, 2""")
 def _(spark, d):
-    return J.replay_ledger(trades(spark, d), "account", ["day", "event_id", "price"], 10000.0).select("account", *r6("cash", "held", "fees"), "events")
+    got = J.replay_ledger(trades(spark, d), ["account", "code"], ["day", "event_id"], 10000.0)
+    return got.select("account", "code", *[F.round(c, 4).alias(c) for c in ("cash", "held", "fees")], "events")
 
 
-@q("st_lots")
+@q("st_lots", f"""WITH RECURSIVE {TRADE}, t AS (SELECT * FROM trade WHERE type IN ('buy', 'sell') QUALIFY row_number() OVER (PARTITION BY account, code, event_id ORDER BY day, type, quantity, price, fee) = 1), n AS (SELECT *, row_number() OVER (PARTITION BY account, code ORDER BY day, event_id) AS i FROM t),
+ f AS (SELECT account, code, 0::BIGINT AS i, 0e0 AS held FROM n GROUP BY 1, 2 UNION ALL SELECT n.account, n.code, n.i, CASE type WHEN 'buy' THEN held + quantity ELSE greatest(held - quantity, 0) END FROM f JOIN n ON n.account = f.account AND n.code = f.code AND n.i = f.i + 1),
+ h AS (SELECT account, code, arg_max(held, i) AS held FROM f GROUP BY 1, 2), b AS (SELECT *, sum(quantity) OVER (PARTITION BY account, code ORDER BY i DESC) - quantity AS newer FROM n WHERE type = 'buy')
+ SELECT b.account, b.code, day AS acquired, round(least(quantity, held - newer), 4) AS quantity, day + 1 AS sellable FROM b JOIN h ON h.account = b.account AND h.code = b.code WHERE held - newer > 1e-9""")
 def _(spark, d):
-    return J.fifo_lots(trades(spark, d), "account", ["day", "event_id", "price"])
+    return J.fifo_lots(trades(spark, d).where("type in ('buy', 'sell')"), ["account", "code"], ["day", "event_id"]).select("account", "code", "acquired", F.round("quantity", 4).alias("quantity"), "sellable")
 
 
 @q("st_membership_replay", "WITH e AS (SELECT o_orderstatus AS grp, o_custkey AS code, CAST(o_orderdate AS DATE) AS d, o_orderkey AS no, CASE WHEN o_orderkey % 3 = 0 THEN 'remove' ELSE 'add' END AS t FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-02') SELECT grp, code FROM e GROUP BY 1, 2 HAVING arg_max(t, (d, no)) = 'add'")
@@ -125,7 +160,9 @@ def _(spark, d):
 
 @q("join_cluster_events")
 def _(spark, d):
-    n = news(spark, d)
+    from tidemark.functions.rules import source_quality
+
+    n = news(spark, d).withColumn("quality", source_quality(F.col("source")))
     return T.cluster_events(n, T.similar_pairs(n))
 
 
@@ -136,26 +173,27 @@ def _(spark, d):
     return T.keyword_table(names, held)
 
 
-@q("join_event_exposure", """WITH t AS (SELECT event_id AS event, 'Brand' AS k, event_id % 2000 AS target, 0.5 + (event_id % 5) / 10.0 AS relevance FROM events WHERE event_id % 10 = 0),
- hold AS (SELECT l_partkey AS target, l_suppkey AS fund, sum(l_quantity) / 1000 AS exposure FROM lineitem GROUP BY 1, 2), direct AS (SELECT s_suppkey AS target, s_suppkey AS fund, 1.0 AS exposure FROM supplier),
- f AS (SELECT event, fund, 'holding' AS path, max(relevance) * least(1.0, sum(exposure)) AS strength FROM t JOIN hold USING (target) GROUP BY 1, 2 UNION ALL SELECT event, fund, 'direct', max(relevance) * max(exposure) FROM t JOIN direct USING (target) GROUP BY 1, 2)
- SELECT event, fund, arg_max(path, (strength, path)) AS path, round(max(strength), 6) AS strength FROM f GROUP BY 1, 2""")
-def _(spark, d):
-    t = table(spark, d, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("event"), (F.col("event_id") % 2000).alias("target"), (0.5 + (F.col("event_id") % 5) / 10).alias("relevance"))
-    hold = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("fund")).agg((F.sum("l_quantity") / 1000).alias("exposure"))
-    direct = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_suppkey").alias("fund"), F.lit(1.0).alias("exposure"))
-    return T.event_exposure(t, [("holding", hold, True), ("direct", direct, False)]).select("event", "fund", "path", *r6("strength"))
-
-
 def named(kind: str, col):
     """A target of one kind as text, so that keys of different tables stay apart."""
     return F.concat(F.lit(f"{kind}:"), F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
 
 
-@q("join_event_exposure_paths")
+EXPOSURE = """WITH lines AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2), brands AS (SELECT p_brand, l_suppkey, sum(quantity) AS quantity FROM lines JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+ held AS (SELECT l_suppkey, sum(quantity) AS total FROM brands GROUP BY 1),
+ paths(path, target, fund, exposure) AS (SELECT 'holding', 'part:' || l_partkey, l_suppkey, quantity / 1000 FROM lines UNION ALL SELECT 'direct', 'fund:' || s_suppkey, s_suppkey, 1.0 FROM supplier UNION ALL SELECT 'market', 'region:' || n_regionkey, s_suppkey, 1.0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'benchmark', 'nation:' || s_nationkey, s_suppkey, 1.0 FROM supplier UNION ALL SELECT 'industry', 'brand:' || p_brand, l_suppkey, quantity / total FROM brands JOIN held USING (l_suppkey)),
+ k AS (SELECT p_partkey % 2000 AS k, min(p_brand) AS brand FROM part GROUP BY 1), e AS (SELECT event_id, event_type, event_id % 2000 AS k, brand, 0.5 + (event_id % 5) / 10.0 AS r FROM events LEFT JOIN k ON event_id % 2000 = k),
+ t(event, target, relevance) AS (SELECT event_id, 'part:' || k, 0.9 * r FROM e UNION ALL SELECT event_id, 'fund:' || k, r FROM e UNION ALL SELECT event_id, 'region:' || event_id % 5, 0.78 * r FROM e WHERE event_type = 'signup'
+  UNION ALL SELECT event_id, 'nation:' || event_id % 25, 0.88 * r FROM e WHERE event_type = 'error' UNION ALL SELECT event_id, 'brand:' || brand, 0.76 * r FROM e WHERE event_type = 'purchase' AND brand IS NOT NULL),
+ f AS (SELECT event, fund, path, max(relevance) * CASE WHEN path = 'holding' THEN least(1.0, sum(exposure)) ELSE max(exposure) END AS strength FROM t JOIN paths USING (target) GROUP BY 1, 2, 3)
+ SELECT event, fund, arg_max(path, (strength, path)) AS path, round(max(strength), 6) AS strength FROM f GROUP BY 1, 2"""
+
+
+@q("join_event_exposure_paths", EXPOSURE)
+@q("join_event_exposure", EXPOSURE)
 def _(spark, d):
     """All events by all five paths, with the reference's relevance of each. An event names a part, a supplier and, by its type, a region,
-    a nation or a brand; a supplier's share of a brand is its exposure to that industry. No SQL: a region's event reaches a fifth of the funds."""
+    a nation or a brand; a supplier's share of a brand is its exposure to that industry."""
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"))
     brands = lines.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_suppkey").agg(F.sum("quantity").alias("quantity"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import folded
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream of one table, its NTZ times as timestamps (watermarks ask for them)."""
@@ -21,16 +22,34 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def run_to_table(df: DataFrame, root: str, mode: str = "complete") -> DataFrame:
-    """Run a stream to its end into Parquet below ``root``; in complete mode the last result replaces the ones before."""
-    spark, out = df.sparkSession, f"{root}/out-{uuid.uuid4().hex}"
+def run_to_table(df: DataFrame, root: str, mode: str = "complete", keys: list[str] | None = None, name: str = "job") -> DataFrame:
+    """Run a stream over all there is into Parquet below ``root``/``name``.
+
+    Checkpoint and output have fixed places, so a later call goes on where this one ended; each batch has a folder of its own that a retry of the
+    batch replaces. In complete mode the last batch is the table, in append mode all batches are; in update mode each batch holds the rows that
+    changed, and a row of ``keys`` is the one of its last batch, so that the state of windows older than the watermark can be dropped.
+    """
+    spark, out = df.sparkSession, f"{root}/{name}/out"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state-{uuid.uuid4().hex}").foreachBatch(write).trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/{name}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], df.schema)
+    got = spark.read.schema(f"{_ddl(df)}, batch int").parquet(out)
+    if mode == "complete":
+        return got.join(got.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    if mode == "update":
+        rest = [c for c in df.columns if c not in keys]
+        return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+    return got.drop("batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def dedup(df: DataFrame, key: list[str], time: str, watermark: str) -> DataFrame:
@@ -60,25 +79,35 @@ def last_state(df: DataFrame, key: str, order: list[str], value: str, terminal:
 
 
 def chain(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """Rows of an audit chain: each with the digest of its own payload and of the row before."""
-    own = F.sha2(F.col(payload).cast("string"), 256)
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("own", own).withColumn("previous_hash", F.lag("own").over(w))
+    """Rows of an audit chain: each with the hash of the row before and its own, the digest of that hash and the payload. A chain is a fold, so one key's
+    rows are one array; an audit log has a key per day or file."""
+    own = f"sha2(concat(a.s.entry_hash, '|', coalesce(x.{payload}, '')), 256)"
+    zero = "repeat('0', 64)"
+    got = folded(df.select(key, order, payload), [payload], f"named_struct('previous_hash', {zero}, 'entry_hash', {zero})", f"named_struct('previous_hash', a.s.entry_hash, 'entry_hash', {own})", date=order, key=key)
+    return df.join(got, [key, order])
+
+
+def entry_hash(payload: str) -> Column:
+    """The hash that a row of a chain should have by its own previous hash and payload."""
+    return F.sha2(F.concat(F.col("previous_hash"), F.lit("|"), F.coalesce(F.col(payload).cast("string"), F.lit(""))), 256)
 
 
 def first_break(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """First row per key whose payload digest or link does not hold; keys without one are left out."""
-    w = Window.partitionBy(key).orderBy(order)
-    bad = (F.sha2(F.col(payload).cast("string"), 256) != F.col("own")) | ~F.col("previous_hash").eqNullSafe(F.lag("own").over(w))
+    """First row per key whose own hash is not that of its previous hash and payload, or whose previous hash is not the hash of the row before it; keys
+    without one are left out. A row that was changed and hashed again is found at the row after it."""
+    before = F.coalesce(F.lag("entry_hash").over(Window.partitionBy(key).orderBy(order)), F.repeat(F.lit("0"), F.lit(64)))
+    bad = ~F.col("entry_hash").eqNullSafe(entry_hash(payload)) | ~F.col("previous_hash").eqNullSafe(before)
     return df.withColumn("bad", bad).where("bad").groupBy(key).agg(F.min(order).alias("first_break"))
 
 
-def conservation(df: DataFrame, key: str, order: list[str], delta: str) -> DataFrame:
-    """Sum of deltas against closing less opening of the running balance."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("balance", F.sum(delta).over(w)).withColumn("opening", F.col("balance") - F.col(delta))
-    g = x.groupBy(key).agg(F.sum(delta).alias("total"), F.max_by("balance", F.struct(*order)).alias("closing"), F.min_by("opening", F.struct(*order)).alias("opening"))
-    return g.withColumn("ok", F.abs(F.col("closing") - F.col("opening") - F.col("total")) < 1e-4)
+def conservation(deltas: DataFrame, balances: DataFrame, keys: list[str], day: str, tolerance: float = 1e-4) -> DataFrame:
+    """Deltas (keys, day, delta) against stored balances (keys, day, balance), per account and bucket: the last balance less the first one must be the sum of
+    the deltas after the first balance's day. A bucket without any balance or delta has nulls and is not conserved."""
+    ends = balances.groupBy(*keys).agg(F.min(day).alias("since"), F.min_by("balance", day).alias("opening"), F.max_by("balance", day).alias("closing"))
+    total = deltas.join(ends.select(*keys, "since"), keys).where(F.col(day) > F.col("since")).groupBy(*keys).agg(F.sum("delta").alias("total"))
+    x = ends.join(total, keys, "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    error = F.col("closing") - F.col("opening") - F.col("total")
+    return x.select(*keys, "opening", "closing", "total", error.alias("error"), F.coalesce(F.abs(error) <= tolerance, F.lit(False)).alias("ok"))
 
 
 def reconcile(local: DataFrame, remote: DataFrame, key: list[str], value: str, tolerance: float) -> DataFrame:
@@ -88,52 +117,84 @@ def reconcile(local: DataFrame, remote: DataFrame, key: list[str], value: str, t
     return a.join(b, key, "full").withColumn("kind", kind).where("kind is not null").select(*key, "kind")
 
 
-def replay_ledger(df: DataFrame, by: str, order: list[str], opening: float) -> DataFrame:
-    """Fold each account's events in order, each event id once: cash, position and fees. (event_id, type, quantity, price, fee)."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, held, fees, seen = opening, 0.0, 0.0, set()
-        for r in pdf.sort_values(order).itertuples():
-            if r.event_id in seen:
-                continue
-            seen.add(r.event_id)
-            if r.type == "buy":
-                cash, held = cash - r.quantity * r.price - r.fee, held + r.quantity
-            elif r.type == "sell":
-                sold = min(held, r.quantity)
-                cash, held = cash + sold * r.price - r.fee, held - sold
-            elif r.type == "dividend":
-                cash += held * 0.01
-                continue
-            fees += r.fee
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "cash": [cash], "held": [held], "fees": [fees], "events": [len(seen)]})
-
-    return df.groupBy(by).applyInPandas(fold, f"{by} long, cash double, held double, fees double, events long")
-
-
-def fifo_lots(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """First-in-first-out lots left after sales that may exceed what is held (the excess is dropped), with the next day as first sellable day."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lots: list[list] = []
-        for r in pdf.sort_values(order).itertuples():
-            if r.type == "buy":
-                lots.append([r.day, r.quantity])
-            else:
-                left = r.quantity
-                while left > 0 and lots:
-                    take = min(left, lots[0][1])
-                    lots[0][1] -= take
-                    left -= take
-                    if lots[0][1] <= 1e-9:
-                        lots.pop(0)
-        out = pd.DataFrame({by: pdf[by].iloc[:1].repeat(len(lots)).to_numpy(), "acquired": pd.Series([d for d, _ in lots], dtype=object), "quantity": pd.Series([q for _, q in lots], dtype=float)})
-        out["sellable"] = pd.Series([d + pd.Timedelta(days=1) for d in out["acquired"]], dtype=object)
-        return out
-
-    return df.groupBy(by).applyInPandas(fold, f"{by} long, acquired date, quantity double, sellable date")
+def in_chunks(df: DataFrame, by: list[str], chunk: str, order: list[str], total: str) -> tuple[DataFrame, Column, Column, Column]:
+    """Running sums over keys that may hold a large part of all rows. Rows are summed within chunks (a key's month, say), and one row per chunk carries the sums
+    on. Gives ``df`` with helper columns, and as columns of it the running sum, its smallest value so far (zero at most), and the smallest value before the row."""
+    inside = Window.partitionBy(*by, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("__sum", F.sum(total).over(inside))
+    x = x.withColumn("__low", F.min("__sum").over(inside)).withColumn("__lower", F.min("__sum").over(earlier))
+    ends = x.groupBy(*by, chunk).agg(F.sum(total).alias("__all"), F.min("__low").alias("__least"))
+    before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__open", F.coalesce(F.sum("__all").over(before), F.lit(0.0)))
+    ends = ends.withColumn("__floor", F.min(F.col("__open") + F.col("__least")).over(before)).drop("__all", "__least")
+    joined = x.join(ends, [*by, chunk])
+    low = lambda c: F.least(F.lit(0.0), "__floor", F.col("__open") + F.col(c))  # noqa: E731  nulls are left out
+    return joined, F.col("__open") + F.col("__sum"), low("__low"), low("__lower")
+
+
+CHUNKED = ("__sum", "__low", "__lower", "__open", "__floor")
+
+
+def applied_once(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Each event id of a key once: the first one in order (ties: by the other columns)."""
+    first = [*order, *[c for c in df.columns if c not in (*by, *order)]]
+    return df.groupBy(*by, F.col("event_id").alias("__id")).agg(F.min(F.struct(*first)).alias("e")).select(*by, "e.*")
+
+
+def positions_after(df: DataFrame, by: list[str], day: str, order: list[str]) -> DataFrame:
+    """Each event with the quantity held after it, and before it. Sales beyond what is held are cut. (type, quantity, price.)
+
+    Holdings between splits and rights are counted in today's units: a split of ratio r, and rights of r new units per unit held, multiply all that was
+    held by a factor. In these units the holding is a sum held at zero from below: the free sum less its smallest value so far.
+    """
+    month = F.trunc(day, "MM").alias("__month")
+    grow = F.when(F.col("type") == "split", F.log("quantity")).when(F.col("type") == "rights", F.log(1 + F.col("quantity"))).otherwise(0.0)
+    x = df.select("*", month).withColumn("__grow", grow)
+    x, grown, _, _ = in_chunks(x, by, "__month", order, "__grow")
+    x = x.withColumn("__factor", F.exp(grown)).drop(*CHUNKED, "__grow")
+    signed = F.when(F.col("type").isin("buy", "swap_in"), F.col("quantity")).when(F.col("type").isin("sell", "swap_out"), -F.col("quantity")).otherwise(0.0)
+    x = x.withColumn("__units", signed / F.col("__factor"))
+    x, free, low, lower = in_chunks(x, by, "__month", order, "__units")
+    x = x.withColumn("__after", free - low).withColumn("__before", free - F.col("__units") - lower).drop(*CHUNKED, "__units")
+    inverse = F.when(F.col("type") == "split", F.col("quantity")).when(F.col("type") == "rights", 1 + F.col("quantity")).otherwise(1.0)
+    return x.withColumn("held", F.col("__after") * F.col("__factor")).withColumn("held_before", F.col("__before") * F.col("__factor") / inverse).drop("__after", "__before", "__factor", "__month")
+
+
+def replay_ledger(df: DataFrame, by: list[str], order: list[str], opening: float, day: str = "day") -> DataFrame:
+    """Cash, position and fees of each account after all its events, each event id once. Events have event_id, type, quantity, price, fee:
+
+    buy and sell (cut at what is held), dividend and tax (price per unit held), split (quantity: new units for one), rights (quantity: new units per unit held, at
+    price), swap_out and swap_in (units leave and come without cash). A type that is none of these changes nothing but counts.
+    """
+    x = positions_after(applied_once(df, by, order), by, day, order)
+    sold = F.col("held_before") - F.col("held")
+    kind = lambda *k: F.col("type").isin(*k)
+    cash = (
+        F.when(kind("buy"), -F.col("quantity") * F.col("price") - F.col("fee")).when(kind("sell"), sold * F.col("price") - F.col("fee"))
+        .when(kind("dividend"), F.col("held_before") * F.col("price")).when(kind("tax"), -F.col("held_before") * F.col("price"))
+        .when(kind("rights"), -F.col("held_before") * F.col("quantity") * F.col("price")).otherwise(0.0)
+    )
+    fees = F.when(kind("buy", "sell"), F.col("fee")).otherwise(0.0)
+    last = F.max_by("held", F.struct(*order))
+    return x.groupBy(*by).agg((F.lit(opening) + F.sum(cash)).alias("cash"), last.alias("held"), F.sum(fees).alias("fees"), F.count(F.lit(1)).alias("events"))
+
+
+def fifo_lots(df: DataFrame, by: list[str], order: list[str], day: str = "day") -> DataFrame:
+    """First-in-first-out lots left after sales that may exceed what is held (the excess is dropped), with the next day as first sellable day;
+    each event id counts once.
+
+    What is held at the end lies in the last purchases: a lot keeps what of its interval of cumulative purchases lies above all purchases less the
+    holding.
+    """
+    df = applied_once(df, by, order)
+    held = positions_after(df, by, day, order).groupBy(*by).agg(F.max_by("held", F.struct(*order)).alias("held"))
+    bought = df.where("type = 'buy'").withColumn("__month", F.trunc(day, "MM"))
+    rows, upto, _, _ = in_chunks(bought, by, "__month", order, "quantity")
+    rows = rows.withColumn("upto", upto)
+    total = bought.groupBy(*by).agg(F.sum("quantity").alias("all"))
+    x = rows.join(total, by).join(held, by).withColumn("left", F.least("quantity", F.col("upto") - (F.col("all") - F.col("held"))))
+    return x.where("left > 1e-9").select(*by, F.col(day).alias("acquired"), F.col("left").alias("quantity"), F.date_add(day, 1).alias("sellable"))
 
 
 def members_at(df: DataFrame, group: str, code: str, date: str, at: str) -> DataFrame:
