@@ -1,9 +1,11 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evidence, relational, series
+from tidemark.operators import asof, evidence, relational, series, text_events
 from tidemark.sources import lake
 from tidemark.streaming import jobs
 
@@ -118,12 +120,198 @@ def test_neutralised_values_do_not_follow_the_exposures(spark):
     assert abs(res.agg(F.sum("residual")).first()[0]) < 1 and res.agg(F.max(F.abs("residual"))).first()[0] < 0.02
 
 
+LEDGER = "account long, event_id string, day date, type string, quantity double, price double, fee double"
+
+
 def test_ledger_applies_an_event_once(spark):
     rows = [(1, "a", D(2024, 1, 1), "buy", 10.0, 5.0, 1.0), (1, "a", D(2024, 1, 1), "buy", 10.0, 5.0, 1.0), (1, "b", D(2024, 1, 2), "sell", 4.0, 6.0, 1.0)]
-    got = jobs.replay_ledger(spark.createDataFrame(rows, "account long, event_id string, day date, type string, quantity double, price double, fee double"), "account", ["day", "event_id"], 100.0).first()
+    got = jobs.replay_ledger(spark.createDataFrame(rows, LEDGER), ["account"], ["day", "event_id"], 100.0).first()
     assert (got.cash, got.held, got.fees, got.events) == (72.0, 6.0, 2.0, 2)
 
 
+def ledger_rows(seed):
+    rng = random.Random(seed)
+    kinds = ["buy", "buy", "sell", "sell", "dividend", "tax", "split", "rights", "swap_in", "swap_out", "note"]
+    out = []
+    for i in range(400):
+        k = rng.choice(kinds)
+        q = {"split": rng.choice([2.0, 0.5]), "rights": 0.1}.get(k, float(rng.randrange(1, 40)))
+        out.append((i % 3, f"e{i:04d}", D(2024, 1, 1) + dt.timedelta(days=i // 2), k, q, 1.0 + i % 7, 0.5))
+    return out + out[:50]
+
+
+def test_ledger_equals_a_plain_fold(spark):
+    """Also over months, with splits, rights, swaps and sales of more than is held."""
+    rows = ledger_rows(3)
+    want = {}
+    for account in range(3):
+        cash, held, fees = 1000.0, 0.0, 0.0
+        for _, _, _, k, q, p, f in sorted({r for r in rows if r[0] == account}, key=lambda r: (r[2], r[1])):
+            if k == "buy":
+                cash, held, fees = cash - q * p - f, held + q, fees + f
+            elif k == "sell":
+                cash, held, fees = cash + min(held, q) * p - f, held - min(held, q), fees + f
+            elif k in ("dividend", "tax"):
+                cash += held * p * (1 if k == "dividend" else -1)
+            elif k == "split":
+                held *= q
+            elif k == "rights":
+                cash, held = cash - held * q * p, held * (1 + q)
+            elif k == "swap_in":
+                held += q
+            elif k == "swap_out":
+                held -= min(held, q)
+        want[account] = (cash, held, fees)
+    for r in jobs.replay_ledger(spark.createDataFrame(rows, LEDGER), ["account"], ["day", "event_id"], 1000.0).collect():
+        assert (r.cash, r.held, r.fees) == pytest.approx(want[r.account])
+
+
+def test_lots_equal_a_plain_fold(spark):
+    rows = [r for r in ledger_rows(5) if r[3] in ("buy", "sell")]
+    want = []
+    for account in range(3):
+        lots = []
+        for _, _, day, k, q, _, _ in sorted({r for r in rows if r[0] == account}, key=lambda r: (r[2], r[1])):
+            if k == "buy":
+                lots.append([day, q])
+            while k == "sell" and q > 0 and lots:
+                take = min(q, lots[0][1])
+                lots[0][1], q = lots[0][1] - take, q - take
+                if not lots[0][1]:
+                    lots.pop(0)
+        want += [(account, d, round(q, 6), d + dt.timedelta(days=1)) for d, q in lots]
+    got = jobs.fifo_lots(spark.createDataFrame(rows, LEDGER), ["account"], ["day", "event_id"]).collect()
+    assert sorted((r.account, r.acquired, round(r.quantity, 6), r.sellable) for r in got) == sorted(want)
+
+
+def test_nested_intervals_give_the_latest_start_that_holds_the_day(spark):
+    rng = random.Random(4)
+    iv = [(k, D(2024, 1, 1) + dt.timedelta(days=a), None if rng.random() < 0.1 else D(2024, 1, 1) + dt.timedelta(days=a + rng.randrange(0, 90))) for k in range(3) for a in rng.sample(range(200), 25)]
+    iv += [(7, D(2024, 1, 1), None), (7, D(2024, 3, 1), D(2024, 4, 30)), (8, D(2024, 5, 1), D(2024, 4, 1)), (8, None, None)]
+    probes = [(k, D(2024, 1, 1) + dt.timedelta(days=i)) for k in (0, 1, 2, 7, 8, 9) for i in range(-3, 300, 7)]
+    got = asof.interval_join(spark.createDataFrame(probes, "code long, at date"), spark.createDataFrame(iv, "code long, start date, end date"), "code", "at", "start", "end")
+    want = set()
+    for k, at in probes:
+        best = max(((s, e) for c, s, e in iv if c == k and s and s <= at and (e is None or at <= e)), key=lambda x: x[0], default=(None, None))
+        want.add((k, at, *best))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_normal_distribution(spark):
+    z = [-7.5, -4.1, -2.5, -1.0, -0.3, 0.0, 0.1, 0.66, 1.96, 3.3, 5.9]
+    df = spark.createDataFrame([(v,) for v in z], "z double").withColumn("p", evidence.normal_cdf(F.col("z"))).withColumn("back", evidence.normal_ppf(F.col("p")))
+    for r in df.collect():
+        assert r.p == pytest.approx(0.5 * math.erfc(-r.z / math.sqrt(2)), rel=1e-12, abs=1e-15)
+        assert r.back == pytest.approx(r.z, abs=1e-8) or r.z > 5
+    q = {0.975: 1.959963984540054, 0.5: 0.0, 0.01: -2.3263478740408408, 1e-6: -4.753424308822899}
+    got = spark.createDataFrame([(v,) for v in q], "p double").select("p", evidence.normal_ppf(F.col("p")).alias("z")).collect()
+    assert all(r.z == pytest.approx(q[r.p], rel=1.2e-9, abs=1e-12) for r in got)
+
+
+def test_overfitting_by_hand(spark):
+    perf = spark.createDataFrame([(t, p, v) for t, vs in {"a": (3.0, 1.0), "b": (1.0, 2.0), "c": (2.0, 3.0)}.items() for p, v in enumerate(vs)], "trial string, period int, performance double")
+    splits = spark.createDataFrame([(0, 0, True), (0, 1, False), (1, 0, False), (1, 1, True)], "split int, period int, inside boolean")
+    got = {r.split: r for r in evidence.pbo(perf, splits).collect()}
+    assert (got[0].trial, got[0].rel_rank, got[0].overfit, got[0].degradation) == ("a", pytest.approx(1 / 3), True, -2.0)
+    assert (got[1].trial, got[1].rel_rank, got[1].overfit, got[1].degradation) == ("c", pytest.approx(2 / 3), False, -1.0)
+    s = evidence.pbo_summary(evidence.pbo(perf, splits)).first()
+    assert (s.splits, s.pbo, s.mean_degradation, s.median_logit) == (2, 0.5, -1.5, pytest.approx(math.log(2)))
+
+
+def test_a_chain_break_is_found_where_it_is(spark):
+    df = spark.createDataFrame([(1, i, f"p{i}") for i in range(8)] + [(2, i, None if i == 3 else "x") for i in range(5)], "day long, event_id long, props string")
+    c = jobs.chain(df, "day", "event_id", "props")
+    assert jobs.first_break(c, "day", "event_id", "props").count() == 0
+    changed = c.withColumn("props", F.when(F.col("event_id") == 4, "other").otherwise(F.col("props")))
+    assert {(r.day, r.first_break) for r in jobs.first_break(changed, "day", "event_id", "props").collect()} == {(1, 4), (2, 4)}
+    again = changed.withColumn("entry_hash", F.when(F.col("event_id") == 4, jobs.entry_hash("props")).otherwise(F.col("entry_hash")))
+    assert {(r.day, r.first_break) for r in jobs.first_break(again, "day", "event_id", "props").collect()} == {(1, 5)}
+
+
+def test_conservation_finds_the_missing_cash(spark):
+    deltas = spark.createDataFrame([("a", D(2024, 1, i), float(i)) for i in range(1, 6)], "k string, day date, delta double")
+    good = spark.createDataFrame([("a", D(2024, 1, 1), 11.0), ("a", D(2024, 1, 5), 25.0), ("b", D(2024, 1, 1), 5.0)], "k string, day date, balance double")
+    got = {r.k: r for r in jobs.conservation(deltas, good, ["k"], "day").collect()}
+    assert (got["a"].total, got["a"].ok, got["b"].ok) == (14.0, True, True)
+    bad = jobs.conservation(deltas, good.withColumn("balance", F.when(F.col("day") == "2024-01-05", 20.0).otherwise(F.col("balance"))), ["k"], "day").where("k = 'a'").first()
+    assert (bad.error, bad.ok) == (-5.0, False)
+
+
+def similar_brute(rows):
+    def edits(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    out = set()
+    for a, x, s in rows:
+        for b, y, t in rows:
+            if a < b and x and y and abs((s - t).days) <= 2:
+                short, long = sorted((x, y), key=len)
+                if x == y or len(short) >= 14 and short in long or len(short) >= 12 and 1 - edits(x, y) / len(long) >= 0.76:
+                    out.add((a, b))
+    return out
+
+
+def test_no_similar_title_is_lost(spark):
+    rng = random.Random(6)
+    words = ["market", "markets", "falls", "bank", "rate", "cut", "a", "by", "surprise", "gains", "oil"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 5)):
+            t[rng.randrange(len(t))] = rng.choice("abc ")
+        t = "".join(t) if rng.random() < 0.8 else " ".join(["".join(t), rng.choice(base)])
+        rows.append((i, " ".join(t.split()), D(2024, 1, 1 + rng.randrange(8))))
+    items = spark.createDataFrame([(i, t, dt.datetime(d.year, d.month, d.day, i % 24)) for i, t, d in rows] + [(900, None, dt.datetime(2024, 1, 1)), (901, "", dt.datetime(2024, 1, 1))], "news_id long, title string, published_at timestamp")
+    pairs = {(r.a, r.b) for r in text_events.similar_pairs(items).collect()}
+    want = similar_brute(rows)
+
+    def closed(edges):
+        root = {i: i for i, _, _ in rows}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+        return {i: find(i) for i in root}
+
+    assert pairs <= want and closed(pairs) == closed(want)
+    events = text_events.cluster_events(items.withColumns({"summary": F.col("title"), "quality": F.lit(0.5)}), text_events.similar_pairs(items)).collect()
+    assert {r.event for r in events} == set(closed(want).values()) | {900, 901}
+
+
+def test_held_sum_equals_the_two_sided_cusum(spark):
+    rng = random.Random(9)
+    v = [rng.gauss(0, 1) for _ in range(60)] + [3.0] * 5
+    got = series.cusum(prices(spark, {1: v}), "close").first()
+    med = sorted(v)[len(v) // 2]
+    mad = sorted(abs(x - med) for x in v)[len(v) // 2] * 1.4826
+    up = down = peak = 0.0
+    for x in v:
+        z = (x - med) / mad
+        up, down = max(0.0, up + z - 0.5), max(0.0, down - z - 0.5)
+        peak = max(peak, up, down)
+    assert got.peak == pytest.approx(peak)
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    rows = lambda a, b: spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), "x", 1.0) for i in range(a, b)], "event_id long, ts timestamp, event_type string, value double")
+    rows(0, 50).write.parquet(str(tmp_path / "e"))
+    run = lambda: jobs.run_to_table(jobs.tumbling(jobs.stream(spark, str(tmp_path / "e")), "ts", "event_type", "value", "1 hour"), str(tmp_path / "w"), "update", ["start", "event_type"])
+    assert run().agg(F.sum("n")).first()[0] == 50
+    rows(50, 80).write.mode("append").parquet(str(tmp_path / "e"))
+    assert run().agg(F.sum("n")).first()[0] == 80 and run().agg(F.sum("n")).first()[0] == 80
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), "x" if i % 3 else "y", float(i)) for i in range(200)], "event_id long, ts timestamp, event_type string, value double")
     df.repartition(3).write.parquet(str(tmp_path / "e"))

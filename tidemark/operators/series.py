@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +96,19 @@ def sma(df: DataFrame, n: int, value: str = "close", out: str | None = None) ->
 
 
 def folded(df: DataFrame, values: list[str], start: str, step: str, date: str = "trade_date", key: str = "code") -> DataFrame:
-    """A fold over each key's series in date order: ``start`` and ``step`` are SQL for the state struct, with x the row struct and s the
+    """A fold over each key's series in date order: ``start`` and ``step`` are SQL for the state struct, with x the row struct and a.s the
     state before it. Gives (key, date, state...). A key's series is one array; series are bounded by their number of dates.
+
+    An array that grows by one item is copied each time, so the states are collected in blocks of about the square root of the series:
+    first the state before each block, then the states within.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("rows"))
-    fold = f"""aggregate(rows, named_struct('out', slice(array(named_struct('{date}', rows[0].{date}, 'v', {start})), 1, 0), 's', {start}),
-      (a, x) -> named_struct('out', concat(a.out, array(named_struct('{date}', x.{date}, 'v', {step}))), 's', {step}), a -> a.out)"""
-    return rows.select(key, F.explode(F.expr(fold)).alias("o")).select(key, f"o.{date}", "o.v.*")
+    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(date, *values))).alias("rows")).withColumn("b", F.ceil(F.sqrt(F.size("rows").cast("double"))).cast("int"))
+    begun = f"""aggregate(sequence(0, size(rows) - 1, b), named_struct('s', {start}, 'out', slice(array({start}), 1, 0)),
+      (a, i) -> named_struct('s', aggregate(slice(rows, i + 1, b), named_struct('s', a.s), (a, x) -> named_struct('s', {step})).s, 'out', concat(a.out, array(a.s))), a -> a.out)"""
+    inner = f"""flatten(transform(begun, (s0, j) -> aggregate(slice(rows, j * b + 1, b), named_struct('s', s0, 'out', slice(array(s0), 1, 0)),
+      (a, x) -> named_struct('s', {step}, 'out', concat(a.out, array(a.s))), a -> concat(slice(a.out, 2, b), array(a.s)))))"""
+    states = rows.withColumn("begun", F.expr(begun)).select(key, "rows", F.expr(inner).alias("states"))
+    return states.select(key, F.explode(F.arrays_zip("rows", "states")).alias("o")).select(key, f"o.rows.{date}", "o.states.*")
 
 
 def ema(df: DataFrame, n: int, value: str = "close", out: str | None = None) -> DataFrame:
@@ -260,10 +268,10 @@ def align_union(df: DataFrame, value: str = "close") -> DataFrame:
     return x.select("code", "trade_date", filled.alias(value))
 
 
-def align_intersect(df: DataFrame) -> DataFrame:
-    """Dates all series share."""
-    n = df.agg(F.countDistinct("code").alias("all"))
-    return df.groupBy("trade_date").agg(F.countDistinct("code").alias("n")).crossJoin(F.broadcast(n)).where("n = all").select("trade_date")
+def align_intersect(df: DataFrame, group: str) -> DataFrame:
+    """Dates all series of a group share."""
+    n = df.groupBy(group).agg(F.countDistinct("code").alias("all"))
+    return df.groupBy(group, "trade_date").agg(F.countDistinct("code").alias("n")).join(n, group).where("n = all").select(group, "trade_date")
 
 
 def gaps(df: DataFrame, days: int, top: int = 20) -> DataFrame:
@@ -356,7 +364,33 @@ def quintile_b(panel: DataFrame, cost: float = 0.001) -> DataFrame:
     kept = x.join(F.broadcast(days), "month").join(prev, ["prev", "bucket", "code"]).groupBy("month", "bucket").agg(F.count(F.lit(1)).alias("kept"))
     g = x.groupBy("month", "bucket").agg(F.avg("fwd").alias("mean"), F.count(F.lit(1)).alias("n")).join(F.broadcast(days), "month").join(kept, ["month", "bucket"], "left")
     turnover = F.when(F.col("prev").isNull(), 1.0).otherwise(1 - F.coalesce("kept", F.lit(0)) / F.col("n"))
-    return g.select("month", "bucket", "mean", turnover.alias("turnover"), (F.col("mean") - cost * turnover).alias("net"))
+    return g.select("month", "bucket", "n", "mean", turnover.alias("turnover"), (F.col("mean") - cost * turnover).alias("net"))
+
+
+def kendall_of(values: list[Column]) -> Column:
+    """Kendall's tau-a of a short list of values against their places."""
+    n = len(values)
+    signs = [F.signum(values[j] - values[i]) for i in range(n - 1) for j in range(i + 1, n)]
+    return sum(signs, F.lit(0.0)) * 2 / (n * (n - 1))
+
+
+def quintile_monotonicity(buckets: DataFrame) -> DataFrame:
+    """month, spread (top less bottom mean), kendall tau-a of the five means and whether each is above the one before, from ``quintile_a``."""
+    m = buckets.groupBy("month").agg(*(F.max(F.when(F.col("bucket") == b, F.col("mean"))).alias(f"m{b}") for b in range(5)))
+    m0, *_, m4 = means = [F.col(f"m{b}") for b in range(5)]
+    rising = reduce(lambda a, b: a & b, (means[i] > means[i - 1] for i in range(1, 5)))
+    return m.select("month", (m4 - m0).alias("spread"), kendall_of(means).alias("kendall_tau"), F.coalesce(rising, F.lit(False)).alias("monotonic"))
+
+
+def quintile_evidence(buckets: DataFrame, least: int = 10) -> DataFrame:
+    """month, spread (top less bottom net mean), monotone correlation of the net means with their places, and the share of months so far whose spread is
+    above zero, from ``quintile_b``. Months with fewer than ``least`` names are left out."""
+    g = buckets.groupBy("month").agg(
+        F.sum("n").alias("n"), F.corr("net", "bucket").alias("monotone"),
+        (F.max(F.when(F.col("bucket") == 4, F.col("net"))) - F.max(F.when(F.col("bucket") == 0, F.col("net")))).alias("spread"),
+    )
+    w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return g.where(F.col("n") >= least).select("month", "spread", "monotone", F.avg((F.col("spread") > 0).cast("double")).over(w).alias("hit_rate"))
 
 
 def rank_turnover(panel: DataFrame) -> DataFrame:
@@ -375,8 +409,11 @@ def cusum(df: DataFrame, value: str = "ret", drift: float = 0.5, alarm: float =
     y = x.join(med, "code")
     mad = y.groupBy("code").agg((F.median(F.abs(F.col(value) - F.col("med"))) * 1.4826).alias("mad"))
     z = y.join(mad, "code").select("code", "trade_date", F.when(F.col("mad") > 0, (F.col(value) - F.col("med")) / F.col("mad")).otherwise(0.0).alias("z"))
-    f = folded(z, ["z"], "named_struct('up', 0D, 'down', 0D)", f"named_struct('up', greatest(0D, a.s.up + x.z - {drift}D), 'down', greatest(0D, a.s.down - x.z - {drift}D))")
-    return f.groupBy("code").agg(F.max(F.greatest("up", "down")).alias("peak")).withColumn("alarm", F.col("peak") >= alarm)
+    # A sum held at zero from below is the free sum less its smallest value so far.
+    w = over().rowsBetween(Window.unboundedPreceding, 0)
+    free = z.select("code", "trade_date", F.sum(F.col("z") - drift).over(w).alias("u"), F.sum(-F.col("z") - drift).over(w).alias("d"))
+    held = free.select("code", *((F.col(c) - F.least(F.lit(0.0), F.min(c).over(w))).alias(c) for c in ("u", "d")))
+    return held.groupBy("code").agg(F.max(F.greatest("u", "d")).alias("peak")).withColumn("alarm", F.col("peak") >= alarm)
 
 
 def streak_monitor(ic: DataFrame, periods: int = 6) -> DataFrame:
@@ -460,12 +497,44 @@ def indicator_row(df: DataFrame, value: str = "close") -> DataFrame:
     return g.select("code", "l.*", "vol", "max_drawdown", "sharpe", "win_rate")
 
 
-def technical_trend(df: DataFrame, value: str = "close") -> DataFrame:
-    """Score 50 +- 20 (price over MA20) +- 15 (MA5 over MA20) +- 10 (20-day move) -> five trends; fewer than 30 bars are insufficient."""
-    a, b, back = F.avg(value).over(frame(5)), F.avg(value).over(frame(20)), F.lag(value, 20).over(over())
-    x = df.select("code", "trade_date", F.row_number().over(over()).alias("n"), (50 + 20 * F.signum(F.col(value) - b) + 15 * F.signum(a - b) + 10 * F.signum(F.col(value) - back)).alias("s"))
-    t = F.when(F.col("n") < 30, "insufficient").when(F.col("s") >= 95, "strong_up").when(F.col("s") <= 5, "strong_down").when(F.col("s") >= 60, "up").when(F.col("s") <= 40, "down").otherwise("flat")
-    return x.select("code", "trade_date", t.alias("trend"))
+def kdj_whole(df: DataFrame) -> DataFrame:
+    """K and D over nine bars, from the first bar on (shorter windows at the start)."""
+    hi, lo = F.max("high").over(over().rowsBetween(-8, 0)), F.min("low").over(over().rowsBetween(-8, 0))
+    x = df.select("code", "trade_date", F.when(hi > lo, (F.col("close") - lo) / (hi - lo) * 100).otherwise(50.0).alias("rsv"))
+    k = "a.s.k * 2 / 3 + x.rsv / 3"
+    return folded(x, ["rsv"], "named_struct('k', 50D, 'd', 50D)", f"named_struct('k', {k}, 'd', a.s.d * 2 / 3 + ({k}) / 3)")
+
+
+def technical_score(df: DataFrame) -> DataFrame:
+    """Score of each day's bar from MA20, MA5, MACD, RSI12 and KDJ, the trend it stands for, and the risks: heat and weakness by RSI12, the Bollinger bands, a mean
+    true range of 5 % or more, thin volume. Fewer than 30 bars are insufficient (score 0)."""
+    v, prev = F.col("close"), F.lag("close").over(over())
+    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
+    x = df.select("code", "trade_date", v, "volume", F.row_number().over(over()).alias("n"), F.avg("close").over(frame(5)).alias("ma5"), F.avg("close").over(frame(20)).alias("ma20"), F.stddev_pop("close").over(frame(20)).alias("sd"), F.when(prev.isNotNull(), true_range).alias("tr"))
+    x = x.withColumn("atr", F.avg("tr").over(frame(14)) / v).withColumn("ratio", F.avg("volume").over(frame(5)) / F.nullif(F.avg("volume").over(over().rowsBetween(-24, -5)), F.lit(0.0)))
+    x = x.join(macd(df).select("code", "trade_date", "dif", "dea"), ["code", "trade_date"]).join(rsi(df, 12), ["code", "trade_date"], "left").join(kdj_whole(df), ["code", "trade_date"])
+    up = lambda c: F.when(c, 1).otherwise(-1)
+    r = F.col("rsi")
+    score = up(v > F.col("ma20")) + up(F.col("ma5") > F.col("ma20")) + up(F.col("dif") > F.col("dea")) + F.when(r.between(50, 70), 1).when(r < 40, -1).otherwise(0) + up(F.col("k") > F.col("d"))
+    enough = F.col("n") >= 30
+    x = x.withColumn("score", F.when(enough, score).otherwise(0))
+    s = F.col("score")
+    trend = F.when(~enough, "insufficient").when(s >= 4, "strong_bullish").when(s >= 2, "bullish").when(s <= -4, "strong_bearish").when(s <= -2, "bearish").otherwise("neutral")
+    band = 2 * F.col("sd")
+    risks = F.array_compact(F.array(
+        F.when(r > 70, "hot").when(r < 30, "weak"), F.when(v >= F.col("ma20") + band, "upper_band").when(v <= F.col("ma20") - band, "lower_band"),
+        F.when(F.col("atr") >= 0.05, "volatile"), F.when(F.col("ratio") < 0.6, "thin_volume"),
+    ))
+    return x.select("code", "trade_date", "score", trend.alias("trend"), F.when(enough, F.array_join(risks, ",")).otherwise("few_bars").alias("risks"))
+
+
+def trend_signal(df: DataFrame) -> DataFrame:
+    """Votes of price over MA20, MA20 over MA60 and DIF over DEA, each for or against: strong from two on. Fewer than 20 bars are neutral."""
+    x = df.select("code", "trade_date", "close", F.row_number().over(over()).alias("n"), F.avg("close").over(frame(20)).alias("a"), F.avg("close").over(frame(60)).alias("b"))
+    x = x.join(macd(df).select("code", "trade_date", "dif", "dea"), ["code", "trade_date"])
+    s = F.when(F.col("close") >= F.col("a"), 1).otherwise(-1) + F.when(F.col("n") < 60, 0).when(F.col("a") >= F.col("b"), 1).otherwise(-1) + F.when(F.col("dif") > F.col("dea"), 1).otherwise(-1)
+    signal = F.when(F.col("n") < 20, "neutral").when(s >= 2, "strong_up").when(s == 1, "up").when(s == -1, "down").when(s <= -2, "strong_down").otherwise("neutral")
+    return x.select("code", "trade_date", signal.alias("signal"))
 
 
 def time_decay(df: DataFrame, top: int = 12) -> DataFrame:

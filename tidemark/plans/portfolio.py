@@ -13,7 +13,7 @@ from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, REVISIONS, bars, members, r6, revisions, table
 from tidemark.plans.evidence import CLIP, IC, RAW, clipped, ic, raw_panel
 from tidemark.plans.relational import POSITIONS, positions
-from tidemark.plans.series import FWD, RET, panel, rets
+from tidemark.plans.series import MACD, NUMBERED, FWD, RET, panel, rets
 from tidemark.sources import lake as L
 
 QUERIES: dict = {}
@@ -270,11 +270,11 @@ def _(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.round(rate, 6).alias("pass_rate"), all_.alias("conservative"), ((rate >= 0.5) & all_).alias("passed"))
 
 
-@q("win_trend_signal", f"WITH {BARS}, x AS (SELECT code, trade_date, row_number() OVER w AS n, close AS v, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING) AS a, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING) AS b FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date)) SELECT code, trade_date, CASE CAST(sign(v - a) + sign(v - b) + sign(a - b) AS INTEGER) WHEN 3 THEN 'strong_up' WHEN 1 THEN 'up' WHEN -1 THEN 'down' WHEN -3 THEN 'strong_down' ELSE 'flat' END AS signal FROM x WHERE n >= 60")
+@q("win_trend_signal", f"""{NUMBERED}, {MACD}, x AS (SELECT code, i, trade_date, close AS v, avg(close) OVER (PARTITION BY code ORDER BY i ROWS 19 PRECEDING) AS a, avg(close) OVER (PARTITION BY code ORDER BY i ROWS 59 PRECEDING) AS b FROM n),
+ s AS (SELECT x.*, CASE WHEN v >= a THEN 1 ELSE -1 END + CASE WHEN x.i < 60 THEN 0 WHEN a >= b THEN 1 ELSE -1 END + CASE WHEN f - g > dea THEN 1 ELSE -1 END AS s FROM x JOIN mf ON mf.code = x.code AND mf.i = x.i)
+ SELECT code, trade_date, CASE WHEN i < 20 THEN 'neutral' WHEN s >= 2 THEN 'strong_up' WHEN s = 1 THEN 'up' WHEN s = -1 THEN 'down' WHEN s <= -2 THEN 'strong_down' ELSE 'neutral' END AS signal FROM s""")
 def _(spark, d):
-    a, b, v = F.avg("close").over(S.frame(20)), F.avg("close").over(S.frame(60)), F.col("close")
-    x = bars(spark, d).select("code", "trade_date", F.row_number().over(S.over()).alias("n"), (F.signum(v - a) + F.signum(v - b) + F.signum(a - b)).cast("int").alias("s")).where("n >= 60")
-    return x.select("code", "trade_date", F.when(F.col("s") == 3, "strong_up").when(F.col("s") == 1, "up").when(F.col("s") == -1, "down").when(F.col("s") == -3, "strong_down").otherwise("flat").alias("signal"))
+    return S.trend_signal(bars(spark, d))
 
 
 @q("top_walkforward_score", f"WITH {FWD}, f AS (SELECT *, extract(year FROM month) AS fold FROM panel WHERE score IS NOT NULL), g AS (SELECT fold, code, avg(score) AS s, count(*) AS n FROM f GROUP BY 1, 2 HAVING count(*) >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY s DESC, code) AS k FROM g WHERE s > 0) SELECT fold, code, round(s, 6) AS score FROM k WHERE k <= 10")

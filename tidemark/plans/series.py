@@ -240,9 +240,16 @@ def _(spark, d):
     return S.align_union(bars(spark, d)).select(*KEY, F.round(F.log("close"), 6).alias("close"))
 
 
-@q("win_align_intersect", f"WITH {BARS}, few AS (SELECT * FROM bars WHERE code <= 3) SELECT trade_date FROM few GROUP BY 1 HAVING count(DISTINCT code) = (SELECT count(DISTINCT code) FROM few)")
+@q("win_align_intersect", """WITH m AS (SELECT l_partkey AS code, l_returnflag || l_linestatus AS market, CAST(date_trunc('year', l_shipdate) AS DATE) AS trade_date FROM lineitem GROUP BY 1, 2, 3)
+ SELECT market, trade_date FROM m GROUP BY 1, 2 HAVING count(DISTINCT code) = (SELECT count(DISTINCT code) FROM m x WHERE x.market = m.market)
+ UNION ALL SELECT market, trade_date FROM (SELECT s_nationkey % 5 || '' AS market, l_suppkey AS code, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3) y GROUP BY 1, 2
+ HAVING count(DISTINCT code) = (SELECT count(DISTINCT l_suppkey) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey % 5 || '' = y.market)""")
 def _(spark, d):
-    return S.align_intersect(bars(spark, d).where("code <= 3"))
+    """The years shared by all parts of a market, and the months shared by all suppliers of one: every series takes part."""
+    lines = table(spark, d, "lineitem")
+    parts = lines.select(F.col("l_partkey").alias("code"), F.concat("l_returnflag", "l_linestatus").alias("market"), F.trunc("l_shipdate", "YYYY").alias("trade_date")).distinct()
+    months = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_suppkey").alias("code"), (F.col("s_nationkey") % 5).cast("string").alias("market"), F.trunc("l_shipdate", "MM").alias("trade_date")).distinct()
+    return S.align_intersect(parts, "market").unionByName(S.align_intersect(months, "market"))
 
 
 @q("win_gap_detect", f"WITH {BARS}, x AS (SELECT code, trade_date, CAST(date_diff('day', lag(trade_date) OVER w, trade_date) AS INTEGER) AS gap FROM bars {ROWW}) SELECT * FROM x WHERE gap > 7 ORDER BY gap DESC, code, trade_date LIMIT 20")
@@ -314,20 +321,28 @@ def panel(spark, d):
     return m.select("code", "month", "close", "volume", (F.col("close") / F.lag("close").over(w) - 1).alias("score"), (F.lead("close").over(w) / F.col("close") - 1).alias("fwd"))
 
 
-@q("win_quintile_a", f"""WITH {FWD}, x AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY month ORDER BY score, code) - 1) * 5 / count(*) OVER (PARTITION BY month)) AS INTEGER) AS bucket, count(*) OVER (PARTITION BY month) AS n FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL)
- SELECT month, least(bucket, 4) AS bucket, round(avg(fwd), 6) AS mean FROM x WHERE n >= 10 GROUP BY 1, 2""")
+@q("win_quintile_a", f"""WITH {FWD}, x AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY month ORDER BY score, code) - 1) * 5 / count(*) OVER (PARTITION BY month)) AS INTEGER) AS bucket, count(*) OVER (PARTITION BY month) AS n FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL),
+ g AS (SELECT month, least(bucket, 4) AS bucket, avg(fwd) AS mean FROM x WHERE n >= 10 GROUP BY 1, 2),
+ e AS (SELECT a.month, sum(CASE WHEN b.bucket > a.bucket THEN sign(b.mean - a.mean) ELSE 0 END) * 2 / 20.0 AS tau, max(b.mean - a.mean) FILTER (WHERE a.bucket = 0 AND b.bucket = 4) AS spread, count(*) FILTER (WHERE b.bucket = a.bucket + 1 AND b.mean > a.mean) = 4 AS monotonic FROM g a JOIN g b USING (month) GROUP BY 1)
+ SELECT month, bucket, round(mean, 6) AS mean, round(spread, 6) AS spread, round(tau, 6) AS kendall_tau, monotonic FROM g JOIN e USING (month)""")
 def _(spark, d):
-    return S.quintile_a(panel(spark, d)).select("month", "bucket", *r6("mean"))
+    g = S.quintile_a(panel(spark, d))
+    return g.join(S.quintile_monotonicity(g), "month").select("month", "bucket", *r6("mean", "spread", "kendall_tau"), "monotonic")
 
 
 @q("win_quintile_b", f"""WITH {FWD}, x AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score, code) - 1 AS p, count(*) OVER (PARTITION BY month) AS n FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL),
- y AS (SELECT *, (p >= n * 1 // 5)::INT + (p >= n * 2 // 5)::INT + (p >= n * 3 // 5)::INT + (p >= n * 4 // 5)::INT AS bucket FROM x),
+ y AS (SELECT *, (p >= n * 1 // 5)::INT + (p >= n * 2 // 5)::INT + (p >= n * 3 // 5)::INT + (p >= n * 4 // 5)::INT AS bucket FROM x WHERE n >= 10),
  g AS (SELECT month, bucket, avg(fwd) AS mean, count(*) AS n FROM y GROUP BY 1, 2), ms AS (SELECT month, lag(month) OVER (ORDER BY month) AS prev FROM (SELECT DISTINCT month FROM y)),
- o AS (SELECT a.month, a.bucket, count(*) AS kept FROM y a JOIN ms USING (month) JOIN y b ON b.month = ms.prev AND b.bucket = a.bucket AND b.code = a.code GROUP BY 1, 2)
- SELECT g.month, g.bucket, round(mean, 6) AS mean, round(CASE WHEN ms.prev IS NULL THEN 1.0 ELSE 1 - coalesce(kept, 0) / n END, 6) AS turnover, round(mean - 0.001 * CASE WHEN ms.prev IS NULL THEN 1.0 ELSE 1 - coalesce(kept, 0) / n END, 6) AS net
- FROM g JOIN ms USING (month) LEFT JOIN o ON o.month = g.month AND o.bucket = g.bucket""")
+ o AS (SELECT a.month, a.bucket, count(*) AS kept FROM y a JOIN ms USING (month) JOIN y b ON b.month = ms.prev AND b.bucket = a.bucket AND b.code = a.code GROUP BY 1, 2),
+ q AS (SELECT g.month, g.bucket, mean, CASE WHEN ms.prev IS NULL THEN 1.0 ELSE 1 - coalesce(kept, 0) / n END AS turnover FROM g JOIN ms USING (month) LEFT JOIN o ON o.month = g.month AND o.bucket = g.bucket), w AS (SELECT *, mean - 0.002 * turnover AS net FROM q),
+ e AS (SELECT month, max(net) FILTER (WHERE bucket = 4) - max(net) FILTER (WHERE bucket = 0) AS spread, corr(net, bucket) AS monotone FROM w GROUP BY 1), h AS (SELECT *, avg(CASE WHEN spread > 0 THEN 1.0 ELSE 0 END) OVER (ORDER BY month) AS hit_rate FROM e)
+ SELECT month, bucket, round(mean, 6) AS mean, round(turnover, 6) AS turnover, round(net, 6) AS net, round(spread, 6) AS spread, round(monotone, 6) AS monotone, round(hit_rate, 6) AS hit_rate FROM w JOIN h USING (month)""")
 def _(spark, d):
-    return S.quintile_b(panel(spark, d)).select("month", "bucket", *r6("mean", "turnover", "net"))
+    """Costs are paid both ways: twice the one-way rate of 0.1 %."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("month"))
+    enough = panel(spark, d).where("score is not null and fwd is not null").withColumn("names", n).where("names >= 10").drop("names")
+    g = S.quintile_b(enough, 0.002)
+    return g.join(S.quintile_evidence(g), "month").select("month", "bucket", *r6("mean", "turnover", "net", "spread", "monotone", "hit_rate"))
 
 
 @q("win_rank_turnover", f"""WITH {FWD}, ms AS (SELECT month, lag(month) OVER (ORDER BY month) AS prev FROM (SELECT DISTINCT month FROM panel WHERE score IS NOT NULL)),
@@ -382,12 +397,12 @@ def _(spark, d):
     return S.apply_costs(x, trades, 0.0015).select(*KEY, *r6("net"))
 
 
-@q("win_index_benchmark", f"""WITH {BARS}, ix AS (SELECT trade_date, sum(amount) / sum(volume) AS close FROM bars WHERE code <= 5 GROUP BY 1), cal AS (SELECT DISTINCT trade_date FROM bars),
+@q("win_index_benchmark", f"""WITH {BARS}, ix AS (SELECT trade_date, sum(amount) / sum(volume) AS close FROM bars GROUP BY 1), cal AS (SELECT DISTINCT trade_date FROM bars),
  f AS (SELECT c.trade_date, i.close FROM cal c ASOF LEFT JOIN ix i ON c.trade_date >= i.trade_date), b AS (SELECT min_by(close, trade_date) AS base FROM f WHERE trade_date >= DATE '1996-01-01')
  SELECT trade_date, round(CASE WHEN trade_date < DATE '1996-01-01' THEN 1.0 ELSE close / base END, 6) AS curve FROM f, b""")
 def _(spark, d):
     b = bars(spark, d)
-    ix = b.where("code <= 5").groupBy("trade_date").agg((F.sum("amount") / F.sum("volume")).alias("close"))
+    ix = b.groupBy("trade_date").agg((F.sum("amount") / F.sum("volume")).alias("close"))
     return S.index_benchmark(b.select("trade_date").distinct(), ix, "1996-01-01").select("trade_date", *r6("curve"))
 
 
@@ -425,10 +440,25 @@ def _(spark, d):
     return x.select("code", "trade_date", *r6("r20", "r60", "r250", "vol", "max_drawdown", "sharpe", "win_rate"), F.round("ma20", 4).alias("ma20"), F.round("ma60", 4).alias("ma60"))
 
 
-@q("win_technical_score", f"""WITH {BARS}, x AS (SELECT code, trade_date, close, row_number() OVER w AS n, lag(close, 20) OVER w AS back, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 4 PRECEDING) AS a, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING) AS b FROM bars {ROWW})
- SELECT code, trade_date, CASE WHEN n < 30 THEN 'insufficient' ELSE CASE 50 + 20 * CAST(sign(close - b) AS INTEGER) + 15 * CAST(sign(a - b) AS INTEGER) + 10 * CAST(sign(close - back) AS INTEGER) WHEN 95 THEN 'strong_up' WHEN 5 THEN 'strong_down' ELSE CASE WHEN 50 + 20 * sign(close - b) + 15 * sign(a - b) + 10 * sign(close - back) >= 60 THEN 'up' WHEN 50 + 20 * sign(close - b) + 15 * sign(a - b) + 10 * sign(close - back) <= 40 THEN 'down' ELSE 'flat' END END END AS trend FROM x""")
+MACD = """mf AS (SELECT code, i, trade_date, close AS f, close AS g, CAST(0 AS DOUBLE) AS dea FROM n WHERE i = 1 UNION ALL SELECT n.code, n.i, n.trade_date, 2.0 / 13 * n.close + (1 - 2.0 / 13) * mf.f, 2.0 / 27 * n.close + (1 - 2.0 / 27) * mf.g,
+  2.0 / 10 * ((2.0 / 13 * n.close + (1 - 2.0 / 13) * mf.f) - (2.0 / 27 * n.close + (1 - 2.0 / 27) * mf.g)) + (1 - 2.0 / 10) * mf.dea FROM mf JOIN n ON n.code = mf.code AND n.i = mf.i + 1)"""
+
+
+@q("win_technical_score", f"""{NUMBERED}, {MACD}, mv AS (SELECT code, trade_date, i - 1 AS i, close - lag(close) OVER w AS d FROM n WINDOW w AS (PARTITION BY code ORDER BY i)),
+ rs AS (SELECT code, 12 AS i, max(trade_date) AS trade_date, sum(greatest(d, 0)) / 12 AS up, sum(greatest(-d, 0)) / 12 AS down FROM mv WHERE i BETWEEN 1 AND 12 GROUP BY code HAVING count(*) = 12),
+ rf AS (SELECT code, CAST(i AS BIGINT) AS i, trade_date, up, down FROM rs UNION ALL SELECT mv.code, mv.i, mv.trade_date, (rf.up * 11 + greatest(d, 0)) / 12, (rf.down * 11 + greatest(-d, 0)) / 12 FROM rf JOIN mv ON mv.code = rf.code AND mv.i = rf.i + 1),
+ hl AS (SELECT code, i, trade_date, close, max(high) OVER k AS hi, min(low) OVER k AS lo FROM n WINDOW k AS (PARTITION BY code ORDER BY i ROWS 8 PRECEDING)), rv AS (SELECT code, i, trade_date, CASE WHEN hi > lo THEN (close - lo) / (hi - lo) * 100 ELSE 50 END AS rsv FROM hl),
+ kd AS (SELECT code, i, 50e0 * 2 / 3 + rsv / 3 AS k, 50e0 * 2 / 3 + (50e0 * 2 / 3 + rsv / 3) / 3 AS d FROM rv WHERE i = 1 UNION ALL SELECT rv.code, rv.i, kd.k * 2 / 3 + rsv / 3, kd.d * 2 / 3 + (kd.k * 2 / 3 + rsv / 3) / 3 FROM kd JOIN rv ON rv.code = kd.code AND rv.i = kd.i + 1),
+ t AS (SELECT *, CASE WHEN i > 1 THEN greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM n WINDOW w AS (PARTITION BY code ORDER BY i)),
+ m AS (SELECT code, i, trade_date, close, avg(close) OVER (PARTITION BY code ORDER BY i ROWS 4 PRECEDING) AS ma5, avg(close) OVER b AS ma20, stddev_pop(close) OVER b AS sd, avg(tr) OVER (PARTITION BY code ORDER BY i ROWS 13 PRECEDING) / close AS atr,
+  avg(volume) OVER (PARTITION BY code ORDER BY i ROWS 4 PRECEDING) / nullif(avg(volume) OVER (PARTITION BY code ORDER BY i ROWS BETWEEN 24 PRECEDING AND 5 PRECEDING), 0) AS ratio FROM t WINDOW b AS (PARTITION BY code ORDER BY i ROWS 19 PRECEDING)),
+ j AS (SELECT m.*, CASE WHEN rf.down = 0 THEN CASE WHEN rf.up = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + rf.up / rf.down) END AS rsi, CASE WHEN mf.f - mf.g > mf.dea THEN 1 ELSE -1 END AS macd, CASE WHEN kd.k > kd.d THEN 1 ELSE -1 END AS kdj
+  FROM m JOIN mf ON mf.code = m.code AND mf.i = m.i JOIN kd ON kd.code = m.code AND kd.i = m.i LEFT JOIN rf ON rf.code = m.code AND rf.trade_date = m.trade_date),
+ s AS (SELECT *, CASE WHEN i < 30 THEN 0 ELSE CASE WHEN close > ma20 THEN 1 ELSE -1 END + CASE WHEN ma5 > ma20 THEN 1 ELSE -1 END + macd + CASE WHEN rsi BETWEEN 50 AND 70 THEN 1 WHEN rsi < 40 THEN -1 ELSE 0 END + kdj END AS score FROM j)
+ SELECT code, trade_date, score, CASE WHEN i < 30 THEN 'insufficient' WHEN score >= 4 THEN 'strong_bullish' WHEN score >= 2 THEN 'bullish' WHEN score <= -4 THEN 'strong_bearish' WHEN score <= -2 THEN 'bearish' ELSE 'neutral' END AS trend,
+  CASE WHEN i < 30 THEN 'few_bars' ELSE concat_ws(',', CASE WHEN rsi > 70 THEN 'hot' WHEN rsi < 30 THEN 'weak' END, CASE WHEN close >= ma20 + 2 * sd THEN 'upper_band' WHEN close <= ma20 - 2 * sd THEN 'lower_band' END, CASE WHEN atr >= 0.05 THEN 'volatile' END, CASE WHEN ratio < 0.6 THEN 'thin_volume' END) END AS risks FROM s""")
 def _(spark, d):
-    return S.technical_trend(bars(spark, d))
+    return S.technical_score(bars(spark, d))
 
 
 @q("win_time_decay", """WITH e AS (SELECT user_id AS code, event_id, CASE WHEN event_id % 3 = 0 THEN -value ELSE value END AS score, date_diff('second', ts, TIMESTAMP '2024-02-01') / 86400.0 AS age, 7 + 7 * (event_id % 3) AS horizon FROM events),
