@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytetext import NOT_SPACE, U64, Rolling, Slice, mix, signed, slices
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import distinct_texts, materialize, release
 
 ROUNDS = 7
 LONGEST_SYMBOL = 24
@@ -227,23 +227,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns a row per input row: id, n_words, n_removed, kept_sha256 (words joined by one space), and kept_text on request.
     A null text has no words. A row with a null id keeps all its words and removes none elsewhere. Rows with the same id do not
-    remove each other's words; a row that repeats id and text gets the same result again. Other columns are ignored.
+    remove each other's words; a row that repeats id and text gets the same result again, and is looked at once. Other columns are
+    ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.withColumn("key", F.xxhash64("id", "text"))
-    occ = materialize(src.where("id is not null").mapInArrow(_block_rows(window), "key long, id long, a long, k long, s int, c int"), "blocks")
+    once = distinct_texts(src).withColumn("key", F.xxhash64("text"))
+    occ = materialize(once.mapInArrow(_block_rows(window), "key long, id long, a long, k long, s int, c int"), "blocks")
     groups = occ.groupBy("a", "k").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     groups = materialize(groups, "groups")
     split = groups.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", F.lit(True).alias("split"))
     wanted = groups.join(split, "a", "left").where("split or first < last").select("a", "k", "first", F.coalesce("split", F.lit(False)).alias("split"))
     met = materialize(occ.join(wanted, ["a", "k"]).where("id > first or split").select("key", "id", "a", "s", "c", "first"), "met")
-    listed = met.where("id = first").groupBy("key").agg(F.collect_list(F.struct("a", "s", "c")).alias("listed"))
-    single = src.where("id is not null").join(listed, "key")
+    listed = met.where("id = first").groupBy("id", "key").agg(F.collect_list(F.struct("a", "s", "c")).alias("listed"))
+    single = once.join(listed, ["id", "key"])
     windows = materialize(single.select("key", "id", "text", "listed").mapInArrow(_window_rows(window), "key long, id long, a long, w long, s int"), "windows")
+    release(occ, groups)
     earliest = windows.groupBy("a", "w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    again = windows.join(earliest, ["a", "w"]).where("id > first").select("key", "s", F.lit(1).alias("c"))
-    covers = met.where("id > first").select("key", "s", "c").unionByName(again)
-    covers = covers.groupBy("key").agg(F.collect_list(F.struct("s", "c")).alias("listed"))
-    out = src.join(covers, "key", "left").select("id", "text", "listed")
+    again = windows.join(earliest, ["a", "w"]).where("id > first").select("id", "key", "s", F.lit(1).alias("c"))
+    covers = met.where("id > first").select("id", "key", "s", "c").unionByName(again)
+    covers = covers.groupBy("id", "key").agg(F.collect_list(F.struct("s", "c")).alias("listed"))
+    out = src.withColumn("key", F.xxhash64("text")).join(covers, ["id", "key"], "left").select("id", "text", "listed")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return out.mapInArrow(_kept_rows(window, with_text), schema).withColumnRenamed("id", id_col)
