@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytetext import ALNUM, Slice, hash_words, slices, split_words
+from tidemark.llm.bytetext import ALNUM, Rolling, Slice, hash_words, mix, signed, slices, split_words
 from tidemark.llm.folds import held_out, sigmoid, training_rows
+from tidemark.llm.storage import materialize, release
 
 FUZZY_LENGTH = 6
 STEM_LENGTHS = range(4, 8)
 STEM_WORDS = 3
-MOST_TERMS = 400
 WINDOW_BYTES = 80
 #: Quotation marks in UTF-8 (the last byte of typographic ones is enough beside the first) and words of address.
 QUOTES = b'"'
@@ -46,7 +46,7 @@ def choose_terms(counts: dict[bytes, tuple[int, int]], support: int, precision:
         if not any(t[:n] + b"*" in stems for n in STEM_LENGTHS if n < len(t) - 1):
             stems.add(t)
     kept += stems
-    return sorted(kept, key=lambda t: (-counts[t][0], t))[:MOST_TERMS]
+    return sorted(kept, key=lambda t: (-counts[t][0], t))
 
 
 class Automaton:
@@ -198,20 +198,27 @@ class Model:
         return np.concatenate(out)
 
 
-def _term_counts(only: set[bytes] | None, label: int | None):
-    """Texts per term and label in each batch, of the given terms or of all."""
+def _signed_rows(batches):
+    """Each training text with a signature that copies mostly share, also near ones: its smallest hash of three words."""
+    for batch in batches:
+        out = np.zeros(batch.num_rows, dtype=np.int64)
+        for part in slices(batch.column(0), ALNUM, True):
+            h, n = part.hashes(), part.counts()
+            at = np.flatnonzero(n > 0)
+            if len(at):
+                grams = mix(Rolling(mix(h)).of(np.arange(len(h)), np.minimum(np.arange(len(h)) + 3, np.repeat(part.first[1:], n))))
+                out[part.row + at] = signed(np.minimum.reduceat(grams, part.first[:-1][at]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["text", "label", "signature"])
 
-    def run(batches):
-        for batch in batches:
-            met: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if label is None or y == label:
-                    t = terms_of(text)
-                    met[int(y)].update(t if only is None else t & only)
-            keys = sorted(met[0].keys() | met[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([met[1][k] for k in keys], pa.int64()), pa.array([met[0][k] for k in keys], pa.int64())], ["term", "toxic", "clean"])
 
-    return run
+def _term_counts(batches):
+    """Texts per term and label in each batch."""
+    for batch in batches:
+        met: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            met[int(y)].update(terms_of(text))
+        keys = sorted(met[0].keys() | met[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([met[1][k] for k in keys], pa.int64()), pa.array([met[0][k] for k in keys], pa.int64())], ["term", "toxic", "clean"])
 
 
 def _feature_rows(terms: list[bytes]):
@@ -227,17 +234,18 @@ def _feature_rows(terms: list[bytes]):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, support: int = 8, precision: float = 0.97) -> Model:
-    """Learn lexicon and weights from about ``most_rows`` labelled rows outside the held-out fold. Without any, the lexicon is empty and every score is 0.5 or less."""
+    """Learn lexicon and weights from about ``most_rows`` labelled rows outside the held-out fold. Without any, the lexicon is empty and
+    every score is 0.5 or less. Of copies of one text mostly one teaches, so that a copied document's words are not taken for a
+    vocabulary. An id with several labels is toxic if one says so; rows that repeat an id teach with each of their texts."""
     rows = training_rows(docs, labels, id_col, text_col, label_col, most_rows).select("text", F.col("label").cast("int").alias("label"))
-    rows = rows.persist()
-    schema = "term binary, toxic long, clean long"
-    total = lambda df: df.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = total(rows.where("label = 1").mapInArrow(_term_counts(None, 1), schema)).where(F.col("toxic") >= support)
-    candidates = {bytes(r.term) for r in often.orderBy(F.desc("toxic"), "term").limit(50_000).collect()}
-    counts = total(rows.mapInArrow(_term_counts(candidates, None), schema)).where(F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))
+    rows = rows.mapInArrow(_signed_rows, "text string, label int, signature long").groupBy("label", "signature").agg(F.min("text").alias("text"))
+    rows = materialize(rows.select("text", "label"), "training")
+    counts = rows.mapInArrow(_term_counts, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # As many as the bounded sample supports.
+    counts = counts.where((F.col("toxic") >= support) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean"))))
     terms = choose_terms({bytes(r.term): (r.toxic, r.clean) for r in counts.collect()}, support, precision)
     got = rows.mapInArrow(_feature_rows(terms), "a double, b double, c double, d double, e double, f double, y double").toPandas().to_numpy(dtype=float)
-    rows.unpersist()
+    release(rows)
     x = design(got[:, :6]) if len(got) else design(np.zeros((1, 6)))
     y = got[:, 6] if len(got) else np.zeros(1)
     return Model(terms, fit_logistic(x, y))
@@ -264,7 +272,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with their columns, whatever these are called. Null and empty texts stay; repeated
+    rows stay or go together; an empty table stays empty."""
     at = docs.columns.index(text_col)
 
     def run(batches):
