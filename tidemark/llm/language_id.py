@@ -37,13 +37,10 @@ def buckets(data: np.ndarray, n: int) -> np.ndarray:
     return ((x * np.uint32(0x85EBCA77)) >> np.uint32(17)).astype(np.int32)
 
 
-def bag(text: str, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of one training text and their shares; of more than ``most`` buckets the most frequent ones teach."""
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of one whole training text and their shares."""
     data = LOWER[np.frombuffer(text.encode(), dtype=np.uint8)]
     ids, n = np.unique(np.concatenate([buckets(data, k) for k in SIZES]), return_counts=True)
-    if len(ids) > most:
-        top = np.sort(np.argsort(-n, kind="stable")[:most])
-        ids, n = ids[top], n[top]
     return ids, n / max(1, n.sum())
 
 
