@@ -25,8 +25,15 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "apache-notice": "Licensed under the Apache License, Version 2.0",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "mit-opening": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "boost": "Boost Software License - Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "gpl-notice": "This work is licensed under the GNU General Public License, version 3",
     "gpl-program": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -34,9 +41,11 @@ TEMPLATES = {
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
 }
 GRAM, SHORT_GRAM = 3, 2
-#: Diagonals this far apart are neighbours; merged spans need this share of the template's grams.
+#: Diagonals this far apart are neighbours; merged spans need this share of the template's grams, and beside the template's words
+#: may hold this share of them again (and twice the drift) as words in between.
 DRIFT = 3
 COVERAGE = 0.7
+BETWEEN = 0.5
 
 
 def template_rows() -> list[tuple[str, str, bool, int, int, int, str]]:
@@ -100,12 +109,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base phrases and license passages of each document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is the largest verified share of a template, 1 for a base phrase, 0 without any. One row per input row, repeated
-    rows included. Null and empty texts have no words, null places and empty labels. Null ids stay null. Other columns are ignored.
+    rows included. A passage with at most ``BETWEEN`` of a template's words inserted counts. Null and empty texts have no words, null
+    places and empty labels. Null ids stay null. Other columns are ignored.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.xxhash64("id", "text").alias("key"), "text")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).select("id", F.struct(F.xxhash64("id", "text").alias("a"), F.xxhash64("text", "id").alias("b")).alias("key"), "text")
     table = [(r[4], gram_hash(r[-1])) for r in template_rows()]
     wanted = {k: np.unique(np.array([h for x, h in table if x == k], dtype=np.int64)) for k in sorted({k for k, _ in table})}
-    grams = materialize(src.mapInArrow(_gram_rows(wanted), "id long, key long, n_words long, grams array<struct<p:int,k:int,h:long,g:string>>"), "grams")
+    grams = materialize(src.mapInArrow(_gram_rows(wanted), "id long, key struct<a:long,b:long>, n_words long, grams array<struct<p:int,k:int,h:long,g:string>>"), "grams")
     met = grams.where(F.size("grams") > 0).dropDuplicates(["key"]).select("key", F.explode("grams").alias("x")).select("key", "x.*")
     votes = met.join(F.broadcast(templates(docs.sparkSession)), ["h", "g", "k"])
     diagonal = votes.groupBy("key", "template", "label", "base", "grams", (F.col("p") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("at").alias("held"))
@@ -116,8 +126,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT, F.lit(True)).cast("int")
     merged = diagonal.where("not base").withColumn("near", near).withColumn("group", F.sum("near").over(order.rowsBetween(W.unboundedPreceding, 0)))
     spans = merged.groupBy("key", "template", "label", "grams", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # In order: the span is hardly longer than the template.
-    spans = spans.withColumn("share", F.col("n") / F.col("grams")).where((F.col("share") >= COVERAGE) & (F.col("hi") - F.col("lo") < F.col("grams") + 2 * DRIFT))
+    # A span with more words in between is not a quotation of the template.
+    spans = spans.withColumn("share", F.col("n") / F.col("grams")).where((F.col("share") >= COVERAGE) & (F.col("hi") - F.col("lo") < (1 + BETWEEN) * F.col("grams") + 2 * DRIFT))
     text = spans.groupBy("key").agg(F.max("share").alias("share"), F.collect_set("label").alias("text_set"))
     out = grams.select("id", "key", "n_words").join(base, "key", "left").join(text, "key", "left")
     none = F.array().cast("array<string>")
