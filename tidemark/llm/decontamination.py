@@ -12,6 +12,7 @@ Test phrases travel to the tasks in blocks of at most ``BLOCK_WORDS`` words; eac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytetext import ALNUM, Slice, hash_words, slices, split_words
+from tidemark.llm.storage import materialize
 
 SHARD_BYTES = 2 << 20
 BLOCK_WORDS = 1_000_000
@@ -231,11 +233,11 @@ def scan(text: pa.Array, phrases: Phrases) -> tuple[pa.Array, pa.Array, pa.Array
     return pa.array(np.concatenate(counts)), pa.concat_arrays(spans), pa.concat_arrays(items)
 
 
-def _scan_rows(phrases: Phrases, text_col: str):
+def _scan_rows(phrases: Phrases, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, spans, items = scan(batch.column(batch.schema.get_field_index(text_col)), phrases)
-            yield pa.RecordBatch.from_arrays([*batch.columns, n, spans, items], [*batch.schema.names, "__n", "__spans", "__items"])
+            n, spans, items = scan(batch.column(at), phrases)
+            yield pa.RecordBatch.from_arrays([*batch.columns, n, spans, items], [*batch.schema.names, "n", "spans", "items"])
 
     return run
 
@@ -250,17 +252,28 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -
         yield Phrases([(r.item, r.text) for r in rows], window)
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """``docs`` with __n (words), __spans (sorted spans of hit words per block) and __items (of the items with occurring windows)."""
-    out = None
+def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int) -> DataFrame:
+    """``docs`` with its columns renamed to c0, c1, ..., and n (words), spans (sorted spans of hit words per block) and items (of the items with
+    occurring windows). Blocks of test items beyond the first are looked for one after the other, and their hits, which depend on the text
+    alone, are written and joined back by it: no task holds more than one block."""
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = docs.columns.index(text_col)
+    schema = lambda df: ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields), "n long, spans array<struct<s:int,e:int>>, items array<string>"])
+    key = [F.xxhash64(f"c{at}").alias("h1"), F.xxhash64(f"c{at}", F.lit(1)).alias("h2")]
+    out, more = None, []
     for phrases in blocks_of(benchmark, item_col, item_text_col, window):
-        base = docs if out is None else out.withColumnsRenamed({"__n": "__n0", "__spans": "__spans0", "__items": "__items0"})
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), "__n long, __spans array<struct<s:int,e:int>>, __items array<string>"])
-        got = base.mapInArrow(_scan_rows(phrases, text_col), schema)
-        if out is not None:
-            got = got.withColumns({"__spans": F.concat("__spans0", "__spans"), "__items": F.concat("__items0", "__items")}).drop("__n0", "__spans0", "__items0")
-        out = got
-    return out
+        if out is None:
+            out = own.mapInArrow(_scan_rows(phrases, at), schema(own))
+        else:
+            texts = own.select(f"c{at}")
+            hits = texts.mapInArrow(_scan_rows(phrases, 0), schema(texts)).where(F.size("spans") > 0)
+            more.append(materialize(hits.select(*key, "spans", "items").dropDuplicates(["h1", "h2"]), "hits"))
+    if not more:
+        return out
+    rest = reduce(DataFrame.unionByName, more).groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans2"), F.flatten(F.collect_list("items")).alias("items2"))
+    both = out.select("*", *key).join(rest, ["h1", "h2"], "left")
+    joined = lambda a, b: F.concat(a, F.when(F.col(b).isNotNull(), F.col(b)).otherwise(F.filter(F.col(a), lambda x: F.lit(False)))).alias(a)
+    return both.select(*own.columns, "n", joined("spans", "spans2"), joined("items", "items2"))
 
 
 def hit_words(spans: str) -> F.Column:
@@ -276,18 +289,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and test items with a null id are left out. Without test items nothing is hit. Other columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = annotate(src, benchmark, "text", item_col, item_text_col, window).withColumn("items", F.array_sort(F.array_distinct("__items")))
+    found = annotate(src, benchmark, "text", item_col, item_text_col, window).withColumn("items", F.array_sort(F.array_distinct("items")))
     return found.select(
-        F.col("id").alias(id_col),
-        F.col("__n").alias("n_words"),
-        hit_words("__spans").alias("n_hit"),
+        F.col("c0").alias(id_col),
+        F.col("n").alias("n_words"),
+        hit_words("spans").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("__spans") > 0).alias("contaminated"),
-        F.array_sort("__spans").alias("spans"),
+        (F.size("spans") > 0).alias("contaminated"),
+        F.array_sort("spans").alias("spans"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of a test item occurs, with their columns."""
-    return annotate(docs, benchmark, text_col, item_col, item_text_col, window).where(F.size("__spans") == 0).select(*docs.columns)
+    """The rows of ``docs`` in which no window of a test item occurs, with their columns, whatever these are called. Null and empty texts stay;
+    repeated rows stay or go together; an empty table stays empty; without test items all rows stay."""
+    found = annotate(docs, benchmark, text_col, item_col, item_text_col, window).where(F.size("spans") == 0)
+    return found.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
