@@ -25,7 +25,9 @@ SAMPLE_ROWS = 20_000
 QUERIES = 2_000
 SAFETY = 3.0
 PER_CELL = 128
-MOST_CODEWORDS = 1024
+#: Sampled vectors that each codeword has at least. More vectors than SAMPLE_ROWS / PER_CODEWORD codewords a half can serve at PER_CELL
+#: (three billion) ask for a larger sample.
+PER_CODEWORD = 4
 BLOCK = 2048
 TARGET_RECALL = 0.999
 
@@ -34,7 +36,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = distances(x, c).argmin(axis=1)
+        near = np.concatenate([distances(x[at : at + 1024], c).argmin(axis=1) for at in range(0, len(x), 1024)])
         n = np.bincount(near, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -47,6 +49,8 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Scaled by the largest component first, so that the squares of huge or tiny ones stay finite and above zero."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=1e-320)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -124,7 +128,7 @@ def fit_index(reps: DataFrame, rows: int, threshold: float, recall: float = TARG
     if not len(x):
         x = matrix(reps.orderBy("id").limit(1000).select("x").toArrow()["x"])
     x = unit(x)
-    k = int(np.clip(np.ceil(np.sqrt(rows / PER_CELL)), 1, min(MOST_CODEWORDS, len(x))))
+    k = int(np.clip(np.ceil(np.sqrt(rows / PER_CELL)), 1, max(1, len(x) // PER_CODEWORD)))
     h = x.shape[1] // 2
     index = Index(kmeans(x[:, :h], k), kmeans(x[:, h:], k, seed=4), 0.0)
     queries = x[np.random.default_rng(9).permutation(len(x))[:QUERIES]]
@@ -144,8 +148,8 @@ def _listing(index: Index):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 d = index.half_distances(unit(matrix(part.column(1))))
                 home, visits = index.cell(*d), index.visits(*d)
                 rows = np.repeat(np.arange(len(home)), [1 + len(v) for v in visits])
