@@ -41,10 +41,11 @@ def violations(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return got.unpivot([], [n for n, _ in rules], "rule", "n")
 
 
-def constant_fields(df: DataFrame, fields: list[str], least: int = 100) -> DataFrame:
-    """Fields with at least ``least`` values and at most one distinct value."""
-    long = df.select([F.col(f).cast("string").alias(f) for f in fields]).unpivot([], fields, "field", "v").where("v is not null")
-    return long.groupBy("field").agg(F.count("v").alias("n"), F.countDistinct("v").alias("distinct_values")).where((F.col("n") >= least) & (F.col("distinct_values") <= 1))
+def constant_fields(df: DataFrame, fields: list[str], least: int = 100, by: list[str] | None = None) -> DataFrame:
+    """Fields with at least ``least`` values and at most one distinct value, in each group of ``by``."""
+    keys = by or []
+    long = df.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(keys, fields, "field", "v").where("v is not null")
+    return long.groupBy(*keys, "field").agg(F.count("v").alias("n"), F.countDistinct("v").alias("distinct_values")).where((F.col("n") >= least) & (F.col("distinct_values") <= 1))
 
 
 def quorum_date(df: DataFrame, code: str, date: str, ratio: float = 0.8) -> DataFrame:
@@ -99,8 +100,7 @@ def turnover(target: DataFrame, drift: DataFrame, by: str, item: str) -> DataFra
 
 def combine_books(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
     """Two weight books, each scaled to 1, at equal parts."""
-    total = Window.partitionBy(F.lit(1))
-    half = [x.select(item, (0.5 * F.col("weight") / F.sum("weight").over(total)).alias("weight")) for x in (a, b)]
+    half = [x.crossJoin(x.agg(F.sum("weight").alias("all"))).select(item, (0.5 * F.col("weight") / F.col("all")).alias("weight")) for x in (a, b)]
     return half[0].unionByName(half[1]).groupBy(item).agg(F.sum("weight").alias("weight"))
 
 

@@ -351,7 +351,7 @@ def _(spark, d):
 @q("risk_stress", f"WITH {MEMBERS}, p AS (SELECT code, market, cap / sum(cap) OVER () AS weight FROM members), s(scenario, industry, shock) AS (VALUES ('crash', NULL, -0.3), ('asia', 'ASIA', -0.5), ('europe', 'EUROPE', -0.4)), x AS (SELECT scenario, code, weight * shock AS loss FROM p JOIN s ON s.industry IS NULL OR s.industry = p.market) SELECT scenario, round(sum(loss), 6) AS total, arg_min(code, (loss, code)) AS worst FROM x GROUP BY scenario")
 def _(spark, d):
     m = members(spark, d)
-    p = m.select("code", F.col("market").alias("industry"), (F.col("cap") / F.sum("cap").over(Window.partitionBy(F.lit(1)))).alias("weight"))
+    p = m.crossJoin(m.agg(F.sum("cap").alias("all"))).select("code", F.col("market").alias("industry"), (F.col("cap") / F.col("all")).alias("weight"))
     s = spark.createDataFrame([("crash", None, -0.3), ("asia", "ASIA", -0.5), ("europe", "EUROPE", -0.4)], "scenario string, industry string, shock double")
     return E.stress(p, s).select("scenario", *r6("total"), "worst")
 
@@ -360,7 +360,7 @@ MRET = f"{BARS}, mr AS (SELECT market, month, ln(sum(amount) / sum(volume)) AS l
 
 
 def market_returns(spark, d):
-    x = bars(spark, d).join(F.broadcast(members(spark, d)), "code").groupBy("market", F.trunc("trade_date", "MM").alias("month")).agg(F.log(F.sum("amount") / F.sum("volume")).alias("lp"))
+    x = bars(spark, d).join(members(spark, d), "code").groupBy("market", F.trunc("trade_date", "MM").alias("month")).agg(F.log(F.sum("amount") / F.sum("volume")).alias("lp"))
     return x.select("market", "month", (F.col("lp") - F.lag("lp").over(Window.partitionBy("market").orderBy("month"))).alias("ret"))
 
 

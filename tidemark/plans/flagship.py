@@ -13,7 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = S.drawdown(S.sma(S.daily_return(bars(spark, sf_dir)), 20))
     x = S.risk_adjusted_momentum(x, 60)
     last = x.groupBy("code").agg(F.max_by(F.struct("trade_date", "dd", "ram", (F.col("close") / F.col("ma20") - 1).alias("gap")), "trade_date").alias("l")).select("code", "l.*")
-    z = S.zscore(last.join(F.broadcast(members(spark, sf_dir)), "code"), ["market"], "ram")
+    z = S.zscore(last.join(members(spark, sf_dir), "code"), ["market"], "ram")
     top = z.withColumn("rank", F.row_number().over(Window.partitionBy("market").orderBy(F.desc_nulls_last("z"), "code"))).where("rank <= 10")
     return top.select("market", "code", "trade_date", *[F.round(c, 6).alias(c) for c in ("dd", "ram", "gap", "z")], "rank")
 

@@ -234,7 +234,7 @@ def _(spark, d):
 @q("agg_fund_exposure_signals", f"WITH {POSITIONS}, {MEMBERS}, e AS (SELECT account, industry, sum(value) AS v FROM positions JOIN members ON fund % 100 = code GROUP BY 1, 2), s AS (SELECT account, industry, v / sum(v) OVER (PARTITION BY account) AS share FROM e) SELECT account, industry, round(share, 6) AS share, 'concentration' AS signal FROM s WHERE share >= 0.2")
 def _(spark, d):
     m = members(spark, d).select(F.col("code").alias("k"), "industry")
-    e = positions(spark, d).withColumn("k", F.col("fund") % 100).join(F.broadcast(m), "k").groupBy("account", "industry").agg(F.sum("value").alias("v"))
+    e = positions(spark, d).withColumn("k", F.col("fund") % 100).join(m, "k").groupBy("account", "industry").agg(F.sum("value").alias("v"))
     s = e.withColumn("share", F.col("v") / F.sum("v").over(Window.partitionBy("account"))).where("share >= 0.2")
     return s.select("account", "industry", *r6("share"), F.lit("concentration").alias("signal"))
 
@@ -255,7 +255,7 @@ def _(spark, d):
 def _(spark, d):
     m = members(spark, d)
     w = m.groupBy("market").agg(F.sum("cap").alias("c")).withColumn("weight", F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1))))
-    v = bars(spark, d).join(F.broadcast(m.select("code", "market")), "code").groupBy("market").agg(F.sum("volume").alias("vol"))
+    v = bars(spark, d).join(m.select("code", "market"), "code").groupBy("market").agg(F.sum("volume").alias("vol"))
     return w.join(v, "market").select("market", *r6("weight"), "vol", F.when(F.col("weight") > 0.25, "overweight").otherwise("normal").alias("signal"))
 
 

@@ -81,7 +81,7 @@ def _(spark, d):
     return A.asof_join(p.select("code", F.date_add("at", 14).alias("at")).unionByName(p), bars(spark, d), "code", "at", "trade_date", ["volume"])
 
 
-@q("join_asof_kth", f"WITH {PROBES}, n AS (SELECT p.code, p.at, b.trade_date, row_number() OVER (PARTITION BY p.code, p.at ORDER BY b.trade_date DESC) AS k FROM probes p JOIN bars b ON p.code = b.code AND b.trade_date < p.at) SELECT p.code, p.at, n.trade_date FROM probes p LEFT JOIN n ON n.code = p.code AND n.at = p.at AND n.k = 2")
+@q("join_asof_kth", f"WITH {PROBES}, n AS (SELECT code, trade_date, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS i FROM bars), a AS (SELECT p.code, p.at, n.i FROM probes p ASOF LEFT JOIN n ON p.code = n.code AND p.at > n.trade_date) SELECT a.code, a.at, n.trade_date FROM a LEFT JOIN n ON n.code = a.code AND n.i = a.i - 1")
 def _(spark, d):
     return A.kth_before(probes(spark, d), bars(spark, d), "code", "at", "trade_date", 2).select("code", "at", "trade_date")
 
@@ -301,10 +301,13 @@ def _(spark, d):
     return table(spark, d, "orders").join(s, "o_orderkey").withColumn("e", err).where("e > 0.01").select("o_orderkey", F.round("e", 6).alias("error"))
 
 
-@q("agg_constant_field", "SELECT 'c' AS field, count(*) AS n, CAST(1 AS BIGINT) AS distinct_values FROM lineitem")
+FIELDS = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@q("agg_constant_field", " UNION ALL ".join(f"SELECT l_returnflag AS book, '{c}' AS field, count({c}) AS n, count(DISTINCT {c}) AS distinct_values FROM lineitem GROUP BY 1 HAVING count({c}) >= 100 AND count(DISTINCT {c}) <= 1" for c in FIELDS))
 def _(spark, d):
-    x = table(spark, d, "lineitem").select(F.lit("x").alias("c"), "l_returnflag", "l_linenumber")
-    return R.constant_fields(x, ["c", "l_returnflag", "l_linenumber"])
+    """Fields that never change within the book of one return flag."""
+    return R.constant_fields(table(spark, d, "lineitem").withColumn("book", F.col("l_returnflag")), FIELDS, by=["book"])
 
 
 @q("agg_small_denominator", "SELECT c_custkey FROM customer WHERE abs(c_acctbal) < greatest(100.0, 0.02 * (SELECT max(c_acctbal) FROM customer))")

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one (spark.checkpoint.dir), or a local one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-")
+    """A new folder below the shared one (spark.checkpoint.dir), or a local one where that is unset in local mode, as in tests. Elsewhere it has to
+    be set: machines do not share local folders."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-tidemark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -90,9 +95,34 @@ def coverage(df: DataFrame, codes: DataFrame, code: str, date: str) -> DataFrame
     return codes.join(g, code, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def _below(path: Column, root: str) -> Column:
+    """A file's path below ``root``: names alone repeat in other folders."""
+    return F.substring_index(path, "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+
+
+def file_manifest(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """file, bytes, modified, sha256 and n_rows of each Parquet file below ``path``.
+
+    With a ``known`` manifest only files that are new or of another size or time are read; the others keep their entry. A file is hashed as one
+    row, so files are bounded to 2 GB, as a writer's are.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("path").endswith(".parquet"))
+    now = listed.select("path", _below(F.col("path"), path).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    if known is not None:
+        same = known.select("file", "bytes", "modified")
+        kept = known.join(now.select("file", "bytes", "modified"), ["file", "bytes", "modified"], "left_semi")
+        paths = [r.path for r in now.join(same, ["file", "bytes", "modified"], "left_anti").select("path").collect()]
+        if not paths:
+            return kept
+        return kept.unionByName(_read_files(spark, path, paths))
+    return _read_files(spark, path, [path])
+
+
+def _read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).where(F.col("path").endswith(".parquet"))
+    hashed = read.select(_below(F.col("path"), root).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.option("recursiveFileLookup", True).parquet(*paths).groupBy(_below(F.col("_metadata.file_path"), root).alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return hashed.join(rows, "file", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def verify_manifest(expected: DataFrame, observed: DataFrame) -> DataFrame:
@@ -102,9 +132,9 @@ def verify_manifest(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return expected.join(o, "file", "left").select("file", status.alias("status"))
 
 
-def file_lineage(df: DataFrame) -> DataFrame:
-    """Rows with the name of the file they came from."""
-    return df.select("*", F.col("_metadata.file_name").alias("source_file"))
+def file_lineage(df: DataFrame, root: str) -> DataFrame:
+    """Rows with the path below ``root`` of the file they came from."""
+    return df.select("*", _below(F.col("_metadata.file_path"), root).alias("source_file"))
 
 
 def first_number(payload: str, keys: list[str]) -> Column:
