@@ -5,8 +5,10 @@ are typical of a language, word length, size) is cut into bins, and a cell of bi
 among its labelled documents as its posteriors. Each document's rate then is chosen so that the expected tokens of all domains
 meet the targets: nonnegative rates r minimise the squared distance between A r and the target totals, where row d of A holds the
 document's tokens times its posterior of domain d. Projected gradient steps need only the domain totals of each step; the
-distance is measured in the metric of A's Gram matrix (as many rows as domains), where a step of length one is safe. A document's rate is a
-fold over the gradients so far, so nothing per document is kept between steps.
+distance is measured in the metric of A's Gram matrix (as many rows as domains) over the documents that still have a rate, where a step of
+length one is safe. A document's rate is a fold over the gradients so far and the same for all documents of one cell and size, so the
+steps run over these groups and keep nothing per document. The sources mixed are the domains: the documents of one language, and those of
+low quality; a label such as a crawl's name can be a domain as well.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import materialize, release
 
 #: Letters with marks that point to one language among those of Western Europe.
 MARKS = {"german": "[äöüßÄÖÜ]", "french": "[èêëçàùûîôœÈÊÇÀ]", "spanish": "[ñóíáúÑ¿¡]"}
-STEPS = 40
+#: Descent ends when all totals are this near to the targets (in shares of all tokens), or when PATIENCE steps gain less than that of the
+#: distance. The rates are those of the best step.
 TOLERANCE = 1e-6
+PATIENCE = 5
+MOST_STEPS = 40
 SMOOTHING = 4.0
 
 
@@ -94,28 +99,37 @@ def _rate(history: list[list[float]]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("x", g, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The gradients of all steps. ``rows`` has x, a document's expected share of all tokens by domain; the targets are shares of all tokens."""
+def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
+    """The gradients of all steps, and what each domain's total then has beyond its target. ``rows`` has x, a document's expected share of all tokens
+    by domain, and m, the documents that have these shares; the targets are shares of all tokens.
+
+    One job per step gives the totals and the Gram matrix of the documents whose rate is above zero: only these can still move, and in their metric
+    a few steps are enough."""
     k = len(targets)
-    pairs = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    g = rows.agg(*pairs).first()
-    gram = [[float(g[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]
     history: list[list[float]] = []
-    for _ in range(STEPS):
-        r = _rate(history)
-        total = rows.select(r.alias("r"), "x").agg(*(F.sum(F.col("r") * F.col("x")[i]).alias(f"t{i}") for i in range(k))).first()
-        left = [float(total[f"t{i}"] or 0.0) - targets[i] for i in range(k)]
-        if max(abs(v) for v in left) <= TOLERANCE:
-            break
+    best, best_left, since = float("inf"), [], 0
+    while True:
+        x = rows.select(_rate(history).alias("r"), "x", "m")
+        totals = [F.sum(F.col("m") * F.col("r") * F.col("x")[i]).alias(f"t{i}") for i in range(k)]
+        pairs = [F.sum(F.when(F.col("r") > 0, F.col("m") * F.col("x")[i] * F.col("x")[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = x.agg(*totals, *pairs).first()
+        left = [float(got[f"t{i}"] or 0.0) - targets[i] for i in range(k)]
+        gram = [[float(got[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]
+        apart = sum(v * v for v in left) ** 0.5
+        since = 0 if apart < best * (1 - TOLERANCE) else since + 1
+        if apart < best:
+            best, best_left, kept = apart, left, len(history)
+        if max(abs(v) for v in left) <= TOLERANCE or since == PATIENCE or len(history) == MOST_STEPS:
+            return history[:kept], best_left
         history.append(solve(gram, left))
-    return history
 
 
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
     """Rates that bring the expected domain tokens of a corpus to target weights.
 
     ``labelled`` has id and domain. Returns a row per input row: id, the source column (if given), n_tokens, cell, p_<domain> for the
-    domains in order of name, rate >= 0 and expected_tokens = rate * n_tokens. Weights are scaled to a sum of 1, and the expected tokens in
+    domains in order of name, rate >= 0, expected_tokens = rate * n_tokens, and residual: the largest difference, in shares of all tokens,
+    that is left between a domain's expected tokens and its target (the same in all rows; above ``TOLERANCE`` no rates reach the targets). Weights are scaled to a sum of 1, and the expected tokens in
     total to those of the corpus. Domains without labelled documents have small posteriors everywhere; a target that no rates reach is
     met as near as possible. Null and empty texts have no tokens and rate 1. Rows that repeat an id each get a rate. Null ids stay null. Labels
     outside the targets are ignored; without labels all posteriors are equal. Other columns are ignored.
@@ -129,8 +143,11 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     # Both tables have a row per cell of bins at most.
     x = feats.join(F.broadcast(table), "cell", "left").crossJoin(F.broadcast(prior)).withColumn("p", F.coalesce("p", "prior")).drop("prior")
     tokens = feats.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n or 1
-    x = materialize(x.withColumn("x", F.transform("p", lambda v: v * F.col("n_tokens") / F.lit(float(tokens)))), "mixing")
-    history = fit_rates(x, [targets[d] / weight for d in domains])
+    x = x.withColumn("x", F.transform("p", lambda v: v * F.col("n_tokens") / F.lit(float(tokens))))
+    # Documents of one cell and size have one rate: the descent runs over these groups.
+    alike = materialize(x.groupBy("cell", "n_tokens").agg(F.count(F.lit(1)).alias("m"), F.first("x").alias("x")), "mixing")
+    history, left = fit_rates(alike, [targets[d] / weight for d in domains])
+    release(alike)
     rate = _rate(history)
     return x.select(
         F.col("id").alias(id_col),
@@ -140,4 +157,5 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
         *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)),
         rate.alias("rate"),
         (rate * F.col("n_tokens")).alias("expected_tokens"),
+        F.lit(max(abs(v) for v in left)).alias("residual"),
     )
