@@ -106,6 +106,51 @@ def test_chosen_terms_allow_edits():
     assert Automaton(many).run(Slice(raw, np.array([0, len(raw)]), 0, ALNUM, True)).tolist() == [2]
 
 
+def test_misspelled_terms_are_hit_by_the_operator(spark):
+    """Misspellings that no training text holds, of words the lexicon has learned."""
+    import random
+    import zlib
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(6))
+    words, insults = [word() for _ in range(200)], ["pathetic", "worthless", "scumbag", "imbecile"]
+    text = lambda extra: " ".join(rng.choice(words) for _ in range(20)) + f" you {extra} " + " ".join(rng.choice(words) for _ in range(20))
+    rows = [(i, text(rng.choice(insults) if i % 3 == 0 else rng.choice(words)), int(i % 3 == 0)) for i in range(900)]
+    held = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 5 == 0][:24]
+    for n, i in enumerate(held):
+        w = insults[n % 4]
+        p = 1 + n % (len(w) - 2)
+        rows.append((i, text([w[:p] + "x" + w[p + 1 :], w[:p] + w[p + 1 :], w[:p] + "x" + w[p:]][n % 3]), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(df.drop("toxic"), fit_toxicity(df.drop("toxic"), df.drop("text"))).collect()}
+    assert sum(got[i] for i in held) >= 22
+    assert sum(got[i] for i, _, y in rows if not y) == 0
+
+
+def test_scores_equal_a_plain_sum_over_subwords(spark):
+    from tidemark.llm.bytetext import LOWER
+    from tidemark.llm.language_id import SIZES, buckets
+
+    docs = Q.table(spark, "/root/testdata/sf0.001", "documents")
+    model = fit_language(docs)
+    rows = [(i, t) for i, t in enumerate(["Hello there", "ab", "x " * 3000, "überall schöne Grüße", "¿dónde está?"])]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        data = LOWER[np.frombuffer(text.encode(), dtype=np.uint8)]
+        grams = [int(buckets(data[k : k + n], n)[0]) for n in SIZES for k in range(len(data) - n + 1)]
+        z = (sum((model.table[g].astype(float) for g in grams), np.zeros(len(model.languages))) / max(1, len(grams)) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i][0] == model.languages[int(p.argmax())] and got[i][1] == pytest.approx(float(p.max()), rel=1e-4)
+
+
+def test_huge_vectors_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, -1e-200], 0), (4, [3e-300, -3e-300], 0), (5, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [0.0, 1.0], 0)]
+    got = {}
+    for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, weight long").withColumnRenamed("weight", "component")).collect():
+        got.setdefault(r.vec_id, set()).add((r.n_links, r.component_id, r.kept))
+    assert got == {1: {(1, 1, True)}, 2: {(1, 1, False)}, 3: {(1, 3, True)}, 4: {(1, 3, False)}, 5: {(1, 5, True)}, 6: {(1, 5, False)}}
+
+
 def test_near_duplicates_recall_and_components(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(700, 16))
@@ -143,6 +188,29 @@ def test_mixing_meets_reachable_targets(spark):
     assert mix_to_targets(docs.limit(0), known.limit(0), {"a": 1.0, "b": 1.0}).count() == 0
 
 
+def test_rates_equal_a_plain_solution(spark):
+    """The nearest nonnegative rates to one under the domains' totals, by brute force in numpy on the same posteriors."""
+    docs = Q.table(spark, "/root/testdata/sf0.01", "documents")
+    out = mix_to_targets(docs, Q.labelled_domains(spark, "/root/testdata/sf0.01"), Q.TARGETS).toPandas()
+    assert out.residual.nunique() == 1 and out.residual[0] <= 1e-6
+    x = out[[f"p_{d}" for d in sorted(Q.TARGETS)]].to_numpy() * out.n_tokens.to_numpy(float)[:, None] / out.n_tokens.sum()
+    target = np.array([Q.TARGETS[d] for d in sorted(Q.TARGETS)])
+    assert np.abs(x.T @ out.rate.to_numpy() - target).max() <= 2e-6 and (out.rate >= 0).all()
+    r = np.ones(len(x))
+    for _ in range(4000):  # projected gradient in the plain metric
+        r = np.maximum(0, r - x @ (x.T @ r - target) / np.linalg.norm(x, 2) ** 2)
+    assert np.linalg.norm(x.T @ out.rate.to_numpy() - target) <= np.linalg.norm(x.T @ r - target) + 1e-6
+
+
+def test_posteriors_on_held_out_labels(spark):
+    docs = Q.table(spark, DATA, "documents")
+    known = Q.labelled_domains(spark, DATA).where("domain is not null")
+    out = mix_to_targets(docs, known.where(F.col("id") % 4 != 0), Q.TARGETS)
+    best = F.array_sort(F.array(*[F.struct((-F.col(f"p_{d}")).alias("p"), F.lit(d).alias("d")) for d in Q.TARGETS]))[0]["d"]
+    r = out.join(known.where(F.col("id") % 4 == 0), F.col("doc_id") == F.col("id")).agg(F.avg((best == F.col("domain")).cast("double"))).first()
+    assert r[0] > 0.75
+
+
 def test_small_system():
     assert np.allclose(solve([[2.0, 1.0], [1.0, 3.0]], [3.0, 5.0]), [0.8, 1.4])
 
@@ -167,3 +235,13 @@ def test_pipeline_stages_take_effect(spark):
     assert kept.where("doc_id = 90004").first().text.endswith("[SECRET]")
     last = corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001")
     assert {r.doc_id for r in last.collect()} == ids
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark):
+    docs = Q.table(spark, "/root/testdata/sf0.001", "documents")
+    odd_docs = docs.limit(30).withColumns({"n": F.lit(1), "__spans": F.lit("s"), "id": F.lit("x"), "key": F.lit("k"), "component_id": F.lit(3)})
+    for df in (docs.limit(0), odd_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, "/root/testdata/sf0.001")
+            assert name == "mixing" or out.columns == df.columns
+            assert out.count() <= df.count()
