@@ -380,20 +380,52 @@ def ewma_covariance(df: DataFrame, name: str, at: str, value: str, decay: float
 
 
 def factor_returns(df: DataFrame, at: str, ret: str, exposures: list[str], weight: str) -> DataFrame:
-    """Weighted least squares factor returns and specific variance of each date (one bounded cross-section per group)."""
+    """Weighted least squares factor returns (weights are roots) and specific variance of each date.
+
+    The normal equations are sums, so a cross-section may have any size; only the small system of a date, one row, is solved in Python.
+    """
     import numpy as np
     import pandas as pd
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf.dropna(subset=[ret, *exposures, weight])
-        x = np.column_stack([np.ones(len(ok)), *(ok[e].to_numpy(float) for e in exposures)])
-        s = np.sqrt(np.sqrt(ok[weight].to_numpy(float).clip(0)))[:, None]
-        y = ok[ret].to_numpy(float)
-        b = np.linalg.pinv(x * s) @ (y * s[:, 0]) if len(ok) else np.zeros(x.shape[1])
-        spec = float(np.var(y - x @ b)) if len(ok) else None
-        return pd.DataFrame({at: [pdf[at].iloc[0]] * x.shape[1], "factor": ["intercept", *exposures], "factor_return": b, "specific_var": [spec] * x.shape[1]})
-
-    return df.select(at, ret, *exposures, weight).groupBy(at).applyInPandas(solve, f"{at} date, factor string, factor_return double, specific_var double")
+    names = ["intercept", *exposures]
+    ok = df.select(at, F.col(ret).alias("__y"), F.sqrt(F.greatest(F.col(weight).cast("double"), F.lit(0.0))).alias("__w"), F.array(F.lit(1.0), *(F.col(e).cast("double") for e in exposures)).alias("__x"))
+    ok = ok.where(F.col("__y").isNotNull() & F.col("__w").isNotNull() & ~F.exists("__x", lambda v: v.isNull()))
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    cell = lambda i, j: F.sum(F.col("__w") * F.col("__x")[i] * F.col("__x")[j])
+    sums = ok.groupBy(at).agg(F.array(*[cell(i, j) for i, j in pairs]).alias("a"), F.array(*[F.sum(F.col("__w") * F.col("__x")[i] * F.col("__y")) for i in range(k)]).alias("b"))
+
+    def solve(batches):
+        for pdf in batches:
+            betas = []
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                m = np.zeros((k, k))
+                for (i, j), v in zip(pairs, a, strict=True):
+                    m[i, j] = m[j, i] = v
+                betas.append((np.linalg.pinv(m, hermitian=True) @ np.asarray(b, dtype=float)).tolist())
+            yield pd.DataFrame({at: pdf[at], "beta": betas})
+
+    beta = sums.mapInPandas(solve, f"{at} {dict(df.dtypes)[at]}, beta array<double>")
+    fit = sum((F.col("beta")[i] * F.col("__x")[i] for i in range(k)), F.lit(0.0))
+    spec = ok.join(beta, at).groupBy(at).agg(F.var_pop(F.col("__y") - fit).alias("specific_var"), F.first("beta").alias("beta"))
+    parts = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("factor"), F.col("beta").alias("factor_return"))).alias("f")
+    return spec.select(at, "specific_var", parts).select(at, "f.factor", "f.factor_return", "specific_var")
+
+
+def portfolio_risk(covariance: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """Variance of a book, each part's share of it, and tracking error against a benchmark. ``covariance`` has pairs a <= b, cov; ``weights`` name, weight, benchmark."""
+    both = covariance.select("a", "b", "cov").unionByName(covariance.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
+    other = weights.select(F.col(name).alias("b"), F.col("weight").alias("wb"), (F.col("weight") - F.col("benchmark")).alias("tb"))
+    x = both.join(other, "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("mp"), F.sum(F.col("cov") * F.col("tb")).alias("mt"))
+    x = x.join(weights.withColumnRenamed(name, "a"), "a").withColumns({"own": F.col("weight") * F.col("mp"), "off": (F.col("weight") - F.col("benchmark")) * F.col("mt")})
+    total = x.agg(F.sum("own").alias("variance"), F.sqrt(F.greatest(F.lit(0.0), F.sum("off"))).alias("tracking_error"))
+    return x.crossJoin(total).select(F.col("a").alias(name), "weight", "variance", (F.col("own") / F.col("variance")).alias("contribution"), "tracking_error")
+
+
+def liquidation_days(positions: DataFrame, value: str, adv: str, tradable: str, participation: float = 0.10, stressed: float = 0.30) -> DataFrame:
+    """Days to sell a position at a share of the daily amount, and of that under stress; what cannot be traded has no stress days."""
+    days = lambda part: F.abs(value) / F.greatest(F.col(adv) * part, F.lit(1.0))
+    return positions.withColumns({"normal_days": days(participation), "stress_days": F.when(F.col(tradable), days(participation * stressed))})
 
 
 def account_bridge(trades: DataFrame, cash: DataFrame, account: str, industry: str, style: str, warn: float = 0.001) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,3 +196,23 @@ def cost_analysis(orders: DataFrame, by: list[str]) -> DataFrame:
     x = orders.select(*by, *(c.alias(n) for n, c in parts.items()))
     sums = [F.sum(n).alias(n) for n in parts]
     return x.groupingSets([[], *([b] for b in by)], *by).agg(*sums, F.sum(sum((F.col(n) for n in parts), F.lit(0.0))).alias("shortfall"))
+
+
+def keyword_hits(df: DataFrame, text: str, keywords: list[str]) -> DataFrame:
+    """Rows with each of some constant lower-case keywords (kw) that stands in the text, in one pass over it. For a table of keywords see ``keyword_table``."""
+    words = F.array(*[F.lit(k) for k in keywords])
+    found = F.flatten(F.transform(F.array(F.lower(text)), lambda t: F.filter(words, lambda k: F.contains(t, k))))
+    return df.withColumn("kw", F.explode(found))
+
+
+def tradability(df: DataFrame, limit: float = 0.1, close_to: float = 1e-4, least: float = 5) -> DataFrame:
+    """Status of each bar and whether it can be bought and sold: suspended (hardly any volume), no open, no previous close, a single price at a limit all day, an open at
+    a limit. What is at the upper limit cannot be bought, what is at the lower one cannot be sold."""
+    top, bottom = F.col("prev") * (1 + limit) - close_to, F.col("prev") * (1 - limit) + close_to
+    flat = F.col("high") == F.col("low")
+    shut = [("suspended", F.col("volume") < least), ("no_open", F.col("open").isNull()), ("no_reference", F.col("prev").isNull())]
+    up = [("one_word_up", flat & (F.col("high") >= top)), ("limit_up", F.col("open") >= top)]
+    down = [("one_word_down", flat & (F.col("low") <= bottom)), ("limit_down", F.col("open") <= bottom)]
+    x = first_reason(df, [*shut, up[0], down[0], up[1], down[1]])
+    none = lambda rules: ~F.coalesce(reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for _, c in rules)), F.lit(False))
+    return x.withColumns({"status": F.coalesce("reason", F.lit("ok")), "can_buy": none([*shut, *up]), "can_sell": none([*shut, *down])})

@@ -89,10 +89,11 @@ def _(spark, d):
     return S.zscore(S.winsorize(x, ["month", "market"], "vol"), ["month", "market"], "clipped").select("code", "month", *r6("z"))
 
 
-@q("fac_orthogonalize", f"""WITH {RAW}, g AS (SELECT month, count(*) AS n, regr_slope(dd, mom) AS b, regr_intercept(dd, mom) AS a FROM rawm WHERE dd IS NOT NULL AND mom IS NOT NULL GROUP BY month)
- SELECT code, r.month, round(CASE WHEN n >= 3 AND b IS NOT NULL THEN dd - a - b * mom ELSE dd END, 6) AS ortho FROM rawm r LEFT JOIN g USING (month)""")
+@q("fac_orthogonalize", f"""WITH {RAW}, {MEMBERS}, x AS (SELECT r.*, market FROM rawm r JOIN members USING (code)), g AS (SELECT month, market, count(*) AS n, regr_slope(dd, mom) AS b, regr_intercept(dd, mom) AS a FROM x WHERE dd IS NOT NULL AND mom IS NOT NULL GROUP BY 1, 2)
+ SELECT code, x.month, round(CASE WHEN n >= 3 AND b IS NOT NULL AND NOT isnan(b) THEN dd - a - b * mom ELSE dd END, 6) AS ortho FROM x LEFT JOIN g ON g.month = x.month AND g.market = x.market""")
 def _(spark, d):
-    return E.orthogonalize(raw_panel(spark, d), "dd", "mom", ["month"]).select("code", "month", *r6("ortho"))
+    x = raw_panel(spark, d).join(members(spark, d).select("code", "market"), "code")
+    return E.orthogonalize(x, "dd", "mom", ["month", "market"]).select("code", "month", *r6("ortho"))
 
 
 @q("fac_family_composite", f"""WITH {RAW}, z AS (SELECT code, month, (mom - avg(mom) OVER m) / nullif(stddev_pop(mom) OVER m, 0) AS mom, (rev - avg(rev) OVER m) / nullif(stddev_pop(rev) OVER m, 0) AS rev, (vol - avg(vol) OVER m) / nullif(stddev_pop(vol) OVER m, 0) AS vol, (dd - avg(dd) OVER m) / nullif(stddev_pop(dd) OVER m, 0) AS dd FROM rawm WINDOW m AS (PARTITION BY month)),
@@ -371,10 +372,45 @@ def _(spark, d):
     return E.ewma_covariance(market_returns(spark, d), "market", "month", "ret").select("a", "b", F.round("cov", 8).alias("cov"))
 
 
-@q("risk_factor_returns")
+def _det(a: str, b: str, c: str) -> str:
+    """Determinant of the normal equations with the three named columns (each a list of three sums)."""
+    (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = (x.split() for x in (a, b, c))
+    return f"({a1} * ({b2} * {c3} - {b3} * {c2}) - {b1} * ({a2} * {c3} - {a3} * {c2}) + {c1} * ({a2} * {b3} - {a3} * {b2}))"
+
+
+NORMAL = ("s0 s1 s2", "s1 s11 s12", "s2 s12 s22")
+
+
+@q("risk_factor_returns", f"""WITH {MEMBERS}, {FWD}, x AS (SELECT p.month, fwd AS y, ln(cap) AS a, score AS b, sqrt(cap) AS w FROM panel p JOIN members USING (code) WHERE fwd IS NOT NULL AND score IS NOT NULL),
+ s AS (SELECT month, sum(w) AS s0, sum(w * a) AS s1, sum(w * b) AS s2, sum(w * a * a) AS s11, sum(w * a * b) AS s12, sum(w * b * b) AS s22, sum(w * y) AS y0, sum(w * a * y) AS y1, sum(w * b * y) AS y2 FROM x GROUP BY 1 HAVING count(*) >= 6),
+ f AS (SELECT month, {_det('y0 y1 y2', NORMAL[1], NORMAL[2])} / {_det(*NORMAL)} AS f0, {_det(NORMAL[0], 'y0 y1 y2', NORMAL[2])} / {_det(*NORMAL)} AS f1, {_det(NORMAL[0], NORMAL[1], 'y0 y1 y2')} / {_det(*NORMAL)} AS f2 FROM s),
+ v AS (SELECT month, any_value(f0) AS f0, any_value(f1) AS f1, any_value(f2) AS f2, var_pop(y - f0 - f1 * a - f2 * b) AS v FROM x JOIN f USING (month) GROUP BY 1)
+ SELECT month, u.f AS factor, round(u.r, 5) AS factor_return, round(v, 5) AS specific_var FROM v, LATERAL (VALUES ('intercept', f0), ('log_cap', f1), ('score', f2)) u(f, r)""")
+def _(spark, d):
+    """Months with at least six names (twice the unknowns)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("month"))
+    x = panel(spark, d).join(members(spark, d), "code").withColumn("log_cap", F.log("cap")).where("fwd is not null and score is not null").withColumn("names", n).where("names >= 6")
+    return E.factor_returns(x, "month", "fwd", ["log_cap", "score"], "cap").select("month", "factor", F.round("factor_return", 5).alias("factor_return"), F.round("specific_var", 5).alias("specific_var"))
+
+
+@q("risk_portfolio", f"""WITH {MEMBERS}, {MRET}, ag AS (SELECT month, pow(0.94, row_number() OVER (ORDER BY month DESC) - 1) AS w FROM (SELECT DISTINCT month FROM mret)), x AS (SELECT * FROM mret JOIN ag USING (month) WHERE ret IS NOT NULL),
+ m AS (SELECT market, sum(w * ret) / sum(w) AS m FROM x GROUP BY 1), c AS (SELECT market, month, w, ret - m AS d FROM x JOIN m USING (market)), v AS (SELECT a.market AS a, b.market AS b, sum(a.w * a.d * b.d) / sum(a.w) AS cov FROM c a JOIN c b USING (month) GROUP BY 1, 2),
+ p AS (SELECT market, sum(cap) / (SELECT sum(cap) FROM members) AS p, 1.0 / (SELECT count(DISTINCT market) FROM members) AS q FROM members GROUP BY 1),
+ k AS (SELECT v.a AS market, any_value(pa.p) AS p, any_value(pa.p - pa.q) AS t, sum(v.cov * pb.p) AS mp, sum(v.cov * (pb.p - pb.q)) AS mt FROM v JOIN p pa ON pa.market = v.a JOIN p pb ON pb.market = v.b GROUP BY 1)
+ SELECT market, round(p, 6) AS weight, round(sum(p * mp) OVER (), 8) AS variance, round(p * mp / sum(p * mp) OVER (), 6) AS contribution, round(sqrt(greatest(0, sum(t * mt) OVER ())), 6) AS tracking_error FROM k""")
+def _(spark, d):
+    """Markets weighted by their caps against equal weights."""
+    m = members(spark, d)
+    w = m.groupBy("market").agg(F.sum("cap").alias("cap")).crossJoin(m.agg(F.sum("cap").alias("all"), F.countDistinct("market").alias("n"))).select("market", (F.col("cap") / F.col("all")).alias("weight"), (1.0 / F.col("n")).alias("benchmark"))
+    got = E.portfolio_risk(E.ewma_covariance(market_returns(spark, d), "market", "month", "ret"), w, "market")
+    return got.select("market", *r6("weight"), F.round("variance", 8).alias("variance"), *r6("contribution", "tracking_error"))
+
+
+@q("risk_liquidation", f"WITH {MEMBERS}, {BARS}, a AS (SELECT code, avg(amount) AS adv, max(trade_date) AS last FROM bars GROUP BY 1) SELECT code, last >= DATE '2001-10-20' AS tradable, round(cap / greatest(adv * 0.1, 1.0), 6) AS normal_days, round(CASE WHEN last >= DATE '2001-10-20' THEN cap / greatest(adv * 0.1 * 0.3, 1.0) END, 6) AS stress_days FROM members JOIN a USING (code)")
 def _(spark, d):
-    x = panel(spark, d).join(members(spark, d), "code").withColumn("log_cap", F.log("cap")).where("fwd is not null and score is not null")
-    return E.factor_returns(x, "month", "fwd", ["log_cap", "score"], "cap").select("month", "factor", *r6("factor_return", "specific_var"))
+    adv = bars(spark, d).groupBy("code").agg(F.avg("amount").alias("adv"), F.max("trade_date").alias("last"))
+    x = members(spark, d).join(adv, "code").withColumn("tradable", F.col("last") >= "2001-10-20")
+    return E.liquidation_days(x, "cap", "adv", "tradable").select("code", "tradable", *r6("normal_days", "stress_days"))
 
 
 @q("risk_calibration", f"WITH {RET}, x AS (SELECT code, trade_date, stddev_samp(ret) OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS pred, abs(ret) AS real FROM rets) SELECT code, count(*) AS n, round(avg(real / pred), 6) AS ratio, round(avg(real - pred), 6) AS bias FROM x WHERE pred > 0 GROUP BY code")

@@ -11,7 +11,7 @@ from tidemark.operators import portfolio as P
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, REVISIONS, bars, members, r6, revisions, table
-from tidemark.plans.evidence import CLIP, IC, RAW, clipped, ic, raw_panel
+from tidemark.plans.evidence import BOOT, CLIP, IC, RAW, clipped, ic, raw_panel
 from tidemark.plans.relational import POSITIONS, positions
 from tidemark.plans.series import MACD, NUMBERED, FWD, RET, panel, rets
 from tidemark.sources import lake as L
@@ -215,9 +215,11 @@ def _(spark, d):
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
 
 
-@q("agg_style_benchmark", f"WITH {FWD}, k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY volume DESC, code) AS k, count(*) OVER (PARTITION BY month) AS n FROM panel WHERE volume IS NOT NULL AND fwd IS NOT NULL) SELECT month, round(avg(fwd) - 0.001, 6) AS ret FROM k WHERE k <= greatest(1, n // 5) GROUP BY 1")
+@q("agg_style_benchmark", f"""WITH {FWD}, k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY volume DESC, code) AS k, count(*) OVER (PARTITION BY month) AS n FROM panel WHERE volume IS NOT NULL AND fwd IS NOT NULL), r AS (SELECT month, avg(fwd) - 0.001 AS ret FROM k WHERE k <= greatest(1, n // 5) GROUP BY 1)
+ SELECT month, round(ret, 6) AS ret, round(sum(ln(1 + ret)) OVER (ORDER BY month), 6) AS log_curve FROM r""")
 def _(spark, d):
-    return P.style_benchmark(panel(spark, d), "volume").select("month", *r6("ret"))
+    r = P.style_benchmark(panel(spark, d), "volume")
+    return r.select("month", *r6("ret"), F.round(F.sum(F.log1p("ret")).over(Window.orderBy("month")), 6).alias("log_curve"))
 
 
 @q("agg_equal_weight_benchmark", f"WITH {BARS} SELECT trade_date, round(avg(rel), 6) AS curve, count(*) AS n FROM (SELECT trade_date, close / first_value(close) OVER (PARTITION BY code ORDER BY trade_date) AS rel FROM bars) GROUP BY 1")
@@ -259,9 +261,16 @@ def _(spark, d):
     return w.join(v, "market").select("market", *r6("weight"), "vol", F.when(F.col("weight") > 0.25, "overweight").otherwise("normal").alias("signal"))
 
 
-@q("agg_attempts", "SELECT o_orderstatus AS status, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
+ATTEMPTS = "t AS (SELECT o_orderpriority AS trial, date_trunc('month', o_orderdate) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), cc AS (SELECT a.trial AS a, b.trial AS b, CASE WHEN count(*) >= 3 THEN corr(a.v, b.v) END AS c FROM t a JOIN t b USING (month) WHERE a.trial <= b.trial GROUP BY 1, 2), eff AS (SELECT sum((a = b)::INT) AS trials, sum((a = b)::INT) * sum((a = b)::INT) / sum(CASE WHEN a = b THEN 1.0 ELSE 2 * coalesce(c, 0) * coalesce(c, 0) END) AS effective FROM cc)"
+
+
+@q("agg_attempts", f"WITH {ATTEMPTS} SELECT o_orderstatus AS status, count(*) AS n, any_value(trials) AS trials, round(any_value(effective), 6) AS effective FROM orders, eff GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    """Orders as attempts by status, and how many of the priorities' monthly series count as independent trials."""
+    o = table(spark, d, "orders")
+    t = o.groupBy(F.col("o_orderpriority").alias("trial"), F.date_trunc("month", "o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("v"))
+    eff = E.effective_trials(t, "trial", "month", "v").withColumnRenamed("n", "trials")
+    return o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n")).crossJoin(eff).select("status", "n", "trials", *r6("effective"))
 
 
 @q("agg_robustness_gate", "SELECT p_brand, round(avg(CASE WHEN p_retailprice > 1200 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, bool_and(p_retailprice > 905) AS conservative, avg(CASE WHEN p_retailprice > 1200 THEN 1.0 ELSE 0.0 END) >= 0.5 AND bool_and(p_retailprice > 905) AS passed FROM part GROUP BY 1")
@@ -297,7 +306,10 @@ def _(spark, d):
     return P.neighborhood(x, "p_brand", "p_retailprice", F.col("first")).select("p_brand", *r6("share"), "low", "high")
 
 
-@q("ev_ic_weights")
+@q("ev_ic_weights", f"""WITH {RAW}, {FWD.split(BARS + ", ", 1)[1]}, l AS (SELECT r.code, r.month, p.fwd, u.f AS factor, u.v AS score FROM rawm r JOIN panel p ON p.code = r.code AND p.month = r.month, LATERAL (VALUES ('mom', mom), ('rev', rev), ('vol', vol), ('dd', dd)) u(f, v) WHERE u.v IS NOT NULL AND p.fwd IS NOT NULL),
+ ics AS (SELECT factor, month, corr(score, fwd) AS ic, count(*) AS n FROM l GROUP BY 1, 2 HAVING count(*) >= 5), a AS (SELECT factor, ic, pow(2.0, -(row_number() OVER (PARTITION BY factor ORDER BY month DESC) - 1) / 6.0) AS w FROM ics WHERE ic IS NOT NULL AND NOT isnan(ic) AND month < DATE '2001-01-01'),
+ g AS (SELECT factor, sum(w * ic) / sum(w) AS mean, sum(w) AS mass FROM a GROUP BY 1), pos AS (SELECT *, greatest(mean * mass / (mass + 12), 0) AS pos FROM g), c AS (SELECT factor, mean, greatest(0.05, least(0.6, CASE WHEN sum(pos) OVER () > 0 THEN pos / sum(pos) OVER () ELSE 1.0 / count(*) OVER () END)) AS w FROM pos)
+ SELECT factor, round(mean, 6) AS mean, round(w / sum(w) OVER (), 6) AS weight FROM c""")
 def _(spark, d):
     x = raw_panel(spark, d).join(panel(spark, d).select("code", "month", "fwd"), ["code", "month"])
     long = x.unpivot(["code", "month", "fwd"], ["mom", "rev", "vol", "dd"], "factor", "score").where("score is not null and fwd is not null")
@@ -310,7 +322,7 @@ def _(spark, d):
     return P.redundancy(raw_panel(spark, d), ["mom", "rev", "vol", "dd"]).select("month", "factor", *r6("vif"))
 
 
-@q("ev_reality_check")
+@q("ev_reality_check", f"WITH {BOOT}, m AS (SELECT avg(ic) AS m FROM ic) SELECT round(max(m), 6) AS mean, round(avg(CASE WHEN mean - m >= m THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM means, m")
 def _(spark, d):
     """p value: share of bootstrap means of the centred series at or above the observed mean."""
     s = ic(spark, d)

@@ -160,12 +160,13 @@ def _(spark, d):
     return R.all_reasons(g, rules).select("code", F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
-@q("flt_tradability", f"WITH {BARS}, x AS (SELECT *, lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS prev FROM bars) SELECT code, trade_date, CASE WHEN volume < 5 THEN 'suspended' WHEN prev IS NULL THEN 'no_reference' WHEN close >= prev * 1.1 - 1e-4 THEN 'limit_up' WHEN close <= prev * 0.9 + 1e-4 THEN 'limit_down' WHEN high = low AND volume < 10 THEN 'one_word' ELSE 'ok' END AS status FROM x")
+@q("flt_tradability", f"""WITH {BARS}, x AS (SELECT *, lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS prev, CASE WHEN extract(day FROM trade_date) <> 13 THEN low END AS open FROM bars)
+ SELECT code, trade_date, CASE WHEN volume < 5 THEN 'suspended' WHEN open IS NULL THEN 'no_open' WHEN prev IS NULL THEN 'no_reference' WHEN high = low AND high >= prev * 1.1 - 1e-4 THEN 'one_word_up' WHEN high = low AND low <= prev * 0.9 + 1e-4 THEN 'one_word_down' WHEN open >= prev * 1.1 - 1e-4 THEN 'limit_up' WHEN open <= prev * 0.9 + 1e-4 THEN 'limit_down' ELSE 'ok' END AS status,
+  NOT (volume < 5 OR open IS NULL OR prev IS NULL OR open >= prev * 1.1 - 1e-4 OR high = low AND high >= prev * 1.1 - 1e-4) AS can_buy, NOT (volume < 5 OR open IS NULL OR prev IS NULL OR open <= prev * 0.9 + 1e-4 OR high = low AND low <= prev * 0.9 + 1e-4) AS can_sell FROM x""")
 def _(spark, d):
-    prev = F.lag("close").over(S.over())
-    x = bars(spark, d).withColumn("prev", prev)
-    rules = [("suspended", F.col("volume") < 5), ("no_reference", F.col("prev").isNull()), ("limit_up", F.col("close") >= F.col("prev") * 1.1 - 1e-4), ("limit_down", F.col("close") <= F.col("prev") * 0.9 + 1e-4), ("one_word", (F.col("high") == F.col("low")) & (F.col("volume") < 10))]
-    return R.first_reason(x, rules).select("code", "trade_date", F.coalesce("reason", F.lit("ok")).alias("status"))
+    """The low stands for the open, which is missing on the 13th."""
+    x = bars(spark, d).withColumns({"prev": F.lag("close").over(S.over()), "open": F.when(F.dayofmonth("trade_date") != 13, F.col("low"))})
+    return R.tradability(x).select("code", "trade_date", "status", "can_buy", "can_sell")
 
 
 @q("flt_signals_page", "SELECT event_id, value, rank, total FROM (SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) AS rank, count(*) OVER () AS total FROM events WHERE event_type = 'click') WHERE rank > 20 AND rank <= 40")
@@ -260,14 +261,19 @@ def _(spark, d):
     return R.concentration(positions(spark, d), "account", "fund", "value").select("account", *r6("top1", "top3", "hhi"), "level")
 
 
-@q("agg_window_returns", f"WITH {BARS}, e AS (SELECT code, max(trade_date) AS e FROM bars GROUP BY 1), w AS (SELECT code, e, u.n AS win, u.s AS st FROM e, LATERAL (VALUES ('1d', e - 1), ('1w', e - 7), ('1m', CAST(e - INTERVAL 1 MONTH AS DATE)), ('3m', CAST(e - INTERVAL 3 MONTH AS DATE))) u(n, s)), a AS (SELECT w.*, b.close AS s0 FROM w ASOF LEFT JOIN bars b ON w.code = b.code AND w.st >= b.trade_date) SELECT win, count(s0) AS n, round(sum(z.close - s0) / sum(s0), 6) AS rate FROM a JOIN bars z ON z.code = a.code AND z.trade_date = a.e GROUP BY win")
+@q("agg_window_returns", f"WITH {BARS}, e AS (SELECT code, max(trade_date) AS e FROM bars GROUP BY 1), w AS (SELECT code, e, u.n AS win, u.s AS st FROM e, LATERAL (VALUES ('1d', e - 1), ('1w', e - 7), ('1m', CAST(e - INTERVAL 1 MONTH AS DATE)), ('3m', CAST(e - INTERVAL 3 MONTH AS DATE))) u(n, s)), a AS (SELECT w.*, b.close AS s0, b.trade_date AS at0 FROM w ASOF LEFT JOIN bars b ON w.code = b.code AND w.st >= b.trade_date), y AS (SELECT a.*, z.close AS s1 FROM a JOIN bars z ON z.code = a.code AND z.trade_date = a.e) SELECT win, count(s0) AS n, round(sum(s1 - s0) / sum(s0), 6) AS rate, round(coalesce(sum(s1) FILTER (WHERE s0 IS NOT NULL), 0) / sum(s1), 6) AS coverage, count(*) FILTER (WHERE s0 IS NULL) AS missing, count(*) FILTER (WHERE at0 < st - 10) AS stale, count(*) FILTER (WHERE at0 >= st - 10) AS ready FROM y GROUP BY win")
 def _(spark, d):
     b = bars(spark, d)
     e = b.groupBy("code").agg(F.max("trade_date").alias("e"), F.max_by("close", "trade_date").alias("c1"))
     opts = F.array(*[F.struct(F.lit(n).alias("win"), x.alias("at")) for n, x in (("1d", F.date_sub("e", 1)), ("1w", F.date_sub("e", 7)), ("1m", F.add_months("e", -1)), ("3m", F.add_months("e", -3)))])
     p = e.withColumn("o", F.explode(opts)).select("code", "c1", "o.*")
-    x = A.asof_join(p, b, "code", "at", "trade_date", ["close"]).where("close is not null")
-    return x.groupBy("win").agg(F.count("close").alias("n"), F.round(F.sum(F.col("c1") - F.col("close")) / F.sum("close"), 6).alias("rate"))
+    x = A.asof_join(p, b, "code", "at", "trade_date", ["close"])
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    old = F.col("trade_date") < F.date_sub("at", 10)
+    return x.groupBy("win").agg(
+        F.count("close").alias("n"), F.round(F.sum(F.col("c1") - F.col("close")) / F.sum("close"), 6).alias("rate"), F.round(F.coalesce(F.sum(F.when(F.col("close").isNotNull(), F.col("c1"))), F.lit(0.0)) / F.sum("c1"), 6).alias("coverage"),
+        count(F.col("close").isNull()).alias("missing"), count(old).alias("stale"), count(~old).alias("ready"),
+    )
 
 
 @q("agg_dup_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -434,8 +440,7 @@ def _(spark, d):
 
 @q("join_contains", "SELECT DISTINCT doc_id, kw FROM documents, (VALUES ('license'), ('password'), ('idiot'), ('the and')) k(kw) WHERE contains(lower(text), kw)")
 def _(spark, d):
-    kw = F.broadcast(spark.createDataFrame([("license",), ("password",), ("idiot",), ("the and",)], "kw string"))
-    return table(spark, d, "documents").join(kw, F.lower("text").contains(F.col("kw"))).select("doc_id", "kw").distinct()
+    return R.keyword_hits(table(spark, d, "documents"), "text", ["license", "password", "idiot", "the and"]).select("doc_id", "kw").distinct()
 
 
 @q("top_leaderboard", f"WITH {RAW} SELECT code, round(mom, 6) AS mom, rank, total FROM (SELECT code, mom, row_number() OVER (ORDER BY mom DESC NULLS LAST, code) AS rank, count(*) OVER () AS total FROM rawm WHERE month = DATE '2000-05-01') WHERE rank > 10 AND rank <= 30")
