@@ -412,7 +412,7 @@ def _(spark, d):
     return m.join(m.select("code", (F.col("year") + 1).alias("year"), F.col("v").alias("prior")), ["code", "year"], "left")
 
 
-@q("join_interval_overlap", f"WITH {IV} SELECT code, start_date, end_date FROM iv WHERE start_date <= DATE '1997-03-31' AND end_date >= DATE '1997-01-01'")
+@q("join_interval_overlap", "WITH iv AS (SELECT DISTINCT o_custkey AS code, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 60 AS end_date FROM orders) SELECT code, start_date, end_date FROM iv WHERE start_date <= DATE '1997-03-31' AND end_date >= DATE '1997-01-01'")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("start_date")).distinct().withColumn("end_date", F.date_add("start_date", 60))
     return o.where("start_date <= '1997-03-31' and end_date >= '1997-01-01'")

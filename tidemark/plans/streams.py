@@ -93,7 +93,7 @@ CASH = "cash AS (SELECT o_custkey AS account, l_returnflag AS bucket, CAST(l_shi
 
 @q("st_cash_conservation", f"""WITH {CASH}, b AS (SELECT account, bucket, day, sum(booked) OVER (PARTITION BY account, bucket ORDER BY day) AS balance FROM cash), e AS (SELECT account, bucket, min(day) AS since, arg_min(balance, day) AS opening, arg_max(balance, day) AS closing FROM b GROUP BY 1, 2),
  t AS (SELECT account, bucket, sum(delta) AS total FROM cash JOIN e USING (account, bucket) WHERE day > since GROUP BY 1, 2)
- SELECT account, bucket, round(opening, 2) AS opening, round(closing, 2) AS closing, round(coalesce(total, 0), 2) AS total, abs(closing - opening - coalesce(total, 0)) <= 1e-4 AS ok FROM e LEFT JOIN t USING (account, bucket)""")
+ SELECT account, bucket, round(opening, 4) AS opening, round(closing, 4) AS closing, round(coalesce(total, 0), 4) AS total, abs(closing - opening - coalesce(total, 0)) <= 1e-4 AS ok FROM e LEFT JOIN t USING (account, bucket)""")
 def _(spark, d):
     """Cash of each account by return flag; the stored balances of some accounts lack a line."""
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -102,7 +102,7 @@ def _(spark, d):
     days = j.groupBy(F.col("o_custkey").alias("account"), F.col("l_returnflag").alias("bucket"), F.to_date("l_shipdate").alias("day")).agg(F.sum(amount).alias("delta"), F.sum(F.when(lost, 0.0).otherwise(amount)).alias("booked"))
     balance = F.sum("booked").over(Window.partitionBy("account", "bucket").orderBy("day"))
     got = J.conservation(days, days.select("account", "bucket", "day", balance.alias("balance")), ["account", "bucket"], "day")
-    return got.select("account", "bucket", *[F.round(c, 2).alias(c) for c in ("opening", "closing", "total")], "ok")
+    return got.select("account", "bucket", *[F.round(c, 4).alias(c) for c in ("opening", "closing", "total")], "ok")
 
 
 @q("st_reconcile", f"WITH {POSITIONS}, r AS (SELECT account, fund, shares + CASE WHEN fund % 10 = 0 THEN 1 ELSE 0 END AS shares FROM positions WHERE fund % 7 <> 0) SELECT coalesce(p.account, r.account) AS account, coalesce(p.fund, r.fund) AS fund, CASE WHEN p.shares IS NULL THEN 'missing_local' WHEN r.shares IS NULL THEN 'missing_remote' ELSE 'difference' END AS kind FROM (SELECT * FROM positions WHERE fund % 11 <> 0) p FULL JOIN r ON p.account = r.account AND p.fund = r.fund WHERE p.shares IS NULL OR r.shares IS NULL OR abs(p.shares - r.shares) > 0.5")
