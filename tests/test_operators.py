@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, evidence, relational, series, text_events
+from tidemark.operators import asof, evidence, portfolio, relational, series, text_events
 from tidemark.sources import lake
 from tidemark.streaming import jobs
 
@@ -303,6 +303,58 @@ def test_held_sum_equals_the_two_sided_cusum(spark):
     assert got.peak == pytest.approx(peak)
 
 
+def cross_section(seed, n):
+    rng = random.Random(seed)
+    out = []
+    for m in (1, 2):
+        for i in range(n):
+            a, b = rng.gauss(0, 1), rng.gauss(0, 1)
+            out.append((D(2024, m, 1), i, a, b, a + 0.3 * rng.gauss(0, 1), 1.0 + 2.0 * a - b + rng.gauss(0, 0.1), 1.0 + i))
+    return out + [(D(2024, 1, 1), 999, None, 1.0, 1.0, 1.0, 1.0)]
+
+
+SECTION = "month date, code long, a double, b double, c double, y double, cap double"
+
+
+def test_factor_returns_equal_least_squares(spark):
+    import numpy as np
+
+    rows = cross_section(1, 40)
+    got = {(r.month, r.factor): r for r in evidence.factor_returns(spark.createDataFrame(rows, SECTION), "month", "y", ["a", "b"], "cap").collect()}
+    for m in (1, 2):
+        x = np.array([(1.0, r[2], r[3], r[5], r[6]) for r in rows if r[0] == D(2024, m, 1) and r[2] is not None])
+        s = np.sqrt(np.sqrt(x[:, 4]))[:, None]
+        beta = np.linalg.lstsq(x[:, :3] * s, x[:, 3] * s[:, 0], rcond=None)[0]
+        for f, v in zip(("intercept", "a", "b"), beta, strict=True):
+            assert got[D(2024, m, 1), f].factor_return == pytest.approx(v)
+        assert got[D(2024, m, 1), "a"].specific_var == pytest.approx(np.var(x[:, 3] - x[:, :3] @ beta))
+
+
+def test_redundancy_equals_regressions_of_each_factor(spark):
+    import numpy as np
+
+    rows = cross_section(2, 50)
+    got = {(r.month, r.factor): r for r in portfolio.redundancy(spark.createDataFrame(rows, SECTION), ["a", "b", "c"]).collect()}
+    x = np.array([r[2:5] for r in rows if r[0] == D(2024, 2, 1)])
+    for i, f in enumerate("abc"):
+        others = np.column_stack([np.ones(len(x)), np.delete(x, i, axis=1)])
+        e = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
+        assert got[D(2024, 2, 1), f].vif == pytest.approx(np.var(x[:, i]) / np.var(e))
+        assert got[D(2024, 2, 1), f].mean_corr == pytest.approx(np.mean([np.corrcoef(x[:, i], x[:, j])[0, 1] for j in range(3) if j != i]))
+
+
+def test_walk_forward_scores_use_earlier_months_only(spark):
+    rng = random.Random(4)
+    rows = [(D(2022 + m // 12, 1 + m % 12, 1), i, a := rng.gauss(0, 1), 2.0 * a + rng.gauss(0, 0.05)) for m in range(18) for i in range(12)]
+    df = spark.createDataFrame(rows, "month date, code long, a double, y double")
+    got = {(r.month, r.code): r.score for r in portfolio.linear_walkforward(df, ["a"], "y").collect()}
+    assert min(m for m, _ in got) == D(2023, 1, 1)
+    assert all(got[m, i] == pytest.approx(2.0 * a, abs=0.2) for m, i, a, _ in rows if (m, i) in got)
+    later = df.withColumn("y", F.when(F.col("month") >= "2023-03-01", 0.0).otherwise(F.col("y")))
+    again = {(r.month, r.code): r.score for r in portfolio.linear_walkforward(later, ["a"], "y").where("month <= '2023-03-01'").collect()}
+    assert again == {k: v for k, v in got.items() if k in again}
+
+
 def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     rows = lambda a, b: spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), "x", 1.0) for i in range(a, b)], "event_id long, ts timestamp, event_type string, value double")
     rows(0, 50).write.parquet(str(tmp_path / "e"))

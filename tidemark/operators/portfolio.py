@@ -98,18 +98,28 @@ def decayed_weights(ic: DataFrame, at: str, half_life: float = 6.0, prior: float
 
 
 def redundancy(df: DataFrame, factors: list[str]) -> DataFrame:
-    """Variance inflation of each factor per month, from the inverse correlation matrix of one bounded cross-section."""
+    """Variance inflation of each factor per month over names that have all factors, and its mean correlation with the others. Correlations are
+    aggregates; only a month's small matrix, one row, is inverted in Python. Months with no more names than factors and one are left out."""
     import numpy as np
     import pandas as pd
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[factors].dropna()
-        if len(x) <= len(factors) + 1:
-            return pd.DataFrame({"month": pd.Series(dtype=object), "factor": pd.Series(dtype=object), "vif": pd.Series(dtype=float)})
-        c = np.corrcoef(x.to_numpy(float).T)
-        return pd.DataFrame({"month": [pdf["month"].iloc[0]] * len(factors), "factor": factors, "vif": np.diag(np.linalg.pinv(c))})
+    k = len(factors)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    x = df.select("month", *factors).dropna(subset=factors)
+    corr = x.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.corr(factors[i], factors[j]) for i, j in pairs]).alias("c")).where(F.col("n") > k + 1)
 
-    return df.select("month", *factors).groupBy("month").applyInPandas(solve, "month date, factor string, vif double")
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for month, c in zip(pdf["month"], pdf["c"], strict=True):
+                m = np.eye(k)
+                for (i, j), v in zip(pairs, c, strict=True):
+                    m[i, j] = m[j, i] = v if v is not None and np.isfinite(v) else 0.0
+                vif = np.diag(np.linalg.pinv(m, hermitian=True))
+                rows += [(month, f, float(vif[i]), float((m[i].sum() - 1) / max(1, k - 1))) for i, f in enumerate(factors)]
+            yield pd.DataFrame(rows, columns=["month", "factor", "vif", "mean_corr"])
+
+    return corr.mapInPandas(solve, "month date, factor string, vif double, mean_corr double")
 
 
 def linear_walkforward(panel: DataFrame, features: list[str], label: str, least: int = 12) -> DataFrame:

@@ -66,12 +66,14 @@ def _(spark, d):
     return x.where("amount is not null")
 
 
-@q("ingest_feed_items")
+@q("ingest_feed_items", r"""WITH x AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS summary FROM pages)
+ SELECT page_id, url, title, summary, sha256(url || chr(10) || title) AS content_hash FROM x""".replace("\\\\", "\\"))
 def _(spark, d):
     p = table(spark, d, "pages")
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]*>", " "), r"\s+", " "))
-    return p.select("page_id", "url", title.alias("title"), F.substring(body, 1, 400).alias("summary"), F.sha2(F.concat_ws("\n", "url", title), 256).alias("content_hash"))
+    body = F.regexp_replace("html", r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
+    body = F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"[ \t\n\r\f\x0B]+", " "))
+    return p.select("page_id", "url", title.alias("title"), body.alias("summary"), F.sha2(F.concat("url", F.lit("\n"), title), 256).alias("content_hash"))
 
 
 @q("ingest_pit_financials", f"WITH {REVISIONS} SELECT code, effective_date AS period, available_at, source FROM revisions")
@@ -319,7 +321,7 @@ def _(spark, d):
 
 @q("ev_redundancy")
 def _(spark, d):
-    return P.redundancy(raw_panel(spark, d), ["mom", "rev", "vol", "dd"]).select("month", "factor", *r6("vif"))
+    return P.redundancy(raw_panel(spark, d), ["mom", "rev", "vol", "dd"]).select("month", "factor", *r6("vif", "mean_corr"))
 
 
 @q("ev_reality_check", f"WITH {BOOT}, m AS (SELECT avg(ic) AS m FROM ic) SELECT round(max(m), 6) AS mean, round(avg(CASE WHEN mean - m >= m THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM means, m")
