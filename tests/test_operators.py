@@ -355,6 +355,31 @@ def test_walk_forward_scores_use_earlier_months_only(spark):
     assert again == {k: v for k, v in got.items() if k in again}
 
 
+def test_manifest_reads_changed_files_only_and_finds_what_differs(spark, tmp_path):
+    root = str(tmp_path / "files")
+    spark.range(10).repartition(2).write.parquet(root)
+    first = lake.written(lake.file_manifest(spark, root), "manifest")
+    assert sorted(r.n_rows for r in first.collect()) == [5, 5] and first.where("length(sha256) = 64 and bytes > 0").count() == 2
+    # An entry whose size and time still hold is kept as it is, without a look at the file.
+    marked = lake.written(first.withColumn("sha256", F.lit("kept")), "manifest")
+    spark.range(3).coalesce(1).write.mode("append").parquet(root)
+    again = lake.file_manifest(spark, root, known=marked)
+    assert sorted((r.n_rows, r.sha256 == "kept") for r in again.collect()) == [(3, False), (5, True), (5, True)]
+    checked = lake.verify_manifest(first.withColumn("sha256", F.when(F.col("file") == first.first().file, "other").otherwise(F.col("sha256"))), lake.file_manifest(spark, root))
+    assert sorted(r.status for r in checked.collect()) == ["hash_mismatch", "verified"]
+
+
+def test_risk_of_a_book(spark):
+    cov = spark.createDataFrame([("a", "a", 0.04), ("a", "b", 0.01), ("b", "b", 0.09)], "a string, b string, cov double")
+    w = spark.createDataFrame([("a", 0.6, 0.5), ("b", 0.4, 0.5)], "name string, weight double, benchmark double")
+    got = {r.name: r for r in evidence.portfolio_risk(cov, w, "name").collect()}
+    assert got["a"].variance == pytest.approx(0.36 * 0.04 + 2 * 0.24 * 0.01 + 0.16 * 0.09)
+    assert got["a"].contribution + got["b"].contribution == pytest.approx(1)
+    assert got["b"].tracking_error == pytest.approx((0.01 * 0.04 - 2 * 0.01 * 0.01 + 0.01 * 0.09) ** 0.5)
+    days = evidence.liquidation_days(spark.createDataFrame([(1000.0, 100.0, True), (1000.0, 100.0, False)], "v double, adv double, ok boolean"), "v", "adv", "ok").collect()
+    assert [(r.normal_days, r.stress_days) for r in days] == [(100.0, pytest.approx(1000 / 3)), (100.0, None)]
+
+
 def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     rows = lambda a, b: spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), "x", 1.0) for i in range(a, b)], "event_id long, ts timestamp, event_type string, value double")
     rows(0, 50).write.parquet(str(tmp_path / "e"))
