@@ -1,4 +1,4 @@
-"""Queries op1..op10 with production parameters over whole tables, and their SQL where SQL can express them."""
+"""Queries op1..op13 with production parameters over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.clustering import cluster_vectors
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.embedding_dedup import near_duplicates
+from tidemark.llm.hard_negatives import mine_hard_negatives
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.language_id import fit_language, identify_language
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_to_targets
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
+#: The folder of public tokenizer files.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,6 +83,20 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w)),
@@ -114,6 +134,37 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
+#: One round of assignments and new centroids; the last round only assigns.
+_ROUND = """
+d{i} AS (SELECT vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept, c{i}),
+a{i} AS (SELECT vec_id, any_value(v) AS v, arg_min(c, d * 16 + c) AS c, min(d) AS d FROM d{i} GROUP BY vec_id)"""
+_MEANS = """,
+s{i} AS (SELECT c, n, s, p FROM (SELECT c, p, count(*) AS n, CAST(sum(x) AS BIGINT) AS s FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS p FROM a{i}) GROUP BY c, p)),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS w FROM s{i} GROUP BY c),
+c{j} AS (SELECT c{i}.c, coalesce(m{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN m{i} USING (c)),"""
+OP12_SQL = (
+    """
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v AS w FROM kept QUALIFY c < 16),"""
+    + "".join(_ROUND.format(i=i) + _MEANS.format(i=i, j=i + 1) for i in range(3))
+    + _ROUND.format(i=3)
+    + """
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)
+"""
+)
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id, s FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.s DESC, n.id) AS INT) AS rank, n.id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s QUALIFY rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -125,9 +176,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_packing": op11_packing,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
+    "op12_centroid_clustering": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
