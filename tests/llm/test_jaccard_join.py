@@ -116,3 +116,13 @@ def test_repeated_rows_are_compared_once(spark, monkeypatch):
     got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 601 and {r.component_id for r in got} == {1}
     assert all(df.count() <= 4 for df in seen[-1:])
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_repeated_ids_of_differing_texts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i // 3 if rng.random() < 0.4 else i, t) for i, t in corpus(seed)]
+    rows += rng.sample(rows, 40)
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 85)

@@ -259,7 +259,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = docs.columns.index(text_col)
     schema = lambda df: ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields), "n long, spans array<struct<s:int,e:int>>, items array<string>"])
-    key = [F.xxhash64(f"c{at}").alias("h1"), F.xxhash64(f"c{at}", F.lit(1)).alias("h2")]
+    key = [F.xxhash64(f"c{at}").alias("h1"), F.xxhash64(F.lit(1), f"c{at}").alias("h2")]
     out, more = None, []
     for phrases in blocks_of(benchmark, item_col, item_text_col, window):
         if out is None:

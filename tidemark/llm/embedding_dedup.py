@@ -207,7 +207,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = src.where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(finite)
     size = good.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     good = good.where(F.size("x") == (size[0].n if size else 0))
-    key = [F.xxhash64("x").alias("h1"), F.xxhash64("x", F.lit(1)).alias("h2")]
+    key = [F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2")]
     members = materialize(good.select("id", *key).distinct(), "members")
     groups = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     reps = good.select(F.col("id").alias("rep"), "x", *key).dropDuplicates(["rep", "h1", "h2"]).join(groups, ["rep", "h1", "h2"])

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,9 +123,9 @@ def _overlap_rows(k: int, percent: int, differences: bool):
     elements, the elements that only one of them has."""
 
     def sets(ids: np.ndarray, text: pa.Array) -> list[np.ndarray]:
-        # Neighbouring rows often hold one document.
+        # Neighbouring rows often hold one document; an id can have several texts.
         new = np.ones(len(ids), dtype=bool)
-        new[1:] = ids[1:] != ids[:-1]
+        new[1:] = (ids[1:] != ids[:-1]) | pc.not_equal(text.slice(1), text.slice(0, len(text) - 1)).fill_null(True).to_numpy(zero_copy_only=False)
         out = []
         for part in slices(text.take(pa.array(np.flatnonzero(new))), NOT_SPACE, True):
             h, first = shingle_sets(part, k)

@@ -174,7 +174,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
     # Own names for all columns, so that none clashes with those of the scan.
     own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     names, text = own.columns, f"c{docs.columns.index(text_col)}"
-    found = materialize(find_spans(own, text).withColumn("__key", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))), "spans")
+    found = materialize(find_spans(own, text).withColumn("__key", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))), "spans")
     linked = link(found.where("size(__weak) > 0").select("__key", "__base", "__weak", "__part"), "__key")
     none = F.array().cast("array<struct<s:int,kind:int,e:int>>")
     doubtful = found.where("size(__weak) > 0").join(linked, "__key", "left").withColumn("__spans", F.concat("__base", F.coalesce("__linked", none)))
