@@ -13,7 +13,9 @@ stands alone before another one, the tokenizer never joins anything, so that equ
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -25,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytetext import pieces
+from tidemark.llm.bytetext import buffers, pieces
 from tidemark.llm.storage import materialize
 
-#: Known words and their ids are forgotten beyond this many.
-MOST_WORDS = 400_000
-SLICE = 4 << 20
+#: Bytes of texts whose words are encoded together, and of the texts made of these words.
+SLICE = 8 << 20
+CHUNK = 1 << 16
 
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
@@ -39,9 +41,15 @@ _LEAD = np.zeros(256, dtype=bool)
 _LEAD[0xC3:0xE0] = True
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = _VISIBLE & ~_LETTER
+_MARK[0x30:0x3A] = False
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray = _MARK) -> np.ndarray:
     """Where texts can be cut so that their parts encode to the same ids: at text starts, before a single blank between visible
-    characters, and around a single line end between them."""
+    characters, around a single line end between them, and between a letter and one of ``marks``."""
     n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
     if n > 2:
@@ -54,54 +62,104 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         inner[1:-1] = before[:-2] & after[2:] & ~edge[1 : n - 1] & ~edge[2:n]
         cut[:n] = inner & ((data == 0x20) | (data == 0x0A))
         cut[1:] |= inner & (data == 0x0A)
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:n] |= letter[:-1] & marks[data[1:]]
     cut[offsets] = True
     cut[n] = False
     return np.flatnonzero(cut)
 
 
+def _shown_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the byte at each place ends a visible character."""
+    return _VISIBLE[data[at]] | ((data[at] >= 0x80) & _LEAD[data[at - 1]])
+
+
 class Encoder:
-    """Token ids of whole batches; each distinct word is encoded once."""
+    """Token ids of whole batches; each distinct word of a slice is encoded once.
+
+    Words that begin with a blank and have visible ends keep their ids when they stand one after the other, so they are encoded as
+    long texts. Where words begin follows from the bytes that each token stands for.
+    """
 
     def __init__(self, definition: bytes):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_buffer(definition)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.first = np.zeros(1, dtype=np.int64)
-
-    def learn(self, words: list[str]) -> np.ndarray:
-        """The place of each word in the table of known words."""
-        if len(self.known) > MOST_WORDS:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *(np.array(x, dtype=np.uint32) for x in ids)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
-        return np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max([*vocabulary.values(), *added], default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)  # a character of the byte alphabet per byte
+        for i, n in added.items():
+            self.bytes[i] = n
+        # An added token is found before words are: no cut may fall into one.
+        inside = b"".join(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        if b" " in inside or b"\n" in inside:
+            raise ValueError("added tokens with blanks are not supported")
+        self.marks = _MARK.copy()
+        self.marks[list(inside)] = False
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some distinct words: all ids, and where each word's begin and how many they are."""
+        if not len(words):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        data, offsets = buffers(words)
+        start, size = offsets[:-1], np.diff(offsets)
+        plain = size > 1
+        p = np.flatnonzero(plain)
+        plain[p] = (data[start[p]] == 0x20) & (_VISIBLE[data[start[p] + 1]] | _LEAD[data[start[p] + 1]]) & _shown_before(data, start[p] + size[p] - 1)
+        joined, ends = data[np.repeat(plain, size)], np.cumsum(size[plain])
+        first, count = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
+        parts: list[np.ndarray] = []
+        if len(ends):
+            cuts = np.unique(np.append(0, ends[np.minimum(np.searchsorted(ends, np.arange(CHUNK, ends[-1] + CHUNK, CHUNK)), len(ends) - 1)]))
+            parts = self.ids([joined[x:y].tobytes().decode() for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+            read = np.cumsum(self.bytes[np.concatenate(parts)])
+            upto = np.searchsorted(read, ends)
+            if not (read[np.minimum(upto, len(read) - 1)] == ends).all():
+                raise ValueError("a token of this tokenizer reaches over a blank")
+            count[plain] = np.diff(upto, prepend=-1)
+            first[plain] = upto + 1 - count[plain]
+        done = sum(map(len, parts))
+        others = self.ids(words.filter(pa.array(~plain)).to_pylist())
+        count[~plain] = [len(x) for x in others]
+        first[~plain] = done + np.cumsum(count[~plain]) - count[~plain]
+        return np.concatenate([*parts, *others]), first, count
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """first row, ids of consecutive texts one after the other, and where each text's begin."""
         for data, offsets, row in pieces(column, SLICE):
-            start = word_starts(data, offsets)
+            start = word_starts(data, offsets, self.marks)
             start = start[start < len(data)]
             bounds = np.append(start, len(data))
             words = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-            place = self.learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
-            size = self.first[place + 1] - self.first[place]
+            flat, first, count = self.words(words.dictionary)
+            place = words.indices.to_numpy()
+            size = count[place]
             end = np.cumsum(size)
-            ids = self.flat[np.arange(size.sum()) + np.repeat(self.first[place] - end + size, size)]
+            ids = flat[np.arange(size.sum()) + np.repeat(first[place] - end + size, size)]
             yield row, ids, np.append(0, end)[np.searchsorted(start, offsets)]
 
 
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def encoder_of(definition: bytes) -> Encoder:
+    """One encoder per worker process, whatever tasks it runs."""
+    key = hashlib.sha256(definition).digest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(definition)
+    return _ENCODERS[key]
+
+
 def _document_rows(definition: bytes, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(definition), TaskContext.get().partitionId()
+        encoder, task = encoder_of(definition), TaskContext.get().partitionId()
         rests, fulls = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             for row, ids, first in encoder.encode(batch.column(1)):
