@@ -10,6 +10,7 @@ from tidemark.plans.base import NEWS, REVISIONS, news, r6, revisions, table
 from tidemark.plans.relational import POSITIONS, positions
 from tidemark.operators import series as S
 from tidemark.sources import lake as L
+from tidemark.streaming import books as B
 from tidemark.streaming import jobs as J
 
 QUERIES: dict = {}
@@ -34,11 +35,18 @@ def events(spark, d):
     return J.stream(spark, f"{d}/events.parquet")
 
 
-@q("st_dedup_news", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events) GROUP BY 1, 2")
+def first_line(col: str):
+    return F.trim(F.coalesce(F.col(col), F.lit("")))
+
+
+@q("st_dedup_news", f"WITH {NEWS}, h AS (SELECT news_id, source, trim(title) AS title, sha256(coalesce(source, '') || chr(0) || trim(coalesce(title, '')) || chr(0) || coalesce(lang, '')) AS content_hash FROM news WHERE news_id IS NOT NULL) SELECT content_hash, min(news_id) AS news_id, arg_min(source, news_id) AS source, arg_min(title, news_id) AS title FROM h GROUP BY 1")
 def _(spark, d):
-    e = events(spark, d).withColumn("day", F.to_date("ts"))
-    got = J.run_to_table(J.dedup(e.select("user_id", "event_type", "day", "ts"), ["user_id", "event_type", "day"], "ts", "40 days"), shared(spark), "append")
-    return got.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    """A feed that brings two thirds of the items, then all of them again: each content once, under its first item."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    n = news(spark, d).where("news_id is not null").select("news_id", "source", F.trim("title").alias("title"), F.sha2(F.concat(text("source"), F.lit("\0"), first_line("title"), F.lit("\0"), text("lang")), 256).alias("content_hash"))
+    folder, root = L.scratch(spark, "feed"), shared(spark)
+    early = n.where(F.col("news_id") <= n.agg(F.expr("max(news_id) * 2 div 3").alias("m")).first().m)
+    return J.in_turns([early, n], folder, lambda: J.upsert_new(J.stream(spark, folder), root, "content_hash", "news_id")).select("content_hash", "news_id", "source", "title")
 
 
 @q("st_tumbling_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
@@ -47,30 +55,56 @@ def _(spark, d):
     return x.select("start", "event_type", "n", *r6("mean"))
 
 
-@q("st_sliding_score", "SELECT s.start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, LATERAL (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start FROM range(0, 7) r(k)) s GROUP BY 1, 2")
+@q("st_sliding_totals", "SELECT s.start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, LATERAL (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start FROM range(0, 7) r(k)) s GROUP BY 1, 2")
 def _(spark, d):
     x = J.run_to_table(J.sliding(events(spark, d), "ts", "event_type", "value", "7 days", "1 day"), shared(spark), "update", ["start", "event_type"])
     return x.select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@q("st_sliding_score", """WITH e AS (SELECT user_id, ts, value * CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS value, CASE WHEN event_type = 'error' THEN 30 WHEN event_type = 'purchase' THEN 14 ELSE 7 END AS h FROM events),
+ steps AS (SELECT unnest(range(date_trunc('day', min(ts)) + INTERVAL 1 DAY, max(ts) - INTERVAL 2 HOUR + INTERVAL 1 SECOND, INTERVAL 1 DAY)) AS step FROM events)
+ SELECT user_id, CAST(step AS DATE) AS step, round(sum(value * pow(0.5, epoch(step - ts) / 86400 / greatest(2.0, h / 2.0))), 4) AS score, count(*) AS events FROM steps JOIN e ON ts < step AND date_trunc('day', ts) + to_days(h) >= step GROUP BY 1, 2""")
+def _(spark, d):
+    """A user's events as news: purchases and others speak for it, errors against it; errors are heard for 30 days, purchases for 14, others for 7."""
+    kind = F.col("event_type")
+    e = events(spark, d).select("user_id", "ts", F.when(kind == "error", -F.col("value")).otherwise(F.col("value")).alias("score"), F.when(kind == "error", 30).when(kind == "purchase", 14).otherwise(7).alias("horizon"))
+    B.keyed_state(spark)
+    return J.run_to_table(B.decayed_scores(e, ["user_id"], "ts", "score", "horizon", "2 hours"), shared(spark), "append").select("user_id", "step", F.round("score", 4).alias("score"), "events")
+
+
 @q("st_session_events", "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM x) SELECT min(ts) AS start, user_id, count(*) AS n FROM y GROUP BY user_id, g")
 def _(spark, d):
     return J.run_to_table(J.sessions(events(spark, d), "ts", "user_id", "6 hours"), shared(spark))
 
 
-@q("st_late_revisions", f"WITH {REVISIONS} SELECT code, effective_date, source, value FROM (SELECT *, row_number() OVER (PARTITION BY code, effective_date ORDER BY available_at DESC, ingest_no DESC) AS n FROM revisions WHERE available_at <= DATE '1999-06-30') WHERE n = 1")
+#: Revisions come in three turns, by the day from which they are known; a 17th of each turn comes with the next one.
+TURNS = ("1995-01-01", "1997-01-01")
+
+
+@q("st_late_revisions", f"""WITH {REVISIONS}, t AS (SELECT *, CASE WHEN available_at < DATE '{TURNS[0]}' THEN 0 WHEN available_at < DATE '{TURNS[1]}' THEN 1 ELSE 2 END + CASE WHEN ingest_no % 17 = 0 THEN 1 ELSE 0 END AS turn FROM revisions),
+ m AS (SELECT turn, max(available_at) AS top FROM t GROUP BY 1), l AS (SELECT t.*, coalesce(available_at < (SELECT max(top) FROM m WHERE m.turn < t.turn) - INTERVAL 30 DAY, false) AS late FROM t)
+ SELECT code, effective_date, source, value, late, count(*) OVER (PARTITION BY late) AS alike FROM (SELECT *, row_number() OVER (PARTITION BY code, effective_date ORDER BY available_at DESC, ingest_no DESC) AS n FROM l WHERE available_at <= DATE '1999-06-30') WHERE n = 1""")
 def _(spark, d):
-    path = L.scratch(spark, "revisions")
-    revisions(spark, d).write.parquet(path)
-    got = J.run_to_table(J.stream(spark, path), shared(spark), "append")
-    return S.latest_version(got.where("available_at <= '1999-06-30'"), ["code", "effective_date"], ["available_at", "ingest_no"]).select("code", "effective_date", "source", "value")
+    """Newest revision known by a day, whether it came behind the watermark, and how many of the newest did alike."""
+    r, day = revisions(spark, d), F.col("available_at")
+    r = r.withColumn("turn", F.when(day < TURNS[0], 0).when(day < TURNS[1], 1).otherwise(2) + (F.col("ingest_no") % 17 == 0).cast("int"))
+    r, folder, root = L.written(r, "revisions"), L.scratch(spark, "arrivals"), shared(spark)
+    got = J.in_turns([r.where(F.col("turn") == i).drop("turn") for i in range(4)], folder, lambda: J.split_late(J.stream(spark, folder), root, "available_at", "30 days"))
+    last = S.latest_version(got.where("available_at <= '1999-06-30'"), ["code", "effective_date"], ["available_at", "ingest_no"])
+    alike = last.groupBy("late").agg(F.count(F.lit(1)).alias("alike"))
+    return last.join(alike, "late").select("code", "effective_date", "source", "value", "late", "alike")
 
 
-@q("st_feed_freshness", "SELECT event_type, max(ts) AS last_at, date_diff('second', max(ts), TIMESTAMP '2024-01-31 12:00:00') > 43200 AS overdue FROM events GROUP BY 1")
+#: Seconds after which a feed without news is overdue.
+SLA = {"view": 3_600, "click": 7_200, "signup": 43_200, "purchase": 45_000, "error": 86_400}
+
+
+@q("st_feed_freshness", f"SELECT event_type, allowed, max(ts) AS last_at, date_diff('second', max(ts), TIMESTAMP '2024-01-31 12:00:00') > allowed AS overdue FROM events JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in SLA.items())}) p(event_type, allowed) USING (event_type) GROUP BY 1, 2")
 def _(spark, d):
-    x = J.run_to_table(events(spark, d).groupBy("event_type").agg(F.max("ts").alias("last_at")), shared(spark), "update", ["event_type"])
+    policy = spark.createDataFrame(list(SLA.items()), "event_type string, limit int")
+    x = J.run_to_table(J.freshness(events(spark, d), policy, "event_type", "ts"), shared(spark), "update", ["event_type", "limit"])
     lag = F.unix_timestamp(F.lit("2024-01-31 12:00:00")) - F.unix_timestamp("last_at")
-    return x.select("event_type", F.col("last_at").cast("timestamp_ntz").alias("last_at"), (lag > 43200).alias("overdue"))
+    return x.select("event_type", F.col("limit").alias("allowed"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), (lag > F.col("limit")).alias("overdue"))
 
 
 @q("st_order_events", "SELECT user_id, arg_max(event_type, (event_type = 'purchase', event_id)) AS state, count(*) AS events FROM events GROUP BY 1")
@@ -112,37 +146,84 @@ def _(spark, d):
     return J.reconcile(p.where("fund % 11 <> 0"), remote, ["account", "fund"], "shares", 0.5)
 
 
-TRADE = """trade AS (SELECT o_custkey AS account, l_suppkey % 3 AS code, l_orderkey || '-' || l_linenumber AS event_id, CAST(l_shipdate AS DATE) AS day,
-  CASE WHEN l_linenumber = 6 THEN CASE WHEN l_orderkey % 4 = 0 THEN 'split' WHEN l_orderkey % 4 = 1 THEN 'rights' WHEN l_orderkey % 4 = 2 THEN 'tax' ELSE 'dividend' END WHEN l_linenumber = 7 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'swap_in' ELSE 'swap_out' END WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
-  CASE WHEN l_linenumber = 6 THEN CASE WHEN l_orderkey % 4 = 0 THEN 2.0 ELSE 0.1 END ELSE l_quantity END AS quantity, l_extendedprice / l_quantity * CASE WHEN l_linenumber = 6 THEN 0.01 ELSE 1 END AS price, l_tax * 10 AS fee FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+TRADE = """line AS (SELECT o_custkey AS account, l_suppkey % 3 AS code, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS event_id, CAST(l_shipdate AS DATE) AS day,
+  CASE WHEN l_linenumber = 6 THEN CASE WHEN l_orderkey % 4 = 0 THEN 'split' WHEN l_orderkey % 4 = 1 THEN 'rights' WHEN l_orderkey % 4 = 2 THEN 'tax' WHEN l_orderkey % 8 = 3 THEN 'record' ELSE 'dividend' END WHEN l_linenumber = 7 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'swap_in' ELSE 'swap_out' END WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
+  CASE WHEN l_linenumber = 6 THEN CASE WHEN l_orderkey % 4 = 0 THEN 2.0 ELSE 0.1 END ELSE l_quantity END AS quantity, l_extendedprice / l_quantity * CASE WHEN l_linenumber = 6 THEN 0.01 ELSE 1 END AS price, l_tax * 10 AS fee, CAST(NULL AS VARCHAR) AS ref, l_orderkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ trade AS (SELECT * FROM line UNION ALL SELECT account, code, event_id || 'p', day + 20, 'pay', 0, 0, 0, event_id, k FROM line WHERE type = 'record' AND k % 16 = 3)"""
 
 
 def trades(spark, d):
-    """Each line as an event of its account and one of three instruments: trades, and of some line numbers splits, rights, tax, dividends and swaps."""
+    """Each line as an event of its account and one of three instruments: trades, and of some line numbers splits, rights, tax, dividends and swaps. Half
+    of the recorded dividends are paid 20 days later. A hundredth of the orders come twice."""
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    line, order = F.col("l_linenumber"), F.col("l_orderkey") % 4
-    other = F.when(order == 0, "split").when(order == 1, "rights").when(order == 2, "tax").otherwise("dividend")
-    kind = F.when(line == 6, other).when(line == 7, F.when(F.col("l_orderkey") % 2 == 0, "swap_in").otherwise("swap_out")).when(F.col("l_returnflag") == "R", "sell").otherwise("buy")
-    quantity = F.when(line == 6, F.when(order == 0, 2.0).otherwise(0.1)).otherwise(F.col("l_quantity"))
+    line, key = F.col("l_linenumber"), F.col("l_orderkey")
+    other = F.when(key % 4 == 0, "split").when(key % 4 == 1, "rights").when(key % 4 == 2, "tax").when(key % 8 == 3, "record").otherwise("dividend")
+    kind = F.when(line == 6, other).when(line == 7, F.when(key % 2 == 0, "swap_in").otherwise("swap_out")).when(F.col("l_returnflag") == "R", "sell").otherwise("buy")
+    quantity = F.when(line == 6, F.when(key % 4 == 0, 2.0).otherwise(0.1)).otherwise(F.col("l_quantity"))
     price = F.col("l_extendedprice") / F.col("l_quantity") * F.when(line == 6, 0.01).otherwise(1.0)
-    return j.select(F.col("o_custkey").alias("account"), (F.col("l_suppkey") % 3).alias("code"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.to_date("l_shipdate").alias("day"), kind.alias("type"), quantity.alias("quantity"), price.alias("price"), (F.col("l_tax") * 10).alias("fee"))
+    x = j.select(
+        F.col("o_custkey").alias("account"), (F.col("l_suppkey") % 3).alias("code"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("event_id"), F.to_date("l_shipdate").alias("day"),
+        kind.alias("type"), quantity.alias("quantity"), price.alias("price"), (F.col("l_tax") * 10).alias("fee"), F.lit(None).cast("string").alias("ref"), key.alias("k"),
+    )
+    none = F.lit(0.0)
+    paid = x.where("type = 'record' and k % 16 = 3").select("account", "code", F.concat("event_id", F.lit("p")).alias("event_id"), F.date_add("day", 20).alias("day"), F.lit("pay").alias("type"), none.alias("quantity"), none.alias("price"), none.alias("fee"), F.col("event_id").alias("ref"), "k")
+    return x.unionByName(paid).unionByName(x.where("k % 100 = 0")).drop("k")
+
+
+LEDGER = f"""WITH RECURSIVE {TRADE}, n AS (SELECT *, row_number() OVER (PARTITION BY account, code ORDER BY day, event_id) AS i FROM trade),
+ f AS (SELECT account, code, 0::BIGINT AS i, NULL::VARCHAR AS id, NULL::VARCHAR AS ref, 0e0 AS held, 1e4::DOUBLE AS cash, 0e0 AS fees, 0e0 AS mark, NULL::DOUBLE AS amount FROM n GROUP BY 1, 2
+  UNION ALL SELECT n.account, n.code, n.i, n.event_id, n.ref, CASE type WHEN 'buy' THEN held + quantity WHEN 'swap_in' THEN held + quantity WHEN 'sell' THEN greatest(held - quantity, 0) WHEN 'swap_out' THEN greatest(held - quantity, 0) WHEN 'split' THEN held * quantity WHEN 'rights' THEN held * (1 + quantity) ELSE held END,
+   cash + CASE type WHEN 'buy' THEN -quantity * price - fee WHEN 'sell' THEN least(held, quantity) * price - fee WHEN 'dividend' THEN held * price WHEN 'tax' THEN -held * price WHEN 'rights' THEN -held * quantity * price ELSE 0 END, fees + CASE WHEN type IN ('buy', 'sell') THEN fee ELSE 0 END,
+   CASE WHEN type IN ('buy', 'sell') THEN price WHEN type = 'split' THEN mark / quantity ELSE mark END, CASE WHEN type = 'record' THEN held * price END
+  FROM f JOIN n ON n.account = f.account AND n.code = f.code AND n.i = f.i + 1),
+ r AS (SELECT a.account, a.code, sum(CASE WHEN b.ref IS NULL THEN 0 ELSE a.amount END) AS got, sum(CASE WHEN b.ref IS NULL THEN a.amount ELSE 0 END) AS due FROM f a LEFT JOIN f b ON b.ref = a.id AND b.account = a.account AND b.code = a.code WHERE a.amount IS NOT NULL GROUP BY 1, 2),
+ t AS (SELECT account, code, arg_max(cash, i) AS cash, arg_max(held, i) AS held, arg_max(fees, i) AS fees, arg_max(mark, i) AS mark, max(i) AS events FROM f GROUP BY 1, 2)
+ SELECT account, code, round(cash + coalesce(got, 0), 4) AS cash, round(held, 4) AS held, round(fees, 4) AS fees, events, round(coalesce(due, 0), 4) AS receivable, round(cash + coalesce(got, 0) + held * mark + coalesce(due, 0), 4) AS nav FROM t LEFT JOIN r USING (account, code)"""
+
+
+def booked(df):
+    return df.select("account", "code", *[F.round(c, 4).alias(c) for c in ("cash", "held", "fees")], "events", *[F.round(c, 4).alias(c) for c in ("receivable", "nav")])
 
 
-@q("st_ledger_replay", f"""WITH RECURSIVE {TRADE}, n AS (SELECT *, row_number() OVER (PARTITION BY account, code ORDER BY day, event_id) AS i FROM (SELECT * FROM trade QUALIFY row_number() OVER (PARTITION BY account, code, event_id ORDER BY day, type, quantity, price, fee) = 1)),
- f AS (SELECT account, code, 0::BIGINT AS i, 0e0 AS held, 1e4::DOUBLE AS cash, 0e0 AS fees FROM n GROUP BY 1, 2
-  UNION ALL SELECT n.account, n.code, n.i, CASE type WHEN 'buy' THEN held + quantity WHEN 'swap_in' THEN held + quantity WHEN 'sell' THEN greatest(held - quantity, 0) WHEN 'swap_out' THEN greatest(held - quantity, 0) WHEN 'split' THEN held * quantity WHEN 'rights' THEN held * (1 + quantity) ELSE held END,
-   cash + CASE type WHEN 'buy' THEN -quantity * price - fee WHEN 'sell' THEN least(held, quantity) * price - fee WHEN 'dividend' THEN held * price WHEN 'tax' THEN -held * price WHEN 'rights' THEN -held * quantity * price ELSE 0 END, fees + CASE WHEN type IN ('buy', 'sell') THEN fee ELSE 0 END
-  FROM f JOIN n ON n.account = f.account AND n.code = f.code AND n.i = f.i + 1)
- SELECT account, code, round(arg_max(cash, i), 4) AS cash, round(arg_max(held, i), 4) AS held, round(arg_max(fees, i), 4) AS fees, max(i) AS events FROM f GROUP BY 1, 2""")
+#: Events come in three turns, each a run of the stream that goes on from the checkpoint of the one before.
+DAYS = ("1994-07-01", "1997-01-01")
+
+
+def event_turns(df):
+    df, (a, b) = L.written(df, "events"), DAYS
+    return [df.where(F.col("day") < a), df.where(f"day >= '{a}' and day < '{b}'"), df.where(F.col("day") >= b)]
+
+
+@q("st_ledger_replay", LEDGER)
+def _(spark, d):
+    B.keyed_state(spark)
+    folder, root, by = L.scratch(spark, "ledger"), shared(spark), ["account", "code"]
+    book = lambda e: B.ledger_stream(e.withColumn("book", F.col("code")).withColumn("code", F.col("code").cast("string")), ["account", "book"], ["day", "event_id"], 10000.0)
+    got = J.in_turns(event_turns(trades(spark, d)), folder, lambda: J.run_to_table(book(J.stream(spark, folder)), root, "append", ["account", "book"]))
+    return booked(got.withColumnRenamed("book", by[1]))
+
+
+@q("ledger_replay_batch", LEDGER)
 def _(spark, d):
-    got = J.replay_ledger(trades(spark, d), ["account", "code"], ["day", "event_id"], 10000.0)
-    return got.select("account", "code", *[F.round(c, 4).alias(c) for c in ("cash", "held", "fees")], "events")
+    return booked(J.replay_ledger(trades(spark, d), ["account", "code"], ["day", "event_id"], 10000.0))
 
 
-@q("st_lots", f"""WITH RECURSIVE {TRADE}, t AS (SELECT * FROM trade WHERE type IN ('buy', 'sell') QUALIFY row_number() OVER (PARTITION BY account, code, event_id ORDER BY day, type, quantity, price, fee) = 1), n AS (SELECT *, row_number() OVER (PARTITION BY account, code ORDER BY day, event_id) AS i FROM t),
+LOTS = f"""WITH RECURSIVE {TRADE}, t AS (SELECT * FROM trade WHERE type IN ('buy', 'sell')), n AS (SELECT *, row_number() OVER (PARTITION BY account, code ORDER BY day, event_id) AS i FROM t),
  f AS (SELECT account, code, 0::BIGINT AS i, 0e0 AS held FROM n GROUP BY 1, 2 UNION ALL SELECT n.account, n.code, n.i, CASE type WHEN 'buy' THEN held + quantity ELSE greatest(held - quantity, 0) END FROM f JOIN n ON n.account = f.account AND n.code = f.code AND n.i = f.i + 1),
  h AS (SELECT account, code, arg_max(held, i) AS held FROM f GROUP BY 1, 2), b AS (SELECT *, sum(quantity) OVER (PARTITION BY account, code ORDER BY i DESC) - quantity AS newer FROM n WHERE type = 'buy')
- SELECT b.account, b.code, day AS acquired, round(least(quantity, held - newer), 4) AS quantity, day + 1 AS sellable FROM b JOIN h ON h.account = b.account AND h.code = b.code WHERE held - newer > 1e-9""")
+ SELECT b.account, b.code, day AS acquired, round(least(quantity, held - newer), 4) AS quantity, day + 1 AS sellable FROM b JOIN h ON h.account = b.account AND h.code = b.code WHERE held - newer > 1e-9"""
+
+
+@q("st_lots", LOTS)
+def _(spark, d):
+    B.keyed_state(spark)
+    folder, root, by = L.scratch(spark, "lots"), shared(spark), ["account", "code"]
+    run = lambda: J.run_to_table(B.lots_stream(J.stream(spark, folder), by, ["day", "event_id"]), root, "append", [*by, "lot"])
+    got = J.in_turns(event_turns(trades(spark, d).where("type in ('buy', 'sell')")), folder, run)
+    return got.where("quantity > 0").select("account", "code", "acquired", F.round("quantity", 4).alias("quantity"), "sellable")
+
+
+@q("lots_batch", LOTS)
 def _(spark, d):
     return J.fifo_lots(trades(spark, d).where("type in ('buy', 'sell')"), ["account", "code"], ["day", "event_id"]).select("account", "code", "acquired", F.round("quantity", 4).alias("quantity"), "sellable")
 
@@ -189,10 +270,9 @@ EXPOSURE = """WITH lines AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS qua
  SELECT event, fund, arg_max(path, (strength, path)) AS path, round(max(strength), 6) AS strength FROM f GROUP BY 1, 2"""
 
 
-@q("join_event_exposure_paths", EXPOSURE)
 @q("join_event_exposure", EXPOSURE)
 def _(spark, d):
-    """All events by all five paths, with the reference's relevance of each. An event names a part, a supplier and, by its type, a region,
+    """All events by all five paths, each with its relevance. An event names a part, a supplier and, by its type, a region,
     a nation or a brand; a supplier's share of a brand is its exposure to that industry."""
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"))

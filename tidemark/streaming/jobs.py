@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidemark.operators.series import folded
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream of one table, its NTZ times as timestamps (watermarks ask for them)."""
+    """A file stream of one table or folder, its NTZ times as timestamps (watermarks ask for them)."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema)
@@ -27,7 +29,8 @@ def run_to_table(df: DataFrame, root: str, mode: str = "complete", keys: list[st
 
     Checkpoint and output have fixed places, so a later call goes on where this one ended; each batch has a folder of its own that a retry of the
     batch replaces. In complete mode the last batch is the table, in append mode all batches are; in update mode each batch holds the rows that
-    changed, and a row of ``keys`` is the one of its last batch, so that the state of windows older than the watermark can be dropped.
+    changed, and a row of ``keys`` is the one of its last batch, so that the state of windows older than the watermark can be dropped. With ``keys``
+    an append-only stream is read in this way too.
     """
     spark, out = df.sparkSession, f"{root}/{name}/out"
 
@@ -42,7 +45,7 @@ def run_to_table(df: DataFrame, root: str, mode: str = "complete", keys: list[st
     got = spark.read.schema(f"{_ddl(df)}, batch int").parquet(out)
     if mode == "complete":
         return got.join(got.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
-    if mode == "update":
+    if keys:
         rest = [c for c in df.columns if c not in keys]
         return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
     return got.drop("batch")
@@ -52,6 +55,61 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def in_turns(parts: list[DataFrame], folder: str, run: Callable[[], DataFrame]) -> DataFrame:
+    """Add each part to a stream's folder and run the stream after each: what a job does that is started again whenever there is more to read."""
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        out = run()
+    return out
+
+
+def upsert_new(batches: DataFrame, root: str, key: str, order: str, name: str = "upsert") -> DataFrame:
+    """A keyed table that grows by what a stream brings and it does not have: of each batch the first row (by ``order``) of each key unknown to
+    earlier batches. A batch that runs again replaces what it added, and a row that comes again changes nothing."""
+    spark, out = batches.sparkSession, f"{root}/{name}/out"
+    schema = f"{_ddl(batches)}, batch int"
+
+    def write(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c != key]
+        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
+        if number:
+            first = first.join(spark.read.schema(schema).parquet(out).where(F.col("batch") < number).select(key), key, "left_anti")
+        first.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    q = batches.writeStream.option("checkpointLocation", f"{root}/{name}/state").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(out).drop("batch")
+
+
+def split_late(df: DataFrame, root: str, time: str, delay: str, name: str = "revisions") -> DataFrame:
+    """Append a stream to a table, with ``late``: whether a row lies behind the watermark of the batches before its own, the latest time they held less
+    ``delay`` (an interval such as '30 days'). Late rows go to a folder of their own, so that they can be counted and read apart; none is dropped.
+
+    Each batch leaves its latest time in one small file. A batch that runs again replaces its files and reads only those of earlier batches, so that
+    it decides alike.
+    """
+    spark, base = df.sparkSession, f"{root}/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        top = batch.agg(F.max(time).alias("top")).write.mode("overwrite")
+        seen = None
+        if number:
+            seen = spark.read.schema("top timestamp, batch int").parquet(f"{base}/tops").where(F.col("batch") < number).agg((F.max("top") - F.expr(f"interval {delay}")).alias("mark")).first().mark
+        late = F.coalesce(F.col(time).cast("timestamp") < F.lit(seen).cast("timestamp"), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{base}/out/batch={number:09d}")
+        top.parquet(f"{base}/tops/batch={number:09d}")
+
+    q = df.withColumn(time, F.col(time).cast("timestamp")).writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(f"{_ddl(df.withColumn(time, F.col(time).cast('timestamp')))}, batch int, late boolean").parquet(f"{base}/out")
+
+
+def freshness(df: DataFrame, policy: DataFrame, feed: str, time: str) -> DataFrame:
+    """The latest time of each feed with its own limit, from a static table (feed, limit): a stream-static join, read anew with each batch."""
+    return df.join(policy, feed).groupBy(feed, "limit").agg(F.max(time).alias("last_at"))
+
+
 def dedup(df: DataFrame, key: list[str], time: str, watermark: str) -> DataFrame:
     """First row per key within the watermark."""
     return df.withWatermark(time, watermark).dropDuplicatesWithinWatermark(key)
@@ -162,22 +220,43 @@ def positions_after(df: DataFrame, by: list[str], day: str, order: list[str]) ->
 
 
 def replay_ledger(df: DataFrame, by: list[str], order: list[str], opening: float, day: str = "day") -> DataFrame:
-    """Cash, position and fees of each account after all its events, each event id once. Events have event_id, type, quantity, price, fee:
+    """Cash, position, fees, receivable and net asset value of each account after all its events, each event id once. Events have event_id, type, quantity,
+    price, fee and, for payments, ref:
 
-    buy and sell (cut at what is held), dividend and tax (price per unit held), split (quantity: new units for one), rights (quantity: new units per unit held, at
-    price), swap_out and swap_in (units leave and come without cash). A type that is none of these changes nothing but counts.
+    buy and sell (cut at what is held), dividend and tax (price per unit held), charge (price), record (a receivable of price per unit held) and pay (of the
+    record ``ref``), split (quantity: new units for one), rights (quantity: new units per unit held, at price), swap_out and swap_in (units leave and come
+    without cash). A type that is none of these changes nothing but counts. The position counts at the price last traded, after later splits.
     """
-    x = positions_after(applied_once(df, by, order), by, day, order)
+    if "ref" not in df.columns:
+        df = df.withColumn("ref", F.lit(None).cast("string"))
+    once = applied_once(df, by, order)
+    split = F.when(F.col("type") == "split", F.log("quantity")).otherwise(0.0)
+    x, splits, _, _ = in_chunks(positions_after(once, by, day, order).withColumn("__split", split).withColumn("__month", F.trunc(day, "MM")), by, "__month", order, "__split")
+    x = x.withColumn("__splits", splits)
     sold = F.col("held_before") - F.col("held")
     kind = lambda *k: F.col("type").isin(*k)
     cash = (
         F.when(kind("buy"), -F.col("quantity") * F.col("price") - F.col("fee")).when(kind("sell"), sold * F.col("price") - F.col("fee"))
-        .when(kind("dividend"), F.col("held_before") * F.col("price")).when(kind("tax"), -F.col("held_before") * F.col("price"))
+        .when(kind("dividend"), F.col("held_before") * F.col("price")).when(kind("tax"), -F.col("held_before") * F.col("price")).when(kind("charge"), -F.col("price"))
         .when(kind("rights"), -F.col("held_before") * F.col("quantity") * F.col("price")).otherwise(0.0)
     )
-    fees = F.when(kind("buy", "sell"), F.col("fee")).otherwise(0.0)
-    last = F.max_by("held", F.struct(*order))
-    return x.groupBy(*by).agg((F.lit(opening) + F.sum(cash)).alias("cash"), last.alias("held"), F.sum(fees).alias("fees"), F.count(F.lit(1)).alias("events"))
+    fees = F.when(kind("buy", "sell"), F.col("fee")).when(kind("charge"), F.col("price")).otherwise(0.0)
+    # A receivable under its record's id: what the record is worth, and whether a payment names it later on.
+    due = x.where(kind("record", "pay")).groupBy(*by, F.when(kind("record"), F.col("event_id")).otherwise(F.col("ref")).alias("__record")).agg(
+        F.max(F.when(kind("record"), F.col("held_before") * F.col("price"))).alias("__amount"),
+        F.coalesce(F.max(F.when(kind("pay"), F.struct(*order))) > F.max(F.when(kind("record"), F.struct(*order))), F.lit(False)).alias("__paid"),
+    )
+    amount = F.coalesce("__amount", F.lit(0.0))
+    due = due.groupBy(*by).agg(F.sum(F.when(F.col("__paid"), amount).otherwise(0.0)).alias("__got"), F.sum(F.when(F.col("__paid"), 0.0).otherwise(amount)).alias("__due"))
+    at = F.struct(*order)
+    totals = x.groupBy(*by).agg(
+        (F.lit(opening) + F.sum(cash)).alias("cash"), F.max_by("held", at).alias("held"), F.sum(fees).alias("fees"), F.count(F.lit(1)).alias("events"),
+        F.max_by("__splits", at).alias("__last"), F.max_by(F.when(kind("buy", "sell"), F.struct("price", "__splits")), F.when(kind("buy", "sell"), at)).alias("__trade"),
+    )
+    got, due_left = F.coalesce("__got", F.lit(0.0)), F.coalesce("__due", F.lit(0.0))
+    mark = F.coalesce(F.col("__trade.price") * F.exp(F.col("__trade.__splits") - F.col("__last")), F.lit(0.0))
+    out = totals.join(due, by, "left").withColumn("cash", F.col("cash") + got)
+    return out.select(*by, "cash", "held", "fees", "events", due_left.alias("receivable"), (F.col("cash") + F.col("held") * mark + due_left).alias("nav"))
 
 
 def fifo_lots(df: DataFrame, by: list[str], order: list[str], day: str = "day") -> DataFrame:
