@@ -330,31 +330,6 @@ def test_factor_returns_equal_least_squares(spark):
         assert got[D(2024, m, 1), "a"].specific_var == pytest.approx(np.var(x[:, 3] - x[:, :3] @ beta))
 
 
-def test_redundancy_equals_regressions_of_each_factor(spark):
-    import numpy as np
-
-    rows = cross_section(2, 50)
-    got = {(r.month, r.factor): r for r in portfolio.redundancy(spark.createDataFrame(rows, SECTION), ["a", "b", "c"]).collect()}
-    x = np.array([r[2:5] for r in rows if r[0] == D(2024, 2, 1)])
-    for i, f in enumerate("abc"):
-        others = np.column_stack([np.ones(len(x)), np.delete(x, i, axis=1)])
-        e = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
-        assert got[D(2024, 2, 1), f].vif == pytest.approx(np.var(x[:, i]) / np.var(e))
-        assert got[D(2024, 2, 1), f].mean_corr == pytest.approx(np.mean([np.corrcoef(x[:, i], x[:, j])[0, 1] for j in range(3) if j != i]))
-
-
-def test_walk_forward_scores_use_earlier_months_only(spark):
-    rng = random.Random(4)
-    rows = [(D(2022 + m // 12, 1 + m % 12, 1), i, a := rng.gauss(0, 1), 2.0 * a + rng.gauss(0, 0.05)) for m in range(18) for i in range(12)]
-    df = spark.createDataFrame(rows, "month date, code long, a double, y double")
-    got = {(r.month, r.code): r.score for r in portfolio.linear_walkforward(df, ["a"], "y").collect()}
-    assert min(m for m, _ in got) == D(2023, 1, 1)
-    assert all(got[m, i] == pytest.approx(2.0 * a, abs=0.2) for m, i, a, _ in rows if (m, i) in got)
-    later = df.withColumn("y", F.when(F.col("month") >= "2023-03-01", 0.0).otherwise(F.col("y")))
-    again = {(r.month, r.code): r.score for r in portfolio.linear_walkforward(later, ["a"], "y").where("month <= '2023-03-01'").collect()}
-    assert again == {k: v for k, v in got.items() if k in again}
-
-
 def test_manifest_reads_changed_files_only_and_finds_what_differs(spark, tmp_path):
     root = str(tmp_path / "files")
     spark.range(10).repartition(2).write.parquet(root)

@@ -78,11 +78,11 @@ def portfolio_returns(weights: DataFrame, rets: DataFrame) -> DataFrame:
 
 
 def neighborhood(df: DataFrame, by: str, value: str, center: Column) -> DataFrame:
-    """The centre's share below among all (ties half), and the band without one smallest and one largest value."""
+    """The centre's share below among all (ties with others half), and the band without one smallest and one largest value (of fewer than three: all)."""
     w = Window.partitionBy(by)
     x = df.withColumn("c", F.max(F.when(center, F.col(value))).over(w)).withColumn("a", F.row_number().over(w.orderBy(value, "code"))).withColumn("b", F.row_number().over(w.orderBy(F.desc(value), F.desc("code"))))
-    inner = (F.col("a") > 1) & (F.col("b") > 1)
-    return x.groupBy(by).agg(((F.sum((F.col(value) < F.col("c")).cast("int")) + F.sum((F.col(value) == F.col("c")).cast("int")) / 2) / F.count(F.lit(1))).alias("share"), F.min(F.when(inner, F.col(value))).alias("low"), F.max(F.when(inner, F.col(value))).alias("high"))
+    inner = ((F.col("a") > 1) & (F.col("b") > 1)) | (F.col("a") + F.col("b") <= 3)
+    return x.groupBy(by).agg(((F.sum((F.col(value) < F.col("c")).cast("int")) + (F.sum((F.col(value) == F.col("c")).cast("int")) - 1) / 2) / F.count(F.lit(1))).alias("share"), F.min(F.when(inner, F.col(value))).alias("low"), F.max(F.when(inner, F.col(value))).alias("high"))
 
 
 def decayed_weights(ic: DataFrame, at: str, half_life: float = 6.0, prior: float = 12.0, least: float = 0.05, most: float = 0.6) -> DataFrame:
@@ -97,61 +97,6 @@ def decayed_weights(ic: DataFrame, at: str, half_life: float = 6.0, prior: float
     return c.select("factor", "mean", (F.col("w") / F.sum("w").over(all_)).alias("weight"))
 
 
-def redundancy(df: DataFrame, factors: list[str]) -> DataFrame:
-    """Variance inflation of each factor per month over names that have all factors, and its mean correlation with the others. Correlations are
-    aggregates; only a month's small matrix, one row, is inverted in Python. Months with no more names than factors and one are left out."""
-    import numpy as np
-    import pandas as pd
-
-    k = len(factors)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    x = df.select("month", *factors).dropna(subset=factors)
-    corr = x.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.corr(factors[i], factors[j]) for i, j in pairs]).alias("c")).where(F.col("n") > k + 1)
-
-    def solve(batches):
-        for pdf in batches:
-            rows = []
-            for month, c in zip(pdf["month"], pdf["c"], strict=True):
-                m = np.eye(k)
-                for (i, j), v in zip(pairs, c, strict=True):
-                    m[i, j] = m[j, i] = v if v is not None and np.isfinite(v) else 0.0
-                vif = np.diag(np.linalg.pinv(m, hermitian=True))
-                rows += [(month, f, float(vif[i]), float((m[i].sum() - 1) / max(1, k - 1))) for i, f in enumerate(factors)]
-            yield pd.DataFrame(rows, columns=["month", "factor", "vif", "mean_corr"])
-
-    return corr.mapInPandas(solve, "month date, factor string, vif double, mean_corr double")
-
-
-def linear_walkforward(panel: DataFrame, features: list[str], label: str, least: int = 12) -> DataFrame:
-    """Ridge scores refit on earlier months only: running cross products per month give each month's normal equations."""
-    import numpy as np
-    import pandas as pd
-
-    x = panel.where(" and ".join(f"{c} is not null" for c in [*features, label]))
-    cols = ["one", *features]
-    x = x.withColumn("one", F.lit(1.0))
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(cols) for b in cols[i:]] + [F.sum(F.col(a) * F.col(label)).alias(f"{a}__y") for a in cols]
-    per = x.groupBy("month").agg(*sums)
-    w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)  # one row per month
-    names = [c for c in per.columns if c != "month"]
-    run = per.select("month", F.row_number().over(Window.orderBy("month")).alias("i"), *[F.sum(c).over(w).alias(c) for c in names]).where(F.col("i") > least)
-
-    def solve(batches):
-        for pdf in batches:
-            rows = []
-            for _, r in pdf.iterrows():
-                a = np.array([[r[f"{p}__{q}"] if f"{p}__{q}" in r else r[f"{q}__{p}"] for q in cols] for p in cols])
-                b = np.linalg.solve(a + 1e-3 * np.trace(a) / len(cols) * np.eye(len(cols)), np.array([r[f"{p}__y"] for p in cols]))
-                rows.append({"month": r["month"], "beta": b.tolist()})
-            yield pd.DataFrame(rows, columns=["month", "beta"])
-
-    beta = run.mapInPandas(solve, "month date, beta array<double>")
-    score = F.col("beta")[0]
-    for i, f in enumerate(features):
-        score = score + F.col("beta")[i + 1] * F.col(f)
-    return x.join(F.broadcast(beta), "month").select("month", "code", score.alias("score"))
-
-
 def latest_chain(signal: DataFrame, factor: DataFrame, files: DataFrame) -> DataFrame:
     """Signal -> factor -> newest source file, nested. (signal, factor), (factor, field), (field, file, seq)."""
     last = newest(files, ["field"], [F.desc("seq")]).drop("seq")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof as A
 from tidemark.operators import evidence as E
+from tidemark.operators import models as M
 from tidemark.operators import portfolio as P
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, REVISIONS, bars, members, r6, revisions, table
-from tidemark.plans.evidence import BOOT, CLIP, IC, RAW, clipped, ic, raw_panel
+from tidemark.plans.evidence import BOOT, CLIP, IC, RAW, clipped, ic, proxied, raw_panel
 from tidemark.plans.relational import POSITIONS, positions
 from tidemark.plans.series import MACD, NUMBERED, FWD, RET, panel, rets
 from tidemark.sources import lake as L
@@ -300,7 +301,7 @@ def _(spark, d):
     return ic(spark, d).groupBy(F.year("month").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("periods"), F.round(F.avg("ic"), 6).alias("mean_ic"))
 
 
-@q("ev_neighborhood", "WITH x AS (SELECT p_brand AS b, p_partkey AS code, p_retailprice AS v FROM part), c AS (SELECT b, arg_min(v, code) AS c FROM x GROUP BY 1), r AS (SELECT x.*, c, row_number() OVER (PARTITION BY x.b ORDER BY v, code) AS i, count(*) OVER (PARTITION BY x.b) AS n FROM x JOIN c ON x.b = c.b) SELECT b AS p_brand, round((sum((v < c)::INT) + sum((v = c)::INT) / 2.0) / count(*), 6) AS share, min(v) FILTER (WHERE i > 1 AND i < n) AS low, max(v) FILTER (WHERE i > 1 AND i < n) AS high FROM r GROUP BY b")
+@q("ev_neighborhood", "WITH x AS (SELECT p_brand AS b, p_partkey AS code, p_retailprice AS v FROM part), c AS (SELECT b, arg_min(v, code) AS c FROM x GROUP BY 1), r AS (SELECT x.*, c, row_number() OVER (PARTITION BY x.b ORDER BY v, code) AS i, count(*) OVER (PARTITION BY x.b) AS n FROM x JOIN c ON x.b = c.b) SELECT b AS p_brand, round((sum((v < c)::INT) + (sum((v = c)::INT) - 1) / 2.0) / count(*), 6) AS share, min(v) FILTER (WHERE i > 1 AND i < n OR n < 3) AS low, max(v) FILTER (WHERE i > 1 AND i < n OR n < 3) AS high FROM r GROUP BY b")
 def _(spark, d):
     x = table(spark, d, "part").withColumn("code", F.col("p_partkey"))
     first = F.col("code") == F.min("code").over(Window.partitionBy("p_brand"))
@@ -321,7 +322,20 @@ def _(spark, d):
 
 @q("ev_redundancy")
 def _(spark, d):
-    return P.redundancy(raw_panel(spark, d), ["mom", "rev", "vol", "dd"]).select("month", "factor", *r6("vif", "mean_corr"))
+    x = raw_panel(spark, d).join(panel(spark, d).select("code", "month", "fwd"), ["code", "month"], "left")
+    return M.redundancy(x, ["mom", "rev", "vol", "dd"]).select("month", "factor", *r6("vif", "mean_corr", "marginal_ic", "conditional_ic"))
+
+
+WEIGHTS = {"mom": 0.5, "rev": 0.3, "dd": 0.2}
+
+
+@q("ev_perturbation_grid", f"""WITH {RAW}, {FWD.split(BARS + ", ", 1)[1]}, g AS (SELECT * FROM (VALUES {", ".join(f"({i}, {g['mom']}::DOUBLE, {g['rev']}::DOUBLE, {g['dd']}::DOUBLE)" for i, g in enumerate(M.weight_grid(WEIGHTS)))}) g(i, a, b, c)),
+ s AS (SELECT i, r.month, corr(a * coalesce(mom, 0) + b * coalesce(rev, 0) + c * coalesce(dd, 0), fwd) AS v FROM rawm r JOIN panel p ON p.code = r.code AND p.month = r.month, g WHERE fwd IS NOT NULL GROUP BY 1, 2), v AS (SELECT i, round(avg(v) FILTER (WHERE NOT isnan(v)), 12) AS v FROM s GROUP BY 1), c AS (SELECT v AS c FROM v WHERE i = 0)
+ SELECT round(max(c), 6) AS center, round((sum((v < c)::INT) + (sum((v = c)::INT) - 1) / 2.0) / count(*), 6) AS share, round(list_sort(list(v))[2], 6) AS low, round(list_sort(list(v))[len(list(v)) - 1], 6) AS high, CAST(count(*) AS INT) AS points FROM v, c""")
+def _(spark, d):
+    """Is the composite's weight an accident? Each weight moved by a step, the composite scored anew."""
+    x = raw_panel(spark, d).join(panel(spark, d).select("code", "month", "fwd"), ["code", "month"])
+    return M.perturbed(x, WEIGHTS).select(*r6("center", "share", "low", "high"), "points")
 
 
 @q("ev_reality_check", f"WITH {BOOT}, m AS (SELECT avg(ic) AS m FROM ic) SELECT round(max(m), 6) AS mean, round(avg(CASE WHEN mean - m >= m THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM means, m")
@@ -335,8 +349,16 @@ def _(spark, d):
 
 @q("ev_linear_walkforward")
 def _(spark, d):
-    x = raw_panel(spark, d).join(panel(spark, d).select("code", "month", "fwd"), ["code", "month"])
-    return P.linear_walkforward(x, ["mom", "rev", "dd"], "fwd").select("month", "code", *r6("score"))
+    x = raw_panel(spark, d).join(panel(spark, d).select("code", "month", "fwd"), ["code", "month"]).join(members(spark, d).select("code", "industry"), "code")
+    return M.walk_forward(x, ["mom", "rev", "vol", "dd"], "fwd", "month", "industry").select("month", "code", *r6("prediction", "actual"), "alpha", "l1_ratio")
+
+
+@q("ev_active_alpha_hac")
+def _(spark, d):
+    """Each series against the market proxy and a style, the mean return of its own region's other members."""
+    x = proxied(spark, d).join(members(spark, d).select("code", "market"), "code").withColumn("style", F.avg("ret").over(Window.partitionBy("market", "trade_date")))
+    got = M.alpha_evidence(x, "code", "trade_date", "ret", "proxy", ["style"])
+    return got.select("code", "n", *r6("active_mean", "ir", "active_t", "alpha", "alpha_se", "alpha_t", "active_low", "active_high", "alpha_low", "alpha_high"), F.transform("betas", lambda b: F.round(b, 6)).alias("betas"), "passed")
 
 
 @q("win_realized_tax", "SELECT o_custkey AS account, round(sum(CASE WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) THEN 0.2 WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) THEN 0.1 ELSE 0.0 END * l_quantity * 0.01), 6) AS tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
