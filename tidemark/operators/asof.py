@@ -38,22 +38,31 @@ EPOCH = 1 << 20
 
 def segments(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """key, day, row: from each day on at which an interval of the key begins or has ended, the interval with the latest start that holds the day (null:
-    none). Intervals may overlap and nest.
+    none; of two rows of one day the one with an interval holds). Intervals may overlap and nest.
 
-    An interval is cut into dyadic blocks of days, about two per level; of a block's intervals only the latest start matters. A day lies in
-    one block per level, so each day meets at most 21 rows however many intervals hold it.
+    A key whose intervals lie one after the other needs their ends only. Others are cut into dyadic blocks of days, about two per level; of a
+    block's intervals only the latest start matters. A day lies in one block per level, and only levels up to the key's longest interval occur,
+    so that each day meets at most 21 rows however many intervals hold it.
     """
     number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) + EPOCH
     row = F.struct(start, *[c for c in intervals.columns if c not in (key, start)]).alias("row")
     x = intervals.where(F.col(start).isNotNull()).select(key, row, number(start).alias("lo"), F.coalesce(number(end) + 1, F.lit(2 * EPOCH)).alias("hi")).where("hi > lo")
+    whole = Window.partitionBy(key).orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumn("meets", F.coalesce(F.lead("lo").over(Window.partitionBy(key).orderBy("lo")) < F.col("hi"), F.lit(False)))
+    x = x.withColumn("nested", F.max("meets").over(whole)).withColumn("top", F.floor(F.log2(F.max(F.col("hi") - F.col("lo")).over(whole))).cast("int"))
+    none = F.lit(None).cast(x.schema["row"].dataType)
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("day"), "row"), F.struct(F.col("hi").alias("day"), none.alias("row")))).alias("s")
+    plain = x.where("not nested").select(key, ends).select(key, "s.day", "s.row")
+    n = x.where("nested")
     # The blocks of level l inside [lo, hi) are those from ceil(lo / 2^l) on; the first one with an odd number and the last one with an even number have no parent inside.
-    level = x.select(key, "row", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("level")).withColumn("a", F.expr("shiftright(lo + shiftleft(1, level) - 1, level)")).withColumn("b", F.expr("shiftright(hi, level)")).where("a < b")
+    own = F.sequence(F.lit(0), F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int"))
+    level = n.select(key, "row", "lo", "hi", F.explode(own).alias("level")).withColumn("a", F.expr("shiftright(lo + shiftleft(1, level) - 1, level)")).withColumn("b", F.expr("shiftright(hi, level)")).where("a < b")
     block = F.explode(F.array_compact(F.array_distinct(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)))))
     best = level.select(key, "level", block.alias("block"), "row").groupBy(key, "level", "block").agg(F.max("row").alias("row"))
-    days = x.select(key, F.explode(F.array("lo", "hi")).alias("day")).where(F.col("day") < 2 * EPOCH).distinct()
-    asked = days.select(key, "day", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("level")).withColumn("block", F.expr("shiftright(day, level)"))
-    found = asked.join(best, [key, "level", "block"]).groupBy(key, "day").agg(F.max("row").alias("row"))
-    return days.join(found, [key, "day"], "left").select(key, F.date_add(F.lit("1970-01-01").cast("date"), F.col("day") - EPOCH).alias("day"), "row")
+    days = n.select(key, "top", F.explode(F.array("lo", "hi")).alias("day")).where(F.col("day") < 2 * EPOCH).distinct()
+    asked = days.select(key, "day", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")).withColumn("block", F.expr("shiftright(day, level)"))
+    found = asked.join(best, [key, "level", "block"], "left").groupBy(key, "day").agg(F.max("row").alias("row"))
+    return plain.unionByName(found).where(F.col("day") < 2 * EPOCH).select(key, F.date_add(F.lit("1970-01-01").cast("date"), F.col("day") - EPOCH).alias("day"), "row")
 
 
 def interval_join(left: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:

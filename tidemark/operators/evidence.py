@@ -432,7 +432,7 @@ def account_bridge(trades: DataFrame, cash: DataFrame, account: str, industry: s
     """Total return of each account split into market, industry, style, selection, cash drag, fees and slippage; what is left over is the residual, with a
     warning above ``warn``. ``trades`` has gross, ret, fees and slippage (amounts) beside the keys, ``cash`` the account's idle cash.
 
-    The total is the gain after fees and slippage over invested money and cash. Means by industry and style are one row per member of a dimension.
+    The total is the gain after fees and slippage over the amount in positions and cash. Means by industry and style are one row per member of a dimension.
     """
     mean = lambda df, by, name: df.groupBy(*by).agg((F.sum(F.col("gross") * F.col("ret")) / F.sum("gross")).alias(name))
     x = trades.join(mean(trades, [industry], "i"), industry).join(mean(trades, [style], "s"), style).crossJoin(mean(trades, [], "m"))

@@ -12,6 +12,41 @@ def jdbc_table(spark: SparkSession, url: str, table: str, column: str, low: int,
     return r.options(**options).load()
 
 
+def database(spark: SparkSession, folder: str) -> str:
+    """The address of a relational database: ``tidemark.jdbc.url`` of the session, or an embedded one below ``folder``. An embedded database is open to one
+    process, so it serves local mode only; on a cluster the address has to be given."""
+    given = spark.conf.get("tidemark.jdbc.url", None)
+    if given:
+        return given
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("tidemark.jdbc.url must name a database that all executors reach")
+    path = folder.removeprefix("file://").removeprefix("file:")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{path}.log")
+    return f"jdbc:derby:{path};create=true"
+
+
+def to_database(df: DataFrame, url: str, table: str, parts: int = 4, longest: int = 255) -> None:
+    """Write a table. Its columns are named in capitals, as names without quotes are read; texts have at most ``longest`` characters, so that they can be compared."""
+    texts = ", ".join(f"{f.name.upper()} VARCHAR({longest})" for f in df.schema.fields if f.dataType.simpleString() == "string")
+    options = {"url": url, "dbtable": table, "numPartitions": parts, "batchsize": 10_000, **({"createTableColumnTypes": texts} if texts else {})}
+    df.toDF(*[c.upper() for c in df.columns]).write.format("jdbc").options(**options).mode("overwrite").save()
+
+
+def fund_navs(spark: SparkSession, url: str, parts: int, codes: list[str] | None = None, **options: str) -> DataFrame:
+    """NAVs joined to their instruments, as rows of the dataset fund_nav: fund_code, effective_date, nav, accumulated_nav, daily_return; of some ``codes`` only, if
+    given. The table is read in as many ranges of its instrument, between the smallest and the largest that the database tells."""
+    ends = spark.read.format("jdbc").options(url=url, query="SELECT min(instrument_id) AS low, max(instrument_id) AS high FROM fund_navs", **options).load().first()
+    ends = {k.lower(): v for k, v in ends.asDict().items()}
+    if ends["low"] is None:
+        ends = {"low": 0, "high": 1}
+    navs = jdbc_table(spark, url, "fund_navs", "instrument_id", int(ends["low"]), int(ends["high"]) + 1, parts, **options)
+    names = spark.read.format("jdbc").options(url=url, dbtable="instruments", **options).load()
+    if codes is not None:
+        names = names.where(F.col("code").isin(codes))
+    j = navs.join(names, navs["instrument_id"] == names["id"])
+    return map_columns(j, {"fund_code": F.col("code"), "effective_date": F.col("nav_date"), "nav": F.col("unit_nav"), "accumulated_nav": F.col("accumulated_nav"), "daily_return": F.col("daily_growth_rate")})
+
+
 def map_columns(df: DataFrame, mapping: dict[str, Column]) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in mapping.items()])
 

@@ -15,6 +15,7 @@ from tidemark.plans.base import BARS, MEMBERS, REVISIONS, bars, members, r6, rev
 from tidemark.plans.evidence import BOOT, CLIP, IC, RAW, clipped, ic, proxied, raw_panel
 from tidemark.plans.relational import POSITIONS, positions
 from tidemark.plans.series import MACD, NUMBERED, FWD, RET, panel, rets
+from tidemark.sources import feeds
 from tidemark.sources import lake as L
 
 QUERIES: dict = {}
@@ -35,11 +36,16 @@ def day(c: str):
     return F.to_date(c)
 
 
-@q("src_jdbc_nav", "SELECT p_name AS fund_code, CAST(l_shipdate AS DATE) AS effective_date, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+@q("src_jdbc_nav", f"WITH {BARS} SELECT 'F' || code AS fund_code, trade_date AS effective_date, round(close, 6) AS nav, round(close + 1, 6) AS accumulated_nav, CAST(NULL AS DOUBLE) AS daily_return FROM bars WHERE code % 10 <> 3")
 def _(spark, d):
-    # The join and mapping behind P.jdbc_table; the relational tables are the driver's Parquet.
-    j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy(F.col("p_name").alias("fund_code"), day("l_shipdate").alias("effective_date")).agg(F.count(F.lit(1)).alias("n"))
+    """A NAV table and its instruments in a relational database, read in ranges of the instrument and joined there by code."""
+    url = P.database(spark, L.scratch(spark, "database"))
+    navs = bars(spark, d).select(F.col("code").alias("instrument_id"), F.col("trade_date").alias("nav_date"), F.col("close").alias("unit_nav"), (F.col("close") + 1).alias("accumulated_nav"), F.lit(None).cast("double").alias("daily_growth_rate"))
+    codes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("F"), F.col("s_suppkey").cast("string")).alias("code"))
+    P.to_database(navs, url, "fund_navs")
+    P.to_database(codes, url, "instruments")
+    got = P.fund_navs(spark, url, parts=8)
+    return got.where(~F.col("fund_code").rlike("3$")).select("fund_code", "effective_date", *r6("nav", "accumulated_nav"), "daily_return")
 
 
 @q("src_universe_membership", "SELECT n_name AS universe, s_suppkey AS symbol, CAST(NULL AS DOUBLE) AS weight, 'master' AS source FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -67,7 +73,44 @@ def _(spark, d):
     return x.where("amount is not null")
 
 
-@q("ingest_feed_items", r"""WITH x AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS summary FROM pages)
+@q("ingest_feed_items", r"""WITH x AS (SELECT page_id, 's' || ((page_id // 10) % 7) AS source, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS summary FROM pages WHERE (page_id // 10) % 5 <> 4)
+ SELECT page_id // 10 AS feed, source, title, url, 1704067200 + page_id * 3600 + page_id % 60 * 60 AS published, summary, sha256(source || chr(0) || title || chr(0) || url) AS content_hash FROM x WHERE title <> ''""")
+def _(spark, d):
+    x = feeds.feed_items(feed_documents(spark, d)).drop("layout")
+    return x.select("feed", "source", "title", "url", F.unix_timestamp("published_at").alias("published"), "summary", "content_hash")
+
+
+@q("ingest_feed_errors", "SELECT DISTINCT page_id // 10 AS feed, 'not readable' AS reason FROM pages WHERE (page_id // 10) % 5 = 4")
+def _(spark, d):
+    return feeds.unread_feeds(feed_documents(spark, d)).select("feed", "reason")
+
+
+def feed_documents(spark, d):
+    """Ten pages make a feed; feeds come as RSS, Atom or JSON in a call, and a fifth of them is cut off."""
+    p = table(spark, d, "pages")
+    feed = F.expr("page_id div 10")
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    seconds = F.lit(1704067200) + F.col("page_id") * 3600 + F.col("page_id") % 60 * 60
+    ntz = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(page_id as int), cast(page_id % 60 as int))")
+    eight = F.expr("timestamp_ntz'2024-01-01 08:00:00' + make_dt_interval(0, cast(page_id as int), cast(page_id % 60 as int))")
+    rss = F.concat(F.lit("<item><title>"), esc(title), F.lit("</title><link>"), esc(F.col("url")), F.lit("</link><pubDate>"), F.date_format(eight, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0800</pubDate><description>"), esc(F.col("html")), F.lit("</description></item>"))
+    at = F.concat(F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    stamp = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<published>"), at, F.lit("</published><updated>2030-01-01</updated>"))).otherwise(F.concat(F.lit("<updated>"), at, F.lit("</updated>")))
+    atom = F.concat(F.lit('<entry><title type="html">'), esc(title), F.lit('</title><link rel="alternate" href="'), F.replace(esc(F.col("url")), F.lit('"'), F.lit("&quot;")), F.lit('"/>'), stamp, F.lit("<summary>"), esc(F.col("html")), F.lit("</summary></entry>"))
+    row = F.struct(title.alias("title"), F.col("html").alias("intro"), F.col("url").alias("docurl"), seconds.cast("string").alias("ctime"))
+    x = p.select(feed.alias("feed"), F.struct("page_id", rss.alias("rss"), atom.alias("atom"), row.alias("row")).alias("p")).groupBy("feed").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    layout = F.when(F.col("feed") % 5 == 2, "atom").when(F.col("feed") % 5 == 3, "json").otherwise("rss")
+    whole = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>all</title>'), F.array_join("p.rss", ""), F.lit("</channel></rss>"))
+    body = (
+        F.when(F.col("feed") % 5 == 2, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>'), F.array_join("p.atom", ""), F.lit("</feed>")))
+        .when(F.col("feed") % 5 == 3, F.concat(F.lit("call("), F.to_json(F.struct(F.struct(F.col("p.row").alias("data")).alias("result"))), F.lit(");")))
+        .when(F.col("feed") % 5 == 4, F.substring(whole, F.lit(1), F.length(whole) - 30)).otherwise(whole)
+    )
+    return x.select("feed", F.concat(F.lit("s"), (F.col("feed") % 7).cast("string")).alias("source"), layout.alias("layout"), body.alias("body"))
+
+
+@q("ingest_page_items", r"""WITH x AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS summary FROM pages)
  SELECT page_id, url, title, summary, sha256(url || chr(10) || title) AS content_hash FROM x""".replace("\\\\", "\\"))
 def _(spark, d):
     p = table(spark, d, "pages")

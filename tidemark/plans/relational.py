@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof as A
+from tidemark.operators import keywords as K
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, REVISIONS, bars, members, r6, revisions, table
@@ -438,11 +439,21 @@ def _(spark, d):
     return x.select("code", "at", F.round(F.log(F.col("close") * 1.1), 6).alias("up"), F.round(F.log(F.col("close") * 0.9), 6).alias("down"))
 
 
-@q("join_contains", "SELECT DISTINCT doc_id, kw FROM documents, (VALUES ('license'), ('password'), ('idiot'), ('the and')) k(kw) WHERE contains(lower(text), kw)")
+@q("join_contains_constant", "SELECT DISTINCT doc_id, kw FROM documents, (VALUES ('license'), ('password'), ('idiot'), ('the and')) k(kw) WHERE contains(lower(text), kw)")
 def _(spark, d):
     return R.keyword_hits(table(spark, d, "documents"), "text", ["license", "password", "idiot", "the and"]).select("doc_id", "kw").distinct()
 
 
+@q("join_contains", r"""WITH k AS (SELECT DISTINCT item_id AS code, unnest(string_split_regex(text, '[^A-Za-z]+')) AS keyword FROM benchmark), w AS (SELECT keyword, list(CAST(code AS VARCHAR)) AS codes FROM k WHERE length(keyword) >= 7 GROUP BY 1),
+ m AS (SELECT doc_id, unnest(codes) AS code FROM documents JOIN w ON contains(text, keyword)), g AS (SELECT doc_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes, count(DISTINCT code) AS n FROM m GROUP BY 1)
+ SELECT doc_id, coalesce(codes, '') AS codes, CAST(coalesce(n, 0) AS INT) AS n FROM documents LEFT JOIN g USING (doc_id)""")
+def _(spark, d):
+    """Codes named in each text: a test item's longer words are its keywords."""
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("code"), F.explode(F.split("text", "[^A-Za-z]+")).alias("keyword")).where(F.length("keyword") >= 7)
+    got = K.match_codes(table(spark, d, "documents"), words, "doc_id", "text")
+    return got.select("doc_id", F.array_join("codes", ",").alias("codes"), F.size("codes").alias("n"))
+
+
 @q("top_leaderboard", f"WITH {RAW} SELECT code, round(mom, 6) AS mom, rank, total FROM (SELECT code, mom, row_number() OVER (ORDER BY mom DESC NULLS LAST, code) AS rank, count(*) OVER () AS total FROM rawm WHERE month = DATE '2000-05-01') WHERE rank > 10 AND rank <= 30")
 def _(spark, d):
     x = raw_panel(spark, d).where("month = '2000-05-01'").select("code", "mom")
