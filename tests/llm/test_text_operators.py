@@ -288,3 +288,58 @@ def test_weak_tokens_need_a_complement(spark):
     masked = {r.doc_id: r.text for r in mask_secrets(docs(spark, rows)).collect()}
     assert weak not in masked[1] and weak in masked[2] and masked[4] == "[SECRET] with [SECRET]" and masked[5] is None
     assert scan_secrets(docs(spark, [])).count() == 0
+
+
+def brute_licenses(text):
+    """Votes, chains of diagonals and the densest stretch of each, label by label."""
+    import re
+
+    from tidemark.llm import license_scan as L
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    out = {}
+    for label, template in L.TEMPLATES.items():
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.lower())
+        k = min(L.GRAM, len(own))
+        n = len(own) - k + 1
+        votes = [(p, a) for p in range(len(words) - k + 1) for a in range(n) if words[p : p + k] == own[a : a + k]]
+        chains, last = [], None
+        for d in sorted({p - a for p, a in votes}):
+            if last is None or d - last > L.DRIFT:
+                chains.append(set())
+            chains[-1].add(d)
+            last = d
+        for chain in chains:
+            inside = [v for v in votes if v[0] - v[1] in chain]
+            best = max(len({a for q, a in inside if p <= q < p + (1 + L.BETWEEN) * n + 2 * L.DRIFT}) for p, _ in inside)
+            if best / n >= L.COVERAGE:
+                out[label] = max(out.get(label, 0), best / n)
+    return out
+
+
+def test_license_labels_equal_brute_force(spark):
+    from tidemark.llm import license_scan as L
+
+    rng = random.Random(8)
+    texts = ["licensed under the " * n + L.TEMPLATES["apache-notice"] for n in (0, 3, 5, 40)] + ["licensed under the " * 9, "", None]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            w = rng.choice(list(L.TEMPLATES.values())).split()
+            a = rng.randrange(0, max(1, len(w) // 2))
+            piece = w[a:] if rng.random() < 0.4 else w
+            for _ in range(rng.randrange(0, 6)):
+                i = rng.randrange(len(piece) + 1)
+                if rng.random() < 0.6:
+                    piece = piece[:i] + ["word"] * rng.randrange(1, 4) + piece[i:]
+                elif i < len(piece):
+                    piece = piece[:i] + piece[i + 1 :]
+            parts += piece + ["and so on"] * rng.randrange(0, 3) + " ".join(piece[:4] * rng.randrange(0, 4)).split()
+        texts.append(" ".join(parts))
+    got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = brute_licenses(t or "")
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == base | set(want)
+        assert got[i].score == pytest.approx(1.0 if base else max(want.values(), default=0.0))
+    assert "apache-notice" in got[2].labels and "apache-notice" in got[3].labels and got[4].labels == ""

@@ -4,8 +4,8 @@ All rolling word k-grams of every text are hashed. A gram whose hash no template
 its task, where the hashes of the constant template table are known; Spark joins the others to template positions on hash and
 words. A joined gram votes for the diagonal (its position minus the template position) of its template. Votes are counted per
 diagonal; a base phrase stands where its diagonal holds all of its grams. Neighbouring diagonals of one template (a word too
-many or too few in between) are merged, and the merged span is verified by the share of template grams it holds in the
-template's order.
+many or too few in between) are merged into chains, and the densest stretch of a chain, no longer than the template with words in
+between, is verified by the share of template grams it holds.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ TEMPLATES = {
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
 }
 GRAM, SHORT_GRAM = 3, 2
-#: Diagonals this far apart are neighbours; merged spans need this share of the template's grams, and beside the template's words
-#: may hold this share of them again (and twice the drift) as words in between.
+#: Diagonals this far apart are neighbours; a stretch needs this share of the template's grams, and beside the template's words may
+#: hold this share of them again (and twice the drift) as words in between.
 DRIFT = 3
 COVERAGE = 0.7
 BETWEEN = 0.5
@@ -118,16 +118,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grams = materialize(src.mapInArrow(_gram_rows(wanted), "id long, key struct<a:long,b:long>, n_words long, grams array<struct<p:int,k:int,h:long,g:string>>"), "grams")
     met = grams.where(F.size("grams") > 0).dropDuplicates(["key"]).select("key", F.explode("grams").alias("x")).select("key", "x.*")
     votes = met.join(F.broadcast(templates(docs.sparkSession)), ["h", "g", "k"])
-    diagonal = votes.groupBy("key", "template", "label", "base", "grams", (F.col("p") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("at").alias("held"))
+    diagonal = votes.groupBy("key", "template", "label", "base", "grams", (F.col("p") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.collect_set("at").alias("held"))
     base = diagonal.where("base and votes = grams").groupBy("key").agg(
         F.count(F.lit(1)).alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set")
     )
     order = W.partitionBy("key", "template").orderBy("diagonal")
     near = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT, F.lit(True)).cast("int")
     merged = diagonal.where("not base").withColumn("near", near).withColumn("group", F.sum("near").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = merged.groupBy("key", "template", "label", "grams", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # A span with more words in between is not a quotation of the template.
-    spans = spans.withColumn("share", F.col("n") / F.col("grams")).where((F.col("share") >= COVERAGE) & (F.col("hi") - F.col("lo") < (1 + BETWEEN) * F.col("grams") + 2 * DRIFT))
+    # The densest stretch of a chain, no longer than a quotation with words in between: fragments around it count for nothing.
+    length = (1 + BETWEEN) * F.col("grams") + 2 * DRIFT
+    longest = int((1 + BETWEEN) * max(r[5] for r in template_rows() if not r[2]) + 2 * DRIFT)
+    ahead = W.partitionBy("key", "template", "group").orderBy("p").rangeBetween(0, longest)
+    voted = merged.select("key", "template", "label", "grams", "group", F.explode("held").alias("at"), "diagonal").withColumn("p", F.col("diagonal") + F.col("at"))
+    dense = voted.withColumn("ahead", F.collect_list(F.struct("p", "at")).over(ahead)).withColumn("ahead", F.filter("ahead", lambda x: x["p"] - F.col("p") < length))
+    spans = dense.groupBy("key", "template", "label", "grams", "group").agg(F.max(F.size(F.array_distinct(F.transform("ahead", lambda x: x["at"])))).alias("n"))
+    spans = spans.withColumn("share", F.col("n") / F.col("grams")).where(F.col("share") >= COVERAGE)
     text = spans.groupBy("key").agg(F.max("share").alias("share"), F.collect_set("label").alias("text_set"))
     out = grams.select("id", "key", "n_words").join(base, "key", "left").join(text, "key", "left")
     none = F.array().cast("array<string>")
