@@ -74,10 +74,35 @@ def calibrate(df: DataFrame, by: str, y: str, x1: str, x2: str, base: float) ->
     a = F.greatest(F.lit(0.0), (F.col("s1y") * F.col("s22") - F.col("s2y") * F.col("s12")) / det)
     b = F.greatest(F.lit(0.0), (F.col("s2y") * F.col("s11") - F.col("s1y") * F.col("s12")) / det)
     fit = g.select(by, a.alias("a"), b.alias("b"))
-    e = d.join(F.broadcast(fit), by).withColumn("e", F.col("__y") - F.col("a") * F.col(x1) - F.col("b") * F.col(x2))
+    e = d.join(fit, by).withColumn("e", F.col("__y") - F.col("a") * F.col(x1) - F.col("b") * F.col(x2))
     return e.groupBy(by).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.avg("e").alias("bias"), F.avg(F.abs("e")).alias("mae"))
 
 
+def bucket_means(df: DataFrame, by: list[str], buckets: dict[str, tuple[list[float], list[str]]], value: str) -> DataFrame:
+    """Count and mean of a value by ``by`` and buckets of columns: name -> (cuts, labels), a label per range below each cut and one beyond the last."""
+    def label(c: str, cuts: list[float], names: list[str]) -> Column:
+        out = F.lit(names[-1])
+        for cut, n in reversed(list(zip(cuts, names, strict=False))):
+            out = F.when(F.col(c) < cut, n).otherwise(out)
+        return out
+
+    keys = [label(c, *b).alias(f"{c}_bucket") for c, b in buckets.items()]
+    return df.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+
+
+def against_history(reports: DataFrame, by: str, at: str, stable: list[str], most: float = 100.0) -> DataFrame:
+    """Health reports with the median of the report before, the ratio of both, and the reasons scale (more than ``most`` times as much, or as little) and, for
+    factors of a stable sign, sign."""
+    before = F.lag("median").over(Window.partitionBy(by).orderBy(at))
+    x = reports.withColumn("before", before)
+    both = (F.abs("median") > 1e-12) & (F.abs("before") > 1e-12)
+    x = x.withColumn("scale_ratio", F.when(both, F.abs(F.col("median") / F.col("before"))))
+    scale = F.when((F.col("scale_ratio") > most) | (F.col("scale_ratio") < 1 / most), "scale")
+    sign = F.when(both & F.col(by).isin(stable) & (F.col("median") * F.col("before") < 0), "sign")
+    x = x.withColumn("reasons", F.concat_ws(",", F.when(F.col("reasons") != "", F.col("reasons")), scale, sign))
+    return x.withColumn("blocked", F.col("reasons") != "")
+
+
 def health(df: DataFrame, by: list[str], value: str, expected: Column, coverage: float = 0.8, unique: int = 5) -> DataFrame:
     """Coverage, distinct values, quantiles and blocking reasons of a factor's cross-section."""
     g = df.groupBy(*by).agg(

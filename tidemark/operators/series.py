@@ -242,12 +242,13 @@ def prior_volume(df: DataFrame, n: int = 20, least: int = 5) -> DataFrame:
     return df.where("volume > 0").select("code", "trade_date", F.when(F.count("volume").over(w) >= least, F.avg("volume").over(w)).alias("adv"))
 
 
-def adjust_forward(df: DataFrame, factor: str = "factor") -> DataFrame:
-    """close * factor / latest factor; a key with any missing factor is left out."""
+def adjust_forward(df: DataFrame, factor: str = "factor", prices: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """Prices * factor / latest factor; a key with any missing factor is left out."""
     whole = Window.partitionBy("code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    latest = F.last(factor, ignorenulls=True).over(whole)
-    ok = F.min(F.col(factor).isNotNull().cast("int")).over(Window.partitionBy("code")) == 1
-    return df.withColumn("ok", ok).withColumn("adjusted", F.col("close") * F.col(factor) / latest).where("ok").select("code", "trade_date", "adjusted")
+    ratio = F.col(factor) / F.last(factor, ignorenulls=True).over(whole)
+    ok = F.min(F.col(factor).isNotNull().cast("int")).over(whole) == 1
+    x = df.withColumns({"ok": ok, "ratio": ratio}).where("ok")
+    return x.select("code", "trade_date", *[(F.col(c) * F.col("ratio")).alias(c) for c in prices])
 
 
 def chain_extend(df: DataFrame, adjusted: str = "adjusted", raw: str = "close") -> DataFrame:
@@ -444,7 +445,17 @@ def dca(df: DataFrame, every: int, amount: float, value: str = "close") -> DataF
 
 def crosses(df: DataFrame, fast: int, slow: int, value: str = "close") -> DataFrame:
     """Golden and death crosses of two moving averages, dated at the next bar."""
-    x = df.select("code", "trade_date", F.signum(F.avg(value).over(frame(fast)) - F.avg(value).over(frame(slow))).alias("s"), F.lead("trade_date").over(over()).alias("act"), F.row_number().over(over()).alias("n")).where(F.col("n") >= slow)
+    return _crossed(df.select("code", "trade_date", F.signum(F.avg(value).over(frame(fast)) - F.avg(value).over(frame(slow))).alias("s"), F.row_number().over(over()).alias("n")), slow)
+
+
+def macd_crosses(df: DataFrame, value: str = "close") -> DataFrame:
+    """Crosses of DIF and DEA, dated at the next bar."""
+    return _crossed(macd(df, value).select("code", "trade_date", F.signum("hist").alias("s"), F.row_number().over(over()).alias("n")), 1)
+
+
+def _crossed(signs: DataFrame, first: int) -> DataFrame:
+    """Where the sign of a difference changes, from a series' ``first`` bar on."""
+    x = signs.withColumn("act", F.lead("trade_date").over(over())).where(F.col("n") >= first)
     x = x.withColumn("p", F.lag("s").over(over())).where("act is not null and ((s > 0 and p <= 0) or (s < 0 and p >= 0))")
     return x.select("code", F.col("act").alias("trade_date"), F.when(F.col("s") > 0, "golden").otherwise("death").alias("cross_type"))
 
@@ -487,14 +498,17 @@ def twr(df: DataFrame, value: str, flow: str) -> DataFrame:
 
 
 def indicator_row(df: DataFrame, value: str = "close") -> DataFrame:
-    """All single-series indicators as one row of the last day."""
+    """All single-series indicators as one row of the last day: returns over 20, 60 and 250 bars and a calendar year, risk, averages, MACD and trend."""
     x = drawdown(daily_return(df, value), value)
     x = x.withColumns({f"r{n}": F.col(value) / F.lag(value, n).over(over()) - 1 for n in (20, 60, 250)})
     x = x.withColumns({"ma20": F.avg(value).over(frame(20)), "ma60": F.avg(value).over(frame(60))})
     last = F.max_by(F.struct("trade_date", "r20", "r60", "r250", "ma20", "ma60"), "trade_date").alias("l")
     sd = F.stddev_samp("ret")
     g = x.groupBy("code").agg(last, (sd * F.sqrt(F.lit(252.0))).alias("vol"), F.min("dd").alias("max_drawdown"), F.when(sd > 0, (F.avg("ret") - 0.02 / 252) / sd * F.sqrt(F.lit(252.0))).alias("sharpe"), F.avg(F.when(F.col("ret") > 0, 1.0).when(F.col("ret").isNotNull(), 0.0)).alias("win_rate"))
-    return g.select("code", "l.*", "vol", "max_drawdown", "sharpe", "win_rate")
+    year = calendar_return(df, 12, value).select("code", F.col("ret").alias("r1y"))
+    trend = trend_rows(df.withColumn("close", F.col(value))).groupBy("code").agg(F.max_by(F.struct("dif", "dea", "hist", "signal"), "trade_date").alias("t"))
+    out = g.join(year, "code", "left").join(trend, "code")
+    return out.select("code", "l.*", "vol", "max_drawdown", "sharpe", "win_rate", "r1y", "t.dif", "t.dea", "t.hist", "t.signal")
 
 
 def kdj_whole(df: DataFrame) -> DataFrame:
@@ -529,12 +543,17 @@ def technical_score(df: DataFrame) -> DataFrame:
 
 
 def trend_signal(df: DataFrame) -> DataFrame:
-    """Votes of price over MA20, MA20 over MA60 and DIF over DEA, each for or against: strong from two on. Fewer than 20 bars are neutral."""
+    """code, trade_date and signal of ``trend_rows``."""
+    return trend_rows(df).select("code", "trade_date", "signal")
+
+
+def trend_rows(df: DataFrame) -> DataFrame:
+    """Trend signal with dif, dea and hist. Votes of price over MA20, MA20 over MA60 and DIF over DEA, each for or against: strong from two on. Fewer than 20 bars are neutral."""
     x = df.select("code", "trade_date", "close", F.row_number().over(over()).alias("n"), F.avg("close").over(frame(20)).alias("a"), F.avg("close").over(frame(60)).alias("b"))
-    x = x.join(macd(df).select("code", "trade_date", "dif", "dea"), ["code", "trade_date"])
+    x = x.join(macd(df), ["code", "trade_date"])
     s = F.when(F.col("close") >= F.col("a"), 1).otherwise(-1) + F.when(F.col("n") < 60, 0).when(F.col("a") >= F.col("b"), 1).otherwise(-1) + F.when(F.col("dif") > F.col("dea"), 1).otherwise(-1)
     signal = F.when(F.col("n") < 20, "neutral").when(s >= 2, "strong_up").when(s == 1, "up").when(s == -1, "down").when(s <= -2, "strong_down").otherwise("neutral")
-    return x.select("code", "trade_date", signal.alias("signal"))
+    return x.select("code", "trade_date", signal.alias("signal"), "dif", "dea", "hist")
 
 
 def time_decay(df: DataFrame, top: int = 12) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.functions import rules as X
 from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, NEWS, REVISIONS, bars, members, news, r6, revisions, table
 from tidemark.plans.series import signals
+from tidemark.operators import relational as R
 from tidemark.sources import lake as L
 from tidemark.sources.lake import scratch
 
@@ -105,9 +106,10 @@ def _(spark, d):
     return a.unionByName(b).unionByName(c)
 
 
-@q("ingest_source_fallback", f"WITH {REVISIONS} SELECT code, min(CASE source WHEN 'lines' THEN 1 ELSE 2 END) AS prio FROM revisions GROUP BY 1")
+@q("ingest_source_fallback", f"WITH {REVISIONS}, p AS (SELECT *, CASE source WHEN 'lines' THEN 1 ELSE 2 END AS prio FROM revisions) SELECT code, effective_date, ingest_no, source, value FROM p QUALIFY prio = min(prio) OVER (PARTITION BY code)")
 def _(spark, d):
-    return revisions(spark, d).groupBy("code").agg(F.min(F.when(F.col("source") == "lines", 1).otherwise(2)).alias("prio"))
+    x = revisions(spark, d).withColumn("prio", F.when(F.col("source") == "lines", 1).otherwise(2))
+    return R.first_source(x, ["code"], "prio").select("code", "effective_date", "ingest_no", "source", "value")
 
 
 @q("ingest_map_index", f"WITH {BARS}, x AS (SELECT code, trade_date, close / lag(close) OVER (PARTITION BY code ORDER BY trade_date) - 1 AS p FROM bars WHERE close > 0) SELECT code, trade_date, round(CASE WHEN abs(p) <= 0.5 THEN p END, 6) AS pct FROM x")
@@ -128,11 +130,15 @@ def _(spark, d):
     return table(spark, d, "orders").withColumn("t", t).select("o_orderkey", L.any_date("t").alias("day"))
 
 
-@q("ingest_canonical_records", "SELECT 'orders' AS dataset, o_custkey AS code, CAST(o_orderdate AS DATE) AS effective_date, o_orderkey AS source_no FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@q("ingest_canonical_records", '''WITH x AS (SELECT 'orders' AS dataset, o_custkey AS code, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS DATE) END AS effective_date, o_orderkey AS source_no, '{"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' AS payload FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))
+ SELECT x.*, sha256(payload) AS source_hash, (SELECT count(*) FROM x WHERE effective_date IS NULL) AS invalid FROM x WHERE effective_date IS NOT NULL''')
 def _(spark, d):
-    o = table(spark, d, "orders").select(F.lit("orders").alias("dataset"), F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("effective_date"), F.col("o_orderkey").alias("source_no"), F.to_json(F.struct("o_orderstatus", "o_totalprice")).alias("payload"))
+    """Orders as canonical records; those whose key is there already are skipped, those without a day are counted."""
+    date = F.when(F.col("o_orderkey") % 50 != 0, F.to_date("o_orderdate"))
+    payload = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")))
+    o = table(spark, d, "orders").select(F.lit("orders").alias("dataset"), F.col("o_custkey").alias("code"), date.alias("effective_date"), F.col("o_orderkey").alias("source_no"), payload.alias("payload"))
     seen = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_no"))
-    return o.join(seen, "source_no", "left_anti").select("dataset", "code", "effective_date", "source_no")
+    return L.canonical(o, seen, "source_no", "dataset", "effective_date")
 
 
 @q("ingest_unpivot_valuation", "SELECT s_suppkey AS code, u.indicator, round(u.value, 4) AS value FROM (SELECT s_suppkey, s_acctbal AS pe, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_acctbal / 10 END AS pb FROM supplier), LATERAL (VALUES ('pe', pe), ('pb', pb)) u(indicator, value)")
@@ -243,11 +249,15 @@ def _(spark, d):
     return checked.groupBy("book", "status").agg(F.count(F.lit(1)).alias("files"))
 
 
-@q("join_file_lineage", "SELECT o_orderkey, n AS n_rows FROM orders JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) USING (o_orderstatus)")
+@q("join_file_lineage", "SELECT o_orderkey, n AS n_rows, CASE o_orderkey % 3 WHEN 0 THEN DATE '1999-01-01' WHEN 1 THEN DATE '1999-02-01' END AS known, o_orderkey % 3 = 2 AS stamped, true AS hashed FROM orders JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) USING (o_orderstatus)")
 def _(spark, d):
+    """Rows with the hash and time of the file they came from; known since a day of their own, or a second one, or since the file came."""
     root = order_files(spark, d)
-    x = L.file_lineage(spark.read.parquet(root), root)
-    return x.join(L.file_manifest(spark, root).withColumnRenamed("file", "source_file"), "source_file").select("o_orderkey", "n_rows")
+    third, date = F.col("o_orderkey") % 3, lambda t: F.lit(t).cast("date")
+    x = spark.read.parquet(root).withColumns({"own": F.when(third == 0, date("1999-01-01")), "other": F.when(third == 1, date("1999-02-01"))})
+    x = L.with_lineage(L.file_lineage(x, root), L.file_manifest(spark, root), ["own", "other"])
+    came = F.col("available_date") == F.to_date("ingested_at")
+    return x.select("o_orderkey", "n_rows", F.when(~came, F.col("available_date")).alias("known"), came.alias("stamped"), (F.length("sha256") == 64).alias("hashed"))
 
 
 @q("agg_dataset_status", f"WITH {BARS} SELECT 'bars' AS dataset, count(*) AS n, count(DISTINCT code) AS codes, min(trade_date) AS first_date, max(trade_date) AS last_date FROM bars UNION ALL SELECT 'orders', count(*), count(DISTINCT o_custkey), min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)) FROM orders")

@@ -373,9 +373,23 @@ def _(spark, d):
     return R.calibrate(x, "l_returnflag", "l_discount", "root", "l_tax", 0.001).select("l_returnflag", *r6("a", "b", "bias", "mae"))
 
 
-@q("agg_factor_health", f"WITH {RAW}, g AS (SELECT month, count(mom) * 1.0 / count(*) AS coverage, count(DISTINCT mom) AS unique_values, min(mom) AS low, quantile_cont(mom, 0.01) AS q01, quantile_cont(mom, 0.5) AS median, quantile_cont(mom, 0.99) AS q99, max(mom) AS high FROM rawm GROUP BY 1) SELECT month, round(coverage, 6) AS coverage, unique_values, round(low, 6) AS low, round(q01, 6) AS q01, round(median, 6) AS median, round(q99, 6) AS q99, round(high, 6) AS high, concat_ws(',', CASE WHEN coverage < 0.8 THEN 'coverage' END, CASE WHEN unique_values < 5 THEN 'constant' END) AS reasons, coverage < 0.8 OR unique_values < 5 AS blocked FROM g")
+@q("agg_exec_buckets", """SELECT l_returnflag, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS l_quantity_bucket, CASE WHEN l_tax < 0.015 THEN 'low_vol' WHEN l_tax < 0.035 THEN 'mid_vol' ELSE 'high_vol' END AS l_tax_bucket, count(*) AS n, round(avg(l_discount), 6) AS mean
+ FROM lineitem GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return R.health(raw_panel(spark, d), ["month"], "mom", F.count(F.lit(1))).select("month", *r6("coverage"), "unique_values", *r6("low", "q01", "median", "q99", "high"), "reasons", "blocked")
+    """Mean shortfall by side, size and volatility."""
+    cuts = {"l_quantity": ([10, 30], ["small", "medium", "large"]), "l_tax": ([0.015, 0.035], ["low_vol", "mid_vol", "high_vol"])}
+    return R.bucket_means(table(spark, d, "lineitem"), ["l_returnflag"], cuts, "l_discount").select("l_returnflag", "l_quantity_bucket", "l_tax_bucket", "n", *r6("mean"))
+
+
+@q("agg_factor_health", f"""WITH {RAW}, l AS (SELECT month, u.f AS factor, u.v FROM rawm, LATERAL (VALUES ('mom', mom), ('rev', rev), ('vol', vol), ('dd', dd)) u(f, v)),
+ g AS (SELECT factor, month, count(v) * 1.0 / count(*) AS coverage, count(DISTINCT v) AS unique_values, min(v) AS low, quantile_cont(v, 0.01) AS q01, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.99) AS q99, max(v) AS high FROM l GROUP BY 1, 2),
+ h AS (SELECT *, lag(median) OVER (PARTITION BY factor ORDER BY month) AS b FROM g), k AS (SELECT *, CASE WHEN abs(median) > 1e-12 AND abs(b) > 1e-12 THEN abs(median / b) END AS ratio FROM h),
+ r AS (SELECT *, concat_ws(',', CASE WHEN coverage < 0.8 THEN 'coverage' END, CASE WHEN unique_values < 5 THEN 'constant' END, CASE WHEN ratio > 100 OR ratio < 0.01 THEN 'scale' END, CASE WHEN ratio IS NOT NULL AND factor IN ('vol', 'dd') AND median * b < 0 THEN 'sign' END) AS reasons FROM k)
+ SELECT factor, month, round(coverage, 6) AS coverage, unique_values, round(low, 6) AS low, round(q01, 6) AS q01, round(median, 6) AS median, round(q99, 6) AS q99, round(high, 6) AS high, round(ratio, 4) AS scale_ratio, reasons, reasons <> '' AS blocked FROM r""")
+def _(spark, d):
+    x = raw_panel(spark, d).unpivot(["code", "month"], ["mom", "rev", "vol", "dd"], "factor", "value")
+    x = R.against_history(R.health(x, ["factor", "month"], "value", F.count(F.lit(1))), "factor", "month", ["vol", "dd"])
+    return x.select("factor", "month", *r6("coverage"), "unique_values", *r6("low", "q01", "median", "q99", "high"), F.round("scale_ratio", 4).alias("scale_ratio"), "reasons", "blocked")
 
 
 @q("agg_turnover", f"WITH {POSITIONS}, t AS (SELECT account, fund, value / sum(value) OVER (PARTITION BY account) AS w FROM positions), b AS (SELECT account, fund, cost / sum(cost) OVER (PARTITION BY account) AS w FROM positions WHERE fund % 4 <> 0), j AS (SELECT coalesce(t.account, b.account) AS account, coalesce(t.w, 0) AS a, coalesce(b.w, 0) AS b FROM t FULL JOIN b ON t.account = b.account AND t.fund = b.fund) SELECT account, round(0.5 * (sum(abs(a - b)) + abs(sum(b) - sum(a))), 6) AS turnover FROM j GROUP BY 1")

@@ -211,18 +211,18 @@ def _(spark, d):
     return S.prior_volume(bars(spark, d)).select(*KEY, *r6("adv"))
 
 
-FACTOR = "fac AS (SELECT code, trade_date, close, CASE WHEN code % 7 = 0 AND extract(day FROM trade_date) = 3 THEN NULL ELSE 1 + 0.01 * (extract(year FROM trade_date) - 1994) END AS factor FROM bars)"
+FACTOR = "fac AS (SELECT code, trade_date, (high + low) / 2 AS open, high, low, close, CASE WHEN code % 7 = 0 AND extract(day FROM trade_date) = 3 THEN NULL ELSE 1 + 0.01 * (extract(year FROM trade_date) - 1994) END AS factor FROM bars)"
 
 
 def factors(spark, d):
     f = F.when((F.col("code") % 7 == 0) & (F.dayofmonth("trade_date") == 3), F.lit(None)).otherwise(1 + 0.01 * (F.year("trade_date") - 1994))
-    return bars(spark, d).select(*KEY, "close", f.alias("factor"))
+    return bars(spark, d).select(*KEY, ((F.col("high") + F.col("low")) / 2).alias("open"), "high", "low", "close", f.alias("factor"))
 
 
 @q("win_ca_adjust", f"""WITH {BARS}, {FACTOR}, ok AS (SELECT code, max_by(factor, trade_date) AS latest FROM fac GROUP BY code HAVING count(*) = count(factor))
- SELECT code, trade_date, round(close * factor / latest, 4) AS adjusted FROM fac JOIN ok USING (code)""")
+ SELECT code, trade_date, {", ".join(f"round({c} * factor / latest, 4) AS {c}" for c in ("open", "high", "low", "close"))} FROM fac JOIN ok USING (code)""")
 def _(spark, d):
-    return S.adjust_forward(factors(spark, d)).select(*KEY, F.round("adjusted", 4).alias("adjusted"))
+    return S.adjust_forward(factors(spark, d)).select(*KEY, *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")])
 
 
 @q("win_chain_extend", f"""WITH {BARS}, x AS (SELECT code, trade_date, close, CASE WHEN trade_date <= DATE '1999-12-31' THEN close * 0.5 END AS adjusted FROM bars),
@@ -384,12 +384,6 @@ def _(spark, d):
     return S.dca(bars(spark, d), 20, 100.0).select(*KEY, F.round("hold", 6).alias("hold"), F.round("dca", 4).alias("dca"), F.round("paid", 2).alias("paid"))
 
 
-@q("win_cross_signals", f"""WITH {BARS}, x AS (SELECT code, trade_date, row_number() OVER w AS n, lead(trade_date) OVER w AS act, sign(avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 4 PRECEDING) - avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING)) AS s FROM bars {ROWW}),
- y AS (SELECT *, lag(s) OVER w AS p FROM x WHERE n >= 20 {ROWW}) SELECT code, act AS trade_date, CASE WHEN s > 0 THEN 'golden' ELSE 'death' END AS cross_type FROM y WHERE act IS NOT NULL AND ((s > 0 AND p <= 0) OR (s < 0 AND p >= 0))""")
-def _(spark, d):
-    return S.crosses(bars(spark, d), 5, 20)
-
-
 @q("win_apply_costs", f"WITH {RET} SELECT code, trade_date, round(CASE WHEN extract(day FROM trade_date) <= 3 THEN (1 + ret) * (1 - 0.0015) - 1 ELSE ret END, 6) AS net FROM rets")
 def _(spark, d):
     x = rets(spark, d)
@@ -431,17 +425,29 @@ def _(spark, d):
     return S.twr(x, "amount", "flow").select("code", *r6("log_twr"))
 
 
-@q("win_fund_indicator_row", f"""WITH {RET}, y AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k, lag(close, 20) OVER w AS p20, lag(close, 60) OVER w AS p60, lag(close, 250) OVER w AS p250,
-  avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING) AS ma20, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING) AS ma60, close / max(close) OVER w - 1 AS dd FROM rets {ROWW}),
- a AS (SELECT code, stddev_samp(ret) * sqrt(252) AS vol, min(dd) AS mdd, CASE WHEN stddev_samp(ret) > 0 THEN (avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252) END AS sharpe, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) AS wr FROM y GROUP BY code)
- SELECT code, trade_date, round(close / p20 - 1, 6) AS r20, round(close / p60 - 1, 6) AS r60, round(close / p250 - 1, 6) AS r250, round(vol, 6) AS vol, round(mdd, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, round(wr, 6) AS win_rate, round(ma20, 4) AS ma20, round(ma60, 4) AS ma60 FROM y JOIN a USING (code) WHERE k = 1""")
+MACD = """mf AS (SELECT code, i, trade_date, close AS f, close AS g, CAST(0 AS DOUBLE) AS dea FROM n WHERE i = 1 UNION ALL SELECT n.code, n.i, n.trade_date, 2.0 / 13 * n.close + (1 - 2.0 / 13) * mf.f, 2.0 / 27 * n.close + (1 - 2.0 / 27) * mf.g,
+  2.0 / 10 * ((2.0 / 13 * n.close + (1 - 2.0 / 13) * mf.f) - (2.0 / 27 * n.close + (1 - 2.0 / 27) * mf.g)) + (1 - 2.0 / 10) * mf.dea FROM mf JOIN n ON n.code = mf.code AND n.i = mf.i + 1)"""
+
+
+@q("win_cross_signals", f"""{NUMBERED}, {MACD}, x AS (SELECT code, trade_date, i, lead(trade_date) OVER w AS act, sign(avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 4 PRECEDING) - avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING)) AS s FROM n {ROWW}),
+ z AS (SELECT 'ma' AS kind, code, trade_date, act, s FROM x WHERE i >= 20 UNION ALL SELECT 'macd', code, trade_date, lead(trade_date) OVER w, sign(f - g - dea) FROM mf {ROWW}), y AS (SELECT *, lag(s) OVER (PARTITION BY kind, code ORDER BY trade_date) AS p FROM z)
+ SELECT kind, code, act AS trade_date, CASE WHEN s > 0 THEN 'golden' ELSE 'death' END AS cross_type FROM y WHERE act IS NOT NULL AND ((s > 0 AND p <= 0) OR (s < 0 AND p >= 0))""")
 def _(spark, d):
-    x = S.indicator_row(bars(spark, d))
-    return x.select("code", "trade_date", *r6("r20", "r60", "r250", "vol", "max_drawdown", "sharpe", "win_rate"), F.round("ma20", 4).alias("ma20"), F.round("ma60", 4).alias("ma60"))
+    x = bars(spark, d)
+    return S.crosses(x, 5, 20).withColumn("kind", F.lit("ma")).unionByName(S.macd_crosses(x).withColumn("kind", F.lit("macd")))
 
 
-MACD = """mf AS (SELECT code, i, trade_date, close AS f, close AS g, CAST(0 AS DOUBLE) AS dea FROM n WHERE i = 1 UNION ALL SELECT n.code, n.i, n.trade_date, 2.0 / 13 * n.close + (1 - 2.0 / 13) * mf.f, 2.0 / 27 * n.close + (1 - 2.0 / 27) * mf.g,
-  2.0 / 10 * ((2.0 / 13 * n.close + (1 - 2.0 / 13) * mf.f) - (2.0 / 27 * n.close + (1 - 2.0 / 27) * mf.g)) + (1 - 2.0 / 10) * mf.dea FROM mf JOIN n ON n.code = mf.code AND n.i = mf.i + 1)"""
+@q("win_fund_indicator_row", f"""{NUMBERED}, {MACD}, rets AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars {ROWW}), y AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k, lag(close, 20) OVER w AS p20, lag(close, 60) OVER w AS p60, lag(close, 250) OVER w AS p250,
+  avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING) AS ma20, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING) AS ma60, close / max(close) OVER w - 1 AS dd FROM rets {ROWW}),
+ a AS (SELECT code, stddev_samp(ret) * sqrt(252) AS vol, min(dd) AS mdd, CASE WHEN stddev_samp(ret) > 0 THEN (avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252) END AS sharpe, avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) AS wr FROM y GROUP BY code),
+ o AS (SELECT code, max(trade_date) AS e FROM bars GROUP BY 1), r1 AS (SELECT code, max_by(close, trade_date) AS p FROM bars JOIN o USING (code) WHERE trade_date <= CAST(e - INTERVAL 12 MONTH AS DATE) GROUP BY 1),
+ m AS (SELECT code, i, f - g AS dif, dea FROM mf QUALIFY row_number() OVER (PARTITION BY code ORDER BY i DESC) = 1),
+ t AS (SELECT *, CASE WHEN close >= ma20 THEN 1 ELSE -1 END + CASE WHEN i < 60 THEN 0 WHEN ma20 >= ma60 THEN 1 ELSE -1 END + CASE WHEN dif > dea THEN 1 ELSE -1 END AS s FROM y JOIN m USING (code) WHERE k = 1)
+ SELECT code, trade_date, round(close / p20 - 1, 6) AS r20, round(close / p60 - 1, 6) AS r60, round(close / p250 - 1, 6) AS r250, round(close / p - 1, 6) AS r1y, round(vol, 6) AS vol, round(mdd, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, round(wr, 6) AS win_rate, round(ma20, 4) AS ma20, round(ma60, 4) AS ma60,
+  round(dif, 4) AS dif, round(dea, 4) AS dea, round(2 * (dif - dea), 4) AS hist, CASE WHEN i < 20 THEN 'neutral' WHEN s >= 2 THEN 'strong_up' WHEN s = 1 THEN 'up' WHEN s = -1 THEN 'down' WHEN s <= -2 THEN 'strong_down' ELSE 'neutral' END AS signal FROM t JOIN a USING (code) LEFT JOIN r1 USING (code)""")
+def _(spark, d):
+    x = S.indicator_row(bars(spark, d))
+    return x.select("code", "trade_date", *r6("r20", "r60", "r250", "r1y", "vol", "max_drawdown", "sharpe", "win_rate"), *[F.round(c, 4).alias(c) for c in ("ma20", "ma60", "dif", "dea", "hist")], "signal")
 
 
 @q("win_technical_score", f"""{NUMBERED}, {MACD}, mv AS (SELECT code, trade_date, i - 1 AS i, close - lag(close) OVER w AS d FROM n WINDOW w AS (PARTITION BY code ORDER BY i)),

@@ -74,7 +74,9 @@ def _(spark, d):
 
 @q("st_session_events", "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), y AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM x) SELECT min(ts) AS start, user_id, count(*) AS n FROM y GROUP BY user_id, g")
 def _(spark, d):
-    return J.run_to_table(J.sessions(events(spark, d), "ts", "user_id", "6 hours"), shared(spark))
+    closed = J.run_to_table(J.sessions(events(spark, d), "ts", "user_id", "6 hours"), shared(spark), "append")
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return J.with_open_sessions(closed, rows, "ts", "user_id", "6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
 #: Revisions come in three turns, by the day from which they are known; a 17th of each turn comes with the next one.

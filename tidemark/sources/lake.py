@@ -157,3 +157,17 @@ def scd_append(history: DataFrame, today: DataFrame, key: str, content: list[str
     """Only those of today's records whose content differs from the newest stored one."""
     last = dedupe_latest(history, [key], [F.desc(date)]).select(key, row_hash(content).alias("__h"))
     return today.join(last, key, "left").where(F.col("__h").isNull() | (row_hash(content) != F.col("__h"))).drop("__h")
+
+
+def canonical(records: DataFrame, seen: DataFrame, key: str, dataset: str, date: str) -> DataFrame:
+    """Records whose key is not in ``seen``, with the hash of their payload and the number of those of their dataset that were left out for want of a date."""
+    new = records.join(seen.select(key).distinct(), key, "left_anti")
+    invalid = new.groupBy(dataset).agg(F.count_if(F.col(date).isNull()).alias("invalid"))
+    return new.where(F.col(date).isNotNull()).join(invalid, dataset).select(*records.columns, F.sha2("payload", 256).alias("source_hash"), "invalid")
+
+
+def with_lineage(rows: DataFrame, manifest: DataFrame, dates: list[str]) -> DataFrame:
+    """Rows with source_file joined to its manifest entry: sha256, n_rows, ingested_at, and available_date, the first of ``dates`` there is, else the day the
+    file came."""
+    m = manifest.select(F.col("file").alias("source_file"), "sha256", "n_rows", F.col("modified").alias("ingested_at"))
+    return rows.join(m, "source_file").withColumn("available_date", F.coalesce(*dates, F.to_date("ingested_at")))

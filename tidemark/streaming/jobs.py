@@ -126,8 +126,18 @@ def sliding(df: DataFrame, time: str, by: str, value: str, size: str, step: str)
 
 
 def sessions(df: DataFrame, time: str, by: str, gap: str) -> DataFrame:
+    """Sessions of each key: start, end (``gap`` after its last event), n. Run it in append mode: a session is told, and its state dropped, once the watermark
+    has passed its end."""
     g = df.withWatermark(time, "1 hour").groupBy(F.session_window(time, gap), by).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("session_window.start").cast("timestamp_ntz").alias("start"), by, "n")
+    return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
+
+
+def with_open_sessions(closed: DataFrame, rows: DataFrame, time: str, by: str, gap: str) -> DataFrame:
+    """The sessions that a stream has told, and those that are still open, from the rows since the last told end of their key."""
+    last = closed.groupBy(by).agg(F.max("end").alias("__end"))
+    left = rows.join(last, by, "left").where(F.col("__end").isNull() | (F.col(time) >= F.col("__end")))
+    still = left.groupBy(F.session_window(time, gap), by).agg(F.count(F.lit(1)).alias("n"))
+    return closed.unionByName(still.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n"))
 
 
 def last_state(df: DataFrame, key: str, order: list[str], value: str, terminal: list[str]) -> DataFrame:
