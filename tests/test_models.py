@@ -167,3 +167,28 @@ def test_perturbed_weights(spark):
         values.append(np.mean(per))
     assert got.center == pytest.approx(values[0]) and got.share == pytest.approx((sum(v < values[0] for v in values)) / 5)
     assert (got.low, got.high) == pytest.approx((sorted(values)[1], sorted(values)[-2]))
+
+
+def test_neutralisation_equals_the_dummy_regression(spark):
+    import pandas as pd
+
+    from tidemark.operators.evidence import neutralize_wls
+
+    rng = random.Random(7)
+    rows = []
+    for m in (1, 2, 3):
+        for i in range(80 if m < 3 else 20):
+            rows.append((i, D(2024, m, 1), None if i % 19 == 0 else rng.gauss(0, 1) + i % 4, "abcd"[i % 4] if i % 40 else ("rare" if i == 0 else None), None if i % 11 == 3 else rng.gauss(5, 2), rng.gauss(0, 1), float(rng.randrange(1, 5000))))
+    got = {(r.code, r.month): r.residual for r in neutralize_wls(spark.createDataFrame(rows, "code long, month date, v double, ind string, size double, beta double, cap double"), "v", "ind", ["size", "beta"], "cap").collect()}
+    for m in (1, 2):
+        p = pd.DataFrame([r for r in rows if r[1] == D(2024, m, 1) and r[2] is not None], columns=["code", "month", "v", "ind", "size", "beta", "cap"])
+        n = p.groupby("ind")["ind"].transform("size")
+        x = [pd.get_dummies(p["ind"].where(n >= 3, "other").fillna("other")).to_numpy(float)]
+        for c in ("size", "beta"):
+            x.append(np.column_stack([p[c].fillna(p[c].median()), p[c].isna()]).astype(float))
+        x, w = np.column_stack(x), np.sqrt(p["cap"])
+        w = np.sqrt(w.clip(*w.quantile([0.01, 0.99])).to_numpy())
+        e = p["v"].to_numpy() - x @ (np.linalg.pinv(x * w[:, None]) @ (p["v"].to_numpy() * w))
+        assert [got[c, D(2024, m, 1)] for c in p["code"]] == pytest.approx(e.tolist(), abs=1e-8)
+        assert sum(k[1] == D(2024, m, 1) for k in got) == len(p)
+    assert {v for k, v in got.items() if k[1] == D(2024, 3, 1)} == {None}

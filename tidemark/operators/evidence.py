@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import rank_avg
+from tidemark.operators.series import quantile_rank, rank_avg
 from tidemark.sources.lake import written
 
 
@@ -105,33 +105,65 @@ def residual_momentum(res: DataFrame, skip: int = 21, vol_window: int = 120) ->
 
 
 def neutralize_wls(df: DataFrame, value: str, industry: str, numeric: list[str], cap: str, least: int = 30, small: int = 3) -> DataFrame:
-    """Residual of a weighted regression on industry dummies (small ones pooled) and numeric exposures (median fill), per month.
+    """code, month, residual of a weighted regression on industry dummies (small or missing ones pooled) and numeric exposures (filled by the month's median, beside
+    a dummy for what was missing), per month. Names without a value are left out; months of fewer than ``least`` have nulls.
 
-    Weights are square roots of caps, clipped to their 1 % and 99 % quantiles. One month's cross-section is one bounded group.
+    Weights are square roots of caps, clipped to their 1 % and 99 % quantiles. Dummies take each industry's weighted mean out of value and exposures; what
+    is left is regressed by its cross-product sums, so that a month may have any number of names: only its small system, one row, is solved in Python.
     """
     import numpy as np
     import pandas as pd
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[pdf[value].notna()].copy()
-        if len(ok) < least:
-            return pd.DataFrame({"code": pdf["code"], "month": pdf["month"], "residual": np.nan})
-        size = ok.groupby(industry)[industry].transform("size")
-        group = ok[industry].where(size >= small, "other").fillna("other")
-        x = [pd.get_dummies(group).to_numpy(float)]
-        for c in numeric:
-            v = ok[c].astype(float)
-            x.append(np.column_stack([v.fillna(v.median()), v.isna().astype(float)]))
-        x = np.column_stack(x)
-        wt = np.sqrt(ok[cap].astype(float).clip(lower=0))
-        wt = wt.clip(*wt.quantile([0.01, 0.99]))
-        s = np.sqrt(wt.to_numpy())[:, None]
-        b = np.linalg.pinv(x * s) @ (ok[value].to_numpy(float) * s[:, 0])
-        ok["residual"] = ok[value] - x @ b
-        return ok[["code", "month", "residual"]]
-
-    cols = ["code", "month", value, industry, *numeric, cap]
-    return df.select(*dict.fromkeys(cols)).groupBy("month").applyInPandas(solve, "code long, month date, residual double")
+    root = F.sqrt(F.greatest(F.col(cap).cast("double"), F.lit(0.0)))
+    ok = df.select("code", "month", F.col(value).cast("double").alias("__y"), F.col(industry).alias("__i"), root.alias("__w"), *[F.col(c).cast("double").alias(f"__{j}") for j, c in enumerate(numeric)])
+    ok = ok.where(F.col("__y").isNotNull() & ~F.isnan("__y"))
+    stats = ok.groupBy("month").agg(F.count(F.lit(1)).alias("__n"), F.expr("percentile(__w, array(0.01, 0.99))").alias("__clip"), *[F.median(f"__{j}").alias(f"__m{j}") for j in range(len(numeric))])
+    sizes = ok.groupBy("month", "__i").agg(F.count(F.lit(1)).alias("__size"))
+    x = ok.join(stats, "month").join(sizes, ["month", "__i"], "left")
+    group = F.coalesce(F.when(F.col("__size") >= small, F.col("__i")), F.lit("other"))
+    parts = [F.col("__y")]
+    for j in range(len(numeric)):
+        parts += [F.coalesce(f"__{j}", f"__m{j}", F.lit(0.0)), F.col(f"__{j}").isNull().cast("double")]
+    weight = F.least(F.greatest("__w", F.col("__clip")[0]), F.col("__clip")[1])
+    k = len(parts)
+    x = x.select("code", "month", "__n", group.alias("__g"), weight.alias("__w"), *[c.alias(f"__v{i}") for i, c in enumerate(parts)])
+    enough = x.where(F.col("__n") >= least)
+    means = enough.groupBy("month", "__g").agg(*[F.coalesce(F.sum(F.col("__w") * F.col(f"__v{i}")) / F.nullif(F.sum("__w"), F.lit(0.0)), F.lit(0.0)).alias(f"__c{i}") for i in range(k)])
+    inner = enough.join(means, ["month", "__g"]).select("code", "month", "__w", *[(F.col(f"__v{i}") - F.col(f"__c{i}")).alias(f"__v{i}") for i in range(k)])
+    sums = inner.groupBy("month").agg(F.array(*[F.sum(F.col("__w") * F.col(f"__v{i}") * F.col(f"__v{j}")) for i in range(k) for j in range(k)]).alias("s"))
+
+    def solve(batches):
+        for pdf in batches:
+            betas = []
+            for s in pdf["s"]:
+                m = np.array(s).reshape(k, k)
+                betas.append((np.linalg.pinv(m[1:, 1:], hermitian=True) @ m[1:, 0]).tolist())
+            yield pd.DataFrame({"month": pdf["month"], "beta": betas})
+
+    beta = sums.mapInPandas(solve, f"month {dict(df.dtypes)['month']}, beta array<double>")
+    residual = F.col("__v0") - sum((F.col("beta")[i - 1] * F.col(f"__v{i}") for i in range(1, k)), F.lit(0.0))
+    few = x.where(F.col("__n") < least).select("code", "month", F.lit(None).cast("double").alias("residual"))
+    return inner.join(beta, "month").select("code", "month", residual.alias("residual")).unionByName(few)
+
+
+def screen(panel: DataFrame, least: int = 5) -> DataFrame:
+    """Tiers from 2 to -2 of each month's names (code, month, market, mom, ram, trend, dd, regime): score, q, tier.
+
+    The score is 0.45 z(mom) + 0.35 z(ram) + 0.20 trend + 0.50 z(dd), what is missing counting as 0, to nine places. Tiers go by its quantile within the market, or within
+    the month where the market has fewer than ``least`` names, or are 0 where the month has so few. The ends ask for a trend of their sign. Where the
+    market's regime is risk_off, positive tiers go down by one.
+    """
+    m = Window.partitionBy("month")
+    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(m)) / F.nullif(F.stddev_pop(c).over(m), F.lit(0.0)), F.lit(0.0))
+    x = panel.withColumn("score", F.round(0.45 * z("mom") + 0.35 * z("ram") + 0.2 * F.coalesce("trend", F.lit(0.0)) + 0.5 * z("dd"), 9))
+    x = quantile_rank(quantile_rank(x, ["month", "market"], "score", "own"), ["month"], "score", "pool")
+    names = F.count(F.lit(1))
+    q = F.when(names.over(Window.partitionBy("month", "market")) >= least, F.col("own")).when(names.over(m) >= least, F.col("pool"))
+    x = x.withColumn("q", q)
+    up, down = F.coalesce(F.col("trend") > 0, F.lit(False)), F.coalesce(F.col("trend") < 0, F.lit(False))
+    tier = F.when(F.col("q").isNull(), 0).when(F.col("q") >= 0.9, F.when(up, 2).otherwise(1)).when(F.col("q") >= 0.7, 1).when(F.col("q") < 0.1, F.when(down, -2).otherwise(-1)).when(F.col("q") < 0.3, -1).otherwise(0)
+    lowered = F.when((F.col("regime") == "risk_off") & (tier > 0), tier - 1).otherwise(tier)
+    return x.withColumn("tier", lowered).drop("own", "pool")
 
 
 def orthogonalize(df: DataFrame, y: str, x: str, by: list[str], least: int = 3) -> DataFrame:

@@ -201,12 +201,17 @@ def ewma_volatility(df: DataFrame, ret: str = "ret", lam: float = 0.94, n: int =
 
 
 def regime(df: DataFrame, value: str = "close") -> DataFrame:
-    """Of the last row: risk_on, neutral or risk_off from MA20, MA60 and the 20-day move; fewer than 61 rows are insufficient."""
+    """Of the last row: ``regimes``."""
+    x = regimes(df, value).withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("trade_date"))))
+    return x.where("k = 1").select("code", "trade_date", "regime")
+
+
+def regimes(df: DataFrame, value: str = "close") -> DataFrame:
+    """Of each row: risk_on, neutral or risk_off from MA20, MA60 and the 20-day move up to it; before the 61st row it is insufficient."""
     ma20, ma60, back = F.avg(value).over(frame(20)), F.avg(value).over(frame(60)), F.lag(value, 20).over(over())
-    n = F.count(F.lit(1)).over(Window.partitionBy("code"))
-    x = df.select("code", "trade_date", F.col(value).alias("v"), ma20.alias("ma20"), ma60.alias("ma60"), (F.col(value) / back - 1).alias("mom"), n.alias("n"), F.row_number().over(Window.partitionBy("code").orderBy(F.desc("trade_date"))).alias("k"))
+    x = df.select("code", "trade_date", F.col(value).alias("v"), ma20.alias("ma20"), ma60.alias("ma60"), (F.col(value) / back - 1).alias("mom"), F.row_number().over(over()).alias("n"))
     label = F.when(F.col("n") < 61, "insufficient").when((F.col("v") > F.col("ma20")) & (F.col("ma20") > F.col("ma60")) & (F.col("mom") > 0), "risk_on").when((F.col("v") < F.col("ma20")) & (F.col("ma20") < F.col("ma60")) & (F.col("mom") < 0), "risk_off").otherwise("neutral")
-    return x.where("k = 1").select("code", "trade_date", label.alias("regime"))
+    return x.select("code", "trade_date", label.alias("regime"))
 
 
 def exante_regime(df: DataFrame, ret: str = "ret", n: int = 60, high_vol: float = 0.30, move: float = 0.05) -> DataFrame:

@@ -106,15 +106,27 @@ def _(spark, d):
     return E.family_composite(z, {"trend": (["mom", "rev"], 0.6), "risk": (["vol", "dd"], 0.4)}, ["dd"]).select("code", "month", *r6("composite", "coverage"), "eligible")
 
 
-@q("fac_screener_score", f"""WITH {RAW}, {MEMBERS}, z AS (SELECT r.code, month, market, 0.45 * coalesce((mom - avg(mom) OVER m) / nullif(stddev_pop(mom) OVER m, 0), 0) + 0.35 * coalesce((rev - avg(rev) OVER m) / nullif(stddev_pop(rev) OVER m, 0), 0) + 0.5 * coalesce((dd - avg(dd) OVER m) / nullif(stddev_pop(dd) OVER m, 0), 0) AS score FROM rawm r JOIN members USING (code) WINDOW m AS (PARTITION BY month)),
- y AS (SELECT *, (2.0 * (rank() OVER (PARTITION BY month, market ORDER BY score) - 1) + count(*) OVER (PARTITION BY month, market, score) - 1) / (2 * count(*) OVER (PARTITION BY month, market)) AS q FROM z)
- SELECT code, month, round(score, 6) AS score, CASE WHEN q >= 0.8 THEN 'A' WHEN q >= 0.5 THEN 'B' ELSE 'C' END AS tier FROM y""")
-def _(spark, d):
-    m = Window.partitionBy("month")
-    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(m)) / F.nullif(F.stddev_pop(c).over(m), F.lit(0.0)), F.lit(0.0))
-    x = raw_panel(spark, d).join(members(spark, d), "code").withColumn("score", 0.45 * z("mom") + 0.35 * z("rev") + 0.5 * z("dd"))
-    x = S.quantile_rank(x, ["month", "market"], "score")
-    return x.select("code", "month", *r6("score"), F.when(F.col("q") >= 0.8, "A").when(F.col("q") >= 0.5, "B").otherwise("C").alias("tier"))
+@q("fac_screener_score", f"""WITH {RAW}, {MEMBERS}, e AS (SELECT code, trade_date, close AS v, CASE WHEN count(ret) OVER r60 >= 60 AND stddev_samp(ret) OVER r60 > 0 THEN avg(ret) OVER r60 / stddev_samp(ret) OVER r60 END AS ram, row_number() OVER w AS n, lag(close, 20) OVER w AS back, avg(close) OVER r20 AS ma20, avg(close) OVER r60 AS ma60
+  FROM rets WINDOW w AS (PARTITION BY code ORDER BY trade_date), r20 AS (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING), r60 AS (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING)),
+ t AS (SELECT code, CAST(date_trunc('month', trade_date) AS DATE) AS month, arg_max(CASE WHEN n >= 20 THEN (sign(v - ma20) + CASE WHEN n >= 60 THEN sign(ma20 - ma60) ELSE 0 END + coalesce(sign(v - back), 0)) / (1.0 + (n >= 60)::INT + (back IS NOT NULL)::INT) END, trade_date) FILTER (WHERE true) AS trend0, max(trade_date) AS last FROM e GROUP BY 1, 2),
+ u AS (SELECT t.code, t.month, e.ram, CASE WHEN e.n >= 20 THEN (sign(v - ma20) + CASE WHEN e.n >= 60 THEN sign(ma20 - ma60) ELSE 0 END + coalesce(sign(v - back), 0)) / (1.0 + (e.n >= 60)::INT + (back IS NOT NULL)::INT) END AS trend FROM t JOIN e ON e.code = t.code AND e.trade_date = t.last),
+ ix AS (SELECT market AS code, trade_date, avg(close) AS close FROM bars JOIN members USING (code) GROUP BY 1, 2), iy AS (SELECT code, trade_date, close AS v, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING) AS a, avg(close) OVER (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING) AS b, close / lag(close, 20) OVER w - 1 AS mom, row_number() OVER w AS n FROM ix WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
+ rg AS (SELECT code AS market, CAST(date_trunc('month', trade_date) AS DATE) AS month, arg_max(CASE WHEN n < 61 THEN 'insufficient' WHEN v > a AND a > b AND mom > 0 THEN 'risk_on' WHEN v < a AND a < b AND mom < 0 THEN 'risk_off' ELSE 'neutral' END, trade_date) AS regime FROM iy GROUP BY 1, 2),
+ z AS (SELECT r.code, r.month, mb.market, regime, trend, round(0.45 * coalesce((mom - avg(mom) OVER m) / nullif(stddev_pop(mom) OVER m, 0), 0) + 0.35 * coalesce((ram - avg(ram) OVER m) / nullif(stddev_pop(ram) OVER m, 0), 0) + 0.2 * coalesce(trend, 0) + 0.5 * coalesce((dd - avg(dd) OVER m) / nullif(stddev_pop(dd) OVER m, 0), 0), 9) AS score
+  FROM rawm r JOIN members mb USING (code) JOIN u ON u.code = r.code AND u.month = r.month JOIN rg ON rg.market = mb.market AND rg.month = r.month WINDOW m AS (PARTITION BY r.month)),
+ y AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY month, market) >= 5 THEN (2.0 * (rank() OVER (PARTITION BY month, market ORDER BY score) - 1) + count(*) OVER (PARTITION BY month, market, score) - 1) / (2 * count(*) OVER (PARTITION BY month, market)) WHEN count(*) OVER (PARTITION BY month) >= 5 THEN (2.0 * (rank() OVER (PARTITION BY month ORDER BY score) - 1) + count(*) OVER (PARTITION BY month, score) - 1) / (2 * count(*) OVER (PARTITION BY month)) END AS q FROM z),
+ k AS (SELECT *, CASE WHEN q IS NULL THEN 0 WHEN q >= 0.9 THEN CASE WHEN trend > 0 THEN 2 ELSE 1 END WHEN q >= 0.7 THEN 1 WHEN q < 0.1 THEN CASE WHEN trend < 0 THEN -2 ELSE -1 END WHEN q < 0.3 THEN -1 ELSE 0 END AS tier FROM y)
+ SELECT code, month, regime, round(score, 6) AS score, round(q, 6) AS q, CASE WHEN regime = 'risk_off' AND tier > 0 THEN tier - 1 ELSE tier END AS tier FROM k""".replace("arg_max(CASE WHEN n >= 20 THEN (sign(v - ma20) + CASE WHEN n >= 60 THEN sign(ma20 - ma60) ELSE 0 END + coalesce(sign(v - back), 0)) / (1.0 + (n >= 60)::INT + (back IS NOT NULL)::INT) END, trade_date) FILTER (WHERE true) AS trend0, ", ""))
+def _(spark, d):
+    """Momentum, risk-adjusted momentum, trend and drawdown of each month's end; a market's regime from the mean price of its members."""
+    month = F.trunc("trade_date", "MM").alias("month")
+    b, m = bars(spark, d), members(spark, d)
+    more = S.risk_adjusted_momentum(S.daily_return(b)).join(S.trend_strength(b), ["code", "trade_date"])
+    more = more.groupBy("code", month).agg(F.max_by(F.struct("ram", F.col("strength").alias("trend")), "trade_date").alias("x")).select("code", "month", "x.*")
+    index = b.join(m.select("code", "market"), "code").groupBy(F.col("market").alias("code"), "trade_date").agg(F.avg("close").alias("close"))
+    regimes = S.regimes(index).groupBy(F.col("code").alias("market"), month).agg(F.max_by("regime", "trade_date").alias("regime"))
+    x = raw_panel(spark, d).join(m.select("code", "market"), "code").join(more, ["code", "month"]).join(regimes, ["market", "month"])
+    return E.screen(x).select("code", "month", "regime", *r6("score", "q"), "tier")
 
 
 YTD = """ytd AS (SELECT code, year, quarter, sum(v) OVER (PARTITION BY code, year ORDER BY quarter) AS v FROM (SELECT c_nationkey AS code, extract(year FROM o_orderdate) AS year, extract(quarter FROM o_orderdate) AS quarter, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3))"""
