@@ -116,7 +116,7 @@ def _(spark, d):
   FROM rawm r JOIN members mb USING (code) JOIN u ON u.code = r.code AND u.month = r.month JOIN rg ON rg.market = mb.market AND rg.month = r.month WINDOW m AS (PARTITION BY r.month)),
  y AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY month, market) >= 5 THEN (2.0 * (rank() OVER (PARTITION BY month, market ORDER BY score) - 1) + count(*) OVER (PARTITION BY month, market, score) - 1) / (2 * count(*) OVER (PARTITION BY month, market)) WHEN count(*) OVER (PARTITION BY month) >= 5 THEN (2.0 * (rank() OVER (PARTITION BY month ORDER BY score) - 1) + count(*) OVER (PARTITION BY month, score) - 1) / (2 * count(*) OVER (PARTITION BY month)) END AS q FROM z),
  k AS (SELECT *, CASE WHEN q IS NULL THEN 0 WHEN q >= 0.9 THEN CASE WHEN trend > 0 THEN 2 ELSE 1 END WHEN q >= 0.7 THEN 1 WHEN q < 0.1 THEN CASE WHEN trend < 0 THEN -2 ELSE -1 END WHEN q < 0.3 THEN -1 ELSE 0 END AS tier FROM y)
- SELECT code, month, regime, round(score, 6) AS score, round(q, 6) AS q, CASE WHEN regime = 'risk_off' AND tier > 0 THEN tier - 1 ELSE tier END AS tier FROM k""".replace("arg_max(CASE WHEN n >= 20 THEN (sign(v - ma20) + CASE WHEN n >= 60 THEN sign(ma20 - ma60) ELSE 0 END + coalesce(sign(v - back), 0)) / (1.0 + (n >= 60)::INT + (back IS NOT NULL)::INT) END, trade_date) FILTER (WHERE true) AS trend0, ", ""))
+ SELECT code, month, regime, score, round(q, 6) AS q, CASE WHEN regime = 'risk_off' AND tier > 0 THEN tier - 1 ELSE tier END AS tier FROM k""".replace("arg_max(CASE WHEN n >= 20 THEN (sign(v - ma20) + CASE WHEN n >= 60 THEN sign(ma20 - ma60) ELSE 0 END + coalesce(sign(v - back), 0)) / (1.0 + (n >= 60)::INT + (back IS NOT NULL)::INT) END, trade_date) FILTER (WHERE true) AS trend0, ", ""))
 def _(spark, d):
     """Momentum, risk-adjusted momentum, trend and drawdown of each month's end; a market's regime from the mean price of its members."""
     month = F.trunc("trade_date", "MM").alias("month")
@@ -126,7 +126,7 @@ def _(spark, d):
     index = b.join(m.select("code", "market"), "code").groupBy(F.col("market").alias("code"), "trade_date").agg(F.avg("close").alias("close"))
     regimes = S.regimes(index).groupBy(F.col("code").alias("market"), month).agg(F.max_by("regime", "trade_date").alias("regime"))
     x = raw_panel(spark, d).join(m.select("code", "market"), "code").join(more, ["code", "month"]).join(regimes, ["market", "month"])
-    return E.screen(x).select("code", "month", "regime", *r6("score", "q"), "tier")
+    return E.screen(x).select("code", "month", "regime", "score", *r6("q"), "tier")
 
 
 YTD = """ytd AS (SELECT code, year, quarter, sum(v) OVER (PARTITION BY code, year ORDER BY quarter) AS v FROM (SELECT c_nationkey AS code, extract(year FROM o_orderdate) AS year, extract(quarter FROM o_orderdate) AS quarter, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3))"""
