@@ -115,3 +115,22 @@ def test_feeds_have_their_own_limits(spark):
     policy = spark.createDataFrame([("x", 5), ("y", 7)], "feed string, limit int")
     run = lambda df, root: jobs.run_to_table(jobs.freshness(df, policy, "feed", "ts"), root, "update", ["feed", "limit"])
     assert sorted((r.feed, r.limit, r.last_at) for r in turns(spark, rows, "feed string, ts timestamp", run).collect()) == [("x", 5, dt.datetime(2024, 1, 2)), ("y", 7, dt.datetime(2024, 1, 1))]
+
+
+def test_told_and_open_sessions_make_all_sessions(spark):
+    rng = random.Random(11)
+    rows = sorted((rng.randrange(4), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(0, 3000))) for _ in range(120))
+    rows = sorted(rows, key=lambda r: r[1]) + [(7, dt.datetime(2024, 1, 3, 1, 59)), (8, dt.datetime(2024, 1, 3, 2, 0)), (8, dt.datetime(2024, 1, 3, 2, 20))]
+    schema = "user long, ts timestamp"
+    closed = turns(spark, rows, schema, lambda df, root: jobs.run_to_table(jobs.sessions(df, "ts", "user", "30 minutes"), root, "append"), cuts=3)
+    told = closed.count()
+    got = jobs.with_open_sessions(closed, spark.createDataFrame(rows, schema), "ts", "user", "30 minutes")
+    want = []
+    for u in {r[0] for r in rows}:
+        at = sorted(t for v, t in rows if v == u)
+        for t in at:
+            if want and want[-1][0] == u and t <= want[-1][2]:
+                want[-1] = (u, want[-1][1], t + dt.timedelta(minutes=30), want[-1][3] + 1)
+            else:
+                want.append((u, t, t + dt.timedelta(minutes=30), 1))
+    assert sorted((r.user, r.start, r.end, r.n) for r in got.collect()) == sorted(want) and 0 < told < len(want)

@@ -192,3 +192,36 @@ def test_neutralisation_equals_the_dummy_regression(spark):
         assert [got[c, D(2024, m, 1)] for c in p["code"]] == pytest.approx(e.tolist(), abs=1e-8)
         assert sum(k[1] == D(2024, m, 1) for k in got) == len(p)
     assert {v for k, v in got.items() if k[1] == D(2024, 3, 1)} == {None}
+
+
+def test_screening_tiers(spark):
+    from tidemark.operators.evidence import screen
+
+    rows = [("m1", f"a{i}", "x", float(i), None, 1.0 if i else -1.0, 0.0, "neutral") for i in range(10)]
+    rows += [("m1", f"b{i}", "y", 20.0 + i, None, 1.0, 0.0, "risk_off") for i in range(3)]  # few: judged in the whole month
+    rows += [("m2", f"c{i}", "y", float(i), 0.1, None, 0.0, "risk_off") for i in range(4)]  # too few in the month as well
+    got = {r.code: r for r in screen(spark.createDataFrame(rows, "month string, code string, market string, mom double, ram double, trend double, dd double, regime string")).collect()}
+    assert [got[f"a{i}"].tier for i in range(10)] == [-2, -1, -1, 0, 0, 0, 0, 1, 1, 2]
+    assert [got[f"b{i}"].tier for i in range(3)] == [0, 0, 1] and {got[f"c{i}"].tier for i in range(4)} == {0}
+
+
+def test_factor_health_against_history(spark):
+    from tidemark.operators.relational import against_history, bucket_means
+
+    rows = [("f", 1, 2.0, ""), ("f", 2, -1.0, "coverage"), ("f", 3, -500.0, ""), ("f", 4, None, ""), ("g", 1, 1.0, ""), ("g", 2, -1.0, "")]
+    got = {(r.factor, r.month): (r.reasons, r.blocked) for r in against_history(spark.createDataFrame(rows, "factor string, month int, median double, reasons string"), "factor", "month", ["f"]).collect()}
+    assert got == {("f", 1): ("", False), ("f", 2): ("coverage,sign", True), ("f", 3): ("scale", True), ("f", 4): ("", False), ("g", 1): ("", False), ("g", 2): ("", False)}
+    df = spark.createDataFrame([("s", 0.5, 1.0), ("s", 1.0, 3.0), ("s", 9.0, 5.0), ("s", 9.5, 7.0)], "side string, x double, y double")
+    assert {(r.x_bucket, r.n, r.mean) for r in bucket_means(df, ["side"], {"x": ([1.0, 5.0], ["low", "mid", "high"])}, "y").collect()} == {("low", 1, 1.0), ("mid", 1, 3.0), ("high", 2, 6.0)}
+
+
+def test_canonical_records_and_adjusted_prices(spark):
+    from tidemark.operators.series import adjust_forward
+    from tidemark.sources.lake import canonical
+
+    rows = [("o", 1, D(2024, 1, 1), "{}"), ("o", 2, None, "{}"), ("o", 3, D(2024, 1, 1), None), ("p", 4, None, "x")]
+    got = canonical(spark.createDataFrame(rows, "dataset string, key long, day date, payload string"), spark.createDataFrame([(1,), (1,)], "key long"), "key", "dataset", "day").collect()
+    assert [(r.key, r.invalid, r.source_hash) for r in got] == [(3, 1, None)]
+    bars = [(1, D(2024, 1, 1), 1.0, 4.0, 1.0, 2.0, 1.0), (1, D(2024, 1, 2), 2.0, 8.0, 2.0, 4.0, 2.0), (2, D(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, None), (2, D(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0)]
+    out = adjust_forward(spark.createDataFrame(bars, "code long, trade_date date, open double, high double, low double, close double, factor double")).collect()
+    assert [tuple(r)[2:] for r in sorted(out)] == [(0.5, 2.0, 0.5, 1.0), (2.0, 8.0, 2.0, 4.0)]

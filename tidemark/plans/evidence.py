@@ -11,6 +11,7 @@ from tidemark.operators import evidence as E
 from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, bars, members, r6, table
 from tidemark.plans.series import FWD, RET, monthly, panel, rets
+from tidemark.sources import lake as L
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,7 +86,8 @@ def _(spark, d):
  c AS (SELECT month, market, quantile_cont(vol, 0.01) AS lo, quantile_cont(vol, 0.99) AS hi, count(*) AS n FROM x GROUP BY 1, 2), y AS (SELECT code, month, market, CASE WHEN n >= 8 THEN greatest(lo, least(hi, vol)) ELSE vol END AS v FROM x JOIN c USING (month, market))
  SELECT code, month, round(CASE WHEN count(*) OVER g < 2 OR stddev_pop(v) OVER g = 0 THEN 0 ELSE (v - avg(v) OVER g) / stddev_pop(v) OVER g END, 6) AS z FROM y WINDOW g AS (PARTITION BY month, market)""")
 def _(spark, d):
-    x = raw_panel(spark, d).join(members(spark, d), "code").where("vol is not null")
+    # Written, as quantiles and values are both taken from it.
+    x = L.written(raw_panel(spark, d).join(members(spark, d), "code").where("vol is not null").select("code", "month", "market", "vol"), "panel")
     return S.zscore(S.winsorize(x, ["month", "market"], "vol"), ["month", "market"], "clipped").select("code", "month", *r6("z"))
 
 

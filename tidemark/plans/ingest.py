@@ -239,14 +239,23 @@ def _(spark, d):
     return again.where("bytes > 0 and length(sha256) = 64").select(F.regexp_extract("file", "status=([^/]*)", 1).alias("status"), "n_rows")
 
 
-@q("manifest_verify", "SELECT o_orderstatus AS book, CASE WHEN o_orderstatus = 'F' THEN 'missing' ELSE 'verified' END AS status, CAST(1 AS BIGINT) AS files FROM orders GROUP BY 1")
-def _(spark, d):
-    """A frozen manifest against the files read again, after the files of one status were written anew."""
-    root = order_files(spark, d)
-    frozen = L.written(L.file_manifest(spark, root).withColumn("book", F.regexp_extract("file", "status=([^/]*)", 1)), "manifest")
-    table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus").withColumn("status", F.col("o_orderstatus")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status").parquet(root)
-    checked = L.verify_manifest(frozen, L.file_manifest(spark, root)).join(frozen.select("file", "book"), "file")
-    return checked.groupBy("book", "status").agg(F.count(F.lit(1)).alias("files"))
+@q("manifest_verify", "SELECT o_orderstatus AS book, o_orderkey % 2 AS half, CASE WHEN o_orderkey % 2 = 1 THEN 'verified' WHEN o_orderstatus = 'F' THEN 'missing' WHEN o_orderstatus = 'O' THEN 'size_mismatch' ELSE 'hash_mismatch' END AS status, CAST(1 AS BIGINT) AS files FROM orders GROUP BY 1, 2")
+def _(spark, d):
+    """A frozen manifest against the files read again, after of some one was written anew, one was replaced by another and in one a byte was changed, both in their places."""
+    root = L.scratch(spark, "files")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 2).alias("half"))
+    save = lambda df, mode: df.repartition("status", "half").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("status", "half").parquet(root)
+    save(o, "error")
+    part = lambda name: F.regexp_extract("file", f"{name}=([^/]*)", 1)
+    frozen = L.written(L.file_manifest(spark, root).withColumns({"book": part("status"), "half": part("half").cast("long")}), "manifest")
+    at = {(r.book, r.half): f"{root}/{r.file}" for r in frozen.select("book", "half", "file").collect()}  # six files
+    save(o.where("status = 'F' and half = 0"), "overwrite")
+    L.replace_file(spark, at["O", 0], L.read_file(spark, at["O", 1]))
+    data = bytearray(L.read_file(spark, at["P", 0]))
+    data[8] ^= 1
+    L.replace_file(spark, at["P", 0], bytes(data))
+    checked = L.verify_manifest(frozen, L.file_manifest(spark, root)).join(frozen.select("file", "book", "half"), "file")
+    return checked.groupBy("book", "half", "status").agg(F.count(F.lit(1)).alias("files"))
 
 
 @q("join_file_lineage", "SELECT o_orderkey, n AS n_rows, CASE o_orderkey % 3 WHEN 0 THEN DATE '1999-01-01' WHEN 1 THEN DATE '1999-02-01' END AS known, o_orderkey % 3 = 2 AS stamped, true AS hashed FROM orders JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) USING (o_orderstatus)")

@@ -125,6 +125,31 @@ def _read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     return hashed.join(rows, "file", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """The bytes of one small file."""
+    p, fs = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Other bytes in a small file's place."""
+    p, fs = _file(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
 def verify_manifest(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """verified, missing, size_mismatch or hash_mismatch for each expected file."""
     o = observed.select("file", F.col("bytes").alias("ob"), F.col("sha256").alias("oh"))

@@ -126,7 +126,7 @@ def sliding(df: DataFrame, time: str, by: str, value: str, size: str, step: str)
 
 
 def sessions(df: DataFrame, time: str, by: str, gap: str) -> DataFrame:
-    """Sessions of each key: start, end (``gap`` after its last event), n. Run it in append mode: a session is told, and its state dropped, once the watermark
+    """Sessions of each key: start, end (``gap`` after its last event), n. An event at a session's end still belongs to it. Run it in append mode: a session is told, and its state dropped, once the watermark
     has passed its end."""
     g = df.withWatermark(time, "1 hour").groupBy(F.session_window(time, gap), by).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
