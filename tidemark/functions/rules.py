@@ -104,8 +104,33 @@ def period_date(text: Column) -> Column:
     return F.last_day(F.make_date(y, month, F.lit(1)))
 
 
-def signal_strength(attempts: Column, decay: float = 0.8, expire: int = 4) -> Column:
-    return F.when(attempts >= expire, 0.0).otherwise(F.pow(F.lit(decay), attempts))
+#: Fixed values of the order policy: days and attempts an order lives, what a signal loses per attempt and keeps at least, and the price move that cancels.
+ORDER_DAYS, ORDER_ATTEMPTS, SIGNAL_LOSS, SIGNAL_LEAST, PRICE_MOVE = 5, 5, 0.10, 0.50, 0.15
+
+
+def signal_strength(attempts: Column) -> Column:
+    """What is left of a signal after some attempts to trade on it."""
+    return F.greatest(F.lit(SIGNAL_LEAST), 1.0 - F.greatest(attempts, F.lit(0)) * SIGNAL_LOSS)
+
+
+def decayed_weight(current: Column, target: Column, attempts: Column) -> Column:
+    """The target weight drawn back to the current one as the signal ages."""
+    return current + (target - current) * signal_strength(attempts)
+
+
+def price_deviation(decision: Column, now: Column) -> Column:
+    """Move since the decision; null without two prices above zero."""
+    return F.when((decision > 0) & (now > 0), now / decision - 1.0)
+
+
+def order_expired(attempts: Column, days: Column) -> Column:
+    return (attempts >= ORDER_ATTEMPTS) | (days > ORDER_DAYS)
+
+
+def opportunity_cost(side: Column, unfilled: Column, decision: Column, now: Column) -> Column:
+    """What the unfilled part has cost: above zero where a purchase has become dearer or a sale cheaper; null without prices or unfilled shares."""
+    sign = F.when(side == "buy", 1.0).otherwise(-1.0)
+    return F.when(price_deviation(decision, now).isNotNull() & (unfilled > 0), sign * (now - decision) * unfilled)
 
 
 def dividend_tax_rate(acquired: Column, sold: Column) -> Column:

@@ -120,6 +120,34 @@ def neighborhood(df: DataFrame, by: str, value: str, center: Column) -> DataFram
     return x.groupBy(by).agg(((F.sum((F.col(value) < F.col("c")).cast("int")) + (F.sum((F.col(value) == F.col("c")).cast("int")) - 1) / 2) / F.count(F.lit(1))).alias("share"), F.min(F.when(inner, F.col(value))).alias("low"), F.max(F.when(inner, F.col(value))).alias("high"))
 
 
+def predictiveness(panel: DataFrame, fold: Column) -> DataFrame:
+    """fold, periods, mean_ic and q1 to q5: mean rank IC and mean forward return of each fifth by score (ties by code). Months without different returns are left out."""
+    from tidemark.operators.evidence import rank_ic
+
+    x = panel.where("score is not null and fwd is not null")
+    some = x.groupBy("month").agg(F.max("fwd").alias("high"), F.min("fwd").alias("low")).where("high > low").select("month")
+    ic = rank_ic(x).join(some, "month", "left_semi").groupBy(fold.alias("fold")).agg(F.count(F.lit(1)).alias("periods"), F.avg("ic").alias("mean_ic"))
+    fifths = x.join(some, "month", "left_semi").withColumn("t", F.ntile(5).over(Window.partitionBy("month").orderBy("score", "code"))).groupBy("month", "t").agg(F.avg("fwd").alias("m"))
+    q = fifths.groupBy(fold.alias("fold")).agg(*[F.avg(F.when(F.col("t") == i, F.col("m"))).alias(f"q{i}") for i in range(1, 6)])
+    return ic.join(q, "fold")
+
+
+def group_slices(panel: DataFrame, groups: list[str], share: float = 0.2) -> DataFrame:
+    """slice (group:label), periods, log_excess and mean_rank_ic: the best ``share`` of each slice by score (one at least) against all names' mean, compounded over
+    months, and the slice's mean rank IC over months with three names or more."""
+    from tidemark.operators.evidence import rank_ic
+
+    x = panel.where("score is not null and fwd is not null")
+    mean = x.groupBy("month").agg(F.avg("fwd").alias("all"))
+    labels = F.explode(F.array(*[F.concat(F.lit(f"{g}:"), F.col(g)) for g in groups])).alias("slice")
+    x = x.select("month", "code", "score", "fwd", labels).where("slice is not null")
+    w = Window.partitionBy("month", "slice")
+    top = x.withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), F.desc("code")))).withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("k") <= F.greatest(F.lit(1), F.ceil(F.col("n") * share)))
+    excess = top.groupBy("month", "slice").agg(F.avg("fwd").alias("m")).join(mean, "month").withColumn("e", F.log(F.greatest(F.lit(1e-6), 1 + F.col("m") - F.col("all"))))
+    ic = rank_ic(x.select(F.struct("month", "slice").alias("month"), "score", "fwd"), 3).select("month.slice", "ic").groupBy("slice").agg(F.avg(F.when(~F.isnan("ic"), F.col("ic"))).alias("mean_rank_ic"))
+    return excess.groupBy("slice").agg(F.count(F.lit(1)).alias("periods"), F.sum("e").alias("log_excess")).join(ic, "slice", "left")
+
+
 def decayed_weights(ic: DataFrame, at: str, half_life: float = 6.0, prior: float = 12.0, least: float = 0.05, most: float = 0.6) -> DataFrame:
     """Factor weights from information coefficients known before ``at``, decayed by age and shrunk to equal weights, within bounds."""
     age = F.row_number().over(Window.partitionBy("factor").orderBy(F.desc("month"))) - 1

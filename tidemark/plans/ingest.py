@@ -186,10 +186,10 @@ def _(spark, d):
     return x.orderBy("prio", F.asc_nulls_first("first_date"), "code").limit(30)
 
 
-@q("upsert_active_flag", "SELECT p_partkey, coalesce(o.k IS NOT NULL, FALSE) AS active FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01') o ON p_partkey = k")
+@q("upsert_active_flag", "WITH o AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01'), p AS (SELECT p_partkey, p_size % 2 = 0 AS was FROM part) SELECT p_partkey, CASE WHEN (SELECT count(*) FROM o) = 0 THEN was ELSE o.k IS NOT NULL END AS active FROM p LEFT JOIN o ON p_partkey = k")
 def _(spark, d):
-    live = table(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("on")).distinct()
-    return table(spark, d, "part").join(live, "p_partkey", "left").select("p_partkey", F.coalesce("on", F.lit(False)).alias("active"))
+    live = table(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).select(F.col("l_partkey").alias("p_partkey"))
+    return L.flag_active(table(spark, d, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("active")), live, "p_partkey")
 
 
 @q("overlay_corrections", "SELECT o_orderkey, coalesce(c.v, o_totalprice) AS o_totalprice FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_extendedprice, l_linenumber * 1e7 + l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) c ON l_orderkey = o_orderkey")
@@ -355,9 +355,20 @@ def _(spark, d):
     return x.select("s_suppkey", F.array_join("m", ",").alias("missing"), (F.size("m") == 0).alias("eligible"))
 
 
-@q("fn_order_policy", "SELECT event_id, round(CASE WHEN user_id % 6 >= 4 THEN 0 ELSE pow(0.8, user_id % 6) END, 6) AS strength FROM events")
+@q("fn_order_policy", """WITH o AS (SELECT event_id, user_id % 8 AS attempts, event_id % 8 AS days, CASE WHEN event_type = 'purchase' THEN 'buy' ELSE 'sell' END AS side, CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END AS decision, value * (0.805 + event_id % 41 / 100.0) AS now, event_id % 5 * 100 AS unfilled FROM events),
+ c AS (SELECT *, CASE WHEN decision > 0 AND now > 0 THEN now / decision - 1 END AS move, greatest(0.5, 1 - attempts * 0.1) AS strength FROM o), k AS (SELECT *, CASE WHEN move IS NOT NULL AND unfilled > 0 THEN CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (now - decision) * unfilled END AS cost FROM c)
+ SELECT event_id, round(strength, 6) AS strength, round(0.02 + (0.1 - 0.02) * strength, 6) AS weight, round(move, 6) AS move, coalesce(abs(move) > 0.15, false) AS cancelled, attempts >= 5 OR days > 5 AS expired, round(cost, 4) AS cost, CASE WHEN cost IS NOT NULL THEN round(greatest(cost, 0), 4) END AS adverse FROM k""")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(X.signal_strength(F.col("user_id") % 6), 6).alias("strength"))
+    """Unfilled orders made of events: what is left of the signal, whether they end, and what not trading has cost."""
+    n = F.col("event_id")
+    side = F.when(F.col("event_type") == "purchase", "buy").otherwise("sell")
+    x = table(spark, d, "events").select("event_id", (F.col("user_id") % 8).alias("attempts"), (n % 8).alias("days"), side.alias("side"), F.when(n % 9 == 0, 0.0).otherwise(F.col("value")).alias("decision"), (F.col("value") * (0.805 + n % 41 / 100)).alias("now"), (n % 5 * 100).alias("unfilled"))
+    c = {k: F.col(k) for k in x.columns}
+    move, cost = X.price_deviation(c["decision"], c["now"]), X.opportunity_cost(c["side"], c["unfilled"], c["decision"], c["now"])
+    return x.select(
+        "event_id", F.round(X.signal_strength(c["attempts"]), 6).alias("strength"), F.round(X.decayed_weight(F.lit(0.02), F.lit(0.1), c["attempts"]), 6).alias("weight"), F.round(move, 6).alias("move"),
+        F.coalesce(F.abs(move) > X.PRICE_MOVE, F.lit(False)).alias("cancelled"), X.order_expired(c["attempts"], c["days"]).alias("expired"), F.round(cost, 4).alias("cost"), F.round(F.when(cost.isNotNull(), F.greatest(cost, F.lit(0.0))), 4).alias("adverse"),
+    )
 
 
 @q("fn_terminal_dividend_tax", "SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) THEN 0.2 WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) THEN 0.1 ELSE 0.0 END AS rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -384,6 +395,7 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.period_date(t).alias("period"))
 
 
-@q("fn_hash_chain_payload", "SELECT r_regionkey, sha256('{\"k\":' || r_regionkey || ',\"n\":\"' || r_name || '\"}') AS h FROM region")
+@q("fn_hash_chain_payload", "SELECT c_custkey, sha256('{\"key\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\"}') AS h FROM customer")
 def _(spark, d):
-    return table(spark, d, "region").select("r_regionkey", F.sha2(F.to_json(F.struct(F.col("r_regionkey").alias("k"), F.col("r_name").alias("n"))), 256).alias("h"))
+    """Canonical payloads: fields in the order of their names."""
+    return table(spark, d, "customer").select("c_custkey", F.sha2(F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))), 256).alias("h"))

@@ -339,9 +339,22 @@ def _(spark, d):
     return k.select("fold", "code", F.round("s", 6).alias("score"))
 
 
-@q("ev_predictiveness", f"WITH {IC} SELECT extract(year FROM month) AS fold, count(*) AS periods, round(avg(ic), 6) AS mean_ic FROM ic GROUP BY 1")
+@q("ev_predictiveness", f"""WITH {IC}, x AS (SELECT month, fwd, ntile(5) OVER (PARTITION BY month ORDER BY score, code) AS t FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL), differ AS (SELECT month FROM x GROUP BY 1 HAVING max(fwd) > min(fwd)),
+ g AS (SELECT month, t, avg(fwd) AS m FROM x JOIN differ USING (month) GROUP BY 1, 2), k AS (SELECT extract(year FROM month) AS fold, {", ".join(f"avg(m) FILTER (WHERE t = {i}) AS q{i}" for i in range(1, 6))} FROM g GROUP BY 1), i AS (SELECT extract(year FROM month) AS fold, count(*) AS periods, avg(ic) AS mean_ic FROM ic WHERE month IN (SELECT month FROM differ) GROUP BY 1)
+ SELECT fold, periods, round(mean_ic, 6) AS mean_ic, {", ".join(f"round(q{i}, 6) AS q{i}" for i in range(1, 6))} FROM i JOIN k USING (fold)""")
 def _(spark, d):
-    return ic(spark, d).groupBy(F.year("month").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("periods"), F.round(F.avg("ic"), 6).alias("mean_ic"))
+    """Of each year: mean rank IC, and mean forward return of each fifth by score. Months in which all returns are equal say nothing and are left out."""
+    return P.predictiveness(panel(spark, d), F.year("month").cast("long")).select("fold", "periods", *r6("mean_ic", *[f"q{i}" for i in range(1, 6)]))
+
+
+@q("ev_stability_groups", f"""WITH {FWD}, {MEMBERS}, x AS (SELECT p.month, p.code, score, fwd, u.g FROM panel p JOIN members m ON m.code = p.code, LATERAL (VALUES ('industry:' || industry), ('market:' || market)) u(g) WHERE score IS NOT NULL AND fwd IS NOT NULL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY month, g ORDER BY score DESC, code DESC) AS k, count(*) OVER (PARTITION BY month, g) AS n, rank() OVER (PARTITION BY month, g ORDER BY score) + (count(*) OVER (PARTITION BY month, g, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY month, g ORDER BY fwd) + (count(*) OVER (PARTITION BY month, g, fwd) - 1) / 2.0 AS b FROM x),
+ u AS (SELECT month, avg(fwd) AS m FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL GROUP BY 1), p AS (SELECT g, month, avg(fwd) FILTER (WHERE k <= greatest(1, ceil(n * 0.2))) - any_value(m) AS alpha, CASE WHEN count(*) >= 3 THEN corr(a, b) END AS ic FROM r JOIN u USING (month) GROUP BY 1, 2)
+ SELECT g AS slice, count(*) AS periods, round(sum(ln(greatest(1e-6, 1 + alpha))), 6) AS log_excess, round(avg(ic) FILTER (WHERE NOT isnan(ic)), 6) AS mean_rank_ic FROM p GROUP BY 1""")
+def _(spark, d):
+    """Each industry and market: its best fifth's return over all names' mean, compounded, and its mean rank IC."""
+    x = panel(spark, d).join(members(spark, d).select("code", "industry", "market"), "code")
+    return P.group_slices(x, ["industry", "market"]).select("slice", "periods", *r6("log_excess", "mean_rank_ic"))
 
 
 @q("ev_neighborhood", "WITH x AS (SELECT p_brand AS b, p_partkey AS code, p_retailprice AS v FROM part), c AS (SELECT b, arg_min(v, code) AS c FROM x GROUP BY 1), r AS (SELECT x.*, c, row_number() OVER (PARTITION BY x.b ORDER BY v, code) AS i, count(*) OVER (PARTITION BY x.b) AS n FROM x JOIN c ON x.b = c.b) SELECT b AS p_brand, round((sum((v < c)::INT) + (sum((v = c)::INT) - 1) / 2.0) / count(*), 6) AS share, min(v) FILTER (WHERE i > 1 AND i < n OR n < 3) AS low, max(v) FILTER (WHERE i > 1 AND i < n OR n < 3) AS high FROM r GROUP BY b")

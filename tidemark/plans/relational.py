@@ -12,6 +12,7 @@ from tidemark.operators import series as S
 from tidemark.plans.base import BARS, MEMBERS, REVISIONS, bars, members, r6, revisions, table
 from tidemark.plans.evidence import RAW, raw_panel
 from tidemark.plans.series import SIGNAL, signals
+from tidemark.sources import lake as L
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -444,7 +445,7 @@ def _(spark, d):
 @q("join_suspend_absent", f"WITH {BARS} SELECT s_suppkey AS code FROM supplier WHERE s_suppkey NOT IN (SELECT code FROM bars WHERE trade_date = DATE '1998-06-15')")
 def _(spark, d):
     today = bars(spark, d).where("trade_date = '1998-06-15'").select("code")
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("code")).join(today, "code", "left_anti")
+    return L.absent(table(spark, d, "supplier").select(F.col("s_suppkey").alias("code")), today, "code")
 
 
 @q("join_limits_derived", f"WITH {PROBES} SELECT p.code, p.at, round(ln(b.close * 1.1), 6) AS up, round(ln(b.close * 0.9), 6) AS down FROM probes p ASOF LEFT JOIN bars b ON p.code = b.code AND p.at > b.trade_date")

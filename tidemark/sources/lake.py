@@ -196,3 +196,18 @@ def with_lineage(rows: DataFrame, manifest: DataFrame, dates: list[str]) -> Data
     file came."""
     m = manifest.select(F.col("file").alias("source_file"), "sha256", "n_rows", F.col("modified").alias("ingested_at"))
     return rows.join(m, "source_file").withColumn("available_date", F.coalesce(*dates, F.to_date("ingested_at")))
+
+
+def flag_active(rows: DataFrame, live: DataFrame, key: str, clear: bool = True) -> DataFrame:
+    """``rows`` with ``active`` set where the key is in today's list, and cleared elsewhere if asked for. An empty list is taken for a failed fetch and changes nothing."""
+    some = live.select(F.lit(True).alias("__some")).limit(1)
+    on = live.select(key, F.lit(True).alias("__on")).distinct()
+    flag = F.when(F.col("__some").isNull(), F.col("active")).when(F.col("__on"), F.lit(True)).otherwise(F.lit(False) if clear else F.col("active"))
+    return rows.join(on, key, "left").join(F.broadcast(some), F.lit(True), "left").withColumn("active", flag).drop("__on", "__some")
+
+
+def absent(tracked: DataFrame, quotes: DataFrame, key: str) -> DataFrame:
+    """Tracked keys without a quote. Without any quote at all that would be all of them, so it is an error."""
+    if quotes.isEmpty():
+        raise ValueError("the snapshot has no quotes")
+    return tracked.join(quotes.select(key), key, "left_anti")
