@@ -70,7 +70,7 @@ def test_import_without_the_training_data_operators(tmp_path):
 def test_event_exposure_takes_all_events_by_five_paths(spark, duck):
     from tidemark.plans.registry import QUERIES
 
-    got = QUERIES["join_event_exposure_paths"](spark, DATA).toPandas()
+    got = QUERIES["join_event_exposure"](spark, DATA).toPandas()
     assert set(got.path) == {"holding", "direct", "market", "benchmark", "industry"} and not got.duplicated(["event", "fund"]).any()
     held = "select distinct event_id from events join (select distinct l_partkey from lineitem) on l_partkey = event_id % 2000"
     direct = "select event_id from events join supplier on s_suppkey = event_id % 2000"
