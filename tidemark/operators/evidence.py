@@ -341,6 +341,33 @@ def active_alpha(df: DataFrame, by: str) -> DataFrame:
     return x.groupBy(by).agg(F.avg("active").alias("active_mean"), F.when(sd > 0, F.avg("active") / sd * F.sqrt(F.lit(252.0))).alias("ir"), F.regr_intercept("ret", "bench").alias("alpha"), F.regr_slope("ret", "bench").alias("beta"))
 
 
+def stability_slices(df: DataFrame, ret: str = "ret", benchmark: str = "proxy", n: int = 60, least: int = 20, high_vol: float = 0.30, move: float = 0.05) -> DataFrame:
+    """Per code: active return compounded (as a logarithm) over each year, each market regime and all days (year and regime null).
+
+    The regime of a day comes from at most ``n`` benchmark returns before it, none of its own or later; with fewer than ``least`` it is warmup.
+    """
+    w = Window.partitionBy("code").orderBy("trade_date").rowsBetween(-n, -1)
+    b = F.col(benchmark)
+    trend, vol = F.sum(F.log(F.greatest(F.lit(1e-6), 1 + b))).over(w), F.stddev_samp(b).over(w) * F.sqrt(F.lit(252.0))
+    x = df.where(F.col(ret).isNotNull() & b.isNotNull()).select("code", "trade_date", ret, benchmark, F.count(b).over(w).alias("n"), (F.exp(trend) - 1).alias("trend"), vol.alias("vol"))
+    label = F.when(F.col("n") < least, "warmup").when(F.col("vol") >= high_vol, "high_volatility").when(F.col("trend") >= move, "bull").when(F.col("trend") <= -move, "bear").otherwise("sideways")
+    x = x.select("code", F.year("trade_date").cast("long").alias("year"), label.alias("regime"), F.log(F.greatest(F.lit(1e-6), 1 + F.col(ret) - b)).alias("a"))
+    return x.groupingSets([["code", "year"], ["code", "regime"], ["code"]], "code", "year", "regime").agg(F.count(F.lit(1)).alias("days"), F.sum("a").alias("log_active"))
+
+
+def stability_gate(slices: DataFrame, days: int = 20, worst_year: float = -0.05, worst_regime: float = -0.05, without_best: float = 0.0) -> DataFrame:
+    """Of ``stability_slices``: the worst year, the worst regime of at least ``days`` days (warmup apart), what is left without the best year, and whether all
+    three pass. Codes that have no such regime do not pass."""
+    a, year, regime = F.expm1("log_active"), F.col("year").isNotNull(), F.col("regime").isNotNull()
+    g = slices.groupBy("code").agg(
+        F.min(F.when(year, a)).alias("worst_year"), F.min(F.when(regime & (F.col("regime") != "warmup") & (F.col("days") >= days), a)).alias("worst_regime"),
+        F.max(F.when(~year & ~regime, F.col("log_active"))).alias("__all"), F.max(F.when(year, F.col("log_active"))).alias("__best"), F.count_if(year).alias("__years"),
+    )
+    g = g.withColumn("without_best", F.when(F.col("__years") > 1, F.expm1(F.col("__all") - F.col("__best"))))
+    ok = (F.col("worst_year") >= worst_year) & (F.col("worst_regime") >= worst_regime) & (F.col("without_best") > without_best)
+    return g.select("code", "worst_year", "worst_regime", "without_best", F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
 def folds(days: DataFrame, train: int, validation: int, purge: int, embargo: int) -> DataFrame:
     """Expanding folds: fold, role (train, validation), first and last day. Training ends ``purge`` days before validation; the next fold starts ``embargo`` days after it."""
     x = days.select("trade_date").distinct().withColumn("i", F.row_number().over(Window.orderBy("trade_date")) - 1)

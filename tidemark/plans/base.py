@@ -57,6 +57,37 @@ REVISIONS = """revisions AS (
   FROM (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS value, max(CAST(l_shipdate AS DATE)) AS shipped FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey)"""
 
 
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly figures of each supplier from its lines, disclosed 20 to 79 days after the quarter's end; some leave fields out."""
+    price, code = F.col("l_extendedprice"), F.col("l_suppkey")
+    period = F.to_date(F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2)))
+    g = table(spark, sf_dir, "lineitem").groupBy(code.alias("code"), period.alias("period")).agg(
+        F.sum(price).alias("revenue"), F.sum(price * (F.lit(0.06) - F.col("l_discount"))).alias("net_income"), F.sum(price * (F.col("l_tax") - 0.02)).alias("cash"), (F.sum("l_quantity") * 1000).alias("assets")
+    )
+    k = F.col("code")
+    return g.select(
+        "code", "period", F.date_add("period", (20 + k % 60).cast("int")).alias("available_at"), F.when(k % 9 != 4, F.col("net_income") / F.col("assets") * 2).alias("roe"), F.when(k % 5 != 1, F.col("cash") / F.col("revenue")).alias("gross_margin"),
+        (F.col("net_income") / F.col("revenue")).alias("net_margin"), F.when(k % 4 != 3, F.col("assets") / F.col("revenue")).alias("debt_ratio"), "net_income", "cash", "assets",
+    )
+
+
+FIGURES = """fg AS (SELECT l_suppkey AS code, CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH AS DATE) - 1 AS period, sum(l_extendedprice) AS revenue, sum(l_extendedprice * (0.06 - l_discount)) AS net_income,
+  sum(l_extendedprice * (l_tax - 0.02)) AS cash, sum(l_quantity) * 1000 AS assets FROM lineitem GROUP BY 1, 2),
+ figures AS (SELECT code, period, period + 20 + CAST(code % 60 AS INTEGER) AS available_at, CASE WHEN code % 9 <> 4 THEN net_income / assets * 2 END AS roe, CASE WHEN code % 5 <> 1 THEN cash / revenue END AS gross_margin,
+  net_income / revenue AS net_margin, CASE WHEN code % 4 <> 3 THEN assets / revenue END AS debt_ratio, net_income, cash, assets FROM fg)"""
+
+
+def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A valuation of each supplier at its last bar of each month; some have no ep, some no bp."""
+    last = bars(spark, sf_dir).groupBy("code", F.trunc("trade_date", "MM").alias("month")).agg(F.max_by("close", "trade_date").alias("close"), F.max("trade_date").alias("available_at"))
+    k, c = F.col("code"), F.col("close")
+    return last.select("code", "available_at", F.when(k % 7 != 2, (k % 6 - 1) / c).alias("ep"), F.when(k % 11 != 5, 500 / c).alias("bp"), (c * 1000).alias("market_cap"))
+
+
+VALUATIONS = """valuations AS (SELECT code, max(trade_date) AS available_at, CASE WHEN code % 7 <> 2 THEN (code % 6 - 1) / arg_max(close, trade_date) END AS ep, CASE WHEN code % 11 <> 5 THEN 500 / arg_max(close, trade_date) END AS bp,
+  arg_max(close, trade_date) * 1000 AS market_cap FROM bars GROUP BY code, date_trunc('month', trade_date))"""
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News items from documents: the first line as title, a time from the id."""
     d = table(spark, sf_dir, "documents")

@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as E
+from tidemark.operators import factors as FA
 from tidemark.operators import series as S
-from tidemark.plans.base import BARS, MEMBERS, bars, members, r6, table
+from tidemark.plans.base import BARS, FIGURES, MEMBERS, VALUATIONS, bars, figures, members, r6, table, valuations
 from tidemark.plans.series import FWD, RET, monthly, panel, rets
 from tidemark.sources import lake as L
 
@@ -71,9 +72,33 @@ def raw_panel(spark, d):
     return x.groupBy("code", "month").agg(F.max_by(F.struct("mom", "rev", "vol", "dd"), "trade_date").alias("x")).select("code", "month", "x.*")
 
 
-@q("fac_raw_panel", f"WITH {RAW} SELECT code, month, round(mom, 6) AS mom, round(rev, 6) AS rev, round(vol, 6) AS vol, round(dd, 6) AS dd FROM rawm")
+FULL_PANEL = f"""{RET}, {FIGURES}, {VALUATIONS}, {MEMBERS},
+ pa AS (SELECT code, trade_date, close, row_number() OVER w AS i, lag(close, 21) OVER w AS c21, lag(close, 126) OVER w AS c126, lag(close, 252) OVER w AS c252, avg(close) OVER r20 AS ma20, avg(close) OVER r60 AS ma60, stddev_samp(ret) OVER r60 AS v60, stddev_samp(ret) OVER r120 AS v120, lead(trade_date) OVER w AS nxt
+  FROM rets WINDOW w AS (PARTITION BY code ORDER BY trade_date), r20 AS (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING), r60 AS (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING), r120 AS (PARTITION BY code ORDER BY trade_date ROWS 119 PRECEDING)),
+ pe AS (SELECT * FROM pa WHERE nxt IS NULL OR date_trunc('month', nxt) > date_trunc('month', trade_date)),
+ pf AS (SELECT e.code, e.trade_date, x.i, x.close, max(x.close) OVER (PARTITION BY e.code, e.trade_date ORDER BY x.i) AS peak FROM pe e JOIN pa x ON x.code = e.code AND x.i BETWEEN e.i - 119 AND e.i WHERE e.i >= 120),
+ dd AS (SELECT code, trade_date, min(close / peak - 1) AS max_drawdown_120 FROM pf GROUP BY 1, 2),
+ qa AS (SELECT *, CASE WHEN count(roe) OVER e >= 3 THEN -stddev_samp(roe) OVER e END AS earnings_stability, net_margin - lag(net_margin) OVER (PARTITION BY code ORDER BY available_at, period) AS margin_change, CASE WHEN net_income >= 1000000 THEN cash / net_income END AS ocf_to_profit,
+  CASE WHEN assets > 0 THEN (cash - net_income) / assets END AS cash_conversion_assets, CASE WHEN net_income <= 0 THEN -1.0 ELSE 0.0 END AS loss_profitability FROM figures WINDOW e AS (PARTITION BY code ORDER BY available_at, period ROWS 7 PRECEDING)),
+ va AS (SELECT *, CASE WHEN ep IS NULL THEN bp WHEN bp IS NULL THEN ep ELSE (ep + bp) / 2 END AS v FROM valuations),
+ vb AS (SELECT a.code, a.available_at, any_value(a.ep) AS ep, any_value(a.bp) AS bp, any_value(a.market_cap) AS market_cap, CASE WHEN count(b.v) >= 24 AND any_value(a.v) IS NOT NULL THEN (sum((b.v < a.v)::INT) + 0.5 * sum((b.v = a.v)::INT)) / count(b.v) END AS valuation_percentile FROM va a JOIN va b ON b.code = a.code AND b.available_at <= a.available_at GROUP BY 1, 2),
+ pj AS (SELECT pe.*, q.* EXCLUDE (code, period, available_at) FROM pe ASOF LEFT JOIN qa q ON q.code = pe.code AND pe.trade_date >= q.available_at),
+ pk AS (SELECT pj.*, v.ep, v.bp, v.market_cap, v.valuation_percentile, v2.max_drawdown_120, m.market = 'ASIA' AS fin FROM pj ASOF LEFT JOIN vb v ON v.code = pj.code AND pj.trade_date >= v.available_at LEFT JOIN dd v2 ON v2.code = pj.code AND v2.trade_date = pj.trade_date LEFT JOIN members m ON m.code = pj.code)"""
+ROUNDED = {
+    "momentum_12_1": "c21 / c252 - 1", "momentum_6_1": "c21 / c126 - 1", "short_reversal": "-(close / c21 - 1)", "residual_momentum": "c21 / c252 - c21 / c126",
+    "trend": "CASE WHEN i >= 60 THEN ((CASE WHEN close >= ma20 THEN 1 ELSE -1 END) + (CASE WHEN close >= ma60 THEN 1 ELSE -1 END) + (CASE WHEN ma20 >= ma60 THEN 1 ELSE -1 END)) / 3.0 WHEN i >= 20 THEN CASE WHEN close >= ma20 THEN 1 ELSE -1 END END",
+    "volatility_60": "CASE WHEN i >= 61 THEN -v60 END", "volatility_120": "CASE WHEN i >= 121 THEN -v120 END", "max_drawdown_120": "max_drawdown_120", "roe": "roe", "earnings_stability": "earnings_stability", "loss_profitability": "loss_profitability",
+    **{c: f"CASE WHEN NOT fin THEN {c} END" for c in ["gross_margin", "net_margin", "ocf_to_profit", "cash_conversion_assets", "margin_change", "debt_ratio"]}, "accruals": "CASE WHEN NOT fin THEN -cash_conversion_assets END",
+    "financial_roe": "CASE WHEN fin THEN roe END", "ep": "ep", "bp": "bp", "market_cap": "market_cap", "valuation_percentile": "valuation_percentile",
+}
+
+
+@q("fac_raw_panel", f"WITH {FULL_PANEL} SELECT code, trade_date, {', '.join(f'round({x}, 6) AS {c}' for c, x in ROUNDED.items())} FROM pk")
 def _(spark, d):
-    return raw_panel(spark, d).select("code", "month", *r6("mom", "rev", "vol", "dd"))
+    """Price, quality and value factors of each supplier at each month's last bar; the suppliers of one region stand for firms of finance."""
+    firms = members(spark, d).select("code", (F.col("market") == "ASIA").alias("finance"))
+    x = FA.factor_panel(bars(spark, d), firms, figures(spark, d), valuations(spark, d))
+    return x.select("code", "trade_date", *r6(*ROUNDED))
 
 
 @q("fac_neutralize_wls")
@@ -303,10 +328,23 @@ def _(spark, d):
     return proxied(spark, d).where("proxy is not null").groupBy("code").agg(F.round(F.avg(a) / F.nullif(F.stddev_samp(a), F.lit(0.0)) * F.sqrt(F.lit(252.0)), 6).alias("information_ratio"))
 
 
-@q("ev_stability", f"WITH {PROXY} SELECT code, extract(year FROM trade_date) AS year, round(sum(ln(greatest(1e-6, 1 + ret - proxy))), 6) AS log_active FROM p WHERE proxy IS NOT NULL GROUP BY GROUPING SETS ((code, year), (code))")
+#: The mean of all others moves more than an index does, so its bound of high volatility is higher.
+SLICES = f"""{PROXY}, sa AS (SELECT code, trade_date, ret, proxy, count(*) OVER v AS n, exp(sum(ln(greatest(1e-6, 1 + proxy))) OVER v) - 1 AS trend, stddev_samp(proxy) OVER v * sqrt(252.0) AS vol FROM p WHERE proxy IS NOT NULL WINDOW v AS (PARTITION BY code ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+ sb AS (SELECT code, extract(year FROM trade_date) AS year, CASE WHEN n < 20 THEN 'warmup' WHEN vol >= 0.9 THEN 'high_volatility' WHEN trend >= 0.05 THEN 'bull' WHEN trend <= -0.05 THEN 'bear' ELSE 'sideways' END AS regime, ln(greatest(1e-6, 1 + ret - proxy)) AS a FROM sa),
+ slices AS (SELECT code, year, regime, count(*) AS days, sum(a) AS log_active FROM sb GROUP BY GROUPING SETS ((code, year), (code, regime), (code)))"""
+
+
+@q("ev_stability", f"WITH {SLICES} SELECT code, year, regime, days, round(log_active, 6) AS log_active FROM slices")
+def _(spark, d):
+    """Active return of each code by year and by the regime its benchmark was in before the day."""
+    return E.stability_slices(proxied(spark, d), high_vol=0.9).withColumn("log_active", F.round("log_active", 6))
+
+
+@q("ev_stability_gate", f"""WITH {SLICES}, g AS (SELECT code, min(exp(log_active) - 1) FILTER (WHERE year IS NOT NULL) AS worst_year, min(exp(log_active) - 1) FILTER (WHERE regime IS NOT NULL AND regime <> 'warmup' AND days >= 20) AS worst_regime,
+  max(log_active) FILTER (WHERE year IS NULL AND regime IS NULL) AS t, max(log_active) FILTER (WHERE year IS NOT NULL) AS best, count(year) AS years FROM slices GROUP BY 1)
+ SELECT code, round(worst_year, 6) AS worst_year, round(worst_regime, 6) AS worst_regime, round(CASE WHEN years > 1 THEN exp(t - best) - 1 END, 6) AS without_best, coalesce(worst_year >= -0.05 AND worst_regime >= -0.05 AND CASE WHEN years > 1 THEN exp(t - best) - 1 END > 0, false) AS passed FROM g""")
 def _(spark, d):
-    x = proxied(spark, d).where("proxy is not null").withColumn("year", F.year("trade_date").cast("long")).withColumn("a", F.log(F.greatest(F.lit(1e-6), 1 + F.col("ret") - F.col("proxy"))))
-    return x.groupingSets([["code", "year"], ["code"]], "code", "year").agg(F.round(F.sum("a"), 6).alias("log_active"))
+    return E.stability_gate(E.stability_slices(proxied(spark, d), high_vol=0.9)).select("code", *r6("worst_year", "worst_regime", "without_best"), "passed")
 
 
 @q("ev_folds", f"""WITH {BARS}, x AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM bars)),

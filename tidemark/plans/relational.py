@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof as A
+from tidemark.operators import factors as FA
 from tidemark.operators import keywords as K
 from tidemark.operators import relational as R
 from tidemark.operators import series as S
-from tidemark.plans.base import BARS, MEMBERS, REVISIONS, bars, members, r6, revisions, table
+from tidemark.plans.base import BARS, FIGURES, MEMBERS, REVISIONS, VALUATIONS, bars, figures, members, r6, revisions, table, valuations
 from tidemark.plans.evidence import RAW, raw_panel
 from tidemark.plans.series import SIGNAL, signals
 from tidemark.sources import lake as L
@@ -336,11 +337,20 @@ def _(spark, d):
     return R.quorum_date(bars(spark, d), "code", "trade_date", 0.3)
 
 
-@q("agg_readiness", f"WITH {PROBES}, f AS (SELECT p.at, p.code, b.trade_date IS NOT NULL AND p.at - b.trade_date <= 10 AS ok FROM probes p ASOF LEFT JOIN bars b ON p.code = b.code AND p.at >= b.trade_date) SELECT f.at, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS ratio, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) < 0.6 AS rejected FROM f GROUP BY f.at")
+FIRMS = "firms AS (SELECT code, CASE WHEN code % 17 <> 3 THEN industry END AS industry FROM members)"
+
+
+@q("agg_readiness", f"""WITH {PROBES}, {MEMBERS}, {FIRMS}, {FIGURES}, {VALUATIONS}, fin AS (SELECT DISTINCT code, available_at FROM figures WHERE coalesce(roe, gross_margin, cash, debt_ratio) IS NOT NULL), val AS (SELECT DISTINCT code, available_at FROM valuations WHERE coalesce(ep, bp) IS NOT NULL),
+ x AS (SELECT p.at, p.code, b.trade_date AS traded, industry FROM probes p ASOF LEFT JOIN bars b ON p.code = b.code AND p.at >= b.trade_date LEFT JOIN firms f ON f.code = p.code),
+ y AS (SELECT x.*, fin.available_at AS disclosed FROM x ASOF LEFT JOIN fin ON x.code = fin.code AND x.at >= fin.available_at), z AS (SELECT y.*, val.available_at AS valued FROM y ASOF LEFT JOIN val ON y.code = val.code AND y.at >= val.available_at),
+ g AS (SELECT z.at, count(*) AS members, count(traded) AS prices, count(*) FILTER (WHERE z.at - traded <= 10) AS recent, count(industry) AS industries, count(disclosed) AS financials, count(valued) AS valuations, count(*) FILTER (WHERE z.at - valued <= 10) AS fresh_valuations,
+  count(*) FILTER (WHERE traded IS NOT NULL AND industry IS NOT NULL AND disclosed IS NOT NULL AND valued IS NOT NULL) AS complete FROM z GROUP BY z.at)
+ SELECT *, round(complete / members, 6) AS ratio, complete / members + 1e-12 < 0.6 AS rejected FROM g""")
 def _(spark, d):
-    x = A.asof_join(probes(spark, d), bars(spark, d), "code", "at", "trade_date", ["volume"])
-    ratio = F.avg(F.when(F.datediff("at", "trade_date") <= 10, 1.0).otherwise(0.0))
-    return x.groupBy("at").agg(F.round(ratio, 6).alias("ratio"), (ratio < 0.6).alias("rejected"))
+    """Coverage of each month's first day by prices, industries, figures and valuations known on it."""
+    firms = members(spark, d).select("code", F.when(F.col("code") % 17 != 3, F.col("industry")).alias("industry"))
+    x = FA.readiness(probes(spark, d), bars(spark, d), firms, figures(spark, d), valuations(spark, d), 0.6)
+    return x.withColumn("ratio", F.round("ratio", 6))
 
 
 @q("agg_sync_status", "SELECT user_id AS job, arg_max(event_type, event_id) AS last_status, count(*) AS runs, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'success' WHEN count(*) FILTER (WHERE event_type = 'error') < count(*) THEN 'partial' ELSE 'failed' END AS outcome FROM events GROUP BY 1")
