@@ -133,9 +133,65 @@ def opportunity_cost(side: Column, unfilled: Column, decision: Column, now: Colu
     return F.when(price_deviation(decision, now).isNotNull() & (unfilled > 0), sign * (now - decision) * unfilled)
 
 
-def dividend_tax_rate(acquired: Column, sold: Column) -> Column:
-    """20 % up to a month, 10 % up to a year, none beyond."""
-    return F.when(sold <= F.add_months(acquired, 1), 0.2).when(sold <= F.add_months(acquired, 12), 0.1).otherwise(0.0)
+#: Taxes on dividends by holding period: first day of the rule, its name, rates up to 30 days, up to 365 days and beyond. Fixed values.
+DIVIDEND_TAX = [
+    ("2013-01-01", "CN_LISTED_DIVIDEND_TAX_2013", 0.20, 0.10, 0.05),
+    ("2015-09-08", "CN_LISTED_DIVIDEND_TAX_2015", 0.20, 0.10, 0.0),
+]
+
+
+def dividend_tax(acquired: Column, sold: Column, entitled: Column, shares: Column, cash: Column, withheld: Column) -> Column:
+    """struct(days, rate, rule, tax) of a lot's shares that are sold: the rule is the one of the entitlement's day, the tax is not below zero after what was withheld
+    at payment. Null before the first rule and where the sale lies before the purchase."""
+    days = F.datediff(sold, acquired)
+    rate, rule = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for first, name, month, year, beyond in DIVIDEND_TAX:
+        since = entitled >= F.lit(first).cast("date")
+        rate = F.when(since, F.when(days <= 30, month).when(days <= 365, year).otherwise(beyond)).otherwise(rate)
+        rule = F.when(since, name).otherwise(rule)
+    tax = F.greatest(shares * cash * rate - withheld, F.lit(0.0))
+    return F.when((days >= 0) & rule.isNotNull(), F.struct(days.alias("days"), rate.alias("rate"), rule.alias("rule"), tax.alias("tax")))
+
+
+def convert_shares(raw: Column, compensation: Column, increment: float = 1.0) -> Column:
+    """struct(registered, fraction, cash, restricted): whole increments are registered, the rest is paid out where a compensation is known and restricted where not."""
+    registered = F.floor(raw / increment + 1e-12) * increment
+    left = F.greatest(raw - registered, F.lit(0.0))
+    paid = compensation.isNotNull()
+    return F.struct(
+        registered.alias("registered"), left.alias("fraction"), F.when(paid, left * F.greatest(compensation, F.lit(0.0))).otherwise(0.0).alias("cash"), F.when(paid, 0.0).otherwise(left).alias("restricted")
+    )
+
+
+def terminal_payout(kind: Column, status: Column, price: Column, restricted: Column) -> Column:
+    """struct(action, cash, restricted, review) of a security that ends, a share: only an official cash price is paid out; a swap waits for its ratio, everything else
+    stays as a restricted asset."""
+    k = F.lower(F.trim(F.coalesce(kind, F.lit("unknown"))))
+    paid = F.coalesce(k.isin("cash_liquidation", "cash_acquisition", "cash_option") & status.isin("official", "verified") & (price >= 0), F.lit(False))
+    action = F.when(paid, "cash_settlement").when(k.isin("stock_swap", "merger"), "await_stock_conversion").otherwise("restrict_asset")
+    return F.struct(action.alias("action"), F.when(paid, price).otherwise(0.0).alias("cash"), F.when(paid, 0.0).otherwise(F.greatest(restricted, F.lit(0.0))).alias("restricted"), (~paid).alias("review"))
+
+
+def classify_news(title: Column, terms: dict[str, list[str]], events: list[tuple[str, list[str]]], calm: tuple[str, list[str]]) -> Column:
+    """struct(event_type, direction, impact, impact_score, horizon_days) of a title, in small letters, by keywords.
+
+    ``terms`` has positive and negative words, whose counts decide the direction, strong ones of both kinds (attack, relief), any of which counts as two
+    more, and words of high risk. ``events`` are types with their words, of which the first that is met counts. ``calm`` names a type and words that make
+    it neutral and of low impact.
+    """
+    t = F.lower(F.coalesce(title, F.lit("")))
+    count = lambda words: sum((t.contains(w.lower()).cast("int") for w in words), F.lit(0))
+    some = lambda words: count(words) > 0
+    up = count(terms["positive"]) + 2 * some(terms["relief"]).cast("int")
+    down = count(terms["negative"]) + 2 * some(terms["attack"]).cast("int")
+    kind = first_keyword(t, [(k, [w.lower() for w in words]) for k, words in events], "other")
+    quiet, risk = (kind == calm[0]) & some(calm[1]), some(terms["risk"])
+    way = F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
+    level = lambda high, medium, low, calmed: F.when(quiet, calmed).when(risk, high).when(way != "neutral", medium).otherwise(low)
+    days = F.when(risk, 30).when(way != "neutral", 14).otherwise(7)
+    return F.struct(
+        kind.alias("event_type"), F.when(quiet, "neutral").otherwise(way).alias("direction"), level("high", "medium", "low", "low").alias("impact"), level(80.0, 45.0, 20.0, 25.0).alias("impact_score"), days.alias("horizon_days")
+    )
 
 
 def advice(score: Column, news: Column, held: Column) -> tuple[Column, Column]:

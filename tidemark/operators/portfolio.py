@@ -83,6 +83,62 @@ def name_periods(df: DataFrame) -> DataFrame:
     return df.withColumn("end_date", F.date_sub(F.lead("start_date").over(w), 1)).withColumn("st", F.col("name").rlike("^\\*?ST"))
 
 
+def name_segments(names: DataFrame, text: str) -> DataFrame:
+    """Former names in one text, oldest first (``A->B``, ``A/B`` or with commas, notes in brackets cut off), a row each: position from 0, name, st. A name that
+    follows itself is told once."""
+    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "->|\u2192|/|\uff0c|,"), lambda x: F.trim(F.regexp_replace(x, "[(\uff08].*$", "")))
+    some = F.filter(parts, lambda x: x != "")
+    kept = F.filter(some, lambda x, i: (i == 0) | (x != F.get(some, i - 1)))
+    rest = [c for c in names.columns if c != text]
+    return names.select(*rest, F.posexplode(kept).alias("position", "name")).withColumn("st", F.col("name").rlike("^\\*?ST"))
+
+
+def first_industry(rows: DataFrame) -> DataFrame:
+    """Level-1 industry of each code from snapshot rows (ts_code, name, l1_code, l1_name, in_date): the latest row with a name of the industry; the code is what stands
+    before the point, filled with zeros up to six."""
+    code = F.lpad(F.split("ts_code", "[.]")[0], 6, "0")
+    some = rows.where(F.trim(F.coalesce("l1_name", F.lit(""))) != "")
+    x = some.select(code.alias("code"), F.nullif(F.trim("name"), F.lit("")).alias("name"), F.nullif(F.trim("l1_code"), F.lit("")).alias("industry_code"), F.trim("l1_name").alias("industry"), "in_date")
+    return newest(x, ["code"], [F.desc("in_date"), F.asc("industry")]).drop("in_date")
+
+
+def exposure_signals(positions: DataFrame, holdings: DataFrame, industries: DataFrame) -> DataFrame:
+    """Of each account: stocks that it holds through its funds (5 % and more, risk from 10 %), stocks that two or more of its funds hold (2 % and more together), and
+    industries (20 % and more, risk from 35 %).
+
+    Positions (account, fund, value), holdings (fund, item, weight), industries (fund, industry, weight): account, kind, subject, level, exposure, funds.
+    """
+    p = positions.groupBy("account", "fund").agg(F.sum("value").alias("value"))
+    total = p.groupBy("account").agg(F.sum("value").alias("total")).where("total > 0")
+    w = p.join(total, "account").select("account", "fund", (F.col("value") / F.col("total")).alias("w"))
+
+    def through(table: DataFrame, item: str) -> DataFrame:
+        each = table.groupBy("fund", F.col(item).cast("string").alias("subject")).agg(F.sum("weight").alias("weight"))
+        return w.join(each, "fund").groupBy("account", "subject").agg(F.sum(F.col("w") * F.col("weight")).alias("exposure"), F.count(F.lit(1)).alias("funds"))
+
+    e = F.col("exposure")
+    level = lambda risk: F.when(e >= risk, "risk").otherwise("warning")
+    direct = F.when(e >= 0.05, F.struct(F.lit("stock_exposure").alias("kind"), level(0.10).alias("level")))
+    shared = F.when((F.col("funds") >= 2) & (e >= 0.02), F.struct(F.lit("overlap").alias("kind"), F.lit("warning").alias("level")))
+    stocks = through(holdings, "item").select("account", "subject", "exposure", "funds", F.explode(F.array_compact(F.array(direct, shared))).alias("s"))
+    groups = through(industries, "industry").where(e >= 0.2).select("account", "subject", "exposure", "funds", F.struct(F.lit("industry").alias("kind"), level(0.35).alias("level")).alias("s"))
+    return stocks.unionByName(groups).select("account", "s.kind", "subject", "s.level", "exposure", "funds")
+
+
+def index_signals(quotes: DataFrame, weights: DataFrame, least: int = 21) -> DataFrame:
+    """Of each index (code, market, trade_date, close) with ``least`` days: its move over 20 and 60 days, its deepest fall, the portfolio's weight of the market
+    (market, weight), and a level: risk or warning after a fall of 5 % (risk: of 10 % with a weight of 0.3 or more), info after a rise of 5 %."""
+    w = Window.partitionBy("code").orderBy("trade_date")
+    back = lambda n: F.col("close") / F.lag("close", n).over(w) - 1
+    x = quotes.where("close > 0").withColumns({"m20": back(20), "m60": back(60), "dd": F.col("close") / F.max("close").over(w) - 1})
+    g = x.groupBy("code", "market").agg(F.count(F.lit(1)).alias("days"), F.max("trade_date").alias("last"), F.max_by("m20", "trade_date").alias("return_20d"), F.max_by("m60", "trade_date").alias("return_60d"), F.min("dd").alias("max_drawdown"))
+    share = weights.groupBy("market").agg(F.sum("weight").alias("exposure"))
+    j = g.where(F.col("days") >= least).join(share, "market", "left").withColumn("exposure", F.coalesce("exposure", F.lit(0.0)))
+    m = F.col("return_20d")
+    level = F.when((m <= -0.10) & (F.col("exposure") >= 0.3), "risk").when(m <= -0.05, "warning").when(m >= 0.05, "info")
+    return j.withColumn("level", level)
+
+
 def trailing_dividend(events: DataFrame, price: DataFrame, at: str, days: int = 365) -> DataFrame:
     """Cash of the newest revisions with an ex day in the window over the price; an uncovered source gives null, not 0. (code, ex_date, revision, available_at, cash)."""
     known = events.where((F.col("available_at") <= at) & (F.col("ex_date") <= at) & (F.col("ex_date") > F.date_sub(F.lit(at).cast("date"), days)))

@@ -112,6 +112,31 @@ def health(df: DataFrame, by: list[str], value: str, expected: Column, coverage:
     return all_reasons(g, rules).select(*by, "coverage", "unique_values", "low", F.col("q")[0].alias("q01"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q99"), "high", F.array_join("reasons", ",").alias("reasons"), (~F.col("passed")).alias("blocked"))
 
 
+def statement_checks(df: DataFrame, balance: float = 0.01, roll: float = 0.02) -> DataFrame:
+    """Statements with balance_error, cash_error, errors, warnings and usable.
+
+    Assets have to equal liab_equity, or liabilities and equity where that is missing, to ``balance``; cash at the start and its change the cash at the end to
+    ``roll``, both in parts of the first side (of one, if it is smaller). Missing balance fields are an error, missing cash fields a warning.
+    """
+    apart = lambda a, b: F.abs(a - b) / F.greatest(F.abs(a), F.lit(1.0))
+    other = F.coalesce(F.col("liab_equity"), F.col("liabilities") + F.col("equity"))
+    x = df.withColumns({"balance_error": apart(F.col("assets"), other), "cash_error": apart(F.col("begin_cash") + F.col("cash_change"), F.col("end_cash"))})
+    errors = F.array_compact(F.array(F.when(F.col("balance_error").isNull(), "balance fields missing").when(F.col("balance_error") > balance, "balance"), F.when(F.col("cash_error") > roll, "cash roll-forward")))
+    warnings = F.array_compact(F.array(F.when(F.col("cash_error").isNull(), "cash fields missing")))
+    return x.withColumns({"errors": errors, "warnings": warnings, "usable": F.size(errors) == 0})
+
+
+def ledger_invariants(orders: DataFrame, fills: DataFrame, days: DataFrame, most: float = 0.01) -> DataFrame:
+    """Counts by kind: fills (order_id, quantity) without an order (order_id, quantity), orders filled beyond their quantity, and days whose conservation_error is above
+    ``most`` or below its negative."""
+    one = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    filled = fills.groupBy("order_id").agg(F.sum("quantity").alias("filled"), F.count(F.lit(1)).alias("fills"))
+    j = orders.select("order_id", "quantity").join(filled, "order_id", "full")
+    both = j.agg(F.coalesce(F.sum(F.when(F.col("quantity").isNull(), F.col("fills"))), F.lit(0)).alias("orphan_fills"), F.count_if(F.col("filled") > F.col("quantity")).alias("overfilled_orders"))
+    kinds = both.unpivot([], ["orphan_fills", "overfilled_orders"], "kind", "n")
+    return kinds.unionByName(one(days.where(F.abs("conservation_error") > most), "conservation_breaks"))
+
+
 def lookthrough(positions: DataFrame, holdings: DataFrame) -> DataFrame:
     """Value of each underlying item: position value times holding weight; number of funds. (fund, value) x (fund, item, weight)."""
     j = positions.join(holdings, "fund").withColumn("exposure", F.col("value") * F.col("weight"))

@@ -154,11 +154,29 @@ def _(spark, d):
     return L.dedupe_latest(x, ["o_custkey", "year"], [F.desc("o_orderkey")]).select(F.col("o_custkey").alias("code"), "year", F.col("o_orderkey").alias("last_no"))
 
 
-@q("ingest_market_close", "SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN abs(l_extendedprice - l_quantity * 1000) <= abs(l_extendedprice - 100 * l_quantity * 1000) THEN 'share' ELSE 'lot' END AS unit FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_extendedprice > 0")
+MARKET_CLOSE = f"""{BARS}, mc AS (SELECT code, trade_date, trade_date + CAST(CASE WHEN (code + day(trade_date)) % 19 = 0 THEN 1 ELSE 0 END AS INTEGER) AS quote_date, CASE WHEN (code + day(trade_date)) % 23 <> 0 THEN close END AS close, CASE WHEN code % 3 = 0 THEN volume / 100 ELSE volume END AS volume,
+ CASE WHEN code % 29 <> 5 THEN amount END AS amount FROM bars WHERE code IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 7)), ms AS (SELECT *, CASE WHEN quote_date <> trade_date THEN 'other day' WHEN coalesce(close, 0) <= 0 THEN 'no price' END AS reason, CASE WHEN volume > 0 AND amount > 0 AND abs(amount - volume * close) <= abs(amount - volume * 100 * close) THEN 1 ELSE 100 END AS scale FROM mc)"""
+
+
+def closing_quotes(spark, d):
+    """Each bar as the quote of its day; a third in lots, some of the day after, some without a price or an amount."""
+    c, day = F.col("code"), F.dayofmonth("trade_date")
+    late = F.date_add("trade_date", F.when((c + day) % 19 == 0, 1).otherwise(0))
+    volume = F.when(c % 3 == 0, F.col("volume") / 100).otherwise(F.col("volume"))
+    x = bars(spark, d).select("code", "trade_date", late.alias("quote_date"), F.when((c + day) % 23 != 0, F.col("close")).alias("close"), volume.alias("volume"), F.when(c % 29 != 5, F.col("amount")).alias("amount"))
+    return L.market_close(x, table(spark, d, "supplier").where("s_suppkey % 10 <> 7").select(F.col("s_suppkey").alias("code")), "trade_date", bars(spark, d).select("code", "trade_date", "close", "volume", "amount"))
+
+
+@q("ingest_market_close", f"WITH {MARKET_CLOSE} SELECT code, trade_date, round(close, 6) AS close, round(volume * scale, 4) AS volume, round(amount, 4) AS amount, CASE scale WHEN 1 THEN 'share' ELSE 'lot' END AS unit FROM ms WHERE reason IS NULL UNION ALL SELECT code, trade_date, round(close, 6), round(volume, 4), round(amount, 4), NULL FROM bars b WHERE NOT EXISTS (SELECT 1 FROM ms WHERE ms.code = b.code AND ms.trade_date = b.trade_date AND reason IS NULL)")
+def _(spark, d):
+    """The bars with the closing quotes of their days in place of their rows."""
+    x, _ = closing_quotes(spark, d)
+    return x.select("code", "trade_date", F.round("close", 6).alias("close"), F.round("volume", 4).alias("volume"), F.round("amount", 4).alias("amount"), "unit")
+
+
+@q("ingest_market_close_rejects", f"WITH {MARKET_CLOSE} SELECT code, trade_date, reason FROM ms WHERE reason IS NOT NULL")
 def _(spark, d):
-    x = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").where("l_extendedprice > 0")
-    a, b = F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1000), F.abs(F.col("l_extendedprice") - 100 * F.col("l_quantity") * 1000)
-    return x.select("l_orderkey", "l_linenumber", "l_quantity", F.when(a <= b, "share").otherwise("lot").alias("unit"))
+    return closing_quotes(spark, d)[1]
 
 
 @q("upsert_source_precedence", f"WITH {REVISIONS}, k AS (SELECT *, row_number() OVER (PARTITION BY code, effective_date ORDER BY (source = 'lines') DESC, ingest_no) AS n FROM revisions) SELECT code, effective_date, source, value FROM k WHERE n = 1")
@@ -198,11 +216,15 @@ def _(spark, d):
     return L.overlay(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), c, "o_orderkey", "o_totalprice")
 
 
-@q("overlay_exec_limits", f"WITH {BARS} SELECT code, trade_date, CASE WHEN extract(day FROM trade_date) <= 10 THEN 'raw' ELSE 'derived' END AS origin FROM bars")
+@q("overlay_exec_limits", f"""WITH {BARS}, x AS (SELECT code, trade_date, lag(close) OVER (PARTITION BY code ORDER BY trade_date) AS prev FROM bars), s AS (SELECT code, CAST(trade_date + INTERVAL 1 DAY AS DATE) AS trade_date FROM bars WHERE (code + day(trade_date)) % 37 = 0 AND code % 2 = 0),
+ l AS (SELECT code, trade_date, CASE WHEN day(trade_date) <= 10 THEN round(prev * 1.05, 6) ELSE round(prev * 1.1, 6) END AS up_limit, CASE WHEN day(trade_date) <= 10 THEN round(prev * 0.95, 6) ELSE round(prev * 0.9, 6) END AS down_limit, CASE WHEN day(trade_date) <= 10 THEN 'raw' ELSE 'derived' END AS origin FROM x WHERE prev IS NOT NULL)
+ SELECT coalesce(l.code, s.code) AS code, coalesce(l.trade_date, s.trade_date) AS trade_date, up_limit, down_limit, origin, s.code IS NOT NULL AS suspended FROM l FULL JOIN s ON l.code = s.code AND l.trade_date = s.trade_date""")
 def _(spark, d):
-    b = bars(spark, d).select("code", "trade_date")
-    raw, derived = b.where(F.dayofmonth("trade_date") <= 10).withColumn("origin", F.lit("raw")), b.withColumn("origin", F.lit("derived"))
-    return L.merge_by_priority([raw, derived], ["code", "trade_date"])
+    """Raw limits of the first ten days of a month over derived ones of all days, and suspensions, some on days without limits."""
+    x = bars(spark, d).select("code", "trade_date", F.lag("close").over(S.over()).alias("prev")).where("prev is not null")
+    band = lambda df, r: df.select("code", "trade_date", F.round(F.col("prev") * (1 + r), 6).alias("up_limit"), F.round(F.col("prev") * (1 - r), 6).alias("down_limit"))
+    off = bars(spark, d).where((F.col("code") + F.dayofmonth("trade_date")) % 37 == 0).select("code", F.date_add("trade_date", 1).alias("trade_date"), F.when(F.col("code") % 2 == 0, "s").otherwise("R").alias("kind"))
+    return L.execution_limits(band(x.where(F.dayofmonth("trade_date") <= 10), 0.05), band(x, 0.1), off)
 
 
 @q("ingest_scd_industry", "WITH h AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), t AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) SELECT t.k AS code, t.s AS status FROM t LEFT JOIN h USING (k) WHERE h.s IS NULL OR h.s <> t.s")
@@ -213,14 +235,34 @@ def _(spark, d):
     return L.scd_append(hist, today, "code", ["status"], "no").select("code", "status")
 
 
-@q("src_csv_membership", "SELECT p_brand AS idx, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, CASE WHEN p_size % 2 = 0 THEN 'add' ELSE 'remove' END AS event_type, p_size % 10 = 9 AS bad FROM part")
-def _(spark, d):
+def membership_files(spark, d):
+    """A file for 500 parts; some lines have no known type, no day, or a time that is not one, and some events come twice, or are known."""
     root = scratch(spark, "csv")
-    p = table(spark, d, "part")
-    event = F.when(F.col("p_size") % 2 == 0, " ADD ").otherwise("Remove")
-    p.select("p_brand", "p_partkey", event.alias("e"), F.when(F.col("p_size") % 10 != 9, "2020-01-01").otherwise("x").alias("d")).write.csv(root)
-    x = spark.read.schema("idx string, code string, event_type string, day string").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(root)
-    return x.select("idx", F.lpad("code", 6, "0").alias("code"), F.lower(F.trim("event_type")).alias("event_type"), L.any_date("day").isNull().alias("bad"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    x = table(spark, d, "part").select(
+        F.floor(k / 500).alias("file"), F.col("p_brand").alias("index_code"), text(k - F.when(k % 100 == 1, 1).otherwise(0)).alias("stock_code"), F.when(size % 10 == 9, "hold").when(k % 100 < 2, "add").when(size % 2 == 0, " ADD ").otherwise("Remove").alias("event_type"),
+        F.when((size % 10 == 8) & (k % 100 > 1), "soon").otherwise("2020-01-01").alias("effective_date"), F.when(size % 10 == 7, "later").when(size % 10 == 6, "2020-01-02 09:00:00").alias("available_at"), k.alias("k"),
+    )
+    x = x.withColumn("index_code", F.when(F.col("k") % 100 < 2, "twice").otherwise(F.col("index_code")))
+    x.repartition("file").sortWithinPartitions("file", "k").drop("k").write.partitionBy("file").option("header", True).csv(root)
+    known = x.where("k % 50 = 40").select("index_code", F.lpad("stock_code", 6, "0").alias("stock_code"), F.lower(F.trim("event_type")).alias("event_type"), F.lit("2020-01-01").cast("date").alias("effective_date"))
+    return L.membership_csv(spark, root, known)
+
+
+CSV = """pc AS (SELECT p_partkey AS k, 1 + row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS line, p_partkey // 500 AS file, CASE WHEN p_partkey % 100 < 2 THEN 'twice' ELSE p_brand END AS index_code, lpad(CAST(p_partkey - (p_partkey % 100 = 1)::INT AS VARCHAR), 6, '0') AS stock_code,
+  CASE WHEN p_size % 10 = 9 THEN 'hold' WHEN p_partkey % 100 < 2 THEN 'add' WHEN p_size % 2 = 0 THEN 'add' ELSE 'remove' END AS event_type, NOT (p_size % 10 = 8 AND p_partkey % 100 > 1) AS dated, CASE WHEN p_size % 10 = 6 THEN TIMESTAMP '2020-01-02 09:00:00' END AS available_at, p_size % 10 = 7 AS badtime FROM part)"""
+
+
+@q("src_csv_membership", f"WITH {CSV}, g AS (SELECT *, row_number() OVER (PARTITION BY index_code, stock_code, event_type ORDER BY file, line) AS n FROM pc WHERE event_type <> 'hold' AND dated) SELECT index_code, stock_code, event_type, DATE '2020-01-01' AS effective_date, available_at FROM g WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM pc WHERE pc.k % 50 = 40 AND pc.index_code = g.index_code AND pc.stock_code = g.stock_code AND pc.event_type = g.event_type)")
+def _(spark, d):
+    return membership_files(spark, d)[0].select("index_code", "stock_code", "event_type", "effective_date", "available_at")
+
+
+@q("src_csv_membership_problems", f"WITH {CSV} SELECT file, line, CASE WHEN event_type = 'hold' OR NOT dated THEN 'not valid' ELSE 'time not readable' END AS reason FROM pc WHERE event_type = 'hold' OR NOT dated OR badtime")
+def _(spark, d):
+    x = membership_files(spark, d)[1]
+    return x.select(F.regexp_extract("file", "file=([0-9]+)", 1).cast("long").alias("file"), F.col("line").cast("long").alias("line"), "reason")
 
 
 def order_files(spark, d):
@@ -281,12 +323,25 @@ def _(spark, d):
     return news(spark, d).select("news_id", X.normalize_title(F.col("title")).alias("title"))
 
 
-RULE_WORDS = [("legal", ["license", "rights"]), ("secret", ["password", "token"]), ("abuse", ["idiot", "moron"])]
+#: Words of the corpus in the places of the rules' terms.
+TERMS = {"positive": ["great", "thanks", "good", "license"], "negative": ["error", "stupid", "bad", "failed"], "attack": ["attack"], "relief": ["resolved"], "risk": ["password", "secret", "idiot"]}
+EVENT_WORDS = [("operation", ["license", "rights"]), ("security", ["password", "token", "secret"]), ("conduct", ["idiot", "moron", "stupid"]), ("market", ["price", "market", "data"])]
+CALM = ("operation", ["rights"])
+MARKET_WORDS = [("code", ["def ", "return", "import"]), ("law", ["license", "rights"]), ("talk", ["you", "thanks"])]
+
 
+def _words(words) -> str:
+    return " + ".join(f"contains(t, '{w}')::INT" for w in words)
 
-@q("fn_classify_keywords", "SELECT doc_id, CASE WHEN contains(text, 'license') OR contains(text, 'rights') THEN 'legal' WHEN contains(text, 'password') OR contains(text, 'token') THEN 'secret' WHEN contains(text, 'idiot') OR contains(text, 'moron') THEN 'abuse' ELSE 'other' END AS label FROM documents")
+
+@q("fn_classify_keywords", f"""WITH x AS (SELECT doc_id, text, lower(coalesce(text, '')) AS t FROM documents), y AS (SELECT *, {_words(TERMS['positive'])} + 2 * contains(t, 'resolved')::INT AS up, {_words(TERMS['negative'])} + 2 * contains(t, 'attack')::INT AS down, {_words(TERMS['risk'])} > 0 AS risk,
+  CASE {' '.join(f"WHEN {_words(w)} > 0 THEN '{k}'" for k, w in EVENT_WORDS)} ELSE 'other' END AS event_type FROM x), z AS (SELECT *, event_type = 'operation' AND contains(t, 'rights') AS quiet, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS way FROM y)
+ SELECT doc_id, CASE {' '.join(f"WHEN {' OR '.join(f"contains(text, '{w}')" for w in ws)} THEN '{k}'" for k, ws in MARKET_WORDS)} ELSE 'home' END AS market, event_type, CASE WHEN quiet THEN 'neutral' ELSE way END AS direction, CASE WHEN quiet THEN 'low' WHEN risk THEN 'high' WHEN way <> 'neutral' THEN 'medium' ELSE 'low' END AS impact,
+  CASE WHEN quiet THEN 25.0 WHEN risk THEN 80.0 WHEN way <> 'neutral' THEN 45.0 ELSE 20.0 END AS impact_score, CASE WHEN risk THEN 30 WHEN way <> 'neutral' THEN 14 ELSE 7 END AS horizon_days FROM z""")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.first_keyword(F.col("text"), RULE_WORDS, "other").alias("label"))
+    x = table(spark, d, "documents")
+    news = X.classify_news(F.col("text"), TERMS, EVENT_WORDS, CALM)
+    return x.select("doc_id", X.first_keyword(F.col("text"), MARKET_WORDS, "home").alias("market"), news.alias("n")).select("doc_id", "market", "n.*")
 
 
 @q("fn_family_share", "SELECT p_partkey, trim(regexp_replace(n, '\\s*[A-Z]$', '')) AS family, nullif(regexp_extract(n, '\\s*([A-Z])$', 1), '') AS share FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || ' A' ELSE p_name END AS n FROM part)")
@@ -371,10 +426,36 @@ def _(spark, d):
     )
 
 
-@q("fn_terminal_dividend_tax", "SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) THEN 0.2 WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) THEN 0.1 ELSE 0.0 END AS rate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+KINDS = ["cash_liquidation", "merger", "transfer", "bankruptcy", "cash_option", None]
+
+
+@q("fn_terminal_dividend_tax", f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity, CAST(o_orderdate AS DATE) AS acquired, CAST(l_shipdate AS DATE) AS sold, CAST(o_orderdate AS DATE) + 6574 - CASE WHEN l_orderkey % 50 = 0 THEN 3650 ELSE 0 END AS entitled, l_tax AS cash, CASE WHEN l_linenumber = 3 THEN 0.5 ELSE 0.0 END AS withheld, l_quantity * (1 + l_discount) AS raw,
+  CASE WHEN l_linenumber <> 2 THEN l_tax END AS comp, CASE l_orderkey % 6 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS) if k)} END AS kind, CASE WHEN l_orderkey % 4 = 1 THEN 'draft' ELSE 'official' END AS status, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ y AS (SELECT *, sold - acquired AS d, CASE WHEN entitled >= DATE '2015-09-08' THEN 'CN_LISTED_DIVIDEND_TAX_2015' WHEN entitled >= DATE '2013-01-01' THEN 'CN_LISTED_DIVIDEND_TAX_2013' END AS r, floor(raw + 1e-12) AS reg, coalesce(kind IN ('cash_liquidation', 'cash_option') AND status = 'official' AND l_extendedprice >= 0, false) AS paid FROM x),
+ z AS (SELECT *, CASE WHEN d <= 30 THEN 0.2 WHEN d <= 365 THEN 0.1 WHEN r LIKE '%2013' THEN 0.05 ELSE 0.0 END AS rt FROM y)
+ SELECT l_orderkey, l_linenumber, round(raw, 4) AS raw, CASE WHEN d >= 0 AND r IS NOT NULL THEN rt END AS rate, CASE WHEN d >= 0 THEN r END AS rule, round(CASE WHEN d >= 0 AND r IS NOT NULL THEN greatest(l_quantity * cash * rt - withheld, 0) END, 6) AS tax,
+  reg AS registered, round(greatest(raw - reg, 0), 6) AS fraction, round(CASE WHEN comp IS NOT NULL THEN greatest(raw - reg, 0) * comp ELSE 0 END, 6) AS paid_out, CASE WHEN paid THEN 'cash_settlement' WHEN kind = 'merger' THEN 'await_stock_conversion' ELSE 'restrict_asset' END AS action,
+  round(CASE WHEN paid THEN l_extendedprice ELSE 0 END, 4) AS cash_per_share, round(CASE WHEN paid THEN 0 ELSE l_extendedprice / 2 END, 4) AS restricted_per_share FROM z""")
 def _(spark, d):
+    """Each line as a lot bought with its order and sold when shipped: tax on its dividend, the shares that a swap registers, and what its end pays."""
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select("l_orderkey", "l_linenumber", "l_shipdate", X.dividend_tax_rate(F.to_date("o_orderdate"), F.to_date("l_shipdate")).alias("rate"))
+    third = F.col("l_orderkey") % 6
+    kind = F.lit(None).cast("string")
+    for i, k in enumerate(KINDS):
+        kind = F.when(third == i, F.lit(k).cast("string")).otherwise(kind)
+    x = j.withColumns({
+        "acquired": F.to_date("o_orderdate"), "sold": F.to_date("l_shipdate"), "raw": F.col("l_quantity") * (1 + F.col("l_discount")), "kind": kind, "status": F.when(F.col("l_orderkey") % 4 == 1, "draft").otherwise("official"),
+        "entitled": F.date_add(F.to_date("o_orderdate"), F.when(F.col("l_orderkey") % 50 == 0, 2924).otherwise(6574)), "withheld": F.when(F.col("l_linenumber") == 3, 0.5).otherwise(0.0),
+    })
+    c = {k: F.col(k) for k in x.columns}
+    t = X.dividend_tax(c["acquired"], c["sold"], c["entitled"], c["l_quantity"], c["l_tax"], c["withheld"])
+    s = X.convert_shares(c["raw"], F.when(c["l_linenumber"] != 2, c["l_tax"]))
+    e = X.terminal_payout(c["kind"], c["status"], c["l_extendedprice"], c["l_extendedprice"] / 2)
+    x = x.select("l_orderkey", "l_linenumber", "raw", t.alias("t"), s.alias("s"), e.alias("e"))
+    return x.select(
+        "l_orderkey", "l_linenumber", F.round("raw", 4).alias("raw"), "t.rate", "t.rule", F.round("t.tax", 6).alias("tax"), F.col("s.registered").cast("double").alias("registered"), F.round("s.fraction", 6).alias("fraction"), F.round("s.cash", 6).alias("paid_out"),
+        "e.action", F.round("e.cash", 4).alias("cash_per_share"), F.round("e.restricted", 4).alias("restricted_per_share"),
+    )
 
 
 @q("fn_combine_advice", "SELECT event_id, s AS score, CASE WHEN s >= 80 THEN 'add' WHEN s >= 60 THEN 'hold' WHEN s >= 40 THEN 'watch' WHEN user_id % 2 = 0 AND s < 20 THEN 'exit' ELSE 'reduce' END AS action FROM (SELECT event_id, user_id, CAST(least(100, greatest(0, event_id % 101 + user_id % 21 - 10)) AS DOUBLE) AS s FROM events)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import rules as X
 from tidemark.operators import asof as A
 from tidemark.operators import evidence as E
 from tidemark.operators import models as M
@@ -64,13 +65,22 @@ def _(spark, d):
     return P.newest(u, ["code", "period"], [F.asc("prio"), F.desc("no")])
 
 
-@q("ingest_delim_quotes", "SELECT o_orderkey AS code, o_totalprice * 10000 AS amount FROM orders WHERE o_orderkey % 5 <> 0")
+@q("ingest_delim_quotes", """SELECT o_orderkey // 80 AS batch, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS code, 'Q' || o_orderkey AS name, o_totalprice AS close, floor(o_totalprice) AS previous, o_custkey AS volume, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice * 10000, 0) END AS amount, CASE WHEN o_orderkey % 9 <> 0 THEN (o_custkey % 50) / 100 END AS turnover, o_orderdate AS observed_at
+ FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    line = F.concat(F.lit('="'), F.concat_ws("~", F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("o_totalprice").cast("string"))), F.lit('"'))
-    f = F.split(F.regexp_extract(line, '="([^"]*)"', 1), "~")
-    x = o.select(f.alias("f")).where("size(f) = 2").select(F.col("f")[0].try_cast("bigint").alias("code"), (F.col("f")[1].try_cast("double") * 10000).alias("amount"))
-    return x.where("amount is not null")
+    """Orders as a vendor's lines of 40 fields, 80 to an answer; some have too few fields, a bad time, or an empty number."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    given = {
+        1: F.concat(F.lit("Q"), text(k)), 2: F.lpad(text(k), 6, "0"), 3: text(price), 4: text(F.floor("o_totalprice")), 6: text(F.col("o_custkey")),
+        30: F.when(k % 11 == 0, "20240230").otherwise(F.date_format("o_orderdate", "yyyyMMddHHmmss")), 37: F.when(k % 7 != 0, text(price)).otherwise(" "), 38: F.when(k % 9 != 0, text(F.col("o_custkey") % 50)).otherwise(""),
+    }
+    fields = F.array(*[given.get(i, F.lit(str(i))) for i in range(40)])
+    line = F.concat(F.lit('v_q="'), F.array_join(F.when(k % 13 == 0, F.slice(fields, 1, 38)).otherwise(fields), "~"), F.lit('";'))
+    answers = o.groupBy(F.floor(k / 80).alias("batch")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    x = feeds.quote_lines(answers, "text")
+    return x.select("batch", "code", "name", "close", "previous", F.col("volume").cast("long").alias("volume"), F.round("amount", 0).alias("amount"), "turnover", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
 
 
 @q("ingest_feed_items", r"""WITH x AS (SELECT page_id, 's' || ((page_id // 10) % 7) AS source, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS summary FROM pages WHERE (page_id // 10) % 5 <> 4)
@@ -125,9 +135,23 @@ def _(spark, d):
     return P.map_columns(revisions(spark, d), {"code": F.col("code"), "period": F.col("effective_date"), "available_at": F.col("available_at"), "source": F.col("source")})
 
 
-@q("ingest_names_industries", "SELECT p_partkey AS code, CAST(u.i - 1 AS INTEGER) AS position, w[u.i] AS word, p_type LIKE 'PROMO%' AS st FROM (SELECT p_partkey, p_type, string_split(p_type, ' ') AS w FROM part), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) u")
+@q("ingest_names_industries", """WITH x AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, p_size, p_brand, p_type FROM part),
+ n AS (SELECT code, i.i AS position, CASE i.i WHEN 0 THEN a WHEN 1 THEN CASE WHEN p_size % 5 = 0 THEN '*ST' || b ELSE b END ELSE p_type END AS name FROM x, (VALUES (0), (1), (2)) i(i) WHERE i.i < 2 OR p_size % 3 <> 0)
+ SELECT n.code, CAST(position AS INTEGER) AS position, n.name, n.name LIKE '*ST%' OR n.name LIKE 'ST%' AS st, CASE WHEN p_size % 8 <> 0 THEN p_brand END AS industry FROM n JOIN x USING (code)""")
 def _(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.posexplode(F.split("p_type", " ")).alias("position", "word"), F.col("p_type").rlike("^PROMO").alias("st"))
+    """Names from texts of former names, with the level-1 industry from snapshot files that hold several rows of a code."""
+    root = L.scratch(spark, "snapshot")
+    p, size = table(spark, d, "part"), F.col("p_size")
+    code = F.lpad(F.col("p_partkey").cast("string"), 6, "0")
+    ts = F.concat(F.col("p_partkey").cast("string"), F.lit(".SZ"))
+    industry = lambda name, day: p.select(ts.alias("ts_code"), F.col("p_name").alias("name"), F.lit("L1").alias("l1_code"), name.alias("l1_name"), F.lit(day).cast("date").alias("in_date"), F.col("p_brand").alias("part"))
+    rows = industry(F.when(size % 8 != 0, F.lit("old")), "2019-01-01").unionByName(industry(F.when(size % 8 != 0, F.concat(F.lit(" "), F.col("p_brand"))).otherwise(" "), "2021-01-01"))
+    rows.repartition("part").write.partitionBy("part").parquet(root)
+    w = F.split("p_name", " ")
+    second = F.when(size % 5 == 0, F.concat(F.lit("*ST"), w[1])).otherwise(w[1])
+    text = F.concat(w[0], F.lit("(note)->"), second, F.when(size % 3 != 0, F.concat(F.lit("/ "), F.col("p_type"), F.lit(" (x)->"), F.col("p_type"))).otherwise("->"))
+    names = P.name_segments(p.select(code.alias("code"), text.alias("text")), "text")
+    return names.join(P.first_industry(spark.read.parquet(root)).select("code", "industry"), "code", "left").select("code", "position", "name", "st", "industry")
 
 
 STATEMENTS = "a AS (SELECT o_custkey AS code, extract(year FROM o_orderdate) AS year, count(*) AS n, max(CAST(o_orderdate AS DATE)) AS available_at FROM orders GROUP BY 1, 2), b AS (SELECT o_custkey AS code, extract(year FROM l_shipdate) AS year, count(*) AS lines, max(CAST(l_shipdate AS DATE)) AS available_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
@@ -279,12 +303,19 @@ def _(spark, d):
     return P.portfolio_returns(w, clipped(spark, d)).select("trade_date", F.round("ret", 8).alias("ret"))
 
 
-@q("agg_fund_exposure_signals", f"WITH {POSITIONS}, {MEMBERS}, e AS (SELECT account, industry, sum(value) AS v FROM positions JOIN members ON fund % 100 = code GROUP BY 1, 2), s AS (SELECT account, industry, v / sum(v) OVER (PARTITION BY account) AS share FROM e) SELECT account, industry, round(share, 6) AS share, 'concentration' AS signal FROM s WHERE share >= 0.2")
+HOLDINGS = "h AS (SELECT l_partkey AS fund, l_suppkey AS item, sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_partkey) AS weight FROM lineitem GROUP BY 1, 2)"
+
+
+@q("agg_fund_exposure_signals", f"""WITH {POSITIONS}, {MEMBERS}, {HOLDINGS}, w AS (SELECT account, fund, value / sum(value) OVER (PARTITION BY account) AS w FROM positions), s AS (SELECT account, CAST(item AS VARCHAR) AS subject, sum(w * weight) AS e, count(DISTINCT w.fund) AS funds FROM w JOIN h USING (fund) GROUP BY 1, 2),
+ i AS (SELECT account, market AS subject, sum(w * weight) AS e, count(DISTINCT w.fund) AS funds FROM w JOIN h USING (fund) JOIN members ON code = item GROUP BY 1, 2)
+ SELECT account, 'stock_exposure' AS kind, subject, CASE WHEN e >= 0.1 THEN 'risk' ELSE 'warning' END AS level, round(e, 6) AS exposure, funds FROM s WHERE e >= 0.05 UNION ALL SELECT account, 'overlap', subject, 'warning', round(e, 6), funds FROM s WHERE e >= 0.02 AND funds >= 2
+ UNION ALL SELECT account, 'industry', subject, CASE WHEN e >= 0.35 THEN 'risk' ELSE 'warning' END, round(e, 6), funds FROM i WHERE e >= 0.2""")
 def _(spark, d):
-    m = members(spark, d).select(F.col("code").alias("k"), "industry")
-    e = positions(spark, d).withColumn("k", F.col("fund") % 100).join(m, "k").groupBy("account", "industry").agg(F.sum("value").alias("v"))
-    s = e.withColumn("share", F.col("v") / F.sum("v").over(Window.partitionBy("account"))).where("share >= 0.2")
-    return s.select("account", "industry", *r6("share"), F.lit("concentration").alias("signal"))
+    """Stocks, stocks in several funds, and markets as industries, that an account holds much of through its funds."""
+    h = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("fund"), F.col("l_suppkey").alias("item")).agg(F.sum("l_quantity").alias("qty"))
+    h = L.written(h.select("fund", "item", (F.col("qty") / F.sum("qty").over(Window.partitionBy("fund"))).alias("weight")), "holdings")
+    industries = h.join(members(spark, d).select(F.col("code").alias("item"), F.col("market").alias("industry")), "item")
+    return P.exposure_signals(positions(spark, d), h, industries).select("account", "kind", "subject", "level", *r6("exposure"), "funds")
 
 
 @q("agg_forward_readiness", "SELECT avg(CASE WHEN quality IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.3 AS ready, source, round(avg(CASE WHEN quality IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
@@ -299,12 +330,17 @@ def _(spark, d):
     return positions(spark, d).agg(F.round(F.sum("cost"), 2).alias("cost"), F.round(F.sum(F.coalesce("value", "cost")), 2).alias("value"), F.count(F.lit(1)).alias("n")).select(F.lit("2001-10-31").cast("date").alias("snapshot_date"), "*")
 
 
-@q("agg_market_exposure", f"WITH {MEMBERS}, {BARS}, w AS (SELECT market, sum(cap) / (SELECT sum(cap) FROM members) AS weight FROM members GROUP BY 1), v AS (SELECT market, sum(volume) AS vol FROM bars JOIN members USING (code) GROUP BY 1) SELECT market, round(weight, 6) AS weight, vol, CASE WHEN weight > 0.25 THEN 'overweight' ELSE 'normal' END AS signal FROM w JOIN v USING (market)")
+@q("agg_market_exposure", f"""WITH {MEMBERS}, {BARS}, wt AS (SELECT market, sum(cap) / (SELECT sum(cap) FROM members) AS exposure FROM members GROUP BY 1), ix AS (SELECT industry AS code, market, trade_date, avg(close) AS close FROM bars JOIN members USING (code) GROUP BY 1, 2, 3),
+ x AS (SELECT *, close / lag(close, 20) OVER w - 1 AS m20, close / lag(close, 60) OVER w - 1 AS m60, close / max(close) OVER (PARTITION BY code ORDER BY trade_date) - 1 AS dd FROM ix WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
+ l AS (SELECT code, max(trade_date) AS last, count(*) AS days, min(dd) AS max_drawdown FROM x GROUP BY 1 HAVING count(*) >= 21)
+ SELECT l.code, market, last, days, round(m20, 6) AS return_20d, round(m60, 6) AS return_60d, round(l.max_drawdown, 6) AS max_drawdown, round(exposure, 6) AS exposure, CASE WHEN m20 <= -0.1 AND exposure >= 0.3 THEN 'risk' WHEN m20 <= -0.05 THEN 'warning' WHEN m20 >= 0.05 THEN 'info' END AS level
+ FROM l JOIN x ON x.code = l.code AND x.trade_date = l.last JOIN wt USING (market)""")
 def _(spark, d):
+    """Each nation's mean price as an index of its region, against the region's weight in the book of all members."""
     m = members(spark, d)
-    w = m.groupBy("market").agg(F.sum("cap").alias("c")).withColumn("weight", F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1))))
-    v = bars(spark, d).join(m.select("code", "market"), "code").groupBy("market").agg(F.sum("volume").alias("vol"))
-    return w.join(v, "market").select("market", *r6("weight"), "vol", F.when(F.col("weight") > 0.25, "overweight").otherwise("normal").alias("signal"))
+    weights = m.crossJoin(F.broadcast(m.agg(F.sum("cap").alias("all")))).select("market", (F.col("cap") / F.col("all")).alias("weight"))
+    quotes = bars(spark, d).join(m.select("code", "industry", "market"), "code").groupBy(F.col("industry").alias("code"), "market", "trade_date").agg(F.avg("close").alias("close"))
+    return P.index_signals(quotes, weights).select("code", "market", "last", "days", *r6("return_20d", "return_60d", "max_drawdown", "exposure"), "level")
 
 
 ATTEMPTS = "t AS (SELECT o_orderpriority AS trial, date_trunc('month', o_orderdate) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), cc AS (SELECT a.trial AS a, b.trial AS b, CASE WHEN count(*) >= 3 THEN corr(a.v, b.v) END AS c FROM t a JOIN t b USING (month) WHERE a.trial <= b.trial GROUP BY 1, 2), eff AS (SELECT sum((a = b)::INT) AS trials, sum((a = b)::INT) * sum((a = b)::INT) / sum(CASE WHEN a = b THEN 1.0 ELSE 2 * coalesce(c, 0) * coalesce(c, 0) END) AS effective FROM cc)"
@@ -417,11 +453,9 @@ def _(spark, d):
     return got.select("code", "n", *r6("active_mean", "ir", "active_t", "alpha", "alpha_se", "alpha_t", "active_low", "active_high", "alpha_low", "alpha_high"), F.transform("betas", lambda b: F.round(b, 6)).alias("betas"), "passed")
 
 
-@q("win_realized_tax", "SELECT o_custkey AS account, round(sum(CASE WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) THEN 0.2 WHEN CAST(l_shipdate AS DATE) <= CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) THEN 0.1 ELSE 0.0 END * l_quantity * 0.01), 6) AS tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+@q("win_realized_tax", "WITH x AS (SELECT o_custkey, l_quantity, CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT o_custkey AS account, round(sum(CASE WHEN d < 0 THEN NULL WHEN d <= 30 THEN 0.2 WHEN d <= 365 THEN 0.1 ELSE 0.0 END * l_quantity * 0.01), 6) AS tax FROM x GROUP BY 1")
 def _(spark, d):
-    """Tax on sold lots by holding period, lots from orders and sales from their lines."""
-    from tidemark.functions.rules import dividend_tax_rate
-
+    """Tax on sold lots by holding period under the rule of 2015, lots from orders and sales from their lines; a sale before its purchase has none."""
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    tax = dividend_tax_rate(day("o_orderdate"), day("l_shipdate")) * F.col("l_quantity") * 0.01
+    tax = X.dividend_tax(day("o_orderdate"), day("l_shipdate"), F.lit("2016-01-01").cast("date"), F.col("l_quantity"), F.lit(0.01), F.lit(0.0))["tax"]
     return j.groupBy(F.col("o_custkey").alias("account")).agg(F.round(F.sum(tax), 6).alias("tax"))

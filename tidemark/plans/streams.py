@@ -109,9 +109,33 @@ def _(spark, d):
     return x.select("event_type", F.col("limit").alias("allowed"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), (lag > F.col("limit")).alias("overdue"))
 
 
-@q("st_order_events", "SELECT user_id, arg_max(event_type, (event_type = 'purchase', event_id)) AS state, count(*) AS events FROM events GROUP BY 1")
+ORDER_KINDS = ["submitted", "acknowledged", "partially_filled", "cancel_requested", "cancel_rejected", "note", "fill_cancelled", "filled", "cancelled", "rejected"]
+ORDER_SQL = f"""oe AS (SELECT CAST(user_id AS VARCHAR) || '-' || (event_id // 1000) AS order_id, event_id AS sequence, CASE WHEN event_id % 4 <> 0 THEN event_id * 7919 % 100003 END AS broker, CASE WHEN event_id % 29 = 0 THEN 7 + event_id % 3 ELSE event_id % 7 END AS k FROM events),
+ os AS (SELECT order_id, sequence, coalesce(broker, sequence + 1000000000000) AS place, CASE WHEN k = 7 THEN 'filled' WHEN k = 8 THEN 'cancelled' WHEN k = 9 THEN 'rejected' WHEN k = 0 THEN 'submitted' WHEN k IN (1, 4, 6) THEN 'accepted' WHEN k = 2 THEN 'partially_filled' WHEN k = 3 THEN 'cancel_pending' END AS status, k >= 7 AS terminal FROM oe)"""
+
+
+def order_log(spark, d):
+    """Events of orders in the broker's numbering, which is out of order, or without a number of it."""
+    i = F.col("event_id")
+    k = F.when(i % 29 == 0, 7 + i % 3).otherwise(i % 7)
+    kinds = F.array(*[F.lit(x) for x in ORDER_KINDS])
+    order = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(i / 1000).cast("string"))
+    return table(spark, d, "events").select(order.alias("order_id"), i.alias("sequence"), F.when(i % 4 != 0, i * 7919 % 100003).alias("broker_sequence"), F.get(kinds, k.cast("int")).alias("event_type"), F.concat(F.lit("x"), i.cast("string")).alias("external_id"))
+
+
+@q("st_order_events", f"WITH {ORDER_SQL} SELECT o.order_id, coalesce(l.status, 'created') AS status, o.events FROM (SELECT order_id, count(*) AS events FROM os GROUP BY 1) o LEFT JOIN (SELECT order_id, status FROM os WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY terminal DESC, place DESC, sequence DESC) = 1) l USING (order_id)")
+def _(spark, d):
+    """The log comes in two turns, the second of which brings all of it again."""
+    B.keyed_state(spark)
+    x = order_log(spark, d)
+    folder, root = L.scratch(spark, "feed"), shared(spark)
+    run = lambda: J.run_to_table(B.order_stream(J.stream(spark, folder), ["order_id"], ["external_id"]), root, "append", ["order_id"])
+    return J.in_turns([x.where("sequence % 3 <> 1"), x], folder, run)
+
+
+@q("order_states_batch", f"WITH {ORDER_SQL} SELECT o.order_id, coalesce(l.status, 'created') AS status, o.events FROM (SELECT order_id, count(*) AS events FROM os GROUP BY 1) o LEFT JOIN (SELECT order_id, status FROM os WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY terminal DESC, place DESC, sequence DESC) = 1) l USING (order_id)")
 def _(spark, d):
-    return J.last_state(table(spark, d, "events"), "user_id", ["event_id"], "event_type", ["purchase"])
+    return B.order_states(order_log(spark, d), ["order_id"], ["external_id"])
 
 
 @q("st_chain_verify", """SELECT day, min(b) AS first_break FROM (SELECT CAST(ts AS DATE) AS day, CASE WHEN event_id % 89 = 0 THEN event_id WHEN lag(event_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) % 97 = 0 AND lag(event_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) % 89 <> 0 THEN event_id END AS b FROM events)

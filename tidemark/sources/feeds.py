@@ -74,3 +74,24 @@ def feed_items(docs: DataFrame, source: str = "source", body: str = "body") -> D
 def unread_feeds(docs: DataFrame, body: str = "body") -> DataFrame:
     """The documents without items, and why."""
     return parsed(docs, body).where("__bad is not null").drop("__items").withColumnRenamed("__bad", "reason")
+
+
+#: Places of a quote line's fields, from 0. Fixed values of the vendor's format.
+QUOTE = {"name": 1, "code": 2, "close": 3, "previous": 4, "open": 5, "volume": 6, "observed_at": 30, "pct_change": 32, "high": 33, "low": 34, "amount": 37, "turnover": 38}
+
+
+def quote_lines(texts: DataFrame, text: str) -> DataFrame:
+    """Quotes of texts that hold lines such as ``v_x="a~b~..."``: name, code, prices, volume as given, amount times 10,000, turnover over 100, observed_at.
+
+    Lines without a quoted part, with 38 fields or fewer, or with a time that is not one are left out; a number that is not one is null. Other columns
+    of the texts come first, but for those named like a field.
+    """
+    rest = [c for c in texts.columns if c != text and c not in QUOTE]
+    line = F.explode(F.split(F.col(text), "\r\n|[\n\r]"))
+    x = texts.select(*rest, line.alias("__line")).select(*rest, F.split(F.regexp_extract("__line", '="(.*)"', 1), "~").alias("__f")).where("size(__f) > 38")
+    f = {n: F.trim(F.col("__f")[i]) for n, i in QUOTE.items()}
+    number = lambda c: c.try_cast("double")
+    at = F.when(f["observed_at"].rlike("^[0-9]{14}$"), F.try_to_timestamp(f["observed_at"], F.lit("yyyyMMddHHmmss")))
+    plain = [number(f[c]).alias(c) for c in ("close", "previous", "open", "high", "low", "volume", "pct_change")]
+    x = x.select(*rest, f["code"].alias("code"), f["name"].alias("name"), *plain, (number(f["amount"]) * 10_000).alias("amount"), (number(f["turnover"]) / 100).alias("turnover"), at.alias("observed_at"))
+    return x.where(F.col("observed_at").isNotNull())

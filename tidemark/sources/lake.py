@@ -211,3 +211,67 @@ def absent(tracked: DataFrame, quotes: DataFrame, key: str) -> DataFrame:
     if quotes.isEmpty():
         raise ValueError("the snapshot has no quotes")
     return tracked.join(quotes.select(key), key, "left_anti")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: file, line (from 1), value. Each block of a file counts its own lines and adds those of the blocks before it, so
+    that a file may be of any size."""
+    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), "value")
+    x = x.withColumn("__i", F.row_number().over(Window.partitionBy("file", "__b").orderBy("__m")))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = x.groupBy("file", "__b").agg(F.count(F.lit(1)).alias("__n")).select("file", "__b", F.coalesce(before, F.lit(0)).alias("__k"))
+    return x.join(blocks, ["file", "__b"]).select("file", (F.col("__i") + F.col("__k")).alias("line"), "value")
+
+
+def membership_csv(spark: SparkSession, path: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add and remove events of CSV files with a header: (events, problems).
+
+    The files need the columns index_code, stock_code, event_type and effective_date, in one order; stock_name and available_at may be there too. Texts are
+    trimmed, types in small letters, codes filled with zeros up to six. A line without an index, a known type or a day is a problem (file, line, reason);
+    one whose available_at is no time loses it only, which is a problem too. Of repeated events the first line stays, and those in ``known`` are left out.
+    """
+    names = [c.strip("﻿ \t").lower() for c in spark.read.option("header", True).csv(path).columns]
+    need = ["index_code", "stock_code", "event_type", "effective_date"]
+    if missing := sorted(set(need) - set(names)):
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    lines = numbered_lines(spark, path).where((F.col("line") > 1) & (F.trim("value") != ""))
+    x = lines.select("file", "line", F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"mode": "PERMISSIVE"}).alias("r"))
+    r = lambda c: F.trim(F.col(f"r.{c}")) if c in names else F.lit(None).cast("string")
+    x = x.select(
+        "file", "line", r("index_code").alias("index_code"), F.when(F.length(r("stock_code")) < 6, F.lpad(r("stock_code"), 6, "0")).otherwise(r("stock_code")).alias("stock_code"),
+        F.lower(r("event_type")).alias("event_type"), r("effective_date").alias("__d"), F.nullif(r("stock_name"), F.lit("")).alias("stock_name"), F.nullif(r("available_at"), F.lit("")).alias("__a"),
+    )
+    x = x.withColumns({"effective_date": any_date("__d"), "available_at": F.expr("try_cast(__a as timestamp_ntz)")})
+    good = F.coalesce((F.col("index_code") != "") & F.col("event_type").isin("add", "remove") & F.col("effective_date").isNotNull(), F.lit(False))
+    reason = F.when(~good, "not valid").when(F.col("__a").isNotNull() & F.col("available_at").isNull(), "time not readable")
+    x = x.withColumn("reason", reason)
+    key = ["index_code", "stock_code", "effective_date", "event_type"]
+    events = dedupe_latest(x.where(good), key, [F.asc("file"), F.asc("line")]).select(*key, "stock_name", "available_at")
+    if known is not None:
+        events = events.join(known.select(*key), key, "left_anti")
+    return events, x.where("reason is not null").select("file", "line", "reason")
+
+
+def market_close(snapshot: DataFrame, master: DataFrame, day: str, bars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Closing quotes (code, ``day``, quote_date, close, volume, amount, ...) as bars of their day: (bars, rejects).
+
+    Only codes of ``master`` are looked at. Quotes of another day and such without a price above zero are rejected (code, day, reason). The volume is in shares or
+    in lots of 100, whichever times the price comes nearer to the amount (shares, if both do); without an amount it is taken as lots. With ``bars`` the new rows
+    take the place of those of their code and day, and the others stay.
+    """
+    x = snapshot.join(master.select("code").distinct(), "code", "left_semi")
+    reason = F.when(~F.col("quote_date").eqNullSafe(F.col(day)), "other day").when(F.coalesce("close", F.lit(0.0)) <= 0, "no price")
+    x = x.withColumn("reason", reason)
+    off = lambda scale: F.abs(F.col("amount") - F.col("volume") * scale * F.col("close"))
+    scale = F.when((F.col("volume") > 0) & (F.col("amount") > 0) & (off(1) <= off(100)), 1).otherwise(100)
+    new = x.where("reason is null").select("code", day, "close", (F.col("volume") * scale).alias("volume"), "amount", F.when(scale == 1, "share").otherwise("lot").alias("unit"))
+    rejects = x.where("reason is not null").select("code", day, "reason")
+    return (new if bars is None else merge_by_priority([new, bars], ["code", day])), rejects
+
+
+def execution_limits(raw: DataFrame, derived: DataFrame, suspensions: DataFrame) -> DataFrame:
+    """Price limits (code, trade_date, up_limit, down_limit) of each day: the raw row where there is one, else the derived one, as ``origin``; days of the suspensions
+    (code, trade_date, kind S) are flagged, also those that have no limits."""
+    limits = merge_by_priority([raw.withColumn("origin", F.lit("raw")), derived.withColumn("origin", F.lit("derived"))], ["code", "trade_date"])
+    off = suspensions.where(F.upper(F.trim("kind")) == "S").select("code", "trade_date").distinct().withColumn("__s", F.lit(True))
+    return limits.join(off, ["code", "trade_date"], "full").withColumn("suspended", F.col("__s").isNotNull()).drop("__s")

@@ -104,6 +104,59 @@ class Ledger(StatefulProcessor):
         pass
 
 
+#: What an order's event makes of its status, and the statuses that only another such one follows. Fixed values.
+ORDER_STATUS = {
+    "submitted": "submitted", "acknowledged": "accepted", "rejected": "rejected", "partially_filled": "partially_filled", "filled": "filled", "cancel_requested": "cancel_pending",
+    "cancelled": "cancelled", "cancel_rejected": "accepted", "expired": "expired", "fill_cancelled": "accepted", "fill_corrected": "filled",
+}
+TERMINAL = ["rejected", "filled", "cancelled", "expired"]
+
+
+class OrderState(StatefulProcessor):
+    """The status of one order: the event that is last by (terminal, place), kept with its place, so that events may come in any order."""
+
+    def __init__(self, by: list[str]):
+        self.by = by
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "terminal boolean, place long, sequence long, status string, events long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        *best, status, events = self.last.get() if self.last.exists() else (False, -1, -1, "created", 0)
+        for e in rows:
+            events += 1
+            new = [e.terminal, e.place, e.sequence]
+            if e.status is not None and new >= best:
+                best, status = new, e.status
+        self.last.update((*best, status, events))
+        yield Row(**dict(zip(self.by, key, strict=True)), status=status, events=events)
+
+    def close(self) -> None:
+        pass
+
+
+def order_events(df: DataFrame) -> DataFrame:
+    """Events (event_type, broker_sequence, sequence, ...) with status (null where the type says nothing of it), terminal and place: the broker's number, or behind all of
+    those the own one."""
+    known = F.create_map(*[F.lit(x) for pair in ORDER_STATUS.items() for x in pair])
+    status = F.try_element_at(known, F.col("event_type"))
+    return df.withColumns({"status": status, "terminal": F.coalesce(status.isin(TERMINAL), F.lit(False)), "place": F.coalesce(F.col("broker_sequence"), F.col("sequence") + 10**12).cast("long")})
+
+
+def order_stream(df: DataFrame, by: list[str], once: list[str]) -> DataFrame:
+    """The status of each order and its number of events, a row whenever a batch brings some. An event comes once by its external id (``once``)."""
+    x = order_events(df.dropDuplicates(once)).withColumn("sequence", F.col("sequence").cast("long"))
+    return x.groupBy(*by).transformWithState(OrderState(by), f"{_by_ddl(df, by)}, status string, events long", "append", "none")
+
+
+def order_states(df: DataFrame, by: list[str], once: list[str]) -> DataFrame:
+    """``order_stream`` of a whole log at once, by one aggregate."""
+    x = order_events(df.dropDuplicates(once))
+    rank = F.struct("terminal", "place", "sequence")
+    last = F.max_by("status", F.when(F.col("status").isNotNull(), rank))
+    return x.groupBy(*by).agg(F.coalesce(last, F.lit("created")).alias("status"), F.count(F.lit(1)).alias("events"))
+
+
 def _by_ddl(df: DataFrame, by: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 

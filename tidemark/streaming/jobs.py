@@ -140,12 +140,6 @@ def with_open_sessions(closed: DataFrame, rows: DataFrame, time: str, by: str, g
     return closed.unionByName(still.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n"))
 
 
-def last_state(df: DataFrame, key: str, order: list[str], value: str, terminal: list[str]) -> DataFrame:
-    """Last value per key in order; a terminal value is never undone by another one."""
-    rank = F.struct(F.col(value).isin(terminal), *order)
-    return df.groupBy(key).agg(F.max_by(value, rank).alias("state"), F.count(F.lit(1)).alias("events"))
-
-
 def chain(df: DataFrame, key: str, order: str, payload: str) -> DataFrame:
     """Rows of an audit chain: each with the hash of the row before and its own, the digest of that hash and the payload. A chain is a fold, so one key's
     rows are one array; an audit log has a key per day or file."""
