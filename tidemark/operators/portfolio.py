@@ -95,8 +95,9 @@ def name_segments(names: DataFrame, text: str) -> DataFrame:
 
 def first_industry(rows: DataFrame) -> DataFrame:
     """Level-1 industry of each code from snapshot rows (ts_code, name, l1_code, l1_name, in_date): the latest row with a name of the industry; the code is what stands
-    before the point, filled with zeros up to six."""
-    code = F.lpad(F.split("ts_code", "[.]")[0], 6, "0")
+    before the point, filled with zeros up to six; longer ones stay whole."""
+    code = F.split("ts_code", "[.]")[0]
+    code = F.when(F.length(code) < 6, F.lpad(code, 6, "0")).otherwise(code)
     some = rows.where(F.trim(F.coalesce("l1_name", F.lit(""))) != "")
     x = some.select(code.alias("code"), F.nullif(F.trim("name"), F.lit("")).alias("name"), F.nullif(F.trim("l1_code"), F.lit("")).alias("industry_code"), F.trim("l1_name").alias("industry"), "in_date")
     return newest(x, ["code"], [F.desc("in_date"), F.asc("industry")]).drop("in_date")
