@@ -225,3 +225,10 @@ def test_canonical_records_and_adjusted_prices(spark):
     bars = [(1, D(2024, 1, 1), 1.0, 4.0, 1.0, 2.0, 1.0), (1, D(2024, 1, 2), 2.0, 8.0, 2.0, 4.0, 2.0), (2, D(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, None), (2, D(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0)]
     out = adjust_forward(spark.createDataFrame(bars, "code long, trade_date date, open double, high double, low double, close double, factor double")).collect()
     assert [tuple(r)[2:] for r in sorted(out)] == [(0.5, 2.0, 0.5, 1.0), (2.0, 8.0, 2.0, 4.0)]
+
+
+def test_alpha_evidence_makes_no_rows_of_samples(spark):
+    """Samples and lags are sums within a strategy's task: no rows are generated or joined, and rows are shuffled once."""
+    df = spark.createDataFrame([], "s long, day date, ret double, mkt double, style double")
+    plan = models.alpha_evidence(df, "s", "day", "ret", "mkt", ["style"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,75 +166,60 @@ def alpha_evidence(df: DataFrame, by: str, day: str, ret: str, market: str, styl
 
     Standard errors allow for heteroscedasticity and autocorrelation (Bartlett weights up to lag max(1, int(n^0.25))). A coefficient's variance needs
     only one number per row, its influence, so lagged products are sums over one series. Bootstrap samples are circular blocks of int(sqrt(n)) days
-    whose sums are differences of running sums; their starts come from digests of (seed, sample, block). Rows with a missing value are left
-    out, and strategies with fewer than 20 rows.
+    whose sums are differences of running sums; their starts come from digests of (seed, sample, block), the same for all strategies. One task has
+    the rows of a strategy, one per day, so that neither lags nor samples are rows of a table. Rows with a missing value are left out, and
+    strategies with fewer than 20 rows.
     """
     factors = [market, *styles]
     k = len(factors)
-    cols = [F.col(c).cast("double") for c in [*factors, ret]]
-    x = df.dropna(subset=[*factors, ret]).withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy(day)) - 1)
-    active = F.col(ret) - F.col(market)
-    sums = x.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(active).alias("active_mean"), F.stddev_samp(active).alias("__sd"), moments(cols).alias("m")).where("n >= 20")
-    key = f"{by} {df.schema[by].dataType.simpleString()}"
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for flat in pdf["m"]:
-                m = square(np.array(flat), k + 1)
-                inverse = np.linalg.pinv(m[:-1, :-1], hermitian=True)
-                rows.append(((inverse @ m[:-1, -1]).tolist(), inverse[0].tolist()))
-            yield pd.DataFrame({**{c: pdf[c] for c in pdf.columns if c != "m"}, "b": [r[0] for r in rows], "first": [r[1] for r in rows]})
-
-    fits = sums.mapInPandas(solve, f"{key}, n long, active_mean double, __sd double, b array<double>, first array<double>")
-    rows = x.join(fits, by)
-    design = [F.lit(1.0), *cols[:-1]]
-    fitted = sum((F.col("b")[j] * c for j, c in enumerate(design)), F.lit(0.0))
-    rows = rows.withColumn("__g", sum((F.col("first")[j] * c for j, c in enumerate(design)), F.lit(0.0)) * (cols[-1] - fitted)).withColumn("__d", active - F.col("active_mean"))
-    lag_max = F.greatest(F.lit(1), F.floor(F.pow("n", F.lit(0.25))))
-    # A row meets those up to lag_max before it: a short array per row instead of a column per lag.
-    recent = Window.partitionBy(by).orderBy("__i").rowsBetween(-64, -1)
-    near = rows.withColumn("__past", F.reverse(F.collect_list(F.struct("__g", "__d")).over(recent)))
-
-    def weighted(c: str) -> Column:
-        term = lambda p, lag: F.when(lag < lag_max, 2 * (1 - (lag + 1) / (lag_max + 1)) * p[c]).otherwise(0.0)
-        return F.col(c) * (F.col(c) + F.aggregate(F.transform("__past", term), F.lit(0.0), lambda a, v: a + v))
-
-    spread = near.groupBy(by).agg(F.sum(weighted("__g")).alias("__vg"), F.sum(weighted("__d")).alias("__vd"))
-    # Running sums over the days and, once more, the first block of them.
-    size = (k + 2) * (k + 3) // 2
-    pairs = [a * b for i, a in enumerate([F.lit(1.0), *cols]) for b in [F.lit(1.0), *cols][i:]]
-    turn = rows.select(by, "n", "__i", *[p.alias(f"__p{j}") for j, p in enumerate(pairs)], F.explode(F.array(F.lit(0), F.lit(1))).alias("__turn"))
-    turn = turn.withColumn("__at", F.col("__i") + F.col("__turn") * F.col("n")).where(F.col("__at") < F.col("n") + F.floor(F.sqrt("n")))
-    upto = Window.partitionBy(by).orderBy("__at")
-    running = turn.select(by, (F.col("__at") + 1).alias("__at"), F.array(*[F.sum(f"__p{j}").over(upto) for j in range(size)]).alias("__s"))
-    running = running.unionByName(sums.select(by, F.lit(0).cast("long").alias("__at"), F.array_repeat(F.lit(0.0), size).alias("__s")))
-    block = F.floor(F.sqrt("n"))
-    draws = sums.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("__sample")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)).alias("__block"))
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("__sample").cast("string"), F.col("__block").cast("string"))), 1, 8), 16, 10).cast("long")
-    draws = draws.withColumn("__from", digest % F.col("n")).withColumn("__to", F.col("__from") + F.least(block, F.col("n") - F.col("__block") * block))
-    ends = lambda name: running.select(by, F.col("__at").alias(f"__{name}"), F.col("__s").alias(f"__s_{name}"))
-    drawn = draws.join(ends("from"), [by, "__from"]).join(ends("to"), [by, "__to"])
-    drawn = drawn.groupBy(by, "__sample").agg(F.array(*[F.sum(F.col("__s_to")[j] - F.col("__s_from")[j]) for j in range(size)]).alias("m"))
-
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ms = [square(np.array(flat), k + 1) for flat in pdf["m"]]
-            alphas = [float((np.linalg.pinv(m[:-1, :-1], hermitian=True) @ m[:-1, -1])[0]) for m in ms]
-            yield pd.DataFrame({by: pdf[by], "alpha": alphas, "active": [(m[0, -1] - m[0, 1]) / m[0, 0] for m in ms]})
-
+    x = df.dropna(subset=[by, *factors, ret]).select(by, day, *[F.col(c).cast("double").alias(f"__x{j}") for j, c in enumerate([*factors, ret])])
     low, high = int(0.025 * (samples - 1)), int(0.975 * (samples - 1))
-    interval = lambda c: F.sort_array(F.collect_list(c))  # noqa: E731  one value per sample
-    boot = drawn.mapInPandas(resolve, f"{key}, alpha double, active double").groupBy(by).agg(interval("alpha").alias("__a"), interval("active").alias("__c"))
-    out = fits.join(spread, by).join(boot, by)
+    upper = np.triu_indices(k + 2)
+    digests: dict[int, np.ndarray] = {}
+
+    def evidence(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        if n < 20:
+            return pd.DataFrame()
+        pdf = pdf.sort_values(day, kind="stable")
+        design = np.column_stack([np.ones(n), *[pdf[f"__x{j}"].to_numpy(float) for j in range(k + 1)]])
+        products = design[:, upper[0]] * design[:, upper[1]]
+        m = square(products.sum(axis=0), k + 1)
+        inverse = np.linalg.pinv(m[:-1, :-1], hermitian=True)
+        b = inverse @ m[:-1, -1]
+        active = design[:, -1] - design[:, 1]
+        mean = active.mean()
+        lags = max(1, int(n**0.25))
+
+        def spread(v: np.ndarray) -> float:
+            return float(v @ v + sum(2 * (1 - lag / (lags + 1)) * (v[lag:] @ v[:-lag]) for lag in range(1, lags + 1)))
+
+        variance, noise = spread((design[:, :-1] @ inverse[0]) * (design[:, -1] - design[:, :-1] @ b)), spread(active - mean)
+        block = math.isqrt(n)
+        blocks = -(-n // block)
+        if blocks not in digests:
+            digests[blocks] = np.array([[int(hashlib.md5(f"{seed}|{i}|{j}".encode()).hexdigest()[:8], 16) for j in range(blocks)] for i in range(samples)], dtype=np.int64)
+        start = digests[blocks] % n
+        end = start + np.minimum(block, n - block * np.arange(blocks))
+        running = np.concatenate([np.zeros((1, products.shape[1])), np.cumsum(np.concatenate([products, products[:block]]), axis=0)])
+        # Block by block, so that no more than a sum per sample is held.
+        total = sum(running[end[:, j]] - running[start[:, j]] for j in range(blocks))
+        drawn = np.zeros((samples, k + 2, k + 2))
+        drawn[:, upper[0], upper[1]] = drawn[:, upper[1], upper[0]] = total
+        alphas = np.sort((np.linalg.pinv(drawn[:, :-1, :-1], hermitian=True) @ drawn[:, :-1, -1:])[:, 0, 0])
+        actives = np.sort((drawn[:, 0, -1] - drawn[:, 0, 1]) / drawn[:, 0, 0])
+        return pd.DataFrame([(pdf[by].iloc[0], n, mean, active.std(ddof=1), b.tolist(), variance, noise, actives[low], actives[high], alphas[low], alphas[high])], columns=[by, "n", "active_mean", "__sd", "b", "__vg", "__vd", *told])
+
+    told = ["active_low", "active_high", "alpha_low", "alpha_high"]
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, n long, active_mean double, __sd double, b array<double>, __vg double, __vd double, {', '.join(f'{c} double' for c in told)}"
+    out = x.groupBy(by).applyInPandas(evidence, schema)
     se = F.sqrt(F.greatest("__vg", F.lit(0.0)))
     ir = F.when(F.col("__sd") > 0, F.col("active_mean") / F.col("__sd") * F.sqrt(F.lit(252.0)))
-    told = {"active_low": F.col("__c")[low], "active_high": F.col("__c")[high], "alpha_low": F.col("__a")[low], "alpha_high": F.col("__a")[high]}
-    passed = (told["active_low"] > 0) & (told["alpha_low"] > 0) & F.coalesce(ir >= least_ratio, F.lit(False))
+    passed = (F.col("active_low") > 0) & (F.col("alpha_low") > 0) & F.coalesce(ir >= least_ratio, F.lit(False))
     active_se = F.sqrt(F.col("__vd")) / F.col("n")
     return out.select(
         by, "n", "active_mean", ir.alias("ir"), F.when(active_se > 0, F.col("active_mean") / active_se).alias("active_t"), F.col("b")[0].alias("alpha"), F.slice("b", 2, k).alias("betas"), se.alias("alpha_se"),
-        F.when(se > 0, F.col("b")[0] / se).alias("alpha_t"), *[c.alias(n) for n, c in told.items()], passed.alias("passed"),
+        F.when(se > 0, F.col("b")[0] / se).alias("alpha_t"), *told, passed.alias("passed"),
     )
 
 
