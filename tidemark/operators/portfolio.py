@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.lake import written
+
 
 def jdbc_table(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A relational table read in ranges of one numeric column."""
@@ -103,27 +105,42 @@ def first_industry(rows: DataFrame) -> DataFrame:
     return newest(x, ["code"], [F.desc("in_date"), F.asc("industry")]).drop("in_date")
 
 
+#: Pairs of an account and a stock that one task sums in memory.
+PAIRS_A_TASK = 2_000_000
+
+
 def exposure_signals(positions: DataFrame, holdings: DataFrame, industries: DataFrame) -> DataFrame:
     """Of each account: stocks that it holds through its funds (5 % and more, risk from 10 %), stocks that two or more of its funds hold (2 % and more together), and
     industries (20 % and more, risk from 35 %).
 
     Positions (account, fund, value), holdings (fund, item, weight), industries (fund, industry, weight): account, kind, subject, level, exposure, funds.
+
+    A position is sent to its account's task with its fund's items in arrays, once, and spread out only there; the tasks are so many that each sums its
+    pairs in memory.
     """
     p = positions.groupBy("account", "fund").agg(F.sum("value").alias("value"))
     total = p.groupBy("account").agg(F.sum("value").alias("total")).where("total > 0")
-    w = p.join(total, "account").select("account", "fund", (F.col("value") / F.col("total")).alias("w"))
-
-    def through(table: DataFrame, item: str) -> DataFrame:
-        each = table.groupBy("fund", F.col(item).cast("string").alias("subject")).agg(F.sum("weight").alias("weight"))
-        return w.join(each, "fund").groupBy("account", "subject").agg(F.sum(F.col("w") * F.col("weight")).alias("exposure"), F.count(F.lit(1)).alias("funds"))
-
+    w = written(p.join(total, "account").select("account", "fund", (F.col("value") / F.col("total")).alias("w")), "shares")
+
+    def packed(table: DataFrame, item: str, name: str) -> DataFrame:
+        each = table.groupBy("fund", item).agg(F.sum("weight").alias("weight"))
+        x = each.groupBy("fund").agg(F.collect_list(F.struct(F.col(item).alias("s"), F.col("weight").alias("v"))).alias("x"))
+        return x.select("fund", F.transform("x", lambda e: e["s"]).alias(f"{name}_s"), F.transform("x", lambda e: e["v"]).alias(f"{name}_v"))
+
+    funds = written(packed(holdings, "item", "stock").join(packed(industries, "industry", "group"), "fund", "full"), "funds")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    pairs = w.count() * (funds.agg(F.avg(size("stock_s") + size("group_s"))).first()[0] or 0)
+    parts = max(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_A_TASK) + 1)
+    one = lambda kind, name: F.when(F.col(f"{name}_s").isNotNull(), F.zip_with(f"{name}_s", f"{name}_v", lambda s, v: F.struct(F.lit(kind).alias("kind"), s.cast("string").alias("subject"), v.alias("v")))).otherwise(F.array())
+    met = w.join(funds, "fund").repartition(parts, "account").select("account", "w", F.explode(F.concat(one(0, "stock"), one(1, "group"))).alias("x"))
+    sums = met.groupBy("account", "x.kind", "x.subject").agg(F.sum(F.col("w") * F.col("x.v")).alias("exposure"), F.count(F.lit(1)).alias("funds"))
     e = F.col("exposure")
     level = lambda risk: F.when(e >= risk, "risk").otherwise("warning")
     direct = F.when(e >= 0.05, F.struct(F.lit("stock_exposure").alias("kind"), level(0.10).alias("level")))
     shared = F.when((F.col("funds") >= 2) & (e >= 0.02), F.struct(F.lit("overlap").alias("kind"), F.lit("warning").alias("level")))
-    stocks = through(holdings, "item").select("account", "subject", "exposure", "funds", F.explode(F.array_compact(F.array(direct, shared))).alias("s"))
-    groups = through(industries, "industry").where(e >= 0.2).select("account", "subject", "exposure", "funds", F.struct(F.lit("industry").alias("kind"), level(0.35).alias("level")).alias("s"))
-    return stocks.unionByName(groups).select("account", "s.kind", "subject", "s.level", "exposure", "funds")
+    industry = F.when(e >= 0.2, F.struct(F.lit("industry").alias("kind"), level(0.35).alias("level")))
+    told = F.array_compact(F.when(F.col("kind") == 0, F.array(direct, shared)).otherwise(F.array(industry)))
+    return sums.select("account", "subject", "exposure", "funds", F.explode(told).alias("s")).select("account", "s.kind", "subject", "s.level", "exposure", "funds")
 
 
 def index_signals(quotes: DataFrame, weights: DataFrame, least: int = 21) -> DataFrame:
