@@ -167,7 +167,8 @@ def _(spark, d):
 
 @q("st_reconcile", f"WITH {POSITIONS}, r AS (SELECT account, fund, shares + CASE WHEN fund % 10 = 0 THEN 1 ELSE 0 END AS shares FROM positions WHERE fund % 7 <> 0) SELECT coalesce(p.account, r.account) AS account, coalesce(p.fund, r.fund) AS fund, CASE WHEN p.shares IS NULL THEN 'missing_local' WHEN r.shares IS NULL THEN 'missing_remote' ELSE 'difference' END AS kind FROM (SELECT * FROM positions WHERE fund % 11 <> 0) p FULL JOIN r ON p.account = r.account AND p.fund = r.fund WHERE p.shares IS NULL OR r.shares IS NULL OR abs(p.shares - r.shares) > 0.5")
 def _(spark, d):
-    p = positions(spark, d)
+    # Written, as both sides are taken from it: a task then sums positions or sorts a side, not all at once.
+    p = L.written(positions(spark, d).select("account", "fund", "shares"), "positions")
     remote = p.where("fund % 7 <> 0").withColumn("shares", F.col("shares") + F.when(F.col("fund") % 10 == 0, 1.0).otherwise(0.0))
     return J.reconcile(p.where("fund % 11 <> 0"), remote, ["account", "fund"], "shares", 0.5)
 
