@@ -134,3 +134,30 @@ def test_told_and_open_sessions_make_all_sessions(spark):
             else:
                 want.append((u, t, t + dt.timedelta(minutes=30), 1))
     assert sorted((r.user, r.start, r.end, r.n) for r in got.collect()) == sorted(want) and 0 < told < len(want)
+
+
+def test_keys_share_state_and_long_queues_are_paged(spark, monkeypatch):
+    monkeypatch.setattr(books, "BUCKETS", 2)
+    monkeypatch.setattr(books, "PAGE", 3)
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        kind = "buy" if i < 120 else rng.choice(["buy", "sell", "sell"])
+        rows.append((rng.choice([0, 1, 2, 3, None]), "A", f"e{i:04d}", D(2024, 1, 1) + dt.timedelta(days=i // 4), kind, float(rng.randrange(1, 40)), 1.0, 0.5, None))
+    run = lambda df, root: jobs.run_to_table(books.lots_stream(df, ["account"], ["day", "event_id"]), root, "append", ["account", "lot"])
+    got = turns(spark, rows, LEDGER, run, cuts=4).where("quantity > 0").collect()
+    want = {}
+    for account, _, _, day, kind, quantity, *_ in rows:
+        queue = want.setdefault(account, [])
+        if kind == "buy":
+            queue.append([day, quantity])
+        while kind == "sell" and quantity > 0 and queue:
+            take = min(queue[0][1], quantity)
+            queue[0][1], quantity = queue[0][1] - take, quantity - take
+            if queue[0][1] <= 1e-9:
+                queue.pop(0)
+    side = lambda x: sorted(x, key=str)
+    assert side((r.account, r.acquired, r.quantity) for r in got) == side((a, d, q) for a, queue in want.items() for d, q in queue)
+    run = lambda df, root: jobs.run_to_table(books.ledger_stream(df, ["account"], ["day", "event_id"], 500.0), root, "append", ["account"])
+    held = {r.account: r.held for r in turns(spark, rows, LEDGER, run, cuts=4).collect()}
+    assert held == {a: pytest.approx(sum(q for _, q in queue)) for a, queue in want.items()}
