@@ -161,3 +161,10 @@ def test_keys_share_state_and_long_queues_are_paged(spark, monkeypatch):
     run = lambda df, root: jobs.run_to_table(books.ledger_stream(df, ["account"], ["day", "event_id"], 500.0), root, "append", ["account"])
     held = {r.account: r.held for r in turns(spark, rows, LEDGER, run, cuts=4).collect()}
     assert held == {a: pytest.approx(sum(q for _, q in queue)) for a, queue in want.items()}
+
+
+def test_orders_share_buckets_of_state(spark):
+    folder = lake.scratch(spark, "in")
+    spark.range(3).selectExpr("id as order_id", "id as sequence", "id as broker_sequence", "'filled' as event_type", "cast(id as string) as external_id").write.parquet(folder)
+    x = books.order_stream(jobs.stream(spark, folder), ["order_id"], ["external_id"])
+    assert x.isStreaming and "key_bucket" in x._jdf.queryExecution().logical().toString()
