@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evidence as E
 from tidemark.operators import factors as FA
 from tidemark.operators import series as S
+from tidemark.operators.monthly import month_panel
 from tidemark.plans.base import BARS, FIGURES, MEMBERS, VALUATIONS, bars, figures, members, r6, table, valuations
 from tidemark.plans.series import FWD, RET, monthly, panel, rets
 from tidemark.sources import lake as L
@@ -67,9 +68,7 @@ RAW = f"""{RET}, raw AS (SELECT code, trade_date, close / lag(close, 120) OVER w
 
 
 def raw_panel(spark, d):
-    x = rets(spark, d).withColumns({"mom": F.col("close") / F.lag("close", 120).over(S.over()) - 1, "rev": -(F.col("close") / F.lag("close", 5).over(S.over()) - 1), "vol": F.stddev_samp("ret").over(S.frame(60)), "dd": F.col("close") / F.max("close").over(S.frame(120)) - 1})
-    x = x.withColumn("month", F.trunc("trade_date", "MM"))
-    return x.groupBy("code", "month").agg(F.max_by(F.struct("mom", "rev", "vol", "dd"), "trade_date").alias("x")).select("code", "month", "x.*")
+    return month_panel(bars(spark, d)).select("code", "month", "mom", "rev", "vol", "dd")
 
 
 FULL_PANEL = f"""{RET}, {FIGURES}, {VALUATIONS}, {MEMBERS},
@@ -148,11 +147,9 @@ def _(spark, d):
     """Momentum, risk-adjusted momentum, trend and drawdown of each month's end; a market's regime from the mean price of its members."""
     month = F.trunc("trade_date", "MM").alias("month")
     b, m = bars(spark, d), members(spark, d)
-    more = S.risk_adjusted_momentum(S.daily_return(b)).join(S.trend_strength(b), ["code", "trade_date"])
-    more = more.groupBy("code", month).agg(F.max_by(F.struct("ram", F.col("strength").alias("trend")), "trade_date").alias("x")).select("code", "month", "x.*")
     index = b.join(m.select("code", "market"), "code").groupBy(F.col("market").alias("code"), "trade_date").agg(F.avg("close").alias("close"))
     regimes = S.regimes(index).groupBy(F.col("code").alias("market"), month).agg(F.max_by("regime", "trade_date").alias("regime"))
-    x = raw_panel(spark, d).join(m.select("code", "market"), "code").join(more, ["code", "month"]).join(regimes, ["market", "month"])
+    x = month_panel(b).join(m.select("code", "market"), "code").join(regimes, ["market", "month"])
     return E.screen(x).select("code", "month", "regime", "score", *r6("q"), "tier")
 
 
