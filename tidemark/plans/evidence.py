@@ -102,7 +102,8 @@ def _(spark, d):
 
 @q("fac_neutralize_wls")
 def _(spark, d):
-    x = raw_panel(spark, d).join(members(spark, d), "code").withColumn("log_cap", F.log("cap"))
+    # Written, as sizes, quantiles, means and sums are all taken from it.
+    x = L.written(raw_panel(spark, d).join(members(spark, d), "code").select("code", "month", "mom", "vol", "industry", "cap", F.log("cap").alias("log_cap")), "panel")
     return E.neutralize_wls(x, "mom", "industry", ["log_cap", "vol"], "cap").select("code", "month", *r6("residual"))
 
 
