@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import folded
+from tidemark.sources import lake as L
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
@@ -179,9 +180,27 @@ def reconcile(local: DataFrame, remote: DataFrame, key: list[str], value: str, t
     return a.join(b, key, "full").withColumn("kind", kind).where("kind is not null").select(*key, "kind")
 
 
-def in_chunks(df: DataFrame, by: list[str], chunk: str, order: list[str], total: str) -> tuple[DataFrame, Column, Column, Column]:
+#: Keys of more events than this are summed in chunks; others are one window, which needs no further shuffle.
+LARGE = 100_000
+
+
+def by_size(once: DataFrame, by: list[str]) -> list[tuple[DataFrame, bool]]:
+    """The events of small keys, and those of large ones (True). Rows without a key are left out."""
+    once = L.written(once.where(F.concat(*[F.col(c).cast("string") for c in by]).isNotNull()), "events_once")
+    # At most a row per LARGE events.
+    large = F.broadcast(L.written(once.groupBy(*by).count().where(F.col("count") > LARGE).select(*by), "large_keys"))
+    return [(once.join(large, by, "left_anti"), False), (once.join(large, by, "left_semi"), True)]
+
+
+def in_chunks(df: DataFrame, by: list[str], chunk: str, order: list[str], total: str, large: bool = True) -> tuple[DataFrame, Column, Column, Column]:
     """Running sums over keys that may hold a large part of all rows. Rows are summed within chunks (a key's month, say), and one row per chunk carries the sums
-    on. Gives ``df`` with helper columns, and as columns of it the running sum, its smallest value so far (zero at most), and the smallest value before the row."""
+    on; where keys are not ``large``, a key is one chunk. Gives ``df`` with helper columns, and as columns of it the running sum, its smallest value so far
+    (zero at most), and the smallest value before the row."""
+    if not large:
+        w = Window.partitionBy(*by).orderBy(*order)
+        x = df.withColumn("__sum", F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        x = x.withColumn("__low", F.min("__sum").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__lower", F.min("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        return x, F.col("__sum"), F.least(F.lit(0.0), "__low"), F.least(F.lit(0.0), "__lower")
     inside = Window.partitionBy(*by, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*by, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     x = df.withColumn("__sum", F.sum(total).over(inside))
@@ -204,7 +223,7 @@ def applied_once(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*by, F.col("event_id").alias("__id")).agg(F.min(F.struct(*first)).alias("e")).select(*by, "e.*")
 
 
-def positions_after(df: DataFrame, by: list[str], day: str, order: list[str]) -> DataFrame:
+def positions_after(df: DataFrame, by: list[str], day: str, order: list[str], large: bool = True) -> DataFrame:
     """Each event with the quantity held after it, and before it. Sales beyond what is held are cut. (type, quantity, price.)
 
     Holdings between splits and rights are counted in today's units: a split of ratio r, and rights of r new units per unit held, multiply all that was
@@ -213,11 +232,11 @@ def positions_after(df: DataFrame, by: list[str], day: str, order: list[str]) ->
     month = F.trunc(day, "MM").alias("__month")
     grow = F.when(F.col("type") == "split", F.log("quantity")).when(F.col("type") == "rights", F.log(1 + F.col("quantity"))).otherwise(0.0)
     x = df.select("*", month).withColumn("__grow", grow)
-    x, grown, _, _ = in_chunks(x, by, "__month", order, "__grow")
+    x, grown, _, _ = in_chunks(x, by, "__month", order, "__grow", large)
     x = x.withColumn("__factor", F.exp(grown)).drop(*CHUNKED, "__grow")
     signed = F.when(F.col("type").isin("buy", "swap_in"), F.col("quantity")).when(F.col("type").isin("sell", "swap_out"), -F.col("quantity")).otherwise(0.0)
     x = x.withColumn("__units", signed / F.col("__factor"))
-    x, free, low, lower = in_chunks(x, by, "__month", order, "__units")
+    x, free, low, lower = in_chunks(x, by, "__month", order, "__units", large)
     x = x.withColumn("__after", free - low).withColumn("__before", free - F.col("__units") - lower).drop(*CHUNKED, "__units")
     inverse = F.when(F.col("type") == "split", F.col("quantity")).when(F.col("type") == "rights", 1 + F.col("quantity")).otherwise(1.0)
     return x.withColumn("held", F.col("__after") * F.col("__factor")).withColumn("held_before", F.col("__before") * F.col("__factor") / inverse).drop("__after", "__before", "__factor", "__month")
@@ -233,9 +252,13 @@ def replay_ledger(df: DataFrame, by: list[str], order: list[str], opening: float
     """
     if "ref" not in df.columns:
         df = df.withColumn("ref", F.lit(None).cast("string"))
-    once = applied_once(df, by, order)
+    small, big = (_replayed(x, by, order, opening, day, large) for x, large in by_size(applied_once(df, by, order), by))
+    return small.unionByName(big)
+
+
+def _replayed(once: DataFrame, by: list[str], order: list[str], opening: float, day: str, large: bool) -> DataFrame:
     split = F.when(F.col("type") == "split", F.log("quantity")).otherwise(0.0)
-    x, splits, _, _ = in_chunks(positions_after(once, by, day, order).withColumn("__split", split).withColumn("__month", F.trunc(day, "MM")), by, "__month", order, "__split")
+    x, splits, _, _ = in_chunks(positions_after(once, by, day, order, large).withColumn("__split", split).withColumn("__month", F.trunc(day, "MM")), by, "__month", order, "__split", large)
     x = x.withColumn("__splits", splits)
     sold = F.col("held_before") - F.col("held")
     kind = lambda *k: F.col("type").isin(*k)
@@ -270,10 +293,14 @@ def fifo_lots(df: DataFrame, by: list[str], order: list[str], day: str = "day")
     What is held at the end lies in the last purchases: a lot keeps what of its interval of cumulative purchases lies above all purchases less the
     holding.
     """
-    df = applied_once(df, by, order)
-    held = positions_after(df, by, day, order).groupBy(*by).agg(F.max_by("held", F.struct(*order)).alias("held"))
+    small, big = (_lots_left(x, by, order, day, large) for x, large in by_size(applied_once(df, by, order), by))
+    return small.unionByName(big)
+
+
+def _lots_left(df: DataFrame, by: list[str], order: list[str], day: str, large: bool) -> DataFrame:
+    held = positions_after(df, by, day, order, large).groupBy(*by).agg(F.max_by("held", F.struct(*order)).alias("held"))
     bought = df.where("type = 'buy'").withColumn("__month", F.trunc(day, "MM"))
-    rows, upto, _, _ = in_chunks(bought, by, "__month", order, "quantity")
+    rows, upto, _, _ = in_chunks(bought, by, "__month", order, "quantity", large)
     rows = rows.withColumn("upto", upto)
     total = bought.groupBy(*by).agg(F.sum("quantity").alias("all"))
     x = rows.join(total, by).join(held, by).withColumn("left", F.least("quantity", F.col("upto") - (F.col("all") - F.col("held"))))
