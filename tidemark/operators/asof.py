@@ -1,10 +1,16 @@
-"""As-of joins by union and forward fill: one shuffle on the key, no range blow-up."""
+"""As-of and interval joins by union and one pass over each key's rows in order: one shuffle on the key, no range blow-up."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.monthly import like_before
+
 
 def asof_join(probes: DataFrame, rows: DataFrame, key: str, at: str, date: str, values: list[str], strict: bool = False, per_field: bool = False, any_of: list[str] | None = None) -> DataFrame:
     """``probes`` (key, at, ...) with the values and the date of the last row at or before ``at`` (before it, if ``strict``).
@@ -32,46 +38,53 @@ def kth_before(probes: DataFrame, rows: DataFrame, key: str, at: str, date: str,
     return got.withColumn("__i", F.col("__i") - (k - 1)).join(numbered, [key, "__i"], "left").drop("__i")
 
 
-#: Days from the epoch are moved up by this many, and open ends stand at twice that: all days are block numbers below 2**21.
-EPOCH = 1 << 20
-
-
-def segments(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """key, day, row: from each day on at which an interval of the key begins or has ended, the interval with the latest start that holds the day (null:
-    none; of two rows of one day the one with an interval holds). Intervals may overlap and nest.
-
-    A key whose intervals lie one after the other needs their ends only. Others are cut into dyadic blocks of days, about two per level; of a
-    block's intervals only the latest start matters. A day lies in one block per level, and only levels up to the key's longest interval occur,
-    so that each day meets at most 21 rows however many intervals hold it.
-    """
-    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) + EPOCH
-    row = F.struct(start, *[c for c in intervals.columns if c not in (key, start)]).alias("row")
-    x = intervals.where(F.col(start).isNotNull()).select(key, row, number(start).alias("lo"), F.coalesce(number(end) + 1, F.lit(2 * EPOCH)).alias("hi")).where("hi > lo")
-    whole = Window.partitionBy(key).orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = x.withColumn("meets", F.coalesce(F.lead("lo").over(Window.partitionBy(key).orderBy("lo")) < F.col("hi"), F.lit(False)))
-    x = x.withColumn("nested", F.max("meets").over(whole)).withColumn("top", F.floor(F.log2(F.max(F.col("hi") - F.col("lo")).over(whole))).cast("int"))
-    none = F.lit(None).cast(x.schema["row"].dataType)
-    ends = F.explode(F.array(F.struct(F.col("lo").alias("day"), "row"), F.struct(F.col("hi").alias("day"), none.alias("row")))).alias("s")
-    plain = x.where("not nested").select(key, ends).select(key, "s.day", "s.row")
-    n = x.where("nested")
-    # The blocks of level l inside [lo, hi) are those from ceil(lo / 2^l) on; the first one with an odd number and the last one with an even number have no parent inside.
-    own = F.sequence(F.lit(0), F.floor(F.log2(F.col("hi") - F.col("lo"))).cast("int"))
-    level = n.select(key, "row", "lo", "hi", F.explode(own).alias("level")).withColumn("a", F.expr("shiftright(lo + shiftleft(1, level) - 1, level)")).withColumn("b", F.expr("shiftright(hi, level)")).where("a < b")
-    block = F.explode(F.array_compact(F.array_distinct(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)))))
-    best = level.select(key, "level", block.alias("block"), "row").groupBy(key, "level", "block").agg(F.max("row").alias("row"))
-    days = n.select(key, "top", F.explode(F.array("lo", "hi")).alias("day")).where(F.col("day") < 2 * EPOCH).distinct()
-    asked = days.select(key, "day", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")).withColumn("block", F.expr("shiftright(day, level)"))
-    found = asked.join(best, [key, "level", "block"], "left").groupBy(key, "day").agg(F.max("row").alias("row"))
-    return plain.unionByName(found).where(F.col("day") < 2 * EPOCH).select(key, F.date_add(F.lit("1970-01-01").cast("date"), F.col("day") - EPOCH).alias("day"), "row")
+def _latest_holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by key, day, intervals first. Of a key's intervals a stack is kept: each one begins later and ends earlier than the one below it, as one that ends no later than a
+    newer one never wins again. A probe's winner is the top, once what has ended is taken off. The stack's rows go on to the next batch, after them the last row for its key."""
+    kept, stack = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows, first = pa.Table.from_batches([batch]), 0
+        if kept is not None:
+            rows, first = pa.concat_tables([kept, rows]), kept.num_rows
+        new = np.append(True, ~like_before(rows["key"].combine_chunks()))[first:].tolist()
+        probes, winners = [], []
+        columns = (rows[c].slice(first).to_pylist() for c in ("side", "day", "upto"))
+        for i, (begins, side, day, upto) in enumerate(zip(new, *columns, strict=True), first):
+            if begins:
+                stack = []
+            until = day if side else upto
+            while stack and stack[-1][1] <= until:
+                stack.pop()
+            if side:
+                probes.append(i)
+                winners.append(stack[-1][0] if stack else None)
+            else:
+                stack.append((i, upto))
+        whole = rows.combine_chunks()
+        at, won = pa.array(probes, pa.int64()), pa.array(winners, pa.int64())
+        yield pa.RecordBatch.from_arrays([whole[c].combine_chunks().take(x) for c, x in (("key", at), ("probe", at), ("interval", won))], ["key", "probe", "interval"])
+        kept = whole.take(pa.array([*(i for i, _ in stack), rows.num_rows - 1], pa.int64()))
+        stack = [(i, upto) for i, (_, upto) in enumerate(stack)]
 
 
 def interval_join(left: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """``left`` with the interval of its key that holds the day ``at`` (end inclusive, null open); of several the latest start wins (ties: the last by its other
-    columns). No interval: nulls. By an as-of join to the days at which the winning interval changes."""
-    rest = [c for c in intervals.columns if c not in (key, start)]
-    pieces = segments(intervals, key, start, end).withColumnsRenamed({"day": "__day", "row": "__winner"})
-    got = asof_join(left, pieces, key, at, "__day", ["__winner"])
-    return got.select(*left.columns, *[F.col("__winner")[c].alias(c) for c in [start, *rest]])
+    columns). No interval: nulls. Intervals may overlap and nest.
+
+    One shuffle on the key and one sorted pass over its probes and intervals: each row goes through once, however many intervals hold a day. A task keeps those of
+    one key that may still win, at most one for each day of end.
+    """
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    rest = [start, *[c for c in intervals.columns if c not in (key, start)]]
+    probe, row = F.struct(*[c for c in left.columns if c != key]), F.struct(*rest)
+    asked = left.select(F.col(key).alias("key"), number(at).alias("day"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("upto"), probe.alias("probe"))
+    x = intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull())
+    x = x.select(F.col(key).alias("key"), number(start).alias("day"), F.lit(0).alias("side"), F.coalesce(number(end) + 1, F.lit(2**31 - 1)).alias("upto"), row.alias("interval")).where("upto > day")
+    both = asked.unionByName(x, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "day", "side", "interval")
+    got = both.mapInArrow(_latest_holding, both.select("key", "probe", "interval").schema)
+    return got.select(*[F.col("key" if c == key else f"probe.`{c}`").alias(c) for c in left.columns], *[F.col("interval")[c].alias(c) for c in rest])
 
 
 def rule_join(left: DataFrame, rules: DataFrame, on: list[str], at: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:

@@ -13,7 +13,7 @@ BACK = 120
 VALUES = ["mom", "rev", "vol", "dd", "ram", "trend"]
 
 
-def _same(a: pa.Array) -> np.ndarray:
+def like_before(a: pa.Array) -> np.ndarray:
     """Whether each item but the first equals the one before; two nulls are equal."""
     x, y = a[1:], a[:-1]
     return pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
@@ -59,11 +59,11 @@ def _month_ends(batches):
 
     def found(table: pa.Table, first: int, upto: int, dropped: int):
         code, month = table["code"].combine_chunks(), table["month"].combine_chunks()
-        same = _same(code)
+        same = like_before(code)
         rows = np.arange(len(code))
         begin = np.maximum.accumulate(np.where(np.append(False, same), 0, rows))
         n = rows - begin + 1 + np.where(begin == 0, dropped, 0)
-        last = np.append(~(same & _same(month)), True)
+        last = np.append(~(same & like_before(month)), True)
         at = first + np.flatnonzero(last[first:upto])
         with np.errstate(all="ignore"):
             got = _values(pc.fill_null(table["close"].combine_chunks(), np.nan).to_numpy(zero_copy_only=False), at, n[at])

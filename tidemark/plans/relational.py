@@ -117,7 +117,7 @@ def _(spark, d):
     o = table(spark, d, "orders")
     last = F.when(F.col("o_orderkey") % 11 == 0, F.lit("9999-12-31").cast("date")).otherwise(F.date_add(F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 5 == 0, 700).otherwise(60)))
     iv = o.groupBy(F.col("o_custkey").alias("code"), F.to_date("o_orderdate").alias("start_date")).agg(F.max(last).alias("last")).select("code", "start_date", F.nullif("last", F.lit("9999-12-31").cast("date")).alias("end_date"))
-    ev = iv.select("code").distinct().withColumn("at", F.lit("1998-06-15").cast("date")).unionByName(table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.lit("2000-03-01").cast("date").alias("at")))
+    ev = o.select(F.col("o_custkey").alias("code")).distinct().withColumn("at", F.lit("1998-06-15").cast("date")).unionByName(table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.lit("2000-03-01").cast("date").alias("at")))
     return A.interval_join(ev, iv, "code", "at", "start_date", "end_date")
 
 
