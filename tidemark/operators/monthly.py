@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,13 +50,13 @@ def _values(close: np.ndarray, at: np.ndarray, n: np.ndarray) -> dict[str, np.nd
     votes = np.stack([np.sign(v - ma20), np.sign(ma20 - ma60), np.sign(v - before(20))])
     cast = (~np.isnan(votes)).sum(axis=0)
     return {
-        "mom": v / before(120) - 1, "rev": -(v / before(5) - 1), "vol": vol, "dd": v / peak - 1,
+        "close": v, "mom": v / before(120) - 1, "rev": -(v / before(5) - 1), "vol": vol, "dd": v / peak - 1,
         "ram": np.where((count >= 60) & (vol > 0), total["ret"] / 60 / np.where(vol > 0, vol, np.nan), np.nan),
         "trend": np.where((n >= 20) & (cast > 0), np.nansum(votes, axis=0) / np.maximum(cast, 1), np.nan),
     }
 
 
-def _month_ends(batches):
+def _month_ends(batches, values):
     """Rows come by code and day. The last rows of a batch are kept for the next one: the last as its month may go on, those before for its frames."""
     kept, dropped = None, 0
 
@@ -68,8 +71,8 @@ def _month_ends(batches):
         with np.errstate(all="ignore"):
             got = _values(pc.fill_null(table["close"].combine_chunks(), np.nan).to_numpy(zero_copy_only=False), at, n[at])
         dated = pc.is_valid(month.take(pa.array(at))).to_numpy(zero_copy_only=False)
-        columns = [pa.array(np.where(dated, got[c], np.nan), from_pandas=True) for c in VALUES]
-        return n, pa.RecordBatch.from_arrays([code.take(pa.array(at)), month.take(pa.array(at)), *columns], ["code", "month", *VALUES])
+        columns = [pa.array(np.where(dated, got[c], np.nan), from_pandas=True) for c in values]
+        return n, pa.RecordBatch.from_arrays([code.take(pa.array(at)), month.take(pa.array(at)), *columns], ["code", "month", *values])
 
     for batch in batches:
         if not batch.num_rows:
@@ -87,9 +90,9 @@ def _month_ends(batches):
         yield found(kept, kept.num_rows - 1, kept.num_rows, dropped)[1]
 
 
-def month_panel(df: DataFrame) -> DataFrame:
+def month_panel(df: DataFrame, values: Sequence[str] = VALUES) -> DataFrame:
     """Of (code, trade_date, close) at each code's last row of each month: mom (120 rows), rev (less the move over 5), vol (sample deviation of 60 returns), dd (against
-    the highest of 120), ram (mean by deviation of 60 returns, all there) and trend (``series.trend_strength``). A return needs a price above zero before it."""
+    the highest of 120), ram (mean by deviation of 60 returns, all there) and trend (``series.trend_strength``); of ``values`` also close. A return needs a price above zero before it."""
     x = df.select("code", "trade_date", F.trunc("trade_date", "MM").alias("month"), F.col("close").cast("double").alias("close"))
     x = x.repartition("code").sortWithinPartitions("code", "trade_date").select("code", "month", "close")
-    return x.mapInArrow(_month_ends, f"code {dict(df.dtypes)['code']}, month date, " + ", ".join(f"{c} double" for c in VALUES))
+    return x.mapInArrow(partial(_month_ends, values=values), f"code {dict(df.dtypes)['code']}, month date, " + ", ".join(f"{c} double" for c in values))

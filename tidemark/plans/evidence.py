@@ -71,6 +71,13 @@ def raw_panel(spark, d):
     return month_panel(bars(spark, d)).select("code", "month", "mom", "rev", "vol", "dd")
 
 
+def forward_panel(spark, d):
+    """The raw panel with the return to the next month's close (null: none), both from one pass over the bars."""
+    x = month_panel(bars(spark, d), ["mom", "rev", "vol", "dd", "close"])
+    fwd = F.lead("close").over(Window.partitionBy("code").orderBy("month")) / F.col("close") - 1
+    return x.select("code", "month", "mom", "rev", "vol", "dd", F.when(F.col("code").isNotNull(), fwd).alias("fwd"))
+
+
 FULL_PANEL = f"""{RET}, {FIGURES}, {VALUATIONS}, {MEMBERS},
  pa AS (SELECT code, trade_date, close, row_number() OVER w AS i, lag(close, 21) OVER w AS c21, lag(close, 126) OVER w AS c126, lag(close, 252) OVER w AS c252, avg(close) OVER r20 AS ma20, avg(close) OVER r60 AS ma60, stddev_samp(ret) OVER r60 AS v60, stddev_samp(ret) OVER r120 AS v120, lead(trade_date) OVER w AS nxt
   FROM rets WINDOW w AS (PARTITION BY code ORDER BY trade_date), r20 AS (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING), r60 AS (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING), r120 AS (PARTITION BY code ORDER BY trade_date ROWS 119 PRECEDING)),
