@@ -423,9 +423,8 @@ def _(spark, d):
 
 @q("join_lookthrough", f"WITH {POSITIONS}, h AS (SELECT l_partkey AS fund, l_suppkey AS item, sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_partkey) AS weight FROM lineitem GROUP BY 1, 2) SELECT item, round(sum(value * weight), 2) AS exposure, count(DISTINCT fund) AS funds FROM (SELECT fund, sum(value) AS value FROM positions GROUP BY 1) JOIN h USING (fund) GROUP BY item")
 def _(spark, d):
-    h = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("fund"), F.col("l_suppkey").alias("item")).agg(F.sum("l_quantity").alias("qty"))
-    h = h.select("fund", "item", (F.col("qty") / F.sum("qty").over(Window.partitionBy("fund"))).alias("weight"))
-    p = positions(spark, d).groupBy("fund").agg(F.sum("value").alias("value"))
+    h = table(spark, d, "lineitem").select(F.col("l_partkey").alias("fund"), F.col("l_suppkey").alias("item"), F.col("l_quantity").alias("quantity"))
+    p = positions(spark, d).select("fund", "value")
     return R.lookthrough(p, h).select("item", F.round("exposure", 2).alias("exposure"), "funds")
 
 
