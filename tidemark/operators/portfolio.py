@@ -107,6 +107,8 @@ def first_industry(rows: DataFrame) -> DataFrame:
 
 #: Pairs of an account and a stock that one task sums in memory.
 PAIRS_A_TASK = 2_000_000
+#: Buckets of stocks, and steps of a weight in parts of its fund's largest: together two bytes.
+BUCKETS, STEPS = 1024, 63
 
 
 def exposure_signals(positions: DataFrame, holdings: DataFrame, industries: DataFrame) -> DataFrame:
@@ -115,32 +117,59 @@ def exposure_signals(positions: DataFrame, holdings: DataFrame, industries: Data
 
     Positions (account, fund, value), holdings (fund, item, weight), industries (fund, industry, weight): account, kind, subject, level, exposure, funds.
 
-    A position is sent to its account's task with its fund's items in arrays, once, and spread out only there; the tasks are so many that each sums its
-    pairs in memory.
+    A position is sent to its account's task once, with its fund's industries and, in two bytes a stock, the stock's bucket and a weight that is no less
+    than its own. The sums of an account's buckets are no less than those of their stocks: only stocks in buckets that reach a limit are then summed by
+    their own weights, so that none is lost and few are sent whole.
     """
-    p = positions.groupBy("account", "fund").agg(F.sum("value").alias("value"))
-    total = p.groupBy("account").agg(F.sum("value").alias("total")).where("total > 0")
-    w = written(p.join(total, "account").select("account", "fund", (F.col("value") / F.col("total")).alias("w")), "shares")
+    p = written(positions.groupBy("account", "fund").agg(F.sum("value").alias("value")), "positions")
 
     def packed(table: DataFrame, item: str, name: str) -> DataFrame:
         each = table.groupBy("fund", item).agg(F.sum("weight").alias("weight"))
-        x = each.groupBy("fund").agg(F.collect_list(F.struct(F.col(item).alias("s"), F.col("weight").alias("v"))).alias("x"))
-        return x.select("fund", F.transform("x", lambda e: e["s"]).alias(f"{name}_s"), F.transform("x", lambda e: e["v"]).alias(f"{name}_v"))
-
-    funds = written(packed(holdings, "item", "stock").join(packed(industries, "industry", "group"), "fund", "full"), "funds")
+        x = each.groupBy("fund").agg(F.collect_list(F.struct(F.col(item).alias("s"), F.col("weight").alias("v"))).alias("x"), F.max(F.abs("weight")).alias(f"{name}_top"))
+        return x.select("fund", F.transform("x", lambda e: e["s"]).alias(f"{name}_s"), F.transform("x", lambda e: e["v"]).alias(f"{name}_v"), f"{name}_top")
+
+    names = written(industries.select("industry").distinct(), "industries").withColumn("id", F.monotonically_increasing_id())
+    numbered = industries.join(names.withColumnRenamed("industry", "name"), F.col("industry").eqNullSafe(F.col("name"))).select("fund", "id", "weight")
+    bucket = lambda s: F.pmod(F.xxhash64(s), F.lit(BUCKETS))
+    top = F.col("stock_top")
+    plain = (top > 0) & (top < float("inf"))
+
+    def code(s, v):
+        # Where the largest is no plain number, it makes the sum one that reaches every limit.
+        step = F.when(plain, F.ceil(F.abs(v) / top * STEPS)).otherwise(STEPS)
+        return (bucket(s) * (STEPS + 1) + F.coalesce(step, F.lit(0)) - 32768).cast("smallint")
+
+    funds = packed(holdings, "item", "stock").join(packed(numbered, "id", "group").drop("group_top"), "fund", "full")
+    funds = written(funds.withColumn("codes", F.zip_with("stock_s", "stock_v", code)), "funds")
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    pairs = w.count() * (funds.agg(F.avg(size("stock_s") + size("group_s"))).first()[0] or 0)
+    pairs = p.count() * (funds.agg(F.avg(size("codes") + size("group_s"))).first()[0] or 0)
     parts = max(int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_A_TASK) + 1)
-    one = lambda kind, name: F.when(F.col(f"{name}_s").isNotNull(), F.zip_with(f"{name}_s", f"{name}_v", lambda s, v: F.struct(F.lit(kind).alias("kind"), s.cast("string").alias("subject"), v.alias("v")))).otherwise(F.array())
-    met = w.join(funds, "fund").repartition(parts, "account").select("account", "w", F.explode(F.concat(one(0, "stock"), one(1, "group"))).alias("x"))
-    sums = met.groupBy("account", "x.kind", "x.subject").agg(F.sum(F.col("w") * F.col("x.v")).alias("exposure"), F.count(F.lit(1)).alias("funds"))
-    e = F.col("exposure")
+    met = p.join(funds.select("fund", "codes", "stock_top", "group_s", "group_v"), "fund", "left").drop("fund").repartition(parts, "account")
+    # An account's total takes all its positions, also those of funds without holdings.
+    met = met.withColumn("total", F.sum("value").over(Window.partitionBy("account"))).where("total > 0").withColumn("w", F.col("value") / F.col("total"))
+    place = lambda c: c.cast("int") + 32768
+    most = lambda c: F.coalesce(F.abs(F.col("w")) * top * F.pmod(place(c), F.lit(STEPS + 1)) / STEPS, F.lit(0.0))
+    stocks = F.coalesce(F.transform("codes", lambda c: F.struct(F.lit(0).alias("kind"), F.shiftright(place(c), 6).cast("long").alias("key"), most(c).alias("v"))), F.array())
+    groups = F.coalesce(F.zip_with("group_s", "group_v", lambda s, v: F.struct(F.lit(1).alias("kind"), s.alias("key"), (F.col("w") * v).alias("v"))), F.array())
+    # The outer form, as the plain one asks first whether the array is empty, and computes it twice for that.
+    x = met.select("account", "total", F.explode_outer(F.concat(stocks, groups)).alias("x")).where("x is not null")
+    e, two = F.col("exposure"), F.col("funds") >= 2
+    sums = x.groupBy("account", "total", "x.kind", "x.key").agg(F.sum("x.v").alias("exposure"), F.count(F.lit(1)).alias("funds"))
+    near = e * (1 + 1e-9) + 1e-9
+    sums = written(sums.where(((F.col("kind") == 1) & (e >= 0.2)) | ((F.col("kind") == 0) & ((two & (near >= 0.02)) | (near >= 0.05)))), "reached")
+
     level = lambda risk: F.when(e >= risk, "risk").otherwise("warning")
+    told = sums.where("kind = 1").join(names, F.col("key") == F.col("id")).select("account", F.lit("industry").alias("kind"), F.col("industry").cast("string").alias("subject"), level(0.35).alias("level"), "exposure", "funds")
+    wanted = sums.where("kind = 0").groupBy(F.col("account").alias("of"), "total").agg(F.collect_set("key").alias("keys"))
+    some = p.join(wanted, F.col("account").eqNullSafe(F.col("of"))).select("account", "fund", "keys", (F.col("value") / F.col("total")).alias("w"))
+    held = some.join(funds.select("fund", "stock_s", "stock_v"), "fund").withColumn("x", F.arrays_zip("stock_s", "stock_v"))
+    own = F.filter("x", lambda y: F.array_contains("keys", bucket(y["stock_s"])))
+    held = held.select("account", "w", F.explode_outer(own).alias("x")).where("x is not null")
+    exact = held.groupBy("account", F.col("x.stock_s").cast("string").alias("subject")).agg(F.sum(F.col("w") * F.col("x.stock_v")).alias("exposure"), F.count(F.lit(1)).alias("funds"))
     direct = F.when(e >= 0.05, F.struct(F.lit("stock_exposure").alias("kind"), level(0.10).alias("level")))
-    shared = F.when((F.col("funds") >= 2) & (e >= 0.02), F.struct(F.lit("overlap").alias("kind"), F.lit("warning").alias("level")))
-    industry = F.when(e >= 0.2, F.struct(F.lit("industry").alias("kind"), level(0.35).alias("level")))
-    told = F.array_compact(F.when(F.col("kind") == 0, F.array(direct, shared)).otherwise(F.array(industry)))
-    return sums.select("account", "subject", "exposure", "funds", F.explode(told).alias("s")).select("account", "s.kind", "subject", "s.level", "exposure", "funds")
+    shared = F.when(two & (e >= 0.02), F.struct(F.lit("overlap").alias("kind"), F.lit("warning").alias("level")))
+    exact = exact.select("account", "subject", "exposure", "funds", F.explode(F.array_compact(F.array(direct, shared))).alias("s"))
+    return exact.select("account", "s.kind", "subject", "s.level", "exposure", "funds").unionByName(told)
 
 
 def index_signals(quotes: DataFrame, weights: DataFrame, least: int = 21) -> DataFrame:
